@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprint, langid, pii, urlfilter, warc
+from . import bpe, fingerprint, jaccard, langid, pii, urlfilter, warc
 
 #: Fixed values of the URL query: host, path, verdict.
 RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
@@ -30,6 +30,10 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge(table(spark, sf_dir, "pages").select("page_id", "url"), rules).drop("url")
 
 
+def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(table(spark, sf_dir, "documents"))
+
+
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(table(spark, sf_dir, "documents"))
 
@@ -69,6 +73,18 @@ FROM x
 """
 
 
+OP5_SQL = """
+WITH w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+s AS (SELECT doc_id, list_distinct(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')] ELSE list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i+4], ' ')) END) AS sh FROM w),
+e AS (SELECT doc_id, len(sh) AS n, unnest(sh) AS x FROM s),
+p AS (SELECT a.doc_id AS u, b.doc_id AS v FROM e a JOIN e b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 75 * (a.n + b.n - count(*))),
+l AS (SELECT u, v FROM p UNION ALL SELECT v, u FROM p)
+SELECT doc_id, len(sh)::BIGINT AS n_shingles, coalesce(component, doc_id) AS component_id FROM s LEFT JOIN (
+  WITH RECURSIVE r(node, reached) AS (SELECT doc_id, doc_id FROM s UNION SELECT r.node, l.v FROM r JOIN l ON l.u = r.reached)
+  SELECT node, min(reached) AS component FROM r GROUP BY node) ON node = doc_id
+"""
+
+
 def _op10_sql() -> str:
     wide = ", ".join(f"sum(('0x' || substr(digest, {8 * i + 1}, 8))::BIGINT)::BIGINT & 4294967295" for i in range(fingerprint.WIDE))
     lanes = ", ".join(f"coalesce(sum(CASE WHEN lane = {i} THEN sign END), 0)::BIGINT" for i in range(fingerprint.LANES))
@@ -89,8 +105,8 @@ FROM e JOIN z a ON a.doc_id = e.doc_id AND a.kind = 0 JOIN z b ON b.doc_id = e.d
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_byte_bpe, op2_url_filter, op6_pii, op7_language_id, op8_warc, op10_fingerprint)}
+    return {f.__name__: f for f in (op1_byte_bpe, op2_url_filter, op5_ngram_jaccard, op6_pii, op7_language_id, op8_warc, op10_fingerprint)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_url_filter": OP2_SQL, "op8_warc": OP8_SQL, "op10_fingerprint": _op10_sql()}
+    return {"op2_url_filter": OP2_SQL, "op5_ngram_jaccard": OP5_SQL, "op8_warc": OP8_SQL, "op10_fingerprint": _op10_sql()}
