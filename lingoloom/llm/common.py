@@ -86,16 +86,28 @@ def powers(base: int, n: int) -> np.ndarray:
     return out
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+_MARKS = np.array([i < 128 and not chr(i).isalnum() for i in range(256)])
+
+
+def folded(data: np.ndarray) -> np.ndarray:
+    """Latin capitals with accents lowered in UTF-8 (bytes C3 80 to C3 9E, but for the multiplication sign)."""
+    out = data.copy()
+    upper = np.flatnonzero((data[1:] >= 0x80) & (data[1:] <= 0x9E) & (data[1:] != 0x97) & (data[:-1] == 0xC3)) + 1
+    out[upper] += 0x20
+    return out
+
+
+def word_hashes(data: np.ndarray, starts: np.ndarray, marks: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of the words of a block, and the number of words of each document.
 
     Words are the maximal runs of bytes other than ASCII white space, with A-Z lowered; no word crosses a
     document. ``starts`` holds the byte offsets of the documents and, last, the block's length.
+    With ``marks``, all ASCII but letters and digits separates words.
     """
     n = len(data)
     if not n:
         return np.zeros(0, np.uint64), np.zeros(len(starts) - 1, np.int64)
-    inside = ~_SPACE[data]
+    inside = ~(_MARKS if marks else _SPACE)[data]
     first = inside.copy()
     first[1:] &= ~inside[:-1]
     cut = starts[:-1][starts[:-1] < n]

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprint, jaccard, langid, pii, suffix_dedup, urlfilter, warc
+from . import bpe, decontam, fingerprint, jaccard, langid, pii, suffix_dedup, urlfilter, warc
 
 #: Fixed values of the URL query: host, path, verdict.
 RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
@@ -53,6 +53,12 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.select(F.col("record_key").alias("page_id"), F.octet_length("payload").cast("long").alias("payload_bytes"), "payload_digest", "record_type", "refers_to")
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each benchmark item that a document holds."""
+    marked = decontam.leaks(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    return marked.select("doc_id", F.explode("leaks").alias("x")).select("doc_id", F.col("x.item").alias("item_id"), F.col("x.cover").alias("cover"), F.col("x.cosine").alias("cosine"))
+
+
 def op10_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprints(table(spark, sf_dir, "documents"))
 
@@ -109,7 +115,7 @@ FROM e JOIN z a ON a.doc_id = e.doc_id AND a.kind = 0 JOIN z b ON b.doc_id = e.d
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_byte_bpe, op2_url_filter, op4_suffix_dedup, op5_ngram_jaccard, op6_pii, op7_language_id, op8_warc, op10_fingerprint)}
+    return {f.__name__: f for f in (op1_byte_bpe, op2_url_filter, op4_suffix_dedup, op5_ngram_jaccard, op6_pii, op7_language_id, op8_warc, op9_decontamination, op10_fingerprint)}
 
 
 def oracle_sql() -> dict[str, str]:
