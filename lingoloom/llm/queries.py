@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, fingerprint, jaccard, langid, pii, suffix_dedup, urlfilter, warc
+from . import bpe, decontam, fingerprint, jaccard, langid, pii, quality, suffix_dedup, urlfilter, warc
 
 #: Fixed values of the URL query: host, path, verdict.
 RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
@@ -30,6 +30,12 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge(table(spark, sf_dir, "pages").select("page_id", "url"), rules).drop("url")
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trusted are the documents labelled of good quality."""
+    trusted = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
+    return quality.classify(table(spark, sf_dir, "documents"), trusted)
+
+
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.dedup(table(spark, sf_dir, "documents"))
 
@@ -115,7 +121,7 @@ FROM e JOIN z a ON a.doc_id = e.doc_id AND a.kind = 0 JOIN z b ON b.doc_id = e.d
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_byte_bpe, op2_url_filter, op4_suffix_dedup, op5_ngram_jaccard, op6_pii, op7_language_id, op8_warc, op9_decontamination, op10_fingerprint)}
+    return {f.__name__: f for f in (op1_byte_bpe, op2_url_filter, op3_quality, op4_suffix_dedup, op5_ngram_jaccard, op6_pii, op7_language_id, op8_warc, op9_decontamination, op10_fingerprint)}
 
 
 def oracle_sql() -> dict[str, str]:
