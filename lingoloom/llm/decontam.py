@@ -5,7 +5,7 @@
 2. *Latent space.* The benchmark's items are TF-IDF rows; a distributed randomised SVD (range finder, one power step,
    Gram matrix of the projected rows) gives an orthonormal basis of at most RANK dimensions on the cells they use.
 3. *Search.* Every document is cut into passages of WINDOW words, STEP apart, that cover it whole. A passage is folded
-   into the latent space; its cosine with each item makes candidates. Passages with little weight on the items' words
+   into the latent space; its cosine with each item (whose part in the space is scaled to 1) makes candidates. Passages with little weight on the items' words
    are left out before, as their cosine cannot matter.
 4. *Checks.* A candidate's neighbourhood must hold a common subsequence of at least COVER of the item's words, and the
    item's answer (its last ANSWER of words) must be covered too, unless nearly all of the item is.
@@ -32,7 +32,7 @@ from .common import blocks, buffers, filled, folded, word_hashes
 
 CELL_BITS, RANK, EXTRA = 16, 192, 16
 WINDOW, STEP = 32, 16
-WEIGHT, COSINE = 0.15, 0.35
+WEIGHT, COSINE = 0.2, 0.25
 COVER, ANSWER, ANSWER_COVER, NEARLY_ALL = 0.7, 0.25, 0.5, 0.9
 BLOCK = 5_000
 _SHIFT = np.uint64(64 - CELL_BITS)
@@ -115,7 +115,7 @@ class Items:
     """What a task needs of a block of items."""
 
     ids: list
-    words: list[np.ndarray]
+    listed: list[list[int]]
     #: cell -> row of table (0 for cells that no item uses)
     row: np.ndarray
     table: np.ndarray
@@ -132,7 +132,7 @@ def indexed(rows: list[tuple], cells: np.ndarray, q: np.ndarray, idf: np.ndarray
     latent = np.array([table[row[(w >> _SHIFT).astype(np.int64)]].sum(0) for w in words], np.float32).reshape(len(words), q.shape[1])
     norm = np.linalg.norm(latent, axis=1, keepdims=True)
     latent = np.divide(latent, norm, out=np.zeros_like(latent), where=norm > 0)
-    return Items([i for i, _ in rows], words, row, table, latent, idf)
+    return Items([i for i, _ in rows], [w.tolist() for w in words], row, table, latent, idf)
 
 
 def common(item: list[int], text: list[int]) -> list[int]:
@@ -180,8 +180,9 @@ def candidates(h: np.ndarray, at: np.ndarray, items: Items) -> tuple[np.ndarray,
         for j in range(WINDOW):
             some = np.flatnonzero(used[:, j])
             latent[some] += items.table[used[some, j]]
-        norm = np.linalg.norm(latent, axis=1, keepdims=True)
-        cosine = np.divide(latent, norm, out=np.zeros_like(latent), where=norm > 0) @ items.latent.T
+        # the passage's own norm counts its words outside the space too
+        cosine = latent @ items.latent.T
+        cosine /= np.sqrt(total[own, None] + 1e-9).astype(np.float32)
         p, i = np.nonzero(cosine >= COSINE)
         found.append((own[p], i, cosine[p, i]))
     p, i, c = (np.concatenate(x) for x in zip(*found, strict=True))
@@ -212,9 +213,13 @@ def leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str =
                     seen: dict[tuple[int, int], tuple[float, float]] = {}
                     for f, i, c in zip(*(x.tolist() for x in candidates(h, at, items)), strict=True):
                         d = int(np.searchsorted(at, f, "right")) - 1
-                        own = items.words[i].tolist()
+                        own = items.listed[i]
                         lo, hi = max(int(at[d]), f - len(own)), min(int(at[d + 1]), f + WINDOW + len(own))
-                        whole, tail = common(own, h[lo:hi].tolist())
+                        near = h[lo:hi].tolist()
+                        some = set(near)
+                        if sum(w in some for w in own) < COVER * len(own):
+                            continue  # a bound on any common subsequence
+                        whole, tail = common(own, near)
                         cover = whole / len(own)
                         if cover >= COVER and (cover >= NEARLY_ALL or tail >= ANSWER_COVER * max(1, round(ANSWER * len(own)))):
                             seen[a + d, i] = max(seen.get((a + d, i), (0.0, 0.0)), (cover, c))
