@@ -218,8 +218,11 @@ def _searched(rows: DataFrame) -> DataFrame:
     return rows.select("token", "cls", "comp", "n", "counts").mapInArrow(run, "a long, b long")
 
 
-def join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per document: key, n_shingles, component_id (the smallest key that it reaches by links)."""
+def join(docs: DataFrame, key: str = "doc_id", text: str = "text", hashed: str | None = None) -> DataFrame:
+    """One row per document: key, n_shingles, component_id (the smallest key that it reaches by links).
+
+    hashed: name of a column for the text's xxhash64, which with the key names a row where keys repeat.
+    """
     own = staged(described(docs, key, text, crowding(docs, text)), "sets")
     classes = own.where("n > 0").groupBy("c1").agg(F.min(F.struct(F.isnull("key").alias("none"), "key", "h")).alias("one"), F.min("n").alias("n"), F.first("counts", True).alias("counts"), F.min("c2").alias("low"), F.max("c2").alias("high"))
     same = F.when(F.col("low") == F.col("high"), F.col("one.key")).otherwise(F.raise_error(F.lit("two sets share half a digest")))
@@ -255,5 +258,18 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     of_class = classes.join(comps, F.col("c1") == F.col("node"), "left").select("c1", "key", F.coalesce("component", "c1").alias("comp"))
     least = of_class.groupBy("comp").agg(F.min("key").alias("component_id"))
     of_class = of_class.join(least, "comp").select("c1", "component_id")
-    out = own.select("key", "n", F.when(F.col("n") > 0, F.col("c1")).alias("c1")).join(of_class, "c1", "left")
-    return out.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component_id", "key").alias("component_id"))
+    out = own.select("key", "h", "n", F.when(F.col("n") > 0, F.col("c1")).alias("c1")).join(of_class, "c1", "left")
+    more = [F.col("h").alias(hashed)] if hashed else []
+    return out.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component_id", "key").alias("component_id"), *more)
+
+
+def representatives(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of docs without all but one of each component: that of the smallest key. Rows without words all stay,
+    once for each key; rows that repeat key and text are one."""
+    found = join(docs, key, text, "_h").withColumn("_none", F.isnull(key))
+    group = F.when(F.col("n_shingles") > 0, F.col("component_id"))
+    one = found.where("n_shingles > 0").groupBy(group.alias("g")).agg(F.min(F.struct("_none", F.col(key).alias("_k"), "_h")).alias("one")).select("one._k", "one._h")
+    empty = found.where("n_shingles = 0").select(F.col(key).alias("_k"), "_h").distinct()
+    chosen = one.union(empty)
+    kept = docs.withColumn("_own", F.xxhash64(text)).join(chosen, F.col(key).eqNullSafe(F.col("_k")) & (F.col("_own") == F.col("_h")), "left_semi")
+    return kept.dropDuplicates([key, "_own"]).drop("_own")
