@@ -7,6 +7,7 @@ from difflib import SequenceMatcher
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _TOKEN = re.compile(r"\S+\s*")
 
@@ -30,7 +31,7 @@ def spans(before: str, after: str) -> list[str]:
     return out
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def diff(before: pd.Series, after: pd.Series) -> pd.Series:
     """Spans of each pair (a null counts as empty); quadratic in a pair's words, so batches go to Python by Arrow."""
     return pd.Series([spans(a or "", b or "") for a, b in zip(before, after, strict=True)])

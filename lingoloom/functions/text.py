@@ -7,6 +7,7 @@ import html
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: What plain trimming takes off besides spaces.
 BLANK = " \t\n\r\0\x0b"
@@ -24,7 +25,7 @@ def one_line(x: Column) -> Column:
     return F.btrim(F.regexp_replace(x, r"(?U)\s+", " "), F.lit(BLANK))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def unescaped(x: pd.Series) -> pd.Series:
     """HTML entities decoded (no built-in has the full list)."""
     return x.map(lambda s: html.unescape(s) if s is not None and "&" in s else s)

@@ -135,7 +135,7 @@ def upserted(rules: DataFrame, candidates: DataFrame, language: str) -> DataFram
     with source_feedback_ids.
     """
     own = checked(candidates.withColumns({c: tx.nullable(F.col(c)) for c in ("source_term", "target_term")})).where("rule_error is null")
-    known = rules.select(F.col("id").alias("_id"))
+    known = rules.where("id > 0").select(F.col("id").alias("_id"))
     marked = own.join(known, F.col("id") == F.col("_id"), "left")
     fields = ["rule_name", "rule_type", "rule_text", "source_term", "target_term", "search_keywords"]
     newest = F.max_by(F.struct(*fields), "seq").alias("new")

@@ -1,15 +1,293 @@
-"""All queries of the engine by name, and the same in DuckDB SQL."""
+"""All queries of the engine by name; their DuckDB SQL is in oracle.py."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lingoloom.functions import maps, providers
+from lingoloom.functions import text as tx
+from lingoloom.operators import associations as asc
+from lingoloom.operators import feedback as fb
+from lingoloom.operators import queue as qu
+from lingoloom.operators import rules as ru
+from lingoloom.operators import states as st
+from lingoloom.sources import content_types as ct
+from lingoloom.sources.folders import shared_folder
+from lingoloom.sources.tables import SOURCE_LANGUAGE, Tables
+from lingoloom.streaming import feed
+
+from .oracle import ORACLES
+
+ARTICLE = "com_content.article"
+#: Fixed values of the queries: a planner's batch, a distilling batch, a rule batch's language.
+WORK, BATCH, LANGUAGE = 50, 20, "fr-FR"
+USER = 1
+
+
+def _articles(t: Tables) -> DataFrame:
+    return t.content_items.where(F.col("content_type") == ARTICLE)
+
+
+def _languages(t: Tables) -> list[tuple[str, str, int]]:
+    return qu.language_list(t.languages, SOURCE_LANGUAGE)
+
+
+def _texts(t: Tables) -> DataFrame:
+    """Source articles' readable text for each target language."""
+    own = qu.source_items(_articles(t), SOURCE_LANGUAGE).select(F.col("id").alias("item_id"), F.concat_ws(" ", "title", "introtext").alias("text"))
+    return own.withColumn("target_language", F.explode(F.array(*[F.lit(code) for code, _, _ in _languages(t)])))
+
+
+def _rules(t: Tables) -> DataFrame:
+    return t.rules.withColumn("source_feedback_ids", F.array(F.col("id"), F.col("id") + 1))
+
+
+def _item_states(t: Tables) -> DataFrame:
+    return _articles(t).select("id", "language", "state")
+
+
+def _corrections(t: Tables) -> DataFrame:
+    return t.snapshots.select("queue_id", "target_language", "field", F.when(F.col("queue_id") % 4 == 0, F.concat("draft", F.lit(" edited"))).otherwise(F.concat("draft", F.lit(" \n"))).alias("correction"))
+
+
+def work_queue(t: Tables) -> DataFrame:
+    return qu.next_batch(qu.untranslated(t.content_items, t.queue, t.queue_states, _languages(t), SOURCE_LANGUAGE), WORK)
+
+
+def translate_guards(t: Tables) -> DataFrame:
+    return qu.reject_reason(t.content_items, t.queue, LANGUAGE)
+
+
+def target_languages(t: Tables) -> DataFrame:
+    source = qu.source_title(t.languages, SOURCE_LANGUAGE).select(F.col("title").alias("source_title"))
+    return qu.target_languages(t.languages, SOURCE_LANGUAGE, ["fr-FR", "es-ES", "it-IT"]).select("lang_code", "title", "ordering").join(F.broadcast(source))
+
+
+def queue_grid(t: Tables) -> DataFrame:
+    return qu.grid(t.content_items, t.queue, t.queue_states, [code for code, _, _ in _languages(t)], SOURCE_LANGUAGE)
+
+
+def queue_opted_out(t: Tables) -> DataFrame:
+    own = qu.opted(qu.with_flag(qu.source_items(t.content_items, SOURCE_LANGUAGE), t.queue), "only")
+    return own.select("content_type", "id", "title", "do_not_translate", qu.may_edit(F.col("checked_out"), USER).alias("may_edit"))
+
+
+def queue_status_filter(t: Tables) -> DataFrame:
+    own = qu.source_items(t.content_items, SOURCE_LANGUAGE).select("content_type", "id", "title")
+    return qu.with_status(own, t.queue, t.queue_states, [qu.NONE, "review"])
+
+
+def queue_search(t: Tables) -> DataFrame:
+    own = qu.searched(qu.source_items(t.content_items, SOURCE_LANGUAGE), " th an_ ".replace("_", ""), ["title"])
+    return qu.page(own.select("content_type", "id", "title"), "id", "desc", size=qu.PAGE)
+
+
+def queue_visibility(t: Tables) -> DataFrame:
+    live = asc.visibility(t.associations, _item_states(t), t.queue.select(F.col("content_id").alias("id")))
+    own = qu.last_states(t.queue, t.queue_states).where(F.col("content_type") == ARTICLE).select("id", F.col("target_language").alias("language"), "translation_state")
+    out = own.join(live, ["id", "language"], "full")
+    return out.select("id", "language", "translation_state", "live", *[c.alias(n) for n, c in qu.cell_actions(F.col("translation_state"), F.col("live")).items()])
+
+
+def rules_list(t: Tables) -> DataFrame:
+    own = ru.listed(t.rules, t.languages, t.users, search="a")
+    return own.select("id", "rule_name", "rule_type", "target_language", "language_title", "editor", "state", "ordering")
+
+
+def association_group(t: Tables) -> DataFrame:
+    return asc.translations(t.associations, _item_states(t))
+
+
+def source_of_translation(t: Tables) -> DataFrame:
+    return asc.source_queue(t.associations, t.queue, ARTICLE)
+
+
+def related_remap(t: Tables) -> DataFrame:
+    rows = _articles(t).select("id", F.when(F.col("id") % 6 == 0, 0).otherwise(F.col("id") + 1).cast("bigint").alias("related"))
+    return asc.remapped(rows, "related", t.associations, _item_states(t), F.lit(LANGUAGE))
+
+
+def tag_remap(t: Tables) -> DataFrame:
+    """Many to many: each tag by its translation (tags are associated like the articles of their numbers here)."""
+    rows = t.tag_map.select("content_item_id", "tag_id")
+    out = asc.remapped(rows, "tag_id", t.associations, _item_states(t), F.lit(LANGUAGE))
+    return out.groupBy("content_item_id").agg(F.array_sort(F.collect_set("tag_id")).alias("tags")).select("content_item_id", F.explode("tags").alias("tag_id"))
+
+
+def backfill_plan(t: Tables) -> DataFrame:
+    return asc.backfill(t.associations, _item_states(t), SOURCE_LANGUAGE)
+
+
+def source_versions(t: Tables) -> DataFrame:
+    return asc.latest_versions(t.history, feed.ALIASES)
+
+
+def field_assignments(t: Tables) -> DataFrame:
+    return asc.field_assignments(t.fields_categories, F.lit(3).cast("bigint"), F.lit(4).cast("bigint"))
+
+
+def invalidate_translations(t: Tables) -> DataFrame:
+    return st.invalidated(t.queue_states, feed.changes(t.history, t.queue))
+
+
+def upsert_review_state(t: Tables) -> DataFrame:
+    changes = t.queue_states.where("queue_id % 5 = 0").select("queue_id", F.when(F.col("queue_id") % 2 == 0, F.col("target_language")).otherwise("it-IT").alias("target_language"), (F.col("source_version_id") + 1).alias("source_version_id"))
+    return st.reviewed(t.queue_states, changes).select("queue_id", "target_language", "translation_state", "source_version_id")
+
+
+def ensure_queue(t: Tables) -> DataFrame:
+    wanted = t.content_items.where("id % 7 = 0").select("content_type", F.col("id").alias("content_id"))
+    return st.ensured(t.queue, wanted)
+
+
+def seed_states(t: Tables) -> DataFrame:
+    plan = asc.backfill(t.associations, _item_states(t), SOURCE_LANGUAGE)
+    wanted = plan.select(F.col("source_id").alias("queue_id"), F.col("language").alias("target_language"), F.col("state").alias("translation_state"))
+    return st.seeded(t.queue_states, wanted)
+
+
+def optout_flags(t: Tables) -> DataFrame:
+    flags = _articles(t).where("id % 4 <> 3").select("content_type", F.col("id").alias("content_id"), F.when(F.col("id") % 4 == 2, None).otherwise((F.col("id") % 2).cast("int")).alias("flag"))
+    out = st.flagged(t.queue, flags)
+    return st.cleared(out, out.where("id % 9 = 0").select("id")).select("content_type", "content_id", "do_not_translate")
+
+
+def delete_cascade(t: Tables) -> DataFrame:
+    gone = _articles(t).where("id % 10 = 0").select("id")
+    left = asc.removed(t.associations, gone, "com_content.item").select(F.lit("association").alias("kind"), "id", F.col("key").alias("detail"))
+    queue, states = st.without_items(t.queue, t.queue_states, gone.select(F.lit(ARTICLE).alias("content_type"), F.col("id").alias("content_id")))
+    states = st.without_cells(states, states.where("target_language = 'es-ES' and queue_id % 3 = 0").select("queue_id", "target_language"))
+    below = feed.trash_cascade(gone.select(F.lit(ARTICLE).alias("content_type"), "id", F.lit(-2).alias("value")), t.associations, _item_states(t))
+    trashed = st.trashed(_item_states(t), below).select(F.lit("item").alias("kind"), "id", F.col("state").cast("string").alias("detail"))
+    return left.union(queue.select(F.lit("queue"), "id", "content_type")).union(states.select(F.lit("state"), "queue_id", "target_language")).union(trashed)
+
+
+def decide_states(t: Tables) -> DataFrame:
+    cells = t.queue_states.where("translation_state = 'review' and queue_id % 2 = 1").select("queue_id", "target_language", F.lit("approved").alias("state"))
+    return st.decided(t.queue_states, cells)
+
+
+def regroup_associations(t: Tables) -> DataFrame:
+    groups = _articles(t).where("id % 12 < 3").select(F.floor(F.col("id") / 12).alias("group"), F.concat(F.lit("l"), (F.col("id") % 12).cast("string")).alias("language"), "id")
+    return asc.regrouped(t.associations, groups, "com_content.item")
+
+
+def plain_text(t: Tables) -> DataFrame:
+    return t.pages.select("page_id", tx.plain_text(F.col("html")).alias("text"))
+
+
+def token_lemmas(t: Tables) -> DataFrame:
+    words = _articles(t).where(F.col("language") == SOURCE_LANGUAGE).select(F.explode(tx.tokens(F.col("introtext"))).alias("word")).groupBy("word").agg(F.count("*").alias("items")).withColumn("language", F.lit(SOURCE_LANGUAGE))
+    return words.join(t.standard_forms, ["language", "word"], "left").select("word", "items", "standard_form")
+
+
+def word_batches(t: Tables) -> DataFrame:
+    words = t.documents.where("doc_id % 3 = 0").select(F.explode(tx.tokens(F.col("text"))).alias("word"), "doc_id").groupBy("word").agg(F.min("doc_id").alias("at")).withColumn("language", F.lit(SOURCE_LANGUAGE))
+    return fb.batches(fb.unknown_words(words, t.standard_forms)).select("word", "batch_id")
+
+
+def rule_matches(t: Tables) -> DataFrame:
+    return ru.matches(_texts(t), ru.published(t.rules), t.standard_forms)
+
+
+def rule_retrieval(t: Tables) -> DataFrame:
+    chosen = ru.selected(_texts(t), ru.published(t.rules), t.standard_forms, most=8, style=3)
+    return chosen.select("item_id", "target_language", "id", "rule_type", "place", F.coalesce("source_term", F.lit("")).alias("source_term"), F.coalesce("target_term", F.lit("")).alias("target_term"))
+
+
+def rule_guidance(t: Tables) -> DataFrame:
+    return ru.guidance(ru.selected(_texts(t), ru.published(t.rules), t.standard_forms, most=8, style=3))
+
+
+def translatable_strings(t: Tables) -> DataFrame:
+    p = ct.properties(ARTICLE)
+    own = _articles(t).select("id", maps.strings(p["fields"], p["json_fields"]).alias("strings"))
+    fields = t.item_fields.where(F.col("type").isin("text", "textarea", "editor", "note") & (tx.trimmed(F.col("value")) != "")).groupBy(F.col("item_id").alias("id")).agg(maps.custom(F.map_from_entries(F.collect_list(F.struct("name", "value")))).alias("more"))
+    out = own.join(fields, "id", "left").select("id", maps.union(F.col("strings"), F.coalesce("more", F.create_map().cast("map<string,string>"))).alias("m"))
+    return out.select("id", F.explode("m").alias("key", "value"))
+
+
+def flat_fields(t: Tables) -> DataFrame:
+    p = ct.properties(ARTICLE)
+    return _articles(t).select("id", F.explode(maps.flattened(p["fields"], p["json_fields"])).alias("key", "value"))
+
+
+def feedback_pairs(t: Tables) -> DataFrame:
+    sources = _articles(t).select(F.col("id").alias("queue_id"), F.explode(F.create_map(F.lit("title"), "title", F.lit("introtext"), "introtext")).alias("field", "source_text"))
+    return fb.pairs(t.snapshots, _corrections(t), sources)
+
+
+def correction_diff(t: Tables) -> DataFrame:
+    edited = F.regexp_replace(F.regexp_replace("text", "\\bthe\\b", "that"), "^\\S+ ", "")
+    own = t.documents.select("doc_id", F.col("text").alias("machine_draft"), edited.alias("human_correction"))
+    return fb.with_diff(own).select("doc_id", "diff_data")
+
+
+def pending_feedback(t: Tables) -> DataFrame:
+    return fb.pending(t.feedback, BATCH).select("id", "target_language", "created_day")
+
+
+def distil_context(t: Tables) -> DataFrame:
+    texts = fb.haystacks(fb.pending(t.feedback))
+    rules = t.rules.where(F.col("state").isin(0, 1))
+    chosen = ru.selected(texts, rules, t.standard_forms, ru.BATCH_RULES, ru.BATCH_STYLE, drafts_first=True, any_kind=True)
+    return chosen.select("target_language", "place", "id", "rule_type", "rule_name", "rule_text", "source_term", "target_term")
+
+
+def mark_processed(t: Tables) -> DataFrame:
+    return st.processed(t.feedback, fb.pending(t.feedback, BATCH).select("id")).select("id", "status")
+
+
+def rule_validation(t: Tables) -> DataFrame:
+    own = t.candidates.withColumns({c: tx.nullable(F.col(c)) for c in ("source_term", "target_term")})
+    return ru.checked(own).select("seq", "rule_error", "rule_type", "source_term", "target_term", "search_keywords", "confidence_percent")
+
+
+def rule_upsert(t: Tables) -> DataFrame:
+    batch = t.candidates.withColumn("feedback_ids", F.array("feedback_id", F.col("id")))
+    out = ru.upserted(_rules(t), batch, LANGUAGE)
+    return out.select("id", "rule_name", "rule_type", "target_language", "source_term", "target_term", "confidence_percent", "state", "source_origin", F.explode_outer("source_feedback_ids").alias("feedback_id"))
+
+
+def new_rules(t: Tables) -> DataFrame:
+    return ru.new_rule(t.rules.where("id % 3 = 0"), t.rules).select("id", "ordering", "confidence_percent", "rule_text")
+
+
+def failure_runs(t: Tables) -> DataFrame:
+    log = t.events.select(F.col("user_id").alias("run_id"), F.col("event_id").alias("seq"), (F.col("event_id") % 3 == 0).alias("ok"))
+    return fb.failure_runs(log).groupBy("run_id").agg(F.count("*").alias("steps"), F.max("seq").alias("last_seq"))
+
+
+def change_feed_invalidate(t: Tables) -> DataFrame:
+    key = lambda e: e.select(F.concat(F.lit("com_content.article."), F.col("user_id").cast("string")).alias("item_id"), F.col("event_id").cast("bigint").alias("version_id"))
+    return feed.run_invalidation(t.spark, f"{t.sf_dir}/events.parquet", key, t.queue, t.queue_states, shared_folder(t.spark))
+
+
+def dictionary_translate(t: Tables) -> DataFrame:
+    p = ct.properties(ARTICLE)
+    own = qu.source_items(_articles(t), SOURCE_LANGUAGE)
+    asked = own.select("id", F.lit(LANGUAGE).alias("target_language"), maps.strings(p["fields"], p["json_fields"]).alias("strings"), F.lit("").alias("guidance"))
+    made = providers.translate(asked, [providers.Dictionary({"the": "le", "and": "et", "of": "de"})], SOURCE_LANGUAGE)
+    out = own.join(made, "id")
+    new = lambda c: F.coalesce(F.element_at("translated", F.lit(c)), F.col(c))
+    alias = tx.draft_alias(new("title"), F.col("alias"), F.lit(LANGUAGE))
+    return out.select("id", new("title").alias("title"), alias.alias("alias"), tx.body(new("introtext"), new("fulltext")).alias("body"), maps.packed(F.col("images"), F.col("translated"), "images.").alias("images"), "error")
+
+
+QUERIES = [
+    work_queue, translate_guards, target_languages, queue_grid, queue_opted_out, queue_status_filter, queue_search, queue_visibility, rules_list, association_group, source_of_translation, related_remap, tag_remap,
+    backfill_plan, source_versions, field_assignments, invalidate_translations, upsert_review_state, ensure_queue, seed_states, optout_flags, delete_cascade, decide_states, regroup_associations, plain_text, token_lemmas,
+    word_batches, rule_matches, rule_retrieval, rule_guidance, translatable_strings, flat_fields, feedback_pairs, correction_diff, pending_feedback, distil_context, mark_processed, rule_validation, rule_upsert, new_rules,
+    failure_runs, change_feed_invalidate, dictionary_translate,
+]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {f.__name__: lambda spark, sf_dir, f=f: f(Tables(spark, sf_dir)) for f in QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)

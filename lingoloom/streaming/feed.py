@@ -41,20 +41,19 @@ def invalidating(versions: DataFrame, queue: DataFrame, states: DataFrame, folde
     return versions.writeStream.foreachBatch(step).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
 
 
-def latest(spark: SparkSession, folder: str, query: StreamingQuery, states: DataFrame) -> DataFrame:
-    """The states after a finished run."""
-    done = query.lastProgress
-    return states if done is None else spark.read.parquet(f"{folder}/states/{done['batchId']}")
-
-
 def run_invalidation(spark: SparkSession, path: str, prepare: Callable[[DataFrame], DataFrame], queue: DataFrame, states: DataFrame, folder: str) -> DataFrame:
-    """The states after all versions in a folder or file of events have streamed through."""
-    schema = spark.read.parquet(path).schema
-    head, _, name = path.rstrip("/").rpartition("/")
-    events = spark.readStream.schema(schema).option("pathGlobFilter", name if name.endswith(".parquet") else "*").option("maxFilesPerTrigger", 1000).parquet(head if name.endswith(".parquet") else path)
-    query = invalidating(prepare(events), queue, states, f"{folder}/{uuid.uuid4().hex}")
+    """The states after all versions in a file or folder of events have streamed through; progress and results go under ``folder``."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    reader = spark.readStream.schema(spark.read.parquet(path).schema)
+    if place.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(place).isDirectory():
+        events = reader.parquet(path)
+    else:  # a stream reads folders
+        events = reader.option("pathGlobFilter", place.getName()).parquet(place.getParent().toString())
+    own = f"{folder}/feed-{uuid.uuid4().hex}"
+    query = invalidating(prepare(events), queue, states, own)
     query.awaitTermination()
-    return query
+    done = query.lastProgress
+    return states if done is None else spark.read.parquet(f"{own}/states/{done['batchId']}")
 
 
 def title_changes(saves: DataFrame) -> DataFrame:
