@@ -3,15 +3,16 @@
 Two documents link when 100 * intersection >= 75 * union of their sets of 5-word shingles. The method:
 
 1. *Sets.* Shingles are 64-bit hashes. Documents of equal sets are one class (a digest of the set); copies are never
-   compared. A set's hashes are also counted in 32 groups: the class's count vector.
+   compared. A set's hashes are also counted in 128 groups: the class's count vector.
 2. *Buckets.* Linked sets share one of the first n - ceil(0.75 n) + 1 shingles in any common order (prefix filter),
    so classes meet in buckets by those. The order puts shingles last that fall in crowded cells of a count sketch of
    the whole corpus; it decides speed only.
-3. *Pivots.* Each class of a bucket is compared with the bucket's smallest class only, so a group of near copies
-   costs about one comparison a class. The links found give components.
+3. *Pivots.* Each class of a bucket is first paired with one pivot of the bucket only, the class whose shingles are most common, so a
+   group of near copies costs about one comparison a class. Pairs that meet in many buckets are verified; their links give components.
 4. *R-tree.* In buckets that still hold several components, the count vectors are packed into a tree whose nodes keep
-   the largest counts and the least size below them; the sum of coordinate minima bounds the overlap from above. Pairs of different components
-   that pass it are verified too. A pair inside one component can't change any component, so none that matters is left out.
+   the largest counts and the least size below them; the sum of coordinate minima bounds the overlap from above. Pairs
+   of different components that pass it, and meet in as many buckets as a link needs, are verified too. A pair inside
+   one component can't change any component, so none that matters is left out.
 
 The tree stands inside a bucket, because a box tree over a corpus has no equi-join form; the bound is the same.
 
@@ -30,13 +31,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import blocks, buffers, filled, mix, staged, word_hashes
 from .components import components
 
-SHINGLE, GROUPS, CELL_BITS, LEAF = 5, 32, 18, 16
+SHINGLE, GROUPS, CELL_BITS, LEAF = 5, 128, 18, 16
 #: Ids up to this number (8 bytes each) are broadcast to pick texts; more are shuffled.
 BROADCAST_IDS = 500_000
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -131,18 +132,25 @@ def described(docs: DataFrame, key: str, text: str, crowded: np.ndarray) -> Data
                 level = crowded[own >> np.uint64(64 - CELL_BITS)]
                 first = own[:most] if not level.any() else own[np.lexsort((own, level))[:most]]
                 few = int((level == 0).sum())
-                counts.append(np.bincount(own & np.uint64(GROUPS - 1), minlength=GROUPS).astype(np.int32))
+                counts.append(np.bincount(own & np.uint64(GROUPS - 1), minlength=GROUPS).astype("<u4").tobytes())
                 cold.append(first[:few].view(np.int64)), hot.append(first[few:].view(np.int64))
             c = np.frombuffer(b"".join(codes), np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(c[:, 0]), pa.array(c[:, 1]), pa.array(counts, pa.list_(pa.int32())), pa.array(cold, rows), pa.array(hot, rows)], names=["key", "h", "n", "c1", "c2", "counts", "cold", "hot"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(c[:, 0]), pa.array(c[:, 1]), pa.array(counts, pa.binary()), pa.array(cold, rows), pa.array(hot, rows)], names=["key", "h", "n", "c1", "c2", "counts", "cold", "hot"])
 
-    return docs.select(F.col(key).alias("key"), text, F.xxhash64(text).alias("h")).mapInArrow(run, f"key {kind}, h long, n long, c1 long, c2 long, counts array<int>, cold array<long>, hot array<long>")
+    return docs.select(F.col(key).alias("key"), text, F.xxhash64(text).alias("h")).mapInArrow(run, f"key {kind}, h long, n long, c1 long, c2 long, counts binary, cold array<long>, hot array<long>")
 
 
-def may_link(n: Column, counts: Column, m: Column, other: Column) -> Column:
-    """Whether the summed coordinate minima allow 7 * overlap >= 3 * (n + m), which is Jaccard >= 0.75."""
-    most = F.aggregate(F.zip_with(counts, other, lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)
-    return 7 * most >= 3 * (n + m)
+def bounded(pairs: DataFrame) -> DataFrame:
+    """The pairs of (a, b, na, nb, xa, xb) whose summed coordinate minima allow a link: 7 * overlap >= 3 * (na + nb)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), "<u4").reshape(-1, GROUPS) for i in (4, 5))
+            sizes = batch.column(2).to_numpy() + batch.column(3).to_numpy()
+            keep = 7 * np.minimum(x, y).sum(1, dtype=np.int64) >= 3 * sizes
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep))
+
+    return pairs.select("a", "b", "na", "nb", "xa", "xb").mapInArrow(run, "a long, b long")
 
 
 def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -166,44 +174,69 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, key: str, te
     return both.mapInArrow(run, "a long, b long")
 
 
-def tree_pairs(cls: np.ndarray, comp: np.ndarray, n: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """Pairs of a bucket's classes, of different components, whose bound allows a link; by a packed two-level tree."""
+def needed(n: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """How many of their first shingles two linked sets of these sizes share at least.
+
+    Up to the first list that ends, common shingles are in both lists; behind it at most the rest of that set is common.
+    """
+    return -(-3 * (n + m) // 7) - np.maximum((3 * n + 3) // 4, (3 * m + 3) // 4) + 1
+
+
+def tree_pairs(comp: np.ndarray, n: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Pairs (places) of a bucket's classes, of different components, whose bound allows a link; by a packed tree."""
     order = np.lexsort((*counts.T[:3], n))
-    cls, comp, n, counts = cls[order], comp[order], n[order], counts[order]
-    edges = np.arange(0, len(cls), LEAF)
+    comp, n, counts = comp[order], n[order], counts[order]
+    edges = np.arange(0, len(n), LEAF)
     top, least = np.maximum.reduceat(counts, edges), np.minimum.reduceat(n, edges)
-    out = []
+    low, high = np.minimum.reduceat(comp, edges), np.maximum.reduceat(comp, edges)
+    out = [np.zeros((0, 2), np.int64)]
     for i, a in enumerate(edges):
         rows = slice(a, a + LEAF)
-        near = i + np.flatnonzero(7 * np.minimum(top[i], top[i:]).sum(1) >= 3 * (least[i] + least[i:]))
+        mixed = (low[i] != high[i]) | (low[i:] != high[i:]) | (low[i] != low[i:])
+        near = i + np.flatnonzero(mixed & (7 * np.minimum(top[i], top[i:]).sum(1, dtype=np.int64) >= 3 * (least[i] + least[i:])))
         for j in near:
             other = slice(edges[j], edges[j] + LEAF)
-            bound = np.minimum(counts[rows, None], counts[None, other]).sum(2)
-            ok = (7 * bound >= 3 * (n[rows, None] + n[None, other])) & (comp[rows, None] != comp[None, other])
-            x, y = np.nonzero(ok)
+            bound = np.minimum(counts[rows, None], counts[None, other]).sum(2, dtype=np.int64)
+            x, y = np.nonzero((7 * bound >= 3 * (n[rows, None] + n[None, other])) & (comp[rows, None] != comp[None, other]))
             x, y = x + a, y + edges[j]
-            x, y = x[x < y], y[x < y]
-            out.append(np.stack([np.minimum(cls[x], cls[y]), np.maximum(cls[x], cls[y])], 1))
-    return np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), np.int64)
+            out.append(np.stack([order[x[x < y]], order[y[x < y]]], 1))
+    return np.concatenate(out)
+
+
+def bucket_pairs(token: np.ndarray, comp: np.ndarray, n: np.ndarray, counts: np.ndarray) -> Iterator[np.ndarray]:
+    """The same for many buckets (rows sorted by token); those of one leaf are done together, by their size."""
+    start = np.flatnonzero(np.concatenate([[True], np.diff(token) != 0]))
+    size = np.diff(np.concatenate([start, [len(token)]]))
+    for s in range(2, LEAF + 1):
+        own = start[size == s]
+        i, j = np.triu_indices(s, 1)
+        step = max(1, 20_000 // len(i))
+        for at in range(0, len(own), step):
+            x, y = ((own[at : at + step, None] + k).ravel() for k in (i, j))
+            other = comp[x] != comp[y]
+            x, y = x[other], y[other]
+            ok = 7 * np.minimum(counts[x], counts[y]).sum(1, dtype=np.int64) >= 3 * (n[x] + n[y])
+            yield np.stack([x[ok], y[ok]], 1)
+    for a, s in zip(start[size > LEAF], size[size > LEAF], strict=True):
+        yield a + tree_pairs(comp[a : a + s], n[a : a + s], counts[a : a + s])
 
 
 def _searched(rows: DataFrame) -> DataFrame:
-    """tree_pairs of each bucket of (token, cls, comp, n, counts), which come sorted by token."""
+    """bucket_pairs of (token, cls, comp, n, counts), which come sorted by token: a row (a, b, needed) for each bucket of a pair."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
 
         def flush(parts: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
-            token, *rest = (np.concatenate(x) for x in zip(*parts, strict=True))
-            cut = np.flatnonzero(np.diff(token)) + 1
-            for a, b in zip([0, *cut], [*cut, len(token)], strict=True):
-                found = tree_pairs(*(x[a:b] for x in rest))
+            token, cls, comp, n, counts = (np.concatenate(x) for x in zip(*parts, strict=True))
+            for found in bucket_pairs(token, comp, n, counts):
+                x, y = found.T
                 if len(found):
-                    yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["a", "b"])
+                    yield pa.RecordBatch.from_arrays([pa.array(z) for z in (np.minimum(cls[x], cls[y]), np.maximum(cls[x], cls[y]), needed(n[x], n[y]))], names=["a", "b", "needed"])
 
         for batch in batches:
             token = batch.column(0).to_numpy()
-            part = (token, batch.column(1).to_numpy(), batch.column(2).to_numpy(), batch.column(3).to_numpy(), batch.column(4).flatten().to_numpy().reshape(-1, GROUPS))
+            part = (token, batch.column(1).to_numpy(), batch.column(2).to_numpy(), batch.column(3).to_numpy(), np.frombuffer(b"".join(batch.column(4).to_pylist()), "<u4").reshape(-1, GROUPS))
             last = int(np.searchsorted(np.concatenate([[False], np.diff(token) != 0]).cumsum(), (np.diff(token) != 0).sum()))
             # the batch's last bucket may go on in the next one
             if held and (last or token[0] != held[-1][0][-1]):
@@ -215,7 +248,7 @@ def _searched(rows: DataFrame) -> DataFrame:
         if held:
             yield from flush(held)
 
-    return rows.select("token", "cls", "comp", "n", "counts").mapInArrow(run, "a long, b long")
+    return rows.select("token", "cls", "comp", "n", "counts").mapInArrow(run, "a long, b long, needed long")
 
 
 def join(docs: DataFrame, key: str = "doc_id", text: str = "text", hashed: str | None = None) -> DataFrame:
@@ -230,26 +263,31 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", hashed: str |
 
     ends = lambda by: own.select(F.explode(by).alias("token"), F.col("c1").alias("cls"))
     over = Window.partitionBy("token")
-    cold = ends("cold").withColumns({"pivot": F.min("cls").over(over), "top": F.max("cls").over(over)})
+    cold = ends("cold").withColumns({"df": F.count("*").over(over), "low": F.min("cls").over(over), "top": F.max("cls").over(over)})
     hot = ends("hot")
-    peak = hot.groupBy("token").agg(F.min("cls").alias("pivot"), F.max("cls").alias("top")).where("pivot <> top")
-    buckets = cold.where("pivot <> top").unionByName(hot.join(peak, "token")).select("token", "cls", "pivot")
+    peak = hot.groupBy("token").agg(F.count("*").alias("df"), F.min("cls").alias("low"), F.max("cls").alias("top")).where("low <> top")
+    buckets = cold.where("low <> top").unionByName(hot.join(peak, "token")).select("token", "cls", "df")
     buckets = staged(buckets, "buckets")
+    # the class with most in common with others comes first in its buckets: of near copies, that nearest to their source
+    middle = buckets.groupBy("cls").agg(F.round(F.sum(F.log2("df")), 3).alias("score"))
+    placed = buckets.join(middle, "cls").select("token", "cls", F.struct("score", "cls").alias("rank"))
+    pivots = staged(placed.groupBy("token").agg(F.max("rank").alias("pivot")).select("token", "pivot.cls"), "pivots").withColumnRenamed("cls", "pivot")
 
     size = classes.select(F.col("c1").alias("a"), F.col("n").alias("na"), F.col("counts").alias("xa"))
     other = classes.select(F.col("c1").alias("b"), F.col("n").alias("nb"), F.col("counts").alias("xb"))
-    tried = buckets.where("cls <> pivot").select(F.col("pivot").alias("a"), F.col("cls").alias("b")).distinct()
-    first = tried.join(size, "a").join(other, "b").where(may_link(F.col("na"), F.col("xa"), F.col("nb"), F.col("xb")))
-    first = staged(first.select("a", "b"), "pairs")
+    tried = buckets.join(pivots, "token").where("cls <> pivot").groupBy(F.least("pivot", "cls").alias("a"), F.greatest("pivot", "cls").alias("b")).agg(F.count("*").alias("met"))
+    na, nb = F.col("na"), F.col("nb")
+    enough = F.col("met") >= F.ceil(3 * (na + nb) / 7) - F.greatest(F.ceil(0.75 * na), F.ceil(0.75 * nb)) + 1
+    first = staged(bounded(tried.join(size, "a").join(other, "b").where(enough)), "pairs")
     links = staged(verified(first, classes, docs, key, text), "links")
     comps = components(links)
 
     label = F.coalesce("component", "cls")
-    rest = buckets.join(comps, F.col("cls") == F.col("node"), "left").select("token", "cls", label.alias("comp"), "pivot")
-    mixed = rest.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.approx_count_distinct("cls", 0.2).alias("about")).where("low <> high and about > 1").select("token")
-    rest = rest.join(mixed, "token").where("cls <> pivot").distinct()
-    rest = rest.join(classes.select(F.col("c1").alias("cls"), "n", "counts"), "cls").repartition("token").sortWithinPartitions("token")
-    second = staged(_searched(rest).distinct().join(first, ["a", "b"], "left_anti"), "pairs")
+    rest = buckets.join(comps, F.col("cls") == F.col("node"), "left").select("token", "cls", label.alias("comp"))
+    mixed = rest.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("token")
+    rest = rest.join(mixed, "token").distinct().join(classes.select(F.col("c1").alias("cls"), "n", "counts"), "cls")
+    met = _searched(rest.repartition("token").sortWithinPartitions("token")).groupBy("a", "b").agg(F.count("*").alias("met"), F.first("needed").alias("needed"))
+    second = staged(met.where("met >= needed").select("a", "b").join(first, ["a", "b"], "left_anti"), "pairs")
     if not second.isEmpty():
         more = staged(verified(second, classes, docs, key, text), "links")
         if not more.isEmpty():
