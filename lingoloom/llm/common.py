@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -12,7 +13,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: Text handled at once inside a Python worker; bounds its memory.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 1 << 20
+BATCH_ROWS, BATCH_BYTES = 2000, 16 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -27,6 +29,15 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def lean(spark: SparkSession) -> None:
+    """Arrow batches of at most BATCH_ROWS rows and BATCH_BYTES bytes: texts are long, and a worker holds a batch or two."""
+    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        key = f"spark.sql.execution.arrow.{name}"
+        own = int(re.sub(r"\D", "", spark.conf.get(key)))  # in rows, or in bytes with a unit "b"
+        if not 0 < own <= most:
+            spark.conf.set(key, most)
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back: cuts the lineage and survives lost executors."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"

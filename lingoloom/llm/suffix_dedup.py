@@ -35,13 +35,13 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, buffers, filled, mix, staged
+from .common import blocks, buffers, filled, lean, mix, staged
 
 LENGTH, K, V = 200, 32, 40
 SPAN = LENGTH - K + 1
-BLOCK = 2 << 20
+BLOCK = 1 << 20
 #: Bytes of one long text that are worked on at once.
-SEGMENT = 4 << 20
+SEGMENT = 2 << 20
 _C = np.uint64(0x9E3779B97F4A7C15)
 _LOW = np.uint64((1 << 24) - 1)
 
@@ -255,7 +255,9 @@ def spans(docs: DataFrame, packed: DataFrame, most: int) -> DataFrame:
     """(k, first, n): stretches of n windows of the text of hash k that also start elsewhere. docs: k, text, with copies."""
     every = _runs(docs)
     buckets = every.groupBy("h").agg(F.count("*").alias("n"), F.min("digest").alias("low"), F.max("digest").alias("high")).where("n > 1")
-    shared = staged(every.join(buckets.select("h", (F.col("low") != F.col("high")).alias("mixed")), "h"), "runs")
+    # written first, so that the join is free to split a common bucket
+    buckets = staged(buckets.select("h", (F.col("low") != F.col("high")).alias("mixed")), "buckets")
+    shared = staged(every.join(buckets, "h"), "runs")
     kinds = shared.where("mixed").groupBy("h", "digest").agg(F.count("*").alias("n"), F.min(F.struct("k", "at")).alias("one"))
     kinds = staged(kinds, "kinds")
     pieces = _pieces(packed, kinds.select("one.k", "h", "digest", "one.at"))
@@ -281,6 +283,7 @@ def one_at(at: Column) -> Column:
 
 def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", most: int = 20_000, kept: bool = False) -> DataFrame:
     """Per row: key, n_bytes, n_removed, n_spans, kept_sha256 and, if asked for, kept (the bytes that stay)."""
+    lean(docs.sparkSession)
     body = F.coalesce(F.col(text), F.lit(""))
     own = docs.select(F.col(key).alias("key"), body.alias("text"), F.xxhash64(body).alias("k"), F.xxhash64(F.lit(1), body).alias("k2"))
     packed = _packed(own)
