@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import html
+import re
 
 import pandas as pd
 from pyspark.sql import Column
@@ -25,10 +26,13 @@ def one_line(x: Column) -> Column:
     return F.btrim(F.regexp_replace(x, r"(?U)\s+", " "), F.lit(BLANK))
 
 
+_ENTITY = re.compile("&(?:#[0-9]+|#[xX][0-9a-fA-F]+|[A-Za-z][A-Za-z0-9]*);")
+
+
 @F.pandas_udf(T.StringType())
 def unescaped(x: pd.Series) -> pd.Series:
-    """HTML entities decoded (no built-in has the full list)."""
-    return x.map(lambda s: html.unescape(s) if s is not None and "&" in s else s)
+    """HTML entities that end with a semicolon decoded (no built-in has the full list)."""
+    return x.map(lambda s: _ENTITY.sub(lambda m: html.unescape(m[0]), s) if s is not None and "&" in s else s)
 
 
 def plain_text(*parts: Column) -> Column:

@@ -140,5 +140,14 @@ SELECT * FROM upd UNION ALL SELECT * EXCLUDE (ids), unnest(ids) FROM new""",
 s AS (SELECT run_id, min(seq) AS stop FROM e WHERE NOT ok AND before = false GROUP BY run_id) SELECT e.run_id, count(*) AS steps, max(seq) AS last_seq FROM e LEFT JOIN s USING (run_id) WHERE stop IS NULL OR seq <= stop GROUP BY e.run_id""",
 }
 
+_SQL["plain_text"] = r"""WITH s AS (SELECT page_id, regexp_replace(html, '(?s)<!--.*?-->|<[A-Za-z/!?](?:[^>"'']|"[^"]*"|''[^'']*'')*>', '', 'g') AS x FROM pages)
+SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(replace(replace(x, '&copy;', '©'), '&middot;', '·'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&'), '\s+', ' ', 'g')) AS text FROM s"""
+_WORDWISE = "list_reduce(list_transform(string_split({0}, ' '), lambda w: CASE w WHEN 'the' THEN 'le' WHEN 'and' THEN 'et' WHEN 'of' THEN 'de' ELSE w END), lambda a, b: a || ' ' || b)"
+_SQL["dictionary_translate"] = (
+    f"""WITH s AS (SELECT id, alias, images, {_WORDWISE.format("title")} AS title, {_WORDWISE.format("introtext")} AS intro, CASE WHEN trim(fulltext) <> '' THEN {_WORDWISE.format("fulltext")} ELSE '' END AS full_
+  FROM {{content_items}} i WHERE content_type = 'com_content.article' AND {_SOURCE}),"""
+    + r""" a AS (SELECT *, trim(regexp_replace(lower(title), '[^\p{L}\p{N}]+', '-', 'g'), '-') AS slug FROM s)
+SELECT id, title, CASE WHEN slug = '' THEN '' WHEN slug = alias THEN slug || '-fr-fr' ELSE slug END AS alias, intro || CASE WHEN full_ <> '' THEN '<hr id="system-readmore">' || full_ ELSE '' END AS body, images, CAST(NULL AS VARCHAR) AS error FROM a"""
+)
 _SQL["change_feed_invalidate"] = _SQL["invalidate_translations"]
 ORACLES: dict[str, str] = {name: with_tables(sql) for name, sql in _SQL.items()}
