@@ -2,30 +2,33 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+WIDTH = 100_000
 SETTLED = ["review", "approved", "published"]
 
 
-def numbered(rows: DataFrame, order: list[str], start: Column | int = 0, output: str = "id") -> DataFrame:
-    """Number rows from start + 1, in order, without one task seeing them all: partitions are counted, then offset."""
+def numbered(rows: DataFrame, kind: str, number: str, start: int = 0, output: str = "id") -> DataFrame:
+    """Number rows from start + 1 by kind and number, without one task seeing them all.
+
+    Rows are ranked inside ranges of WIDTH numbers; only the ranges' sizes are added up in one place.
+    """
     from pyspark.sql import Window
 
-    dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id())
-    dealt = dealt.withColumn("_r", F.row_number().over(Window.partitionBy("_p").orderBy(*order)))
-    sizes = dealt.groupBy("_p").agg(F.count("*").alias("_n"))
-    before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)  # a row for each partition
-    sizes = sizes.select("_p", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    base = F.lit(start) if isinstance(start, int) else start
-    return dealt.join(F.broadcast(sizes), "_p").withColumn(output, (base + F.col("_before") + F.col("_r")).cast("bigint")).drop("_p", "_r", "_before")
+    dealt = rows.withColumn("_b", F.expr(f"{number} div {WIDTH}"))
+    dealt = dealt.withColumn("_r", F.row_number().over(Window.partitionBy(kind, "_b").orderBy(number)))
+    sizes = rows.groupBy(kind, F.expr(f"{number} div {WIDTH}").alias("_b")).agg(F.count("*").alias("_n"))
+    before = Window.orderBy(kind, "_b").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    sizes = sizes.select(kind, "_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    return dealt.join(sizes, [kind, "_b"]).withColumn(output, (F.lit(start) + F.col("_before") + F.col("_r")).cast("bigint")).drop("_b", "_r", "_before")
 
 
 def ensured(queue: DataFrame, wanted: DataFrame) -> DataFrame:
     """The queue with rows for all (content_type, content_id) of ``wanted``; new ids follow the largest."""
     new = wanted.select("content_type", "content_id").distinct().join(queue, ["content_type", "content_id"], "left_anti")
     top = queue.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]  # one number
-    new = numbered(new, ["content_type", "content_id"], int(top)).withColumn("do_not_translate", F.lit(0))
+    new = numbered(new, "content_type", "content_id", int(top)).withColumn("do_not_translate", F.lit(0))
     return queue.unionByName(new.select(queue.columns))
 
 
@@ -48,7 +51,7 @@ def flagged(queue: DataFrame, flags: DataFrame) -> DataFrame:
     out = queue.join(own, ["content_type", "content_id"], "left").withColumn("do_not_translate", F.coalesce("flag", "do_not_translate")).select(queue.columns)
     missing = own.where("flag = 1").join(queue, ["content_type", "content_id"], "left_anti")
     top = queue.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
-    new = numbered(missing.select("content_type", "content_id"), ["content_type", "content_id"], int(top)).withColumn("do_not_translate", F.lit(1))
+    new = numbered(missing.select("content_type", "content_id"), "content_type", "content_id", int(top)).withColumn("do_not_translate", F.lit(1))
     return out.unionByName(new.select(queue.columns))
 
 
