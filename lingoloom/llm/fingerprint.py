@@ -75,7 +75,7 @@ def with_next(df: DataFrame, key: str, text: str, output: str) -> DataFrame:
     low, high, n = df.agg(F.min(key), F.max(key), F.count("*")).first()
     low, high = (0, 0) if low is None else (int(low), int(high))
     width = max(1, -(-(high - low + 1) * BUCKET // max(1, n)))
-    place = F.coalesce(F.floor((F.col(key) - F.lit(low)) / F.lit(width)), F.lit((high - low) // width + 1)).cast("long")
+    place = F.coalesce(F.floor((F.col(key).cast("double") - F.lit(float(low))) / F.lit(float(width))), F.lit((high - low) // width + 1)).cast("long")
     own = df.withColumn("_b", place)
     order = Window.partitionBy("_b").orderBy(F.col(key).asc_nulls_last(), F.col(text).asc_nulls_first())
     own = own.withColumns({"_r": F.row_number().over(order), "_next": F.lead(text).over(order)})
