@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import filled
+from .common import filled, lean
 
 #: Characters of a leaf, and of the first window on either side of a seam.
 LEAF, WINDOW = 4096, 48
@@ -122,6 +122,7 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text", outputs:
     little-endian unsigned 32-bit integers) and decoded_sha256. keep: columns to carry, all by default; a carried
     column that has an output's name gives way to it. One narrow pass: no shuffle, memory of one Arrow batch.
     """
+    lean(df.sparkSession)
     kept = [c for c in (df.columns if keep is None else keep) if c not in outputs]
     source = df.select(*dict.fromkeys([*kept, text]))
     schema = T.StructType([source.schema[c] for c in kept] + [T.StructField(c, _TYPES[c][0]) for c in outputs])

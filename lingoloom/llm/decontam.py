@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import blocks, buffers, filled, folded, word_hashes
+from .common import blocks, buffers, filled, folded, lean, word_hashes
 
 CELL_BITS, RANK, EXTRA = 16, 192, 16
 WINDOW, STEP = 32, 16
@@ -191,6 +191,7 @@ def candidates(h: np.ndarray, at: np.ndarray, items: Items) -> tuple[np.ndarray,
 
 def leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", output: str = "leaks") -> DataFrame:
     """Add an array of (item, cover, cosine) to each row: the items that its text holds, sorted by item."""
+    lean(docs.sparkSession)
     kept = [c for c in docs.columns if c != output]
     source = docs.select(*kept)
     idf = frequencies(docs, text)

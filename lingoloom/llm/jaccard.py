@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import blocks, buffers, filled, mix, staged, word_hashes
+from .common import blocks, buffers, filled, lean, mix, staged, word_hashes
 from .components import components
 
 SHINGLE, GROUPS, CELL_BITS, LEAF = 5, 128, 18, 16
@@ -256,6 +256,7 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", hashed: str |
 
     hashed: name of a column for the text's xxhash64, which with the key names a row where keys repeat.
     """
+    lean(docs.sparkSession)
     own = staged(described(docs, key, text, crowding(docs, text)), "sets")
     classes = own.where("n > 0").groupBy("c1").agg(F.min(F.struct(F.isnull("key").alias("none"), "key", "h")).alias("one"), F.min("n").alias("n"), F.first("counts", True).alias("counts"), F.min("c2").alias("low"), F.max("c2").alias("high"))
     same = F.when(F.col("low") == F.col("high"), F.col("one.key")).otherwise(F.raise_error(F.lit("two sets share half a digest")))
