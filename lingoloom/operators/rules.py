@@ -50,39 +50,53 @@ def needles(rules: DataFrame) -> DataFrame:
 
 def matches(texts: DataFrame, rules: DataFrame, forms: DataFrame | None = None) -> DataFrame:
     """Distinct (item_id, target_language, rule_id): rules whose term or keyword stands in the item's text as a whole, or
-    shares a standard form with one of its words. texts: item_id, target_language and text.
+    shares a standard form with one of its words. texts: item_id, text and, if a text is for one language only, target_language.
 
     A needle can only match where its first run of letters and digits is a run of the text, so texts' runs meet the needles in an
-    equi-join and only pairs that met are tested by pattern; needles without such a run are tested against all texts.
+    equi-join. A needle that is one run matches by that; for others the pairs that met are tested by pattern, and needles
+    without a run are tested against all texts. Texts are only carried along where they are to be tested.
     """
-    own = needles(rules).withColumn("run", tx.first_run(F.col("needle")))
-    plain = own.where("run <> ''")
-    plain = F.broadcast(plain) if plain.count() <= BROADCAST_NEEDLES else plain
-    ran = texts.select("item_id", "target_language", "text", F.explode(tx.runs(F.col("text"))).alias("run"))
-    hit = ran.join(plain, ["run", "target_language"]).where(tx.contains_word(F.col("text"), F.col("needle"))).select("item_id", "target_language", "rule_id")
-    odd = own.where("run = ''")
-    if not odd.isEmpty():
-        hit = hit.union(texts.join(F.broadcast(odd.drop("run")), "target_language").where(tx.contains_word(F.col("text"), F.col("needle"))).select("item_id", "target_language", "rule_id"))
+    own = needles(rules).withColumn("run", tx.first_run(F.col("needle"))).withColumn("whole", F.lower("needle") == F.col("run"))
+    on = ["target_language"] if "target_language" in texts.columns else []
+    found = ["item_id", "target_language", "rule_id"]
+    n, longer, odd = own.agg(F.count("*"), F.count_if(~F.col("whole") & (F.col("run") != "")), F.count_if(F.col("run") == "")).first()
+    small = F.broadcast if n <= BROADCAST_NEEDLES else lambda df: df
+    ran = texts.select("item_id", *on, F.explode(tx.runs(F.col("text"))).alias("run"))
+    hit = ran.join(small(own.where("whole").drop("needle", "whole")), ["run", *on]).select(*found)
+    if longer:
+        ran = texts.select("item_id", *on, "text", F.explode(tx.runs(F.col("text"))).alias("run"))
+        hit = hit.union(ran.join(small(own.where("not whole and run <> ''")), ["run", *on]).where(tx.contains_word(F.col("text"), F.col("needle"))).select(*found))
+    if odd:
+        word = tx.contains_word(F.col("text"), F.col("needle"))
+        others = F.broadcast(own.where("run = ''").drop("run", "whole"))
+        hit = hit.union((texts.join(others, on) if on else texts.join(others, word)).where(word).select(*found))
     if forms is not None:
         stems = rules.where(F.col("rule_type").isin("terminology", "preservation") & (F.coalesce("source_term_standard", F.lit("")) != ""))
         stems = stems.select(F.col("id").alias("rule_id"), "target_language", F.col("source_term_standard").alias("standard_form"))
-        words = texts.select("item_id", "target_language", F.explode(tx.tokens(F.col("text"))).alias("word"))
-        hit = hit.union(words.join(stems.join(forms.select("word", "standard_form"), "standard_form"), ["word", "target_language"]).select("item_id", "target_language", "rule_id"))
+        words = texts.select("item_id", *on, F.explode(tx.tokens(F.col("text"))).alias("word"))
+        hit = hit.union(words.join(small(stems.join(forms.select("word", "standard_form"), "standard_form")), ["word", *on]).select(*found))
     return hit.distinct()
 
 
-def selected(texts: DataFrame, rules: DataFrame, forms: DataFrame | None = None, most: int = ITEM_RULES, style: int = ITEM_STYLE, drafts_first: bool = False, any_kind: bool = False) -> DataFrame:
+def _items(texts: DataFrame, languages: list[str] | None) -> DataFrame:
+    """(item_id, target_language) that get rules."""
+    if languages is None:
+        return texts.select("item_id", "target_language").distinct()
+    return texts.select("item_id").distinct().select("item_id", F.explode(F.array(*map(F.lit, languages))).alias("target_language"))
+
+
+def selected(texts: DataFrame, rules: DataFrame, forms: DataFrame | None = None, most: int = ITEM_RULES, style: int = ITEM_STYLE, drafts_first: bool = False, any_kind: bool = False, languages: list[str] | None = None) -> DataFrame:
     """(item_id, target_language, rule columns, place): style rules and matching others, best first, within the limits.
 
     Best is by confidence, then id (before that by state, if drafts_first). Two ranked steps equal the greedy walk: style rules beyond
-    their limit never take a place. Style rules are cut to their limit before they meet the items.
+    their limit never take a place. languages: those wanted, where texts are for all of them. Style rules are cut to their limit before they meet the items.
     """
     order = [F.col("state").asc()] * drafts_first + [F.col("confidence_percent").desc(), F.col("id").desc()]
     own = rules if any_kind else rules.where(F.col("rule_type").isin(KINDS))
     top = own.where("rule_type = 'style'").withColumn("_n", F.row_number().over(Window.partitionBy("target_language").orderBy(*order))).where(F.col("_n") <= style).drop("_n")
-    items = texts.select("item_id", "target_language").distinct()
-    styled = items.join(F.broadcast(top), "target_language")
+    styled = _items(texts, languages).join(F.broadcast(top), "target_language")
     hit = matches(texts, own, forms).join(own.withColumnRenamed("id", "rule_id").drop("target_language"), "rule_id").withColumnRenamed("rule_id", "id")
+    hit = hit.where(F.col("target_language").isin(languages)) if languages else hit
     every = styled.unionByName(hit.select(styled.columns))
     place = F.row_number().over(Window.partitionBy("item_id", "target_language").orderBy(*order))
     return every.withColumn("place", place).where(F.col("place") <= most)

@@ -36,9 +36,12 @@ def _languages(t: Tables) -> list[tuple[str, str, int]]:
 
 
 def _texts(t: Tables) -> DataFrame:
-    """Source articles' readable text for each target language."""
-    own = qu.source_items(_articles(t), SOURCE_LANGUAGE).select(F.col("id").alias("item_id"), F.concat_ws(" ", "title", "introtext").alias("text"))
-    return own.withColumn("target_language", F.explode(F.array(*[F.lit(code) for code, _, _ in _languages(t)])))
+    """Source articles' readable text, the same for each target language."""
+    return qu.source_items(_articles(t), SOURCE_LANGUAGE).select(F.col("id").alias("item_id"), F.concat_ws(" ", "title", "introtext").alias("text"))
+
+
+def _codes(t: Tables) -> list[str]:
+    return [code for code, _, _ in _languages(t)]
 
 
 def _rules(t: Tables) -> DataFrame:
@@ -194,12 +197,12 @@ def rule_matches(t: Tables) -> DataFrame:
 
 
 def rule_retrieval(t: Tables) -> DataFrame:
-    chosen = ru.selected(_texts(t), ru.published(t.rules), t.standard_forms, most=8, style=3)
+    chosen = ru.selected(_texts(t), ru.published(t.rules), t.standard_forms, most=8, style=3, languages=_codes(t))
     return chosen.select("item_id", "target_language", "id", "rule_type", "place", F.coalesce("source_term", F.lit("")).alias("source_term"), F.coalesce("target_term", F.lit("")).alias("target_term"))
 
 
 def rule_guidance(t: Tables) -> DataFrame:
-    return ru.guidance(ru.selected(_texts(t), ru.published(t.rules), t.standard_forms, most=8, style=3))
+    return ru.guidance(ru.selected(_texts(t), ru.published(t.rules), t.standard_forms, most=8, style=3, languages=_codes(t)))
 
 
 def translatable_strings(t: Tables) -> DataFrame:
