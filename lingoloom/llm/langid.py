@@ -5,8 +5,8 @@ bytes (their first layer is a one-hot embedding, so a filter is a table of weigh
 maximum over places and a softmax. A document's languages are scored by the sum of its windows' log-probabilities,
 weighted by their length; the score is the softmax of the mean.
 
-The network is fitted on the driver on a sample of labelled rows: at most ``per_language`` documents of each of at most
-``languages`` languages, those with the smallest hashes of their key, and ``windows`` windows of each. Prediction is one narrow pass over whole texts.
+The network is fitted on the driver on a sample of labelled rows: about ``per_language`` documents (in SHARES equal
+parts) of each of at most ``languages`` languages, those with the smallest hashes of their key, and ``windows_each`` windows of each. Prediction is one narrow pass over whole texts.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0; rows with a null label are not learned
 from; with no labelled row everything is ``und``; columns with the outputs' names give way to them.
@@ -24,10 +24,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import blocks, buffers, filled
+from .common import blocks, buffers, filled, lean
 
 WINDOW, WIDTHS, FILTERS = 128, (2, 3, 4), 12
 UNKNOWN = "und"
+SHARES = 50
 
 
 @dataclass
@@ -121,9 +122,10 @@ def fit(labelled: DataFrame, key: str = "doc_id", text: str = "text", lang: str
     most = [r[0] for r in named.groupBy(lang).count().orderBy(F.desc("count"), lang).limit(languages).collect()]
     if not most:
         return None
-    place = F.row_number().over(Window.partitionBy("_l").orderBy(F.xxhash64("_k"), "_k"))
-    ids = named.where(F.col(lang).isin(most)).select(F.col(key).alias("_k"), F.col(lang).alias("_l"))
-    chosen = ids.withColumn("_n", place).where(F.col("_n") <= per_language).select("_k").distinct()
+    # a language is ranked in SHARES parts by hash, so that a common one does not meet in one task
+    ids = named.where(F.col(lang).isin(most)).select(F.col(key).alias("_k"), F.col(lang).alias("_l"), F.pmod(F.xxhash64(F.lit(1), key), F.lit(SHARES)).alias("_s"))
+    place = F.row_number().over(Window.partitionBy("_l", "_s").orderBy(F.xxhash64("_k"), "_k"))
+    chosen = ids.withColumn("_n", place).where(F.col("_n") <= -(-per_language // SHARES)).select("_k").distinct()
     size = WINDOW * 4  # characters of a slice, so that each holds some windows
     spread = F.transform(F.sequence(F.lit(0), F.lit(windows_each - 1)), lambda i: F.substring(text, (F.greatest(F.length(text) - size, F.lit(0)) * i / windows_each).cast("int") + 1, F.lit(WINDOW)))
     rows = named.join(F.broadcast(chosen), F.col(key) == F.col("_k")).select(lang, F.array_distinct(spread).alias("slices"), F.xxhash64(key).alias("_h")).collect()
@@ -140,6 +142,7 @@ def fit(labelled: DataFrame, key: str = "doc_id", text: str = "text", lang: str
 
 def predict(df: DataFrame, net: Network | None, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """Add lang_pred and score to each row. The network (under 100 kB) travels with the function."""
+    lean(df.sparkSession)
     kept = [c for c in (df.columns if keep is None else keep) if c not in ("lang_pred", "score")]
     source = df.select(*dict.fromkeys([*kept, text]))
     schema = T.StructType([source.schema[c] for c in kept] + [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
