@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import filled, lean
+from .common import filled, lean, tidied
 
 #: Characters of a leaf, and of the first window on either side of a seam.
 LEAF, WINDOW = 4096, 48
@@ -128,6 +128,7 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text", outputs:
     schema = T.StructType([source.schema[c] for c in kept] + [T.StructField(c, _TYPES[c][0]) for c in outputs])
     digests = any("decoded" in c for c in outputs)
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path, pattern)
         for batch in batches:
@@ -156,6 +157,7 @@ def decode(df: DataFrame, path: str, pattern: str, tokens: str = "tokens", outpu
     kept = [c for c in df.columns if c != output]
     schema = T.StructType([df.schema[c] for c in kept] + [T.StructField(output, T.BinaryType())])
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path, pattern)
         for batch in batches:

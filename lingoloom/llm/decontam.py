@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import blocks, buffers, filled, folded, lean, word_hashes
+from .common import blocks, buffers, filled, folded, lean, tidied, word_hashes
 
 CELL_BITS, RANK, EXTRA = 16, 192, 16
 WINDOW, STEP = 32, 16
@@ -50,6 +50,7 @@ def words_of(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray
 def frequencies(docs: DataFrame, text: str = "text") -> np.ndarray:
     """Inverse frequencies of the cells, from all words of all documents (a fixed 2 ** CELL_BITS numbers)."""
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << CELL_BITS, np.int64)
         for batch in batches:
@@ -83,12 +84,17 @@ def basis(items: DataFrame, idf: np.ndarray, text: str, rank: int = RANK, seed:
     """
     width = rank + EXTRA
 
-    def product(x: np.ndarray, cells: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    def drawn(own: np.ndarray) -> np.ndarray:
+        """The cells' rows of the random test matrix, which is never made as a whole."""
+        return np.array([np.random.default_rng([seed, c]).normal(size=width) for c in own.tolist()])
+
+    def product(x: np.ndarray | None, cells: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+        @tidied
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total: dict[int, np.ndarray] = {}
             for batch in batches:
                 for own, w in _rows(filled(batch.column(0)), idf):
-                    y = w @ (x[own] if cells is None else x[np.searchsorted(cells, own)])
+                    y = w @ (drawn(own) if x is None else x[np.searchsorted(cells, own)])
                     for c, part in zip(own.tolist(), w, strict=True):
                         total[c] = total.get(c, 0) + part * y
             if total:
@@ -98,7 +104,7 @@ def basis(items: DataFrame, idf: np.ndarray, text: str, rank: int = RANK, seed:
         sums = parts.groupBy("cell").agg(F.array(*[F.sum(F.get("v", F.lit(i))) for i in range(width)]).alias("v")).orderBy("cell").toArrow()
         return sums["cell"].to_numpy(), np.array(sums["v"].to_pylist(), np.float64).reshape(-1, width)
 
-    cells, y = product(np.random.default_rng(seed).normal(size=(1 << CELL_BITS, width)), None)
+    cells, y = product(None, None)
     if not len(cells):
         return cells, np.zeros((0, 0), np.float32)
     q, _ = np.linalg.qr(y)
@@ -204,6 +210,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str =
     arrow = to_arrow_type(schema[output].dataType)
 
     def pass_over(df: DataFrame, items: Items, carry: bool) -> DataFrame:
+        @tidied
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 texts = filled(batch.column(text))

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import blocks, buffers, filled, lean, mix, staged, word_hashes
+from .common import blocks, buffers, filled, lean, mix, staged, tidied, word_hashes
 from .components import components
 
 SHINGLE, GROUPS, CELL_BITS, LEAF = 5, 128, 18, 16
@@ -90,6 +90,7 @@ def crowding(docs: DataFrame, text: str) -> np.ndarray:
     Each task counts all its shingles by cell; cells are summed in a shuffle. The result has a fixed size (256 kB).
     """
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << CELL_BITS, np.int64)
         with np.errstate(over="ignore"):
@@ -116,6 +117,7 @@ def described(docs: DataFrame, key: str, text: str, crowded: np.ndarray) -> Data
     kind = docs.schema[key].dataType.simpleString()
     rows = pa.list_(pa.int64())
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
         for batch in batches:
@@ -143,6 +145,7 @@ def described(docs: DataFrame, key: str, text: str, crowded: np.ndarray) -> Data
 def bounded(pairs: DataFrame) -> DataFrame:
     """The pairs of (a, b, na, nb, xa, xb) whose summed coordinate minima allow a link: 7 * overlap >= 3 * (na + nb)."""
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), "<u4").reshape(-1, GROUPS) for i in (4, 5))
@@ -161,6 +164,7 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, key: str, te
     left = pairs.join(texts.select(F.col("c1").alias("a"), F.col("t").alias("ta")), "a")
     both = left.join(texts.select(F.col("c1").alias("b"), F.col("t").alias("tb")), "b").select("a", "b", "ta", "tb")
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
@@ -224,6 +228,7 @@ def bucket_pairs(token: np.ndarray, comp: np.ndarray, n: np.ndarray, counts: np.
 def _searched(rows: DataFrame) -> DataFrame:
     """bucket_pairs of (token, cls, comp, n, counts), which come sorted by token: a row (a, b, needed) for each bucket of a pair."""
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
 

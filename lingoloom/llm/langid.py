@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import blocks, buffers, filled, lean
+from .common import blocks, buffers, filled, lean, tidied
 
 WINDOW, WIDTHS, FILTERS = 128, (2, 3, 4), 12
 UNKNOWN = "und"
@@ -147,6 +147,7 @@ def predict(df: DataFrame, net: Network | None, text: str = "text", keep: list[s
     source = df.select(*dict.fromkeys([*kept, text]))
     schema = T.StructType([source.schema[c] for c in kept] + [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = filled(batch.column(text))

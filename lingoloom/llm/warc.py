@@ -19,7 +19,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir
+from .common import STAGED, shared_dir
 
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
@@ -87,5 +87,6 @@ def export(spark: SparkSession, path: str, out: str) -> None:
 def archived(records: DataFrame, **options: object) -> DataFrame:
     """Write the records into a new archive in the shared folder, and read it back."""
     path = f"{shared_dir(records.sparkSession)}/warc-{uuid.uuid4().hex}"
+    STAGED.append(path)
     write(records, path, **options)
     return read(records.sparkSession, path)
