@@ -15,8 +15,8 @@ from lingoloom.llm import bpe, decontam, jaccard, langid, pii
 from lingoloom.llm.common import staged
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
-#: Documents whose language is less certain are rejected.
-CERTAIN = 0.5
+#: Documents whose language is less certain are rejected. Low, so that short clean texts with a foreign line stay.
+CERTAIN = 0.35
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
