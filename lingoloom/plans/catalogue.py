@@ -19,6 +19,7 @@ from lingoloom.sources.folders import shared_folder
 from lingoloom.sources.tables import SOURCE_LANGUAGE, Tables
 from lingoloom.streaming import feed
 
+from . import flows
 from .oracle import ORACLES
 
 ARTICLE = "com_content.article"
@@ -280,8 +281,47 @@ def dictionary_translate(t: Tables) -> DataFrame:
     return out.select("id", new("title").alias("title"), alias.alias("alias"), tx.body(new("introtext"), new("fulltext")).alias("body"), maps.packed(F.col("images"), F.col("translated"), "images.").alias("images"), "error")
 
 
+def item_lookup(t: Tables) -> DataFrame:
+    """One item by id; the condition reaches the scan."""
+    return _articles(t).where(F.col("id") == 7).select("id", "title", "language", "state", "alias")
+
+
+def queue_cells(t: Tables) -> DataFrame:
+    """The queue row and the state in one language of each article; null where there is none."""
+    own = qu.with_flag(_articles(t).select("content_type", "id"), t.queue)
+    cells = t.queue_states.where(F.col("target_language") == LANGUAGE).select("queue_id", "translation_state", "source_version_id")
+    return own.join(cells, "queue_id", "left").select("id", "queue_id", "translation_state", "source_version_id")
+
+
+def item_tags(t: Tables) -> DataFrame:
+    own = t.tag_map.where("type_alias = 'com_content.article'").groupBy("content_item_id").agg(F.array_sort(F.collect_list("tag_id")).alias("tags"))
+    return own.select(F.col("content_item_id").alias("id"), F.array_join("tags", ",").alias("tags"))
+
+
+def custom_fields(t: Tables) -> DataFrame:
+    """Text fields of items: those with something in them are translated, all are kept in snapshots."""
+    own = t.item_fields.where(F.col("type").isin("text", "textarea", "editor", "note"))
+    return own.select("item_id", F.concat(F.lit(maps.CUSTOM), "name").alias("key"), "value", (tx.trimmed(F.col("value")) != "").alias("translated"))
+
+
+def standard_terms(t: Tables) -> DataFrame:
+    return flows.with_standard_terms(t.rules.select("id", "source_term", "source_term_standard"), t.standard_forms).select("id", "source_term", "source_term_standard")
+
+
+def language_menus(t: Tables) -> DataFrame:
+    menus = t.nation.select(F.lower("n_name").alias("menutype"), F.col("n_name").alias("title"), F.lit(0).alias("client_id"))
+    wanted = t.nation.where("n_nationkey % 2 = 0").select(F.concat(F.lower("n_name"), F.lit("-en-gb")).alias("menutype"), F.col("n_name").alias("title"), F.lit(LANGUAGE).alias("target_language"))
+    return flows.menus_for(menus, wanted, SOURCE_LANGUAGE)
+
+
+def changed_titles(t: Tables) -> DataFrame:
+    """Saves whose title differs from the save before (events as saves)."""
+    saves = t.events.select(F.col("user_id").alias("item_id"), F.col("event_id").alias("seq"), F.col("event_type").alias("title"))
+    return feed.title_changes(saves).select("item_id", "seq", "title", "before")
+
+
 QUERIES = [
-    work_queue, translate_guards, target_languages, queue_grid, queue_opted_out, queue_status_filter, queue_search, queue_visibility, rules_list, association_group, source_of_translation, related_remap, tag_remap,
+    work_queue, item_lookup, queue_cells, item_tags, custom_fields, standard_terms, language_menus, changed_titles, translate_guards, target_languages, queue_grid, queue_opted_out, queue_status_filter, queue_search, queue_visibility, rules_list, association_group, source_of_translation, related_remap, tag_remap,
     backfill_plan, source_versions, field_assignments, invalidate_translations, upsert_review_state, ensure_queue, seed_states, optout_flags, delete_cascade, decide_states, regroup_associations, plain_text, token_lemmas,
     word_batches, rule_matches, rule_retrieval, rule_guidance, translatable_strings, flat_fields, feedback_pairs, correction_diff, pending_feedback, distil_context, mark_processed, rule_validation, rule_upsert, new_rules,
     failure_runs, change_feed_invalidate, dictionary_translate,

@@ -140,6 +140,16 @@ SELECT * FROM upd UNION ALL SELECT * EXCLUDE (ids), unnest(ids) FROM new""",
 s AS (SELECT run_id, min(seq) AS stop FROM e WHERE NOT ok AND before = false GROUP BY run_id) SELECT e.run_id, count(*) AS steps, max(seq) AS last_seq FROM e LEFT JOIN s USING (run_id) WHERE stop IS NULL OR seq <= stop GROUP BY e.run_id""",
 }
 
+_SQL |= {
+    "item_lookup": "SELECT id, title, language, state, alias FROM {content_items} WHERE content_type = 'com_content.article' AND id = 7",
+    "queue_cells": """SELECT i.id, q.id AS queue_id, s.translation_state, s.source_version_id FROM {content_items} i LEFT JOIN {queue} q ON q.content_type = i.content_type AND q.content_id = i.id
+LEFT JOIN {queue_states} s ON s.queue_id = q.id AND s.target_language = 'fr-FR' WHERE i.content_type = 'com_content.article'""",
+    "item_tags": "SELECT content_item_id AS id, string_agg(tag_id, ',' ORDER BY tag_id) AS tags FROM {tag_map} GROUP BY content_item_id",
+    "custom_fields": "SELECT item_id, 'com_fields:' || name AS key, value, trim(value) <> '' AS translated FROM {item_fields} WHERE type IN ('text', 'textarea')",
+    "standard_terms": "SELECT r.id, r.source_term, f.standard_form AS source_term_standard FROM {rules} r LEFT JOIN {standard_forms} f ON f.word = lower(r.source_term) AND r.source_term <> ''",
+    "language_menus": "SELECT lower(n_name) AS menutype, n_name AS title, 0 AS client_id FROM nation UNION ALL SELECT lower(n_name) || '-fr-fr', n_name || ' (fr-FR)', 0 FROM nation WHERE n_nationkey % 2 = 0",
+    "changed_titles": "SELECT * FROM (SELECT user_id AS item_id, event_id AS seq, event_type AS title, lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS before FROM events) WHERE before <> title",
+}
 _SQL["plain_text"] = r"""WITH s AS (SELECT page_id, regexp_replace(html, '(?s)<!--.*?-->|<[A-Za-z/!?](?:[^>"'']|"[^"]*"|''[^'']*'')*>', '', 'g') AS x FROM pages)
 SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(replace(replace(x, '&copy;', '©'), '&middot;', '·'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&'), '\s+', ' ', 'g')) AS text FROM s"""
 _WORDWISE = "list_reduce(list_transform(string_split({0}, ' '), lambda w: CASE w WHEN 'the' THEN 'le' WHEN 'and' THEN 'et' WHEN 'of' THEN 'de' ELSE w END), lambda a, b: a || ' ' || b)"
