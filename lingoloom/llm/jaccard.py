@@ -158,9 +158,9 @@ def bounded(pairs: DataFrame) -> DataFrame:
 
 def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, key: str, text: str) -> DataFrame:
     """The pairs (a, b) of classes that link, by their whole sets. classes: c1, and key and h of one document each."""
-    wanted = staged(pairs.select("a").union(pairs.select("b")).distinct().join(classes, F.col("a") == F.col("c1")).select("c1", F.col("key").alias("k"), F.col("h").alias("kh")), "wanted")
+    wanted = staged(pairs.select("a").union(pairs.select("b")).distinct().join(classes, F.col("a") == F.col("c1")).select("c1", F.col("key").alias("one"), F.col("h").alias("one_h")), "wanted")
     own = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
-    texts = docs.join(own, F.col(key).eqNullSafe(F.col("k")) & (F.xxhash64(text) == F.col("kh"))).select("c1", F.col(text).alias("t"))
+    texts = docs.join(own, F.col(key).eqNullSafe(F.col("one")) & (F.xxhash64(text) == F.col("one_h"))).select("c1", F.col(text).alias("t"))
     left = pairs.join(texts.select(F.col("c1").alias("a"), F.col("t").alias("ta")), "a")
     both = left.join(texts.select(F.col("c1").alias("b"), F.col("t").alias("tb")), "b").select("a", "b", "ta", "tb")
 
@@ -262,6 +262,8 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", hashed: str |
     hashed: name of a column for the text's xxhash64, which with the key names a row where keys repeat.
     """
     lean(docs.sparkSession)
+    docs = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
+    named, key, text = key, "key", "text"
     own = staged(described(docs, key, text, crowding(docs, text)), "sets")
     classes = own.where("n > 0").groupBy("c1").agg(F.min(F.struct(F.isnull("key").alias("none"), "key", "h")).alias("one"), F.min("n").alias("n"), F.first("counts", True).alias("counts"), F.min("c2").alias("low"), F.max("c2").alias("high"))
     same = F.when(F.col("low") == F.col("high"), F.col("one.key")).otherwise(F.raise_error(F.lit("two sets share half a digest")))
@@ -304,16 +306,17 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", hashed: str |
     of_class = of_class.join(least, "comp").select("c1", "component_id")
     out = own.select("key", "h", "n", F.when(F.col("n") > 0, F.col("c1")).alias("c1")).join(of_class, "c1", "left")
     more = [F.col("h").alias(hashed)] if hashed else []
-    return out.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component_id", "key").alias("component_id"), *more)
+    return out.select(F.col("key").alias(named), F.col("n").alias("n_shingles"), F.coalesce("component_id", "key").alias("component_id"), *more)
 
 
 def representatives(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of docs without all but one of each component: that of the smallest key. Rows without words all stay,
     once for each key; rows that repeat key and text are one."""
     found = join(docs, key, text, "_h").withColumn("_none", F.isnull(key))
+    name = "__text_hash"
     group = F.when(F.col("n_shingles") > 0, F.col("component_id"))
-    one = found.where("n_shingles > 0").groupBy(group.alias("g")).agg(F.min(F.struct("_none", F.col(key).alias("_k"), "_h")).alias("one")).select("one._k", "one._h")
-    empty = found.where("n_shingles = 0").select(F.col(key).alias("_k"), "_h").distinct()
+    one = found.where("n_shingles > 0").groupBy(group.alias("g")).agg(F.min(F.struct("_none", F.col(key).alias("__k"), F.col("_h").alias("__h"))).alias("one")).select("one.__k", "one.__h")
+    empty = found.where("n_shingles = 0").select(F.col(key).alias("__k"), F.col("_h").alias("__h")).distinct()
     chosen = one.union(empty)
-    kept = docs.withColumn("_own", F.xxhash64(text)).join(chosen, F.col(key).eqNullSafe(F.col("_k")) & (F.col("_own") == F.col("_h")), "left_semi")
-    return kept.dropDuplicates([key, "_own"]).drop("_own")
+    kept = docs.withColumn(name, F.xxhash64(text)).join(chosen, F.col(key).eqNullSafe(F.col("__k")) & (F.col(name) == F.col("__h")), "left_semi")
+    return kept.dropDuplicates([key, name]).drop(name)

@@ -118,7 +118,7 @@ def fit(labelled: DataFrame, key: str = "doc_id", text: str = "text", lang: str
     """Fit on labelled rows (see above for the bounds). Only keys and labels are ranked; only the sample's texts are read whole."""
     from pyspark.sql import Window
 
-    named = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
+    named = labelled.select(key, lang, text).where(F.col(lang).isNotNull() & F.col(text).isNotNull())
     most = [r[0] for r in named.groupBy(lang).count().orderBy(F.desc("count"), lang).limit(languages).collect()]
     if not most:
         return None

@@ -117,27 +117,27 @@ def _scored(rank: int, kind: Kind) -> Column:
     """The kind's confirmed spans, with scores."""
 
     def row(x: Column) -> Column:
-        before = F.substring(F.col("_t"), F.greatest(x.start - WINDOW, F.lit(0)) + 1, F.least(x.start, F.lit(WINDOW)))
+        before = F.substring(F.col("__pii_text"), F.greatest(x.start - WINDOW, F.lit(0)) + 1, F.least(x.start, F.lit(WINDOW)))
         score = F.lit(kind.prior) + F.when(before.rlike(kind.context), 0.2).otherwise(0.0)
         return F.struct(x.start.alias("start"), F.lit(rank).alias("rank"), x.end.alias("end"), F.lit(kind.name).alias("kind"), x.match.alias("match"), score.alias("score"), F.lit(rank < len(KINDS)).alias("base"))
 
-    return F.transform(F.filter(F.col(f"_p{rank}"), lambda x: valid(kind.name, x.match)), row)
+    return F.transform(F.filter(F.col(f"__pii_p{rank}"), lambda x: valid(kind.name, x.match)), row)
 
 
 def find(df: DataFrame, text: str = "text") -> DataFrame:
     """Add ``pii``: array of (start, end, kind, match, score, base), sorted by start, then kind as listed."""
     kept = [c for c in df.columns if c != "pii"]
-    out = df.select(*kept, F.coalesce(F.col(text), F.lit("")).alias("_t"))
+    out = df.select(*kept, F.coalesce(F.col(text), F.lit("")).alias("__pii_text"))
     kinds = KINDS + EXTRA
-    out = out.select("*", *[F.when(F.col("_t").rlike(k.hint), F.regexp_extract_all("_t", F.lit(k.pattern), F.lit(0))).alias(f"_m{i}") for i, k in enumerate(kinds)])
-    out = out.select("*", *[F.when(F.size(f"_m{i}") > 0, _placed(F.split("_t", k.pattern, -1), F.col(f"_m{i}"))).alias(f"_p{i}") for i, k in enumerate(kinds)])
+    out = out.select("*", *[F.when(F.col("__pii_text").rlike(k.hint), F.regexp_extract_all("__pii_text", F.lit(k.pattern), F.lit(0))).alias(f"__pii_m{i}") for i, k in enumerate(kinds)])
+    out = out.select("*", *[F.when(F.size(f"__pii_m{i}") > 0, _placed(F.split("__pii_text", k.pattern, -1), F.col(f"__pii_m{i}"))).alias(f"__pii_p{i}") for i, k in enumerate(kinds)])
     spans = [_scored(i, k) for i, k in enumerate(kinds)]
     some = "array<struct<start:int,rank:int,end:int,kind:string,match:string,score:double,base:boolean>>"
     whole = lambda xs: F.flatten(F.array(*[F.coalesce(x, F.array().cast(some)) for x in xs]))
     n = len(KINDS)
-    out = out.select(*kept, whole(spans[:n]).alias("_base"), whole(spans[n:]).alias("_more"))
-    clear = lambda base: F.filter("_more", lambda x: (x.score >= THRESHOLD) & ~F.exists(base, lambda y: (y.start < x.end) & (x.start < y.end)))
-    return out.select(*kept, F.array_sort(F.when(F.size("_more") > 0, F.concat("_base", let(F.col("_base"), clear))).otherwise(F.col("_base"))).alias("pii"))
+    out = out.select(*kept, whole(spans[:n]).alias("__pii_base"), whole(spans[n:]).alias("__pii_more"))
+    clear = lambda base: F.filter("__pii_more", lambda x: (x.score >= THRESHOLD) & ~F.exists(base, lambda y: (y.start < x.end) & (x.start < y.end)))
+    return out.select(*kept, F.array_sort(F.when(F.size("__pii_more") > 0, F.concat("__pii_base", let(F.col("__pii_base"), clear))).otherwise(F.col("__pii_base"))).alias("pii"))
 
 
 def report(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -60,5 +60,5 @@ def judge(urls: DataFrame, rules: DataFrame, url: str = "url", default: str = "a
     tried = keys.select("host", "path", F.explode(expressions(F.col("host"), F.col("path"), sorted(hosts), sorted(paths))).alias("tried"))
     tried = tried.withColumn("full", F.sha2("tried", 256)).withColumn("head", F.substring("full", 1, 8))
     hits = tried.join(own, (F.col("head") == F.col("short")) & (F.col("full") == F.col("digest")))
-    best = hits.groupBy("host", "path").agg(F.max(F.struct(F.length("rule_key").alias("n"), F.length("rule_host").alias("h"), F.col("rule_verdict").alias("verdict"), F.col("rule_key").alias("rule"))).alias("best"))
-    return out.join(best, ["host", "path"], "left").select(*out.columns, F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
+    best = hits.groupBy("host", "path").agg(F.max(F.struct(F.length("rule_key").alias("n"), F.length("rule_host").alias("h"), F.col("rule_verdict").alias("verdict"), F.col("rule_key").alias("rule"))).alias("__best"))
+    return out.join(best, ["host", "path"], "left").select(*out.columns, F.col("__best.rule").alias("rule"), F.coalesce("__best.verdict", F.lit(default)).alias("verdict"))
