@@ -35,7 +35,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, buffers, filled, lean, mix, staged
+from .common import blocks, buffers, filled, lean, mix, staged, tidied
 
 LENGTH, K, V = 200, 32, 40
 SPAN = LENGTH - K + 1
@@ -99,6 +99,7 @@ def _described(texts: pa.Array) -> Iterator[tuple[np.ndarray, ...]]:
 def _runs(docs: DataFrame) -> DataFrame:
     """(k, h, digest, at) of all runs of (k, text); at packs first window, anchor's distance and windows - 1."""
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys = batch.column(0).to_numpy()
@@ -178,6 +179,7 @@ def _sorted_blocks(pieces: DataFrame) -> DataFrame:
             own, low, high = _intervals(run[order], number[order])
             yield pa.RecordBatch.from_arrays([pa.array(h[own]), pa.array(digest[own]), pa.array(low.astype(np.int32)), pa.array(high.astype(np.int32))], names=["h", "digest", "low", "high"])
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         size = 0
@@ -205,6 +207,7 @@ def _sorted_blocks(pieces: DataFrame) -> DataFrame:
 def _digested(pieces: DataFrame) -> DataFrame:
     """The same for buckets of any size: windows are grouped by 128-bit digests."""
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for h, digest, count, text in zip(*(batch.column(c).to_pylist() for c in ("h", "digest", "count", "text")), strict=True):
@@ -221,6 +224,7 @@ def _digested(pieces: DataFrame) -> DataFrame:
 def _packed(docs: DataFrame) -> DataFrame:
     """(k, z): each distinct text, compressed; copies are merged before and after the shuffle."""
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = zstandard.ZstdCompressor(level=1)
         for batch in batches:
@@ -238,6 +242,7 @@ def _pieces(packed: DataFrame, wanted: DataFrame) -> DataFrame:
     """(h, digest, anchor, count, text) of the wanted runs (k, h, digest, at)."""
     lists = wanted.groupBy("k").agg(F.collect_list(F.struct("h", "digest", "at")).alias("runs"))
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = zstandard.ZstdDecompressor()
         for batch in batches:
@@ -290,6 +295,7 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", most: int =
     lists = spans(own, packed, most).groupBy("k").agg(F.collect_set(F.shiftleft("first", 24).bitwiseOR(F.col("n").cast("long"))).alias("spans"))
     more = ", kept binary" if kept else ""
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = zstandard.ZstdDecompressor()
         for batch in batches:
