@@ -6,7 +6,8 @@
    Gram matrix of the projected rows) gives an orthonormal basis of at most RANK dimensions on the cells they use.
 3. *Search.* Every document is cut into passages of WINDOW words, STEP apart, that cover it whole. A passage is folded
    into the latent space; its cosine with each item (whose part in the space is scaled to 1) makes candidates. Passages with little weight on the items' words
-   are left out before, as their cosine cannot matter.
+   are left out before, as their cosine cannot matter. As RANK dimensions hold less of each item the more there are, and a long item is
+   near no single passage, the exact cosine with each piece (WINDOW words, STEP apart) of each item makes candidates too.
 4. *Checks.* A candidate's neighbourhood must hold a common subsequence of at least COVER of the item's words, and the
    item's answer (its last ANSWER of words) must be covered too, unless nearly all of the item is.
 
@@ -35,6 +36,10 @@ WINDOW, STEP = 32, 16
 WEIGHT, COSINE = 0.2, 0.25
 COVER, ANSWER, ANSWER_COVER, NEARLY_ALL = 0.7, 0.25, 0.5, 0.9
 BLOCK = 5_000
+#: A cell in more than one of so many pieces is worked off by matrix, others by lists.
+COMMON = 16
+#: Passages times pieces worked off at once; bounds a worker's memory.
+PRODUCTS = 1 << 20
 _SHIFT = np.uint64(64 - CELL_BITS)
 
 
@@ -127,6 +132,40 @@ class Items:
     table: np.ndarray
     latent: np.ndarray
     idf: np.ndarray
+    #: item of each piece
+    piece: np.ndarray
+    #: row -> its place in the matrix of common cells (-1: a rare cell), and that matrix (cell x piece)
+    place: np.ndarray
+    common: np.ndarray
+    #: rare cells: row's range in (piece, weight)
+    at: np.ndarray
+    posted: np.ndarray
+    weight: np.ndarray
+
+
+def pieces(words: list[np.ndarray]) -> list[tuple[int, np.ndarray]]:
+    """(item, words) of passages that cover each item, as documents are cut."""
+    return [(i, w[x : x + WINDOW]) for i, w in enumerate(words) for x in range(0, max(1, len(w) - WINDOW + STEP), STEP) if len(w)]
+
+
+def inverted(cut: list[tuple[int, np.ndarray]], row: np.ndarray, rows: int, idf: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The last six fields of Items: each cell's idf times its weight in the pieces, scaled to length 1."""
+    parts = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32))]
+    for j, (_, w) in enumerate(cut):
+        own, n = np.unique((w >> _SHIFT).astype(np.int64), return_counts=True)
+        value = n * np.maximum(idf[own], 0)
+        if (norm := np.sqrt((value * value).sum())) > 0:
+            used = (value > 0) & (row[own] > 0)
+            parts.append((row[own[used]].astype(np.int64), np.full(int(used.sum()), j), (idf[own[used]] * value[used] / norm).astype(np.float32)))
+    r, j, v = (np.concatenate(x) for x in zip(*parts, strict=True))
+    many = np.bincount(r, minlength=rows) > max(4, len(cut) // COMMON)
+    place = np.where(many, np.cumsum(many) - 1, -1).astype(np.int32)
+    matrix = np.zeros((int(many.sum()), len(cut)), np.float32)
+    dense = many[r]
+    matrix[place[r[dense]], j[dense]] = v[dense]
+    order = np.flatnonzero(~dense)[np.argsort(r[~dense], kind="stable")]
+    at = np.concatenate([[0], np.cumsum(np.bincount(r[order], minlength=rows))])
+    return np.array([i for i, _ in cut], np.int64), place, matrix, at, j[order].astype(np.int32), v[order]
 
 
 def indexed(rows: list[tuple], cells: np.ndarray, q: np.ndarray, idf: np.ndarray) -> Items:
@@ -138,7 +177,7 @@ def indexed(rows: list[tuple], cells: np.ndarray, q: np.ndarray, idf: np.ndarray
     latent = np.array([table[row[(w >> _SHIFT).astype(np.int64)]].sum(0) for w in words], np.float32).reshape(len(words), q.shape[1])
     norm = np.linalg.norm(latent, axis=1, keepdims=True)
     latent = np.divide(latent, norm, out=np.zeros_like(latent), where=norm > 0)
-    return Items([i for i, _ in rows], [w.tolist() for w in words], row, table, latent, idf)
+    return Items([i for i, _ in rows], [w.tolist() for w in words], row, table, latent, idf, *inverted(pieces(words), row, len(table), idf))
 
 
 def common(item: list[int], text: list[int]) -> list[int]:
@@ -161,6 +200,23 @@ def _lcs(a: list[int], b: list[int]) -> int:
     return len(a) - v.bit_count()
 
 
+def products(used: np.ndarray, items: Items) -> np.ndarray:
+    """Dot products of passages (rows of cells, 0: none) with all pieces."""
+    n, width = len(used), len(items.piece)
+    place = np.where(used > 0, items.place[used], -1)
+    some, column = np.nonzero(place >= 0)
+    size = len(items.common)
+    counts = np.bincount(some * size + place[some, column], minlength=n * size).reshape(n, size).astype(np.float32)
+    out = counts @ items.common
+    some, column = np.nonzero((used > 0) & (place < 0))
+    own = used[some, column]
+    many = items.at[own + 1] - items.at[own]
+    each = np.repeat(items.at[own] - (np.cumsum(many) - many), many) + np.arange(many.sum())
+    if len(each):
+        out += np.bincount(np.repeat(some * width, many) + items.posted[each], items.weight[each], n * width).reshape(n, width)
+    return out
+
+
 def candidates(h: np.ndarray, at: np.ndarray, items: Items) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(first word, item, cosine) of the passages of a block that come near an item."""
     none = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32)
@@ -191,8 +247,16 @@ def candidates(h: np.ndarray, at: np.ndarray, items: Items) -> tuple[np.ndarray,
         cosine /= np.sqrt(total[own, None] + 1e-9).astype(np.float32)
         p, i = np.nonzero(cosine >= COSINE)
         found.append((own[p], i, cosine[p, i]))
+        most = max(1, PRODUCTS // max(1, len(items.piece)))
+        for y in range(0, len(own), most):
+            cosine = products(used[y : y + most], items) / np.sqrt(total[own[y : y + most], None] + 1e-9)
+            p, i = np.nonzero(cosine >= COSINE)
+            found.append((own[y + p], items.piece[i], cosine[p, i].astype(np.float32)))
     p, i, c = (np.concatenate(x) for x in zip(*found, strict=True))
-    return first[p], i, c
+    key = p * max(1, len(items.latent)) + i
+    order = np.lexsort((-c, key))
+    order = order[np.diff(key[order], prepend=-1) != 0]  # the best of each passage and item
+    return first[p[order]], i[order], c[order]
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", output: str = "leaks") -> DataFrame:

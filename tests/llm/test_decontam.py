@@ -42,3 +42,22 @@ def test_empty_tables(spark):
 def test_common_subsequence():
     assert decontam._lcs([1, 2, 3, 4], [9, 1, 3, 2, 4]) == 3
     assert decontam.common([1, 2, 3, 4], [4]) == [1, 1]
+
+
+def test_thousands_of_items_and_long_ones(spark):
+    rnd = random.Random(9)
+    items = [make(rnd, 600 if i % 500 == 0 else rnd.randint(20, 60)) for i in range(3000)]
+    rows, want = [], set()
+    for d in range(120):
+        words = make(rnd, rnd.randint(50, 300))
+        if d % 2 == 0:
+            i = 500 * (d % 6) if d % 10 == 0 else rnd.randrange(len(items))
+            own = [rnd.choice(["the", "new"]) if d % 4 == 0 and rnd.random() < 0.1 else w for w in items[i]]
+            at = rnd.randrange(len(words) + 1)
+            words[at:at] = own
+            want.add((d, i))
+        rows.append((d, " ".join(words)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string")
+    found = {(r.doc_id, x.item) for r in decontam.leaks(df, bench).collect() for x in r.leaks}
+    assert found == want
