@@ -5,9 +5,11 @@
 2. *Latent space.* The benchmark's items are TF-IDF rows; a distributed randomised SVD (range finder, one power step,
    Gram matrix of the projected rows) gives an orthonormal basis of at most RANK dimensions on the cells they use.
 3. *Search.* Every document is cut into passages of WINDOW words, STEP apart, that cover it whole. A passage is folded
-   into the latent space; its cosine with each item (whose part in the space is scaled to 1) makes candidates. Passages with little weight on the items' words
-   are left out before, as their cosine cannot matter. As RANK dimensions hold less of each item the more there are, and a long item is
-   near no single passage, the exact cosine with each piece (WINDOW words, STEP apart) of each item makes candidates too.
+   into the latent space; its cosine with each item (whose part in the space is scaled to 1) makes candidates. Passages whose
+   part in the space is too short to reach COSINE with any item are left out before. As RANK dimensions hold less of each item the more there are, and a long item is
+   near no single passage, the exact cosine with each piece (WINDOW words, STEP apart) of each item makes candidates too. A short item is a
+   small part of a passage of other words, so every passage that holds a piece's rarest run of GRAM words is a candidate as well: no
+   verbatim copy depends on a cosine.
 4. *Checks.* A candidate's neighbourhood must hold a common subsequence of at least COVER of the item's words, and the
    item's answer (its last ANSWER of words) must be covered too, unless nearly all of the item is.
 
@@ -29,11 +31,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import blocks, buffers, filled, folded, lean, tidied, word_hashes
+from .common import blocks, buffers, filled, folded, lean, mix, tidied, word_hashes
 
 CELL_BITS, RANK, EXTRA = 16, 192, 16
 WINDOW, STEP = 32, 16
-WEIGHT, COSINE = 0.2, 0.25
+COSINE, GRAM = 0.25, 4
 COVER, ANSWER, ANSWER_COVER, NEARLY_ALL = 0.7, 0.25, 0.5, 0.9
 BLOCK = 5_000
 #: A cell in more than one of so many pieces is worked off by matrix, others by lists.
@@ -141,6 +143,8 @@ class Items:
     at: np.ndarray
     posted: np.ndarray
     weight: np.ndarray
+    #: the items' words of each length from 1 to GRAM that stand for them: (length, sorted hashes, items)
+    grams: list[tuple[int, np.ndarray, np.ndarray]]
 
 
 def pieces(words: list[np.ndarray]) -> list[tuple[int, np.ndarray]]:
@@ -148,8 +152,30 @@ def pieces(words: list[np.ndarray]) -> list[tuple[int, np.ndarray]]:
     return [(i, w[x : x + WINDOW]) for i, w in enumerate(words) for x in range(0, max(1, len(w) - WINDOW + STEP), STEP) if len(w)]
 
 
+def runs(h: np.ndarray, n: int) -> np.ndarray:
+    """Hashes of the runs of n words, by their first word."""
+    size = max(0, len(h) - n + 1)
+    out = np.zeros(size, np.uint64)
+    with np.errstate(over="ignore"):
+        for k in range(n):
+            out = mix(out + h[k : k + size])
+    return out
+
+
+def rarest(cut: list[tuple[int, np.ndarray]], idf: np.ndarray) -> list[tuple[int, np.ndarray, np.ndarray]]:
+    """Of each piece the run of GRAM words (all, if it has fewer) that fewest pieces have; of those, that of the rarest words."""
+    own = [(i, min(GRAM, len(w)), runs(w, min(GRAM, len(w))), np.convolve(idf[(w >> _SHIFT).astype(np.int64)], np.ones(min(GRAM, len(w))), "valid")) for i, w in cut]
+    seen, many = np.unique(np.concatenate([np.zeros(0, np.uint64), *(np.unique(g) for _, _, g, _ in own)]), return_counts=True)
+    chosen = {(n, g[np.lexsort((-v, many[np.searchsorted(seen, g)]))[0]].item(), i) for i, n, g, v in own}
+    out = []
+    for n in range(1, GRAM + 1):
+        if some := sorted((g, i) for m, g, i in chosen if m == n):
+            out.append((n, np.array([g for g, _ in some], np.uint64), np.array([i for _, i in some], np.int64)))
+    return out
+
+
 def inverted(cut: list[tuple[int, np.ndarray]], row: np.ndarray, rows: int, idf: np.ndarray) -> tuple[np.ndarray, ...]:
-    """The last six fields of Items: each cell's idf times its weight in the pieces, scaled to length 1."""
+    """The fields of Items from piece to weight: each cell's idf times its weight in the pieces, scaled to length 1."""
     parts = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32))]
     for j, (_, w) in enumerate(cut):
         own, n = np.unique((w >> _SHIFT).astype(np.int64), return_counts=True)
@@ -176,8 +202,9 @@ def indexed(rows: list[tuple], cells: np.ndarray, q: np.ndarray, idf: np.ndarray
     words = [h[x:y] for _, _, h, at in words_of(texts) for x, y in zip(at[:-1], at[1:], strict=True)]
     latent = np.array([table[row[(w >> _SHIFT).astype(np.int64)]].sum(0) for w in words], np.float32).reshape(len(words), q.shape[1])
     norm = np.linalg.norm(latent, axis=1, keepdims=True)
+    cut = pieces(words)
     latent = np.divide(latent, norm, out=np.zeros_like(latent), where=norm > 0)
-    return Items([i for i, _ in rows], [w.tolist() for w in words], row, table, latent, idf, *inverted(pieces(words), row, len(table), idf))
+    return Items([i for i, _ in rows], [w.tolist() for w in words], row, table, latent, idf, *inverted(cut, row, len(table), idf), rarest(cut, idf))
 
 
 def common(item: list[int], text: list[int]) -> list[int]:
@@ -230,9 +257,9 @@ def candidates(h: np.ndarray, at: np.ndarray, items: Items) -> tuple[np.ndarray,
     weight *= weight
     row = items.row[cell]
     mass = np.concatenate([[0], np.cumsum(weight, dtype=np.float64)])
-    shared = np.concatenate([[0], np.cumsum(weight * (row > 0), dtype=np.float64)])
+    shared = np.concatenate([[0], np.cumsum(row > 0)])
     total = mass[last] - mass[first]
-    near = np.flatnonzero(shared[last] - shared[first] > WEIGHT * total + 1e-9)
+    near = np.flatnonzero(shared[last] > shared[first])
     found = [none]
     for x in range(0, len(near), 4096):
         own = near[x : x + 4096]
@@ -243,15 +270,28 @@ def candidates(h: np.ndarray, at: np.ndarray, items: Items) -> tuple[np.ndarray,
             some = np.flatnonzero(used[:, j])
             latent[some] += items.table[used[some, j]]
         # the passage's own norm counts its words outside the space too
-        cosine = latent @ items.latent.T
-        cosine /= np.sqrt(total[own, None] + 1e-9).astype(np.float32)
+        long = np.flatnonzero((latent * latent).sum(1) >= 0.999 * COSINE**2 * total[own])
+        cosine = latent[long] @ items.latent.T
+        cosine /= np.sqrt(total[own[long], None] + 1e-9).astype(np.float32)
         p, i = np.nonzero(cosine >= COSINE)
-        found.append((own[p], i, cosine[p, i]))
+        found.append((own[long[p]], i, cosine[p, i]))
         most = max(1, PRODUCTS // max(1, len(items.piece)))
         for y in range(0, len(own), most):
             cosine = products(used[y : y + most], items) / np.sqrt(total[own[y : y + most], None] + 1e-9)
             p, i = np.nonzero(cosine >= COSINE)
             found.append((own[y + p], items.piece[i], cosine[p, i].astype(np.float32)))
+    start = np.cumsum(count) - count
+    for n, grams, whose in items.grams:
+        g = runs(h, n)
+        lo, hi = np.searchsorted(grams, g, "left"), np.searchsorted(grams, g, "right")
+        place = np.flatnonzero(hi > lo)
+        d = np.searchsorted(at, place, "right") - 1
+        inside = place + n <= at[d + 1]
+        place, d = place[inside], d[inside]
+        many = hi[place] - lo[place]
+        p = np.repeat(start[d] + np.minimum((place - at[d]) // STEP, count[d] - 1), many)
+        each = np.repeat(lo[place] - (np.cumsum(many) - many), many) + np.arange(many.sum())
+        found.append((p, whose[each], np.zeros(len(p), np.float32)))
     p, i, c = (np.concatenate(x) for x in zip(*found, strict=True))
     key = p * max(1, len(items.latent)) + i
     order = np.lexsort((-c, key))
@@ -259,6 +299,14 @@ def candidates(h: np.ndarray, at: np.ndarray, items: Items) -> tuple[np.ndarray,
     return first[p[order]], i[order], c[order]
 
 
+def near_cosine(passage: np.ndarray, item: int, items: Items) -> float:
+    """The best exact cosine of a passage with the item's pieces."""
+    cell = (passage >> _SHIFT).astype(np.int64)
+    weight = np.maximum(items.idf[cell], 0).astype(np.float64)
+    dot = products(items.row[cell][None, :], items)[0, items.piece == item]
+    return float(dot.max(initial=0) / np.sqrt((weight * weight).sum() + 1e-9))
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", output: str = "leaks") -> DataFrame:
     """Add an array of (item, cover, cosine) to each row: the items that its text holds, sorted by item."""
     lean(docs.sparkSession)
@@ -294,6 +342,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str =
                         whole, tail = common(own, near)
                         cover = whole / len(own)
                         if cover >= COVER and (cover >= NEARLY_ALL or tail >= ANSWER_COVER * max(1, round(ANSWER * len(own)))):
+                            c = c or near_cosine(h[f : min(f + WINDOW, int(at[d + 1]))], i, items)
                             seen[a + d, i] = max(seen.get((a + d, i), (0.0, 0.0)), (cover, c))
                     for (d, i), (cover, c) in seen.items():
                         found[d].append({"item": items.ids[i], "cover": cover, "cosine": float(c)})

@@ -61,3 +61,22 @@ def test_thousands_of_items_and_long_ones(spark):
     bench = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string")
     found = {(r.doc_id, x.item) for r in decontam.leaks(df, bench).collect() for x in r.leaks}
     assert found == want
+
+
+def test_short_items_in_long_foreign_text(spark):
+    rnd = random.Random(12)
+    items = [make(rnd, rnd.randint(4, 8), 60) for _ in range(200)]
+    rows = []
+    for d in range(200):
+        words = [f"x{rnd.randrange(10**6)}" for _ in range(300)]
+        at = rnd.randrange(len(words) + 1)
+        words[at:at] = items[d]
+        rows.append((d, " ".join(words)))
+    # words that are as common elsewhere have little weight beside those that occur once
+    rows += [(1000 + d, " ".join(make(rnd, 10, 60)[::-1])) for d in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string")
+    found = {(r.doc_id, x.item) for r in decontam.leaks(df, bench).where("doc_id < 1000").collect() for x in r.leaks}
+    assert {(d, d) for d in range(200)} <= found
+    clean = spark.createDataFrame([(1, " ".join(f"x{i}" for i in range(400)))], "doc_id long, text string")
+    assert [r.leaks for r in decontam.leaks(clean, bench).collect()] == [[]]
