@@ -189,7 +189,7 @@ def token_lemmas(t: Tables) -> DataFrame:
 
 
 def word_batches(t: Tables) -> DataFrame:
-    words = t.documents.where("doc_id % 3 = 0").select(F.explode(tx.tokens(F.col("text"))).alias("word"), "doc_id").groupBy("word").agg(F.min("doc_id").alias("at")).withColumn("language", F.lit(SOURCE_LANGUAGE))
+    words = t.documents.select(F.explode(tx.tokens(F.col("text"))).alias("word"), "doc_id").groupBy("word").agg(F.min("doc_id").alias("at")).withColumn("language", F.lit(SOURCE_LANGUAGE))
     return fb.batches(fb.unknown_words(words, t.standard_forms)).select("word", "batch_id")
 
 
