@@ -198,12 +198,12 @@ def rule_matches(t: Tables) -> DataFrame:
 
 
 def rule_retrieval(t: Tables) -> DataFrame:
-    chosen = ru.selected(_texts(t), ru.published(t.rules), t.standard_forms, most=8, style=3, languages=_codes(t))
+    chosen = ru.selected(_texts(t), ru.published(t.rules), t.standard_forms, languages=_codes(t))
     return chosen.select("item_id", "target_language", "id", "rule_type", "place", F.coalesce("source_term", F.lit("")).alias("source_term"), F.coalesce("target_term", F.lit("")).alias("target_term"))
 
 
 def rule_guidance(t: Tables) -> DataFrame:
-    return ru.guidance(ru.selected(_texts(t), ru.published(t.rules), t.standard_forms, most=8, style=3, languages=_codes(t)))
+    return ru.guidance(ru.selected(_texts(t), ru.published(t.rules), t.standard_forms, languages=_codes(t)))
 
 
 def translatable_strings(t: Tables) -> DataFrame:
