@@ -5,18 +5,19 @@ Two documents link when 100 * intersection >= 75 * union of their sets of 5-word
 1. *Sets.* Shingles are 64-bit hashes. Documents of equal sets are one class (a digest of the set); copies are never
    compared. A set's hashes are also counted in 128 groups: the class's count vector.
 2. *Buckets.* Linked sets share one of the first n - ceil(0.75 n) + 1 shingles in any common order (prefix filter),
-   so classes meet in buckets by those. The order puts shingles last that fall in crowded cells of a count sketch of
-   the whole corpus; it decides speed only.
+   so classes meet in buckets by those. Shingles of the same classes are one bucket with their number. The order puts shingles last
+   that fall in crowded cells of a count sketch of the whole corpus, which grows with it; it decides speed only.
 3. *Pivots.* Each class of a bucket is first paired with one pivot of the bucket only, the class whose shingles are most common, so a
-   group of near copies costs about one comparison a class. Pairs that meet in many buckets are verified; their links give components.
+   group of near copies costs about one comparison a class. Pairs that meet in as many shingles as a link needs, and pass the bound of
+   their count vectors, are verified; their links give components.
 4. *R-tree.* In buckets that still hold several components, the count vectors are packed into a tree whose nodes keep
    the largest counts and the least size below them; the sum of coordinate minima bounds the overlap from above. Pairs
-   of different components that pass it, and meet in as many buckets as a link needs, are verified too. A pair inside
-   one component can't change any component, so none that matters is left out.
+   of different components that pass it, and meet in as many shingles as a link needs, are verified too. A pair inside
+   one component can't change any component, so none that matters is left out. Large buckets are cut by set size before.
 
 The tree stands inside a bucket, because a box tree over a corpus has no equi-join form; the bound is the same.
 
-Buckets of crowded shingles find their pivot by pre-aggregation and a join that adaptive execution can split; copies
+Buckets of crowded shingles are made by pre-aggregation and a join that adaptive execution can split; copies
 are thinned before the shuffle. Everything is written to the shared folder between steps.
 
 Defined results: words are runs of bytes other than ASCII white space, A-Z lowered; with fewer than five words, the
@@ -27,17 +28,25 @@ ids are separate documents; a null id is never the smallest of its component unl
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import blocks, buffers, filled, lean, mix, staged, tidied, word_hashes
 from .components import components
 
-SHINGLE, GROUPS, CELL_BITS, LEAF = 5, 128, 18, 16
+SHINGLE, GROUPS, LEAF = 5, 128, 16
+#: Bytes of text to a cell of the sketch, the least and the most cells (as powers of 2), and cells moved together.
+CELL_BYTES, CELL_BITS, PART = 512, (18, 22), 1 << 12
+#: A count's largest value as stored; what lies above it is added to every bound.
+TOP = 255
+#: Classes of a bucket that are searched whole; larger ones are cut by set size, whose ratio for linked sets is at most 4 / 3.
+LARGE, BAND = 1024, 1.34
 #: Ids up to this number (8 bytes each) are broadcast to pick texts; more are shuffled.
 BROADCAST_IDS = 500_000
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -85,27 +94,53 @@ def sets_of(texts: pa.Array) -> Iterator[np.ndarray]:
 
 
 def crowding(docs: DataFrame, text: str) -> np.ndarray:
-    """A class for each of 2 ** CELL_BITS cells of shingle hashes: 0, or larger the more the cell exceeds the mean.
+    """A class for each cell of shingle hashes: 0, or larger the more the cell exceeds the mean.
 
-    Each task counts all its shingles by cell; cells are summed in a shuffle. The result has a fixed size (256 kB).
+    Each task counts all its shingles by cell; cells are summed in a shuffle, compressed in parts of PART. There is a cell for about
+    CELL_BYTES of text, within the bounds CELL_BITS (at most 32 MB on the driver). A shingle in more than about 7 times the root of a
+    cell's mean count makes its cell crowded, so that is the bound of an uncrowded shingle's documents.
     """
+    size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    bits = int(np.clip(np.ceil(np.log2(size / CELL_BYTES + 1)), *CELL_BITS))
 
     @tidied
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << CELL_BITS, np.int64)
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 << bits, np.uint32)
+        held: list[np.ndarray] = []
+
+        def add() -> None:
+            total[:] += np.bincount(np.concatenate(held), minlength=len(total)).astype(np.uint32)
+            held.clear()
+
         with np.errstate(over="ignore"):
             for batch in batches:
                 texts = filled(batch.column(0))
                 offsets, data = buffers(texts)
                 for a, b in blocks(texts):
                     own, _ = shingles(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-                    total += np.bincount(own >> np.uint64(64 - CELL_BITS), minlength=len(total))
-        cells = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(cells.astype(np.int32)), pa.array(total[cells])], names=["cell", "n"])
+                    held.append((own >> np.uint64(64 - bits)).astype(np.int64))
+                    if sum(map(len, held)) >= 1 << 20:
+                        add()
+        if held:
+            add()
+        pack = zstandard.ZstdCompressor(level=1).compress
+        parts = [(i, pack(x.tobytes())) for i, x in enumerate(total.reshape(-1, PART)) if x.any()]
+        yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in parts], pa.int32()), pa.array([z for _, z in parts], pa.binary())], names=["part", "z"])
 
-    sums = docs.select(text).mapInArrow(run, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
-    count = np.zeros(1 << CELL_BITS, np.float64)
-    count[sums["cell"].to_numpy()] = sums["n"].to_numpy()
+    @tidied
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor().decompress
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for i, z in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                sums[i] = sums.get(i, 0) + np.frombuffer(unpack(z), np.uint32).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], names=["part", "n"])
+
+    sums = docs.select(text).mapInArrow(counted, "part int, z binary").repartition("part").mapInArrow(added, "part int, n binary").toArrow()
+    count = np.zeros((1 << bits) // PART * PART, np.float64).reshape(-1, PART)
+    for i, n in zip(sums["part"].to_pylist(), sums["n"].to_pylist(), strict=True):
+        count[i] = np.frombuffer(n, np.int64)
+    count = count.ravel()
     mean = count.mean()
     excess = count - mean - 6 * np.sqrt(mean) - 8
     return np.where(excess > 0, 1 + np.floor(np.log2(np.maximum(excess, 1))), 0).astype(np.uint8)
@@ -116,6 +151,7 @@ def described(docs: DataFrame, key: str, text: str, crowded: np.ndarray) -> Data
     order, uncrowded and crowded ones); the last three are null for repeats of a set within one task."""
     kind = docs.schema[key].dataType.simpleString()
     rows = pa.list_(pa.int64())
+    shift = np.uint64(65 - len(crowded).bit_length())
 
     @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -131,10 +167,10 @@ def described(docs: DataFrame, key: str, text: str, crowded: np.ndarray) -> Data
                     continue
                 seen.add(code)
                 most = len(own) - (3 * len(own) + 3) // 4 + 1
-                level = crowded[own >> np.uint64(64 - CELL_BITS)]
+                level = crowded[own >> shift]
                 first = own[:most] if not level.any() else own[np.lexsort((own, level))[:most]]
                 few = int((level == 0).sum())
-                counts.append(np.bincount(own & np.uint64(GROUPS - 1), minlength=GROUPS).astype("<u4").tobytes())
+                counts.append(np.minimum(np.bincount(own & np.uint64(GROUPS - 1), minlength=GROUPS), TOP).astype(np.uint8).tobytes())
                 cold.append(first[:few].view(np.int64)), hot.append(first[few:].view(np.int64))
             c = np.frombuffer(b"".join(codes), np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(c[:, 0]), pa.array(c[:, 1]), pa.array(counts, pa.binary()), pa.array(cold, rows), pa.array(hot, rows)], names=["key", "h", "n", "c1", "c2", "counts", "cold", "hot"])
@@ -142,15 +178,25 @@ def described(docs: DataFrame, key: str, text: str, crowded: np.ndarray) -> Data
     return docs.select(F.col(key).alias("key"), text, F.xxhash64(text).alias("h")).mapInArrow(run, f"key {kind}, h long, n long, c1 long, c2 long, counts binary, cold array<long>, hot array<long>")
 
 
+def bound(x: np.ndarray, y: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """The most shingles that sets of counts x and y and sizes n and m can share: the sum of coordinate minima, and what counts above
+    TOP may add."""
+    sums = [v.sum(-1, dtype=np.int64) for v in (x, y)]
+    return np.minimum(x, y).sum(-1, dtype=np.int64) + np.minimum(n - sums[0], m - sums[1])
+
+
+def vectors(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, GROUPS)
+
+
 def bounded(pairs: DataFrame) -> DataFrame:
     """The pairs of (a, b, na, nb, xa, xb) whose summed coordinate minima allow a link: 7 * overlap >= 3 * (na + nb)."""
 
     @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), "<u4").reshape(-1, GROUPS) for i in (4, 5))
-            sizes = batch.column(2).to_numpy() + batch.column(3).to_numpy()
-            keep = 7 * np.minimum(x, y).sum(1, dtype=np.int64) >= 3 * sizes
+            n, m = batch.column(2).to_numpy(), batch.column(3).to_numpy()
+            keep = 7 * bound(vectors(batch.column(4)), vectors(batch.column(5)), n, m) >= 3 * (n + m)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep))
 
     return pairs.select("a", "b", "na", "nb", "xa", "xb").mapInArrow(run, "a long, b long")
@@ -160,7 +206,7 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, key: str, te
     """The pairs (a, b) of classes that link, by their whole sets. classes: c1, and key and h of one document each."""
     wanted = staged(pairs.select("a").union(pairs.select("b")).distinct().join(classes, F.col("a") == F.col("c1")).select("c1", F.col("key").alias("one"), F.col("h").alias("one_h")), "wanted")
     own = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
-    texts = docs.join(own, F.col(key).eqNullSafe(F.col("one")) & (F.xxhash64(text) == F.col("one_h"))).select("c1", F.col(text).alias("t"))
+    texts = docs.join(own, F.col(key).eqNullSafe(F.col("one")) & (F.xxhash64(text) == F.col("one_h"))).groupBy("c1").agg(F.first(text).alias("t"))
     left = pairs.join(texts.select(F.col("c1").alias("a"), F.col("t").alias("ta")), "a")
     both = left.join(texts.select(F.col("c1").alias("b"), F.col("t").alias("tb")), "b").select("a", "b", "ta", "tb")
 
@@ -186,31 +232,88 @@ def needed(n: np.ndarray, m: np.ndarray) -> np.ndarray:
     return -(-3 * (n + m) // 7) - np.maximum((3 * n + 3) // 4, (3 * m + 3) // 4) + 1
 
 
+def gathered(rows: DataFrame) -> DataFrame:
+    """(sig, df, cls, many) of (token, cls), which come sorted by token: shingles of the same two or more classes are one bucket,
+    named by a hash of its classes; ``many`` shingles of a task made it, and it holds ``df`` classes."""
+
+    @tidied
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def made(token: np.ndarray, cls: np.ndarray) -> pa.RecordBatch:
+            order = np.lexsort((cls, token))
+            token, cls = token[order], cls[order]
+            once = np.concatenate([[True], (np.diff(token) != 0) | (np.diff(cls) != 0)])
+            token, cls = token[once], cls[once]
+            start = np.flatnonzero(np.concatenate([[True], np.diff(token) != 0]))
+            df = np.diff(np.concatenate([start, [len(token)]]))
+            with np.errstate(over="ignore"):
+                sig = mix(np.add.reduceat(mix(cls.view(np.uint64) + _STEP), start) + df.astype(np.uint64))
+            some = np.flatnonzero(df > 1)
+            sig, at, many = np.unique(sig[some], return_index=True, return_counts=True)
+            start, df = start[some[at]], df[some[at]]
+            place = np.repeat(start - (np.cumsum(df) - df), df) + np.arange(df.sum())
+            return pa.RecordBatch.from_arrays([pa.array(np.repeat(sig.view(np.int64), df)), pa.array(np.repeat(df, df)), pa.array(cls[place]), pa.array(np.repeat(many, df))], names=["sig", "df", "cls", "many"])
+
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        size = 0
+        for batch in batches:
+            held.append((batch.column(0).to_numpy(), batch.column(1).to_numpy()))
+            size += batch.num_rows
+            if size >= 1 << 18:
+                token, cls = (np.concatenate(x) for x in zip(*held, strict=True))
+                last = int(np.searchsorted(token, token[-1]))  # the last shingle may go on in the next batch
+                if last:
+                    yield made(token[:last], cls[:last])
+                held, size = [(token[last:], cls[last:])], len(token) - last
+        if size:
+            yield made(*(np.concatenate(x) for x in zip(*held, strict=True)))
+
+    return rows.select("token", "cls").mapInArrow(run, "sig long, df long, cls long, many long")
+
+
 def tree_pairs(comp: np.ndarray, n: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """Pairs (places) of a bucket's classes, of different components, whose bound allows a link; by a packed tree."""
+    """Pairs (places) of a bucket's classes, of different components, whose bound allows a link; by a tree of count vectors.
+
+    A node holds the largest counts, the largest excess over them and the least size of LEAF nodes below it. Pairs of nodes are
+    gone down depth first, a few at a time, and left where their bound is too low or all below is of one component.
+    """
     order = np.lexsort((*counts.T[:3], n))
     comp, n, counts = comp[order], n[order], counts[order]
-    edges = np.arange(0, len(n), LEAF)
-    top, least = np.maximum.reduceat(counts, edges), np.minimum.reduceat(n, edges)
-    low, high = np.minimum.reduceat(comp, edges), np.maximum.reduceat(comp, edges)
+    levels = [(counts, n, n - counts.sum(1, dtype=np.int64), comp, comp)]
+    while len(levels[-1][0]) > LEAF:
+        edges = np.arange(0, len(levels[-1][0]), LEAF)
+        levels.append(tuple(f.reduceat(x, edges) for f, x in zip((np.maximum, np.minimum, np.maximum, np.minimum, np.maximum), levels[-1], strict=True)))
+    i, j = np.triu_indices(len(levels[-1][0]))
     out = [np.zeros((0, 2), np.int64)]
-    for i, a in enumerate(edges):
-        rows = slice(a, a + LEAF)
-        mixed = (low[i] != high[i]) | (low[i:] != high[i:]) | (low[i] != low[i:])
-        near = i + np.flatnonzero(mixed & (7 * np.minimum(top[i], top[i:]).sum(1, dtype=np.int64) >= 3 * (least[i] + least[i:])))
-        for j in near:
-            other = slice(edges[j], edges[j] + LEAF)
-            bound = np.minimum(counts[rows, None], counts[None, other]).sum(2, dtype=np.int64)
-            x, y = np.nonzero((7 * bound >= 3 * (n[rows, None] + n[None, other])) & (comp[rows, None] != comp[None, other]))
-            x, y = x + a, y + edges[j]
-            out.append(np.stack([order[x[x < y]], order[y[x < y]]], 1))
+    todo = [(len(levels) - 1, i, j)]
+    step = np.arange(LEAF)
+    while todo:
+        level, i, j = todo.pop()
+        if len(i) > 1 << 14:
+            todo.append((level, i[1 << 14 :], j[1 << 14 :]))
+            i, j = i[: 1 << 14], j[: 1 << 14]
+        top, least, more, low, high = levels[level]
+        some = (low[i] != high[i]) | (low[j] != high[j]) | (low[i] != low[j])
+        if level == 0:
+            some &= i != j
+        i, j = i[some], j[some]
+        some = 7 * (np.minimum(top[i], top[j]).sum(1, dtype=np.int64) + np.minimum(more[i], more[j])) >= 3 * (least[i] + least[j])
+        i, j = i[some], j[some]
+        if level == 0:
+            out.append(np.stack([order[i], order[j]], 1))
+            continue
+        below = len(levels[level - 1][0])
+        for at in range(0, len(i), 64):
+            a = np.repeat(i[at : at + 64, None] * LEAF + step, LEAF, 1).ravel()
+            b = np.tile(j[at : at + 64, None] * LEAF + step, LEAF).ravel()
+            inside = (a <= b) & (b < below)
+            todo.append((level - 1, a[inside], b[inside]))
     return np.concatenate(out)
 
 
-def bucket_pairs(token: np.ndarray, comp: np.ndarray, n: np.ndarray, counts: np.ndarray) -> Iterator[np.ndarray]:
-    """The same for many buckets (rows sorted by token); those of one leaf are done together, by their size."""
-    start = np.flatnonzero(np.concatenate([[True], np.diff(token) != 0]))
-    size = np.diff(np.concatenate([start, [len(token)]]))
+def bucket_pairs(bucket: np.ndarray, comp: np.ndarray, n: np.ndarray, counts: np.ndarray) -> Iterator[np.ndarray]:
+    """The same for many buckets (rows sorted by bucket); those of one leaf are done together, by their size."""
+    start = np.flatnonzero(np.concatenate([[True], np.diff(bucket) != 0]))
+    size = np.diff(np.concatenate([start, [len(bucket)]]))
     for s in range(2, LEAF + 1):
         own = start[size == s]
         i, j = np.triu_indices(s, 1)
@@ -219,32 +322,35 @@ def bucket_pairs(token: np.ndarray, comp: np.ndarray, n: np.ndarray, counts: np.
             x, y = ((own[at : at + step, None] + k).ravel() for k in (i, j))
             other = comp[x] != comp[y]
             x, y = x[other], y[other]
-            ok = 7 * np.minimum(counts[x], counts[y]).sum(1, dtype=np.int64) >= 3 * (n[x] + n[y])
+            ok = 7 * bound(counts[x], counts[y], n[x], n[y]) >= 3 * (n[x] + n[y])
             yield np.stack([x[ok], y[ok]], 1)
     for a, s in zip(start[size > LEAF], size[size > LEAF], strict=True):
         yield a + tree_pairs(comp[a : a + s], n[a : a + s], counts[a : a + s])
 
 
 def _searched(rows: DataFrame) -> DataFrame:
-    """bucket_pairs of (token, cls, comp, n, counts), which come sorted by token: a row (a, b, needed) for each bucket of a pair."""
+    """bucket_pairs of (sig, band, cls, comp, n, many, guest, counts), which come sorted by sig and band: a row (a, b, needed, many) for
+    each bucket of a pair. Two guests of a band meet in another."""
 
     @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
 
         def flush(parts: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
-            token, cls, comp, n, counts = (np.concatenate(x) for x in zip(*parts, strict=True))
-            for found in bucket_pairs(token, comp, n, counts):
+            sig, band, cls, comp, n, many, guest, counts = (np.concatenate(x) for x in zip(*parts, strict=True))
+            bucket = np.cumsum(np.concatenate([[0], (np.diff(sig) != 0) | (np.diff(band) != 0)]))
+            for found in bucket_pairs(bucket, comp, n, counts):
+                found = found[~(guest[found[:, 0]] & guest[found[:, 1]])]
                 x, y = found.T
                 if len(found):
-                    yield pa.RecordBatch.from_arrays([pa.array(z) for z in (np.minimum(cls[x], cls[y]), np.maximum(cls[x], cls[y]), needed(n[x], n[y]))], names=["a", "b", "needed"])
+                    yield pa.RecordBatch.from_arrays([pa.array(z) for z in (np.minimum(cls[x], cls[y]), np.maximum(cls[x], cls[y]), needed(n[x], n[y]), many[x])], names=["a", "b", "needed", "many"])
 
         for batch in batches:
-            token = batch.column(0).to_numpy()
-            part = (token, batch.column(1).to_numpy(), batch.column(2).to_numpy(), batch.column(3).to_numpy(), np.frombuffer(b"".join(batch.column(4).to_pylist()), "<u4").reshape(-1, GROUPS))
-            last = int(np.searchsorted(np.concatenate([[False], np.diff(token) != 0]).cumsum(), (np.diff(token) != 0).sum()))
+            part = (*(c.to_numpy(zero_copy_only=False) for c in batch.columns[:7]), vectors(batch.column(7)))
+            new = np.flatnonzero((np.diff(part[0]) != 0) | (np.diff(part[1]) != 0))
+            last = int(new[-1]) + 1 if len(new) else 0
             # the batch's last bucket may go on in the next one
-            if held and (last or token[0] != held[-1][0][-1]):
+            if held and (last or part[0][0] != held[-1][0][-1] or part[1][0] != held[-1][1][-1]):
                 yield from flush([*held, tuple(x[:last] for x in part)] if last else held)
                 held = []
             elif last:
@@ -253,7 +359,7 @@ def _searched(rows: DataFrame) -> DataFrame:
         if held:
             yield from flush(held)
 
-    return rows.select("token", "cls", "comp", "n", "counts").mapInArrow(run, "a long, b long, needed long")
+    return rows.select("sig", "band", "cls", "comp", "n", "many", "guest", "counts").mapInArrow(run, "a long, b long, needed long, many long")
 
 
 def join(docs: DataFrame, key: str = "doc_id", text: str = "text", hashed: str | None = None) -> DataFrame:
@@ -270,31 +376,38 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", hashed: str |
     classes = staged(classes.select("c1", same.alias("key"), F.col("one.h").alias("h"), "n", "counts"), "classes")
 
     ends = lambda by: own.select(F.explode(by).alias("token"), F.col("c1").alias("cls"))
-    over = Window.partitionBy("token")
-    cold = ends("cold").withColumns({"df": F.count("*").over(over), "low": F.min("cls").over(over), "top": F.max("cls").over(over)})
-    hot = ends("hot")
-    peak = hot.groupBy("token").agg(F.count("*").alias("df"), F.min("cls").alias("low"), F.max("cls").alias("top")).where("low <> top")
-    buckets = cold.where("low <> top").unionByName(hot.join(peak, "token")).select("token", "cls", "df")
-    buckets = staged(buckets, "buckets")
+    cold = gathered(ends("cold").repartition("token").sortWithinPartitions("token"))
+    hot = ends("hot").distinct()
+    peak = hot.groupBy("token").agg(F.count("*").alias("df"), F.bit_xor(F.xxhash64("cls")).alias("x")).where("df > 1")
+    hot = hot.join(peak, "token").select(F.xxhash64("x", "df").alias("sig"), "df", "cls", F.lit(1).alias("many"))
+    buckets = cold.unionByName(hot).groupBy("sig", "cls").agg(F.max("df").alias("df"), F.sum("many").alias("many"))
+    buckets = staged(buckets, "shared")
     # the class with most in common with others comes first in its buckets: of near copies, that nearest to their source
-    middle = buckets.groupBy("cls").agg(F.round(F.sum(F.log2("df")), 3).alias("score"))
-    placed = buckets.join(middle, "cls").select("token", "cls", F.struct("score", "cls").alias("rank"))
-    pivots = staged(placed.groupBy("token").agg(F.max("rank").alias("pivot")).select("token", "pivot.cls"), "pivots").withColumnRenamed("cls", "pivot")
-
-    size = classes.select(F.col("c1").alias("a"), F.col("n").alias("na"), F.col("counts").alias("xa"))
-    other = classes.select(F.col("c1").alias("b"), F.col("n").alias("nb"), F.col("counts").alias("xb"))
-    tried = buckets.join(pivots, "token").where("cls <> pivot").groupBy(F.least("pivot", "cls").alias("a"), F.greatest("pivot", "cls").alias("b")).agg(F.count("*").alias("met"))
+    middle = buckets.groupBy("cls").agg(F.round(F.sum(F.col("many") * F.log2("df")), 3).alias("score"))
+    middle = middle.join(classes.select(F.col("c1").alias("cls"), "n"), "cls")
+    buckets = staged(buckets.join(middle, "cls").select("sig", "cls", "many", "n", "score"), "buckets")
+    pivots = buckets.groupBy("sig").agg(F.max(F.struct("score", "cls", "n")).alias("pivot")).select("sig", F.col("pivot.cls").alias("pivot"), F.col("pivot.n").alias("m"))
+    pivots = staged(pivots, "pivots")
+
+    vector = lambda c, x: classes.select(F.col("c1").alias(c), F.col("counts").alias(x))
+    first_of = F.col("pivot") < F.col("cls")
+    tried = buckets.join(pivots, "sig").where("cls <> pivot").groupBy(F.least("pivot", "cls").alias("a"), F.greatest("pivot", "cls").alias("b"), F.when(first_of, F.col("m")).otherwise(F.col("n")).alias("na"), F.when(first_of, F.col("n")).otherwise(F.col("m")).alias("nb")).agg(F.sum("many").alias("met"))
     na, nb = F.col("na"), F.col("nb")
     enough = F.col("met") >= F.ceil(3 * (na + nb) / 7) - F.greatest(F.ceil(0.75 * na), F.ceil(0.75 * nb)) + 1
-    first = staged(bounded(tried.join(size, "a").join(other, "b").where(enough)), "pairs")
+    tried = tried.where(enough & (4 * na >= 3 * nb) & (4 * nb >= 3 * na))
+    first = staged(bounded(tried.join(vector("a", "xa"), "a").join(vector("b", "xb"), "b")), "pairs")
     links = staged(verified(first, classes, docs, key, text), "links")
     comps = components(links)
 
     label = F.coalesce("component", "cls")
-    rest = buckets.join(comps, F.col("cls") == F.col("node"), "left").select("token", "cls", label.alias("comp"))
-    mixed = rest.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("token")
-    rest = rest.join(mixed, "token").distinct().join(classes.select(F.col("c1").alias("cls"), "n", "counts"), "cls")
-    met = _searched(rest.repartition("token").sortWithinPartitions("token")).groupBy("a", "b").agg(F.count("*").alias("met"), F.first("needed").alias("needed"))
+    rest = buckets.join(comps, F.col("cls") == F.col("node"), "left").select("sig", "cls", "many", "n", label.alias("comp"))
+    mixed = rest.groupBy("sig").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("size")).where("low <> high").select("sig", "size")
+    band = F.floor(F.ln("n") / math.log(BAND)).cast("int")
+    place = lambda at, guest: F.struct(at.alias("band"), F.lit(guest).alias("guest"))
+    cut = F.when(F.col("size") <= LARGE, F.array(place(F.lit(0), False))).otherwise(F.array(place(band, False), place(band + 1, True)))
+    rest = rest.join(mixed, "sig").select("sig", "cls", "many", "n", "comp", F.explode(cut).alias("x")).select("*", "x.*").drop("x")
+    rest = rest.join(classes.select(F.col("c1").alias("cls"), "counts"), "cls")
+    met = _searched(rest.repartition("sig", "band").sortWithinPartitions("sig", "band")).groupBy("a", "b").agg(F.sum("many").alias("met"), F.first("needed").alias("needed"))
     second = staged(met.where("met >= needed").select("a", "b").join(first, ["a", "b"], "left_anti"), "pairs")
     if not second.isEmpty():
         more = staged(verified(second, classes, docs, key, text), "links")

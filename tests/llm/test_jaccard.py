@@ -70,5 +70,33 @@ def test_tree_finds_every_pair_that_the_bound_allows():
     want = {(i, j) for i in range(150) for j in range(i + 1, 150) if comp[i] != comp[j] and 7 * bound[i, j] >= 3 * (n[i] + n[j])}
     assert {(min(p), max(p)) for p in jaccard.tree_pairs(comp, n, counts).tolist()} == want and want
     token = np.repeat(np.arange(30), 5)
+    # counts above what is stored weaken the bound, but keep it one
+    small = np.minimum(counts, 3).astype(np.uint8)
+    assert want <= {(min(p), max(p)) for p in jaccard.tree_pairs(comp, n, small).tolist()}
     found = {(min(p), max(p)) for part in jaccard.bucket_pairs(token, comp, n, counts) for p in part.tolist()}
     assert found == {(i, j) for i, j in want if i // 5 == j // 5}
+
+
+def test_thousands_of_copies_of_one_row_make_one_verified_row(spark):
+    words = [f"a{i}" for i in range(40)]
+    near = [*words[:-1], "other"]
+    rows = [(7, " ".join(words))] * 5000 + [(9, " ".join(near))] * 300 + [(3, "something else that stands alone here")]
+    out = jaccard.join(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))
+    got = {(r.doc_id, r.n_shingles, r.component_id): r["count"] for r in out.groupBy(*out.columns).count().collect()}
+    assert got == {(7, 36, 7): 5000, (9, 36, 7): 300, (3, 2, 3): 1}
+    pairs = spark.createDataFrame([(1, 2)], "a long, b long")
+    docs = spark.createDataFrame(rows, "key long, text string")
+    classes = docs.where("key <> 3").distinct().selectExpr("case key when 7 then 1L else 2L end c1", "key", "xxhash64(text) h")
+    assert jaccard.verified(pairs, classes, docs, "key", "text").count() == 1
+
+
+def test_large_buckets_are_cut_by_size(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "LARGE", 2)
+    rnd = random.Random(3)
+    shared = [f"s{i}" for i in range(12)]
+    rows = []
+    for i in range(160):
+        own = [f"u{rnd.randrange(40)}" for _ in range(rnd.choice([1, 2, 3, 4, 6, 12, 30]))]
+        rows.append((i, " ".join(shared + own)))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute(rows)
