@@ -134,12 +134,13 @@ def crowding(docs: DataFrame, text: str) -> np.ndarray:
         for batch in batches:
             for i, z in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 sums[i] = sums.get(i, 0) + np.frombuffer(unpack(z), np.uint32).astype(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], names=["part", "n"])
+        pack = zstandard.ZstdCompressor().compress
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([pack(x.tobytes()) for x in sums.values()], pa.binary())], names=["part", "n"])
 
     sums = docs.select(text).mapInArrow(counted, "part int, z binary").repartition("part").mapInArrow(added, "part int, n binary").toArrow()
     count = np.zeros((1 << bits) // PART * PART, np.float64).reshape(-1, PART)
     for i, n in zip(sums["part"].to_pylist(), sums["n"].to_pylist(), strict=True):
-        count[i] = np.frombuffer(n, np.int64)
+        count[i] = np.frombuffer(zstandard.decompress(n), np.int64)
     count = count.ravel()
     mean = count.mean()
     excess = count - mean - 6 * np.sqrt(mean) - 8
