@@ -1,15 +1,22 @@
 """Quality classifier: perplexity under an interpolated modified Kneser-Ney model of trusted text.
 
-The model is a 4-gram model over 32 classes of bytes (letters by themselves, digits, sentence marks, other marks, bytes
-of other scripts, white space, and line or document starts). Counts of all trusted documents are made in every task,
-and summed in a shuffle that deals them by n-gram; the shards of at most 2 ** 20 counts give the interpolated
-probabilities of every n-gram, which each task joins with its documents' n-grams by direct address. So the table's
-size (4 MB) is bounded whatever the corpus. A document is kept if its perplexity is at most the QUANTILE of the trusted
-documents of its language; languages without enough trusted documents use that of all trusted ones.
+The model is a 5-gram model over bytes, so it knows every script, case, digit and mark; START stands before a text.
+
+1. *Blocks.* Texts are packed, compressed, into blocks of at most BLOCK bytes, longer texts in pieces; they are written once.
+2. *Counts.* The 5-grams of trusted texts are counted in a shuffle by 5-gram. The count of a shorter one is the number of
+   bytes that it follows (its continuations), by one more grouping for each order. The table grows with the trusted
+   text; only the numbers of n-grams that occur once to four times, by order, come to the driver, for the discounts.
+3. *Join.* The table is sharded by the hash of an n-gram's history, so that a shard has all it takes for the
+   discounted probability of an n-gram and for the weight of its history. Each block asks every shard once for its
+   distinct n-grams; a shard holds its part of the table, about SHARD n-grams, and answers block by block.
+4. *Scores.* Answers meet their block again, and log-probabilities are summed for each document.
+5. *Thresholds.* One in FOLD trusted documents is kept out of the counts. A document is kept if its perplexity is at most
+   the QUANTILE of those of its language; a language with fewer than ENOUGH of them uses that of all.
 
 Defined results: a null or empty text has a null perplexity and is not kept; a null language is a language of its
-own; with no trusted document at all, thresholds are null and every text that is not empty is kept. Rows are independent; repeated ids
-with any trusted label are all trusted.
+own; with no trusted document at all, thresholds are null and every text that is not empty is kept; if none is kept out of the
+counts, all trusted ones give the threshold. A perplexity at the threshold is kept. Rows are independent; repeated ids
+with any trusted label are all trusted, and each such row counts.
 """
 
 from __future__ import annotations
@@ -18,114 +25,318 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import blocks, buffers, filled, lean, staged, tidied
+from .common import blocks, buffers, filled, lean, mix, staged, tidied
 
-ORDER, CLASSES = 4, 32
-QUANTILE, MARGIN, ENOUGH = 0.995, 1.02, 20
+ORDER, START = 5, 255  # no byte of UTF-8 is 255
+BLOCK, SHARD, LEAST_SHARDS = 4 << 20, 1 << 17, 16
+QUANTILE, ENOUGH, FOLD = 0.995, 20, 5
+#: No discount is less, so that every text has a probability.
+LEAST = 0.1
 #: Trusted ids up to this number (8 bytes each) are broadcast; more are shuffled.
 BROADCAST_IDS = 500_000
-
-_CLASS = np.full(256, 31, np.uint8)
-_CLASS[[9, 11, 12, 32]] = 1
-_CLASS[[10, 13]] = 0
-_CLASS[97:123] = np.arange(2, 28)
-_CLASS[65:91] = np.arange(2, 28)
-_CLASS[128:] = 28
-_CLASS[48:58] = 29
-_CLASS[[ord(c) for c in ".,;:!?'\"-"]] = 30
+#: Places of the order in an n-gram's number: above its bytes.
+_TOP = 8 * ORDER
+_TRAIN, _HELD = 1, 2
 
 
 def codes(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """The n-gram that ends at each byte of a block; before a document's start stand class 0's."""
+    """The 5-gram that ends at each byte of a block, as a number; before a text's start stand STARTs."""
     n = len(data)
-    own = _CLASS[data].astype(np.int32)
+    own = data.astype(np.int64)
     out = own.copy()
     for back in range(1, ORDER):
-        before = np.zeros(n, np.int32)
-        before[back:] = own[: n - back] if back < n else 0
+        before = np.full(n, START, np.int64)
+        before[back:] = own[: max(0, n - back)]
         for k in range(back):
             at = starts[:-1] + k
-            before[at[at < starts[1:]]] = 0
-        out |= before << (5 * back)
+            before[at[at < starts[1:]]] = START
+        out |= before << (8 * back)
     return out
 
 
-def ngram_counts(docs: DataFrame, text: str) -> DataFrame:
-    """(code, n) of all n-grams of the documents."""
+def shorter(code: np.ndarray, order: int) -> np.ndarray:
+    return code & ((1 << 8 * order) - 1)
+
+
+def numbered(code: np.ndarray, order: int) -> np.ndarray:
+    """The numbers of n-grams of an order among those of all orders."""
+    return code | (order << _TOP)
+
+
+def history(number: np.ndarray) -> np.ndarray:
+    """The number of the bytes before the last one, among the histories of all orders."""
+    return (number >> _TOP << _TOP) | (shorter(number, ORDER) >> 8)
+
+
+def shard_of(number: np.ndarray, shards: int) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return (mix(history(number).astype(np.uint64) + np.uint64(1)) % np.uint64(shards)).astype(np.int32)
+
+
+def asked(five: np.ndarray) -> np.ndarray:
+    """The distinct n-grams of all orders of distinct, sorted 5-grams, sorted by order and bytes."""
+    found = [five]
+    for k in range(ORDER - 1, 0, -1):
+        found.append(np.unique(shorter(found[-1], k)))
+    return np.concatenate([numbered(u, k) for k, u in zip(range(1, ORDER + 1), found[::-1], strict=True)])
+
+
+def _pack(x: np.ndarray) -> bytes:
+    """Sorted numbers, as their differences."""
+    return zstandard.ZstdCompressor(level=1).compress(np.diff(x, prepend=0).tobytes())
+
+
+def _unpack(z: bytes) -> np.ndarray:
+    return np.cumsum(np.frombuffer(zstandard.decompress(z), np.int64))
+
+
+def _packed(docs: DataFrame, key: T.DataType, lang: T.DataType) -> DataFrame:
+    """Rows of a block: block, lists (row, key, lang, use, skip, size) of its texts or pieces, z. docs: row, key, lang, use, text. A piece
+    begins with ``skip`` bytes that belong to the piece before."""
+    schema = T.StructType([T.StructField("block", T.LongType()), *[T.StructField(n, T.ArrayType(t)) for n, t in (("row", T.LongType()), ("key", key), ("lang", lang), ("use", T.IntegerType()), ("skip", T.IntegerType()), ("size", T.IntegerType()))], T.StructField("z", T.BinaryType())])
 
     @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(CLASSES**ORDER, np.int64)
+        pack = zstandard.ZstdCompressor(level=3).compress
+        block = TaskContext.get().partitionId() << 32  # the table is written once, so numbers never change
+
         for batch in batches:
-            texts = filled(batch.column(0))
-            offsets, data = buffers(texts)
-            for a, b in blocks(texts, 1 << 20):
-                total += np.bincount(codes(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]), minlength=len(total))
-        code = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(code.astype(np.int32)), pa.array(total[code])], names=["code", "n"])
-
-    return docs.select(text).mapInArrow(run, "code int, n long").groupBy("code").agg(F.sum("n").alias("n"))
-
-
-def kneser_ney(counts: np.ndarray) -> np.ndarray:
-    """log p of every n-gram (by code): modified Kneser-Ney, interpolated down to the uniform distribution."""
-    tables = [counts.reshape((CLASSES,) * ORDER).astype(np.float64)]
-    for _ in range(ORDER - 1):
-        tables.append((tables[-1] > 0).sum(0).astype(np.float64))  # in how many contexts one longer it occurs
-    p = np.full(CLASSES, 1 / CLASSES)
-    for c in tables[::-1]:
-        n1, n2, n3, n4 = ((c == k).sum() for k in (1, 2, 3, 4))
-        y = n1 / (n1 + 2 * n2) if n1 and n2 else 0.5
-        less = [max(0.0, min(k, k - (k + 1) * y * b / a)) if a and b else y for k, a, b in ((1, n1, n2), (2, n2, n3), (3, n3, n4))]
-        discount = np.choose(np.minimum(c, 3).astype(int), [0.0, *less])
-        whole = c.sum(-1, keepdims=True)
-        left = discount.sum(-1, keepdims=True)
-        p = np.where(whole > 0, (c - discount + left * p) / np.maximum(whole, 1), p)
-    return np.log(p).astype(np.float32).ravel()
-
-
-def perplexities(docs: DataFrame, log_p: np.ndarray, text: str, output: str = "perplexity") -> DataFrame:
-    """Replace the text by its perplexity per byte (null for no text)."""
-    kept = [c for c in docs.columns if c not in (text, output)]
-    source = docs.select(*kept, text)
-    from pyspark.sql import types as T
+            offsets, data = buffers(filled(batch.column(4)))
+            raw = memoryview(data)
+            for a, b in blocks(filled(batch.column(4)), BLOCK):
+                lo, hi = int(offsets[a]), int(offsets[b])
+                if hi - lo <= BLOCK:
+                    parts = [(np.arange(a, b), np.zeros(b - a, np.int32), np.diff(offsets[a : b + 1]), lo, hi)]
+                else:  # one long text
+                    parts = [(np.array([a]), np.array([min(x - lo, ORDER - 1)]), np.array([min(hi, x + BLOCK) - max(lo, x - ORDER + 1)]), max(lo, x - ORDER + 1), min(hi, x + BLOCK)) for x in range(lo, hi, BLOCK)]
+                for rows, skip, size, x, y in parts:
+                    whole = lambda v: pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), v)
+                    lists = [whole(batch.column(i).take(pa.array(rows))) for i in range(4)]
+                    yield pa.RecordBatch.from_arrays([pa.array([block]), *lists, whole(pa.array(skip, pa.int32())), whole(pa.array(size, pa.int32())), pa.array([pack(raw[x:y])])], names=schema.names)
+                    block += 1
+
+    return docs.select("row", "key", "lang", "use", "text").mapInArrow(run, schema)
+
+
+def _opened(z: pa.Scalar, skip: pa.Scalar, size: pa.Scalar) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(5-grams, where each text's begin, whether each belongs to its text)."""
+    skip, size = (x.values.to_numpy() for x in (skip, size))
+    data = np.frombuffer(zstandard.decompress(z.as_py()), np.uint8) if size.sum() else np.zeros(0, np.uint8)
+    starts = np.concatenate([[0], np.cumsum(size, dtype=np.int64)])
+    own = np.ones(len(data), bool)
+    for at, n in zip(starts[:-1][skip > 0], skip[skip > 0], strict=True):
+        own[at : at + n] = False
+    return codes(data, starts), starts, own
+
+
+def ngram_counts(packed: DataFrame) -> list[DataFrame]:
+    """(code, c) of the n-grams of ORDER bytes and fewer of the training texts: counts, then continuation counts."""
 
     @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        size = 0
+
+        def merged() -> tuple[np.ndarray, np.ndarray]:
+            code, c = (np.concatenate(x) for x in zip(*held, strict=True))
+            out, at = np.unique(code, return_inverse=True)
+            return out, np.bincount(at, c).astype(np.int64)
+
         for batch in batches:
-            texts = filled(batch.column(len(kept)))
-            offsets, data = buffers(texts)
-            out = np.full(len(texts), np.nan)
-            for a, b in blocks(texts, 1 << 20):
-                starts = offsets[a : b + 1] - offsets[a]
-                some = np.flatnonzero(np.diff(starts) > 0)
-                if len(some):
-                    value = log_p[codes(data[offsets[a] : offsets[b]], starts)].astype(np.float64)
-                    out[a + some] = np.exp(-np.add.reduceat(value, starts[some]) / np.diff(starts)[some])
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], pa.array(out, mask=np.isnan(out))], names=[*kept, output])
+            for use, skip, sizes, z in zip(*(batch.column(c) for c in ("use", "skip", "size", "z")), strict=True):
+                code, starts, own = _opened(z, skip, sizes)
+                own &= np.repeat(use.values.to_numpy() == _TRAIN, np.diff(starts))
+                held.append(np.unique(code[own], return_counts=True))
+                size += len(held[-1][0])
+                if size > 1 << 21:
+                    held = [merged()]
+                    if len(held[0][0]) > 1 << 20:  # mostly different ones: their sums are left to the shuffle
+                        yield pa.RecordBatch.from_arrays([pa.array(x) for x in held.pop()], names=["code", "c"])
+                    size = sum(len(x) for x, _ in held)
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in merged()], names=["code", "c"])
 
-    return source.mapInArrow(run, T.StructType([*source.drop(text).schema.fields, T.StructField(output, T.DoubleType())]))
+    found = packed.select("use", "skip", "size", "z").where(F.array_contains("use", _TRAIN)).mapInArrow(run, "code long, c long")
+    out = [staged(found.groupBy("code").agg(F.sum("c").alias("c")), "ngrams")]
+    for k in range(ORDER - 1, 0, -1):
+        out.append(staged(out[-1].groupBy(F.col("code").bitwiseAND(F.lit((1 << 8 * k) - 1)).alias("code")).agg(F.count("*").alias("c")), "ngrams"))
+    return out[::-1]
+
+
+def discounts(n1: int, n2: int, n3: int, n4: int) -> list[float]:
+    """For n-grams that occur once, twice and more often, given how many occur once to four times."""
+    y = n1 / (n1 + 2 * n2) if n1 and n2 else 0.5
+    return [max(LEAST, min(k, k - (k + 1) * y * b / a)) if a and b else y for k, a, b in ((1, n1, n2), (2, n2, n3), (3, n3, n4))]
+
+
+class Shard:
+    """A part of the table, with all n-grams of its histories."""
+
+    def __init__(self, number: np.ndarray, c: np.ndarray, discount: np.ndarray):
+        order = np.argsort(number)
+        self.number, c = number[order], c[order]
+        less = discount[self.number >> _TOP, np.minimum(c, 3)]
+        h = history(self.number)
+        first = np.flatnonzero(np.concatenate([[True], np.diff(h) != 0])) if len(h) else np.zeros(0, np.int64)
+        self.history = h[first]
+        whole = np.add.reduceat(c, first) if len(h) else np.zeros(0)
+        self.weight = (np.add.reduceat(less, first) / whole).astype(np.float32) if len(h) else np.zeros(0, np.float32)
+        self.share = ((c - less) / np.repeat(whole, np.diff(np.concatenate([first, [len(h)]])))).astype(np.float32)
+
+    def answer(self, number: np.ndarray) -> np.ndarray:
+        """Shares of the n-grams (0: unknown), then the weights of their distinct histories (1: unknown)."""
+        h = history(number)
+        h = h[np.concatenate([[True], np.diff(h) != 0])] if len(h) else h
+        found = []
+        for known, value, own, other in ((self.number, self.share, number, 0), (self.history, self.weight, h, 1)):
+            at = np.minimum(np.searchsorted(known, own), max(0, len(known) - 1))
+            found.append(np.where(known[at] == own, value[at], np.float32(other)) if len(known) else np.full(len(own), other, np.float32))
+        return np.concatenate(found).astype(np.float32)
+
+
+def _requests(packed: DataFrame, shards: int) -> DataFrame:
+    @tidied
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block, skip, sizes, z in zip(*(batch.column(c) for c in ("block", "skip", "size", "z")), strict=True):
+                code, _, own = _opened(z, skip, sizes)
+                number = asked(np.unique(code[own]))
+                shard = shard_of(number, shards)
+                some = np.unique(shard)
+                yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(np.ones(len(some), np.int32)), pa.array(np.full(len(some), block.as_py())), pa.array([_pack(number[shard == s]) for s in some], pa.binary()), pa.nulls(len(some), pa.binary())], names=["shard", "kind", "block", "z", "c"])
+
+    return packed.select("block", "skip", "size", "z").mapInArrow(run, "shard int, kind int, block long, z binary, c binary")
+
+
+def _dealt(grams: DataFrame, shards: int) -> DataFrame:
+    """The table (number, c) as rows like those of requests, of kind 0."""
+
+    @tidied
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            number, c = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            order = np.argsort(number)
+            number, c = number[order], c[order]
+            shard = shard_of(number, shards)
+            some = np.unique(shard)
+            z = [(_pack(number[shard == s]), zstandard.compress(c[shard == s].tobytes(), 1)) for s in some]
+            yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(np.zeros(len(some), np.int32)), pa.array(np.zeros(len(some), np.int64)), pa.array([x for x, _ in z], pa.binary()), pa.array([y for _, y in z], pa.binary())], names=["shard", "kind", "block", "z", "c"])
+
+    return grams.select("number", "c").mapInArrow(run, "shard int, kind int, block long, z binary, c binary")
+
+
+def _answers(rows: DataFrame, discount: np.ndarray) -> DataFrame:
+    """(block, shard, z) for each request; rows come sorted by shard, the table's first."""
+
+    @tidied
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, parts, table = None, [], None
+        for batch in batches:
+            out: list[tuple] = []
+            for shard, kind, block, z, c in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+                if shard != now:
+                    now, parts, table = shard, [], None
+                if kind == 0:
+                    parts.append((_unpack(z), np.frombuffer(zstandard.decompress(c), np.int64)))
+                    continue
+                if table is None:
+                    table = Shard(*(np.concatenate([np.zeros(0, np.int64), *x]) for x in (zip(*parts, strict=True) if parts else ([], []))), discount)
+                    parts = []
+                out.append((block, shard, zstandard.compress(table.answer(_unpack(z)).tobytes(), 1)))
+            if out:
+                block, shard, z = zip(*out, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(block, pa.int64()), pa.array(shard, pa.int32()), pa.array(z, pa.binary())], names=["block", "shard", "z"])
+
+    return rows.mapInArrow(run, "block long, shard int, z binary")
+
+
+def log_probabilities(five: np.ndarray, answers: dict[int, np.ndarray], shards: int) -> np.ndarray:
+    """log p of distinct, sorted 5-grams, interpolated from the uniform distribution up; answers: by shard."""
+    number = asked(five)
+    shard = shard_of(number, shards)
+    h = history(number)
+    share, weight = np.zeros(len(number)), np.ones(len(number))
+    for s, found in answers.items():
+        own = np.flatnonzero(shard == s)
+        share[own] = found[: len(own)]
+        weight[own] = found[len(own) :][np.cumsum(np.concatenate([[0], np.diff(h[own]) != 0]))]
+    order = number >> _TOP
+    before, p = np.zeros(1, np.int64), np.full(1, 1 / 256)
+    for k in range(1, ORDER + 1):
+        own = np.flatnonzero(order == k)
+        code = shorter(number[own], ORDER)
+        p = share[own] + weight[own] * p[np.searchsorted(before, shorter(code, k - 1))]
+        before = code
+    return np.log(p)
+
+
+def perplexities(packed: DataFrame, answers: DataFrame, shards: int) -> DataFrame:
+    """(key, lang, use, perplexity) of each row; the perplexity is per byte, and null for no text."""
+    lists = answers.groupBy(F.col("block").alias("_block")).agg(F.collect_list(F.struct("shard", "z")).alias("found"))
+    both = packed.join(lists, F.col("block") == F.col("_block"), "left").select("row", "key", "lang", "use", "skip", "size", "z", "found")
+    kind = lambda c: packed.schema[c].dataType.elementType
+    schema = T.StructType([T.StructField("row", T.LongType()), T.StructField("key", kind("key")), T.StructField("lang", kind("lang")), T.StructField("use", T.IntegerType()), T.StructField("log", T.DoubleType()), T.StructField("n", T.LongType())])
+
+    @tidied
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                skip, size, z, found = (batch.column(c)[i] for c in ("skip", "size", "z", "found"))
+                code, starts, own = _opened(z, skip, size)
+                five, at = np.unique(code, return_inverse=True)
+                # context of a piece is looked up with the rest, but not asked for: it is left out of the sum
+                wanted = np.unique(code[own])
+                log = np.zeros(len(five))
+                if len(wanted):
+                    told = {x["shard"]: np.frombuffer(zstandard.decompress(x["z"]), np.float32) for x in found.as_py()}
+                    log[np.searchsorted(five, wanted)] = log_probabilities(wanted, told, shards)
+                value = np.where(own, log[at], 0.0)
+                total = np.concatenate([[0.0], np.cumsum(value)])
+                sums = total[starts[1:]] - total[starts[:-1]]
+                n = np.diff(starts) - skip.values.to_numpy()
+                yield pa.RecordBatch.from_arrays([*(batch.column(c)[i].values for c in ("row", "key", "lang", "use")), pa.array(sums), pa.array(n, pa.int64())], names=schema.names)
+
+    found = both.mapInArrow(run, schema)
+    found = found.groupBy("row").agg(*[F.any_value(c).alias(c) for c in ("key", "lang", "use")], F.sum("log").alias("log"), F.sum("n").alias("n"))
+    return found.select("key", "lang", "use", F.when(F.col("n") > 0, F.exp(-F.col("log") / F.col("n"))).alias("perplexity"))
 
 
 def classify(docs: DataFrame, trusted: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", quantile: float = QUANTILE) -> DataFrame:
     """Per row: key, lang, perplexity, threshold and keep. trusted: the keys of trusted documents."""
     lean(docs.sparkSession)
-    docs = docs.select(key, lang, text)
-    ids = trusted.select(F.col(key).alias("_id")).where("_id is not null").distinct().withColumn("_trusted", F.lit(True))
+    docs = docs.select(F.col(key).alias("key"), F.col(lang).alias("lang"), F.col(text).alias("text"))
+    ids = trusted.select(F.col(key).alias("_id")).where("_id is not null").distinct()
+    fold = F.crc32(F.col("_id").cast("string").cast("binary")) % FOLD
+    ids = ids.withColumn("use", F.when(fold == 0, _HELD).otherwise(_TRAIN))
     ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    counts = ngram_counts(docs.join(ids, F.col(key) == F.col("_id"), "left_semi"), text).toArrow()
-    table = np.zeros(CLASSES**ORDER, np.int64)
-    table[counts["code"].to_numpy()] = counts["n"].to_numpy()
-    scored = perplexities(docs.select(key, lang, text), kneser_ney(table), text)
-    scored = staged(scored.join(ids, F.col(key) == F.col("_id"), "left").drop("_id"), "perplexity")
-    known = scored.where("_trusted and perplexity is not null")
-    place = lambda: F.percentile_approx("perplexity", F.lit(quantile), 10_000)
-    every = known.agg(place().alias("all")).first()[0]  # one number; the languages' numbers are as few as languages
-    own = known.groupBy(F.col(lang).alias("_lang")).agg(F.when(F.count("*") >= ENOUGH, place()).alias("own"))
-    out = scored.join(own, F.col(lang).eqNullSafe(F.col("_lang")), "left")
-    threshold = F.coalesce(F.col("own"), F.lit(every).cast("double")) * MARGIN
+    used = docs.join(ids, F.col("key") == F.col("_id"), "left").select(F.monotonically_increasing_id().alias("row"), "key", "lang", F.coalesce("use", F.lit(0)).alias("use"), "text")
+    packed = staged(_packed(used, docs.schema["key"].dataType, docs.schema["lang"].dataType), "blocks")
+
+    counts = ngram_counts(packed)
+    grams = None
+    for k, own in enumerate(counts, 1):
+        own = own.select(F.col("code").bitwiseOR(F.lit(k << _TOP)).alias("number"), F.lit(k).alias("k"), "c")
+        grams = own if grams is None else grams.unionByName(own)
+    rare = {(r["k"], r["few"]): r["n"] for r in grams.groupBy("k", F.least("c", F.lit(5)).alias("few")).agg(F.count("*").alias("n")).collect()}
+    discount = np.zeros((ORDER + 1, 4))
+    for k in range(1, ORDER + 1):
+        discount[k, 1:] = discounts(*(rare.get((k, j), 0) for j in range(1, 5)))
+    shards = max(LEAST_SHARDS, sum(rare.values()) // SHARD)
+    rows = _dealt(grams, shards).unionByName(_requests(packed, shards))
+    answers = _answers(rows.repartition("shard").sortWithinPartitions("shard", "kind"), discount)
+    scored = staged(perplexities(packed, answers, shards), "perplexity")
+
+    known = scored.where("use > 0 and perplexity is not null")
+    place = lambda use: F.percentile_approx(F.when(F.col("use") >= use, F.col("perplexity")), F.lit(quantile), 10_000)
+    every = known.agg(F.coalesce(place(_HELD), place(_TRAIN))).first()[0]  # one number; the languages' numbers are as few as languages
+    own = known.where(F.col("use") == _HELD).groupBy(F.col("lang").alias("_lang")).agg(F.when(F.count("*") >= ENOUGH, place(_HELD)).alias("own"))
+    out = scored.join(own, F.col("lang").eqNullSafe(F.col("_lang")), "left")
+    threshold = F.coalesce(F.col("own"), F.lit(every).cast("double"))
     keep = F.col("perplexity").isNotNull() & F.coalesce(F.col("perplexity") <= threshold, F.lit(True))
-    return out.select(key, lang, "perplexity", threshold.alias("threshold"), keep.alias("keep"))
+    return out.select(F.col("key").alias(key), F.col("lang").alias(lang), "perplexity", threshold.alias("threshold"), keep.alias("keep"))
