@@ -65,7 +65,6 @@ def test_damaged_payloads_are_refused(spark, tmp_path):
 
 def test_fingerprints(spark, monkeypatch):
     monkeypatch.setattr(fingerprint, "BUCKET", 3)
-    monkeypatch.setattr(fingerprint, "GROUP", 2)
     rnd = random.Random(6)
     texts = {i * rnd.choice([1, 7]) + i: "\n".join(f"Line {rnd.randrange(40)} é." for _ in range(rnd.randint(0, 12))) for i in range(40)}
     texts[1000] = None
@@ -95,3 +94,53 @@ def test_insertion_and_deletion(spark):
     assert tuple(added) == (whole.wide, whole.lanes)
     back = one.select(wide.alias("w"), lanes.alias("l"), "x", "y").select(*fingerprint.combine(F.col("w"), F.col("l"), F.col("x"), F.col("y"), -1)).first()
     assert tuple(back) == (part.wide, part.lanes)
+
+
+def test_next_rows_whatever_the_ids(spark, monkeypatch):
+    """Sparse, repeated, null and string ids: the next text is that of plain Python, and no bucket holds most rows."""
+    import datetime
+
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(fingerprint, "BUCKET", 16)
+    rnd = random.Random(2)
+    word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(8))
+    tables = {
+        "long": [(i, word()) for i in range(400)] + [(1 << 60, "far"), (-5, "low")],
+        "string": [(f"http://site/{rnd.randrange(10**6)}", word()) for _ in range(400)] + [("", "e"), ("é", "x")],
+        "bigint": [(7, word()) for _ in range(300)] + [(i, word()) for i in range(60)] + [(None, word()) for _ in range(150)] + [(9, "same")] * 30,
+        "double": [(rnd.random(), word()) for _ in range(100)],
+        "date": [(datetime.date(2020, 1, 1) + datetime.timedelta(rnd.randrange(3000)), word()) for _ in range(100)],
+    }
+    for kind, rows in tables.items():
+        df = spark.createDataFrame(rows, f"id {kind}, text string").repartition(4)
+        made, _ = fingerprint.with_next(df, "id", "text", "after")
+        order = sorted(rows, key=lambda r: (r[0] is None, (r[0].encode() if isinstance(r[0], str) else r[0]) if r[0] is not None else 0, r[1].encode()))
+        want = sorted((str(k), t, order[(i + 1) % len(order)][1]) for i, (k, t) in enumerate(order))
+        assert sorted((str(r.id), r.text, r.after) for r in made.collect()) == want
+        assert made.groupBy("_b").count().agg(F.max("count")).first()[0] <= 100
+
+
+def test_fingerprints_equal_plain_python(spark):
+    def vector(text):
+        wide, lanes = [0] * fingerprint.WIDE, [0] * fingerprint.LANES
+        for unit in filter(None, re.sub(r"([.!?]) ", "\\1\n", text or "").split("\n")):
+            digest = hashlib.sha256(unit.encode()).digest()
+            wide = [(w + int.from_bytes(digest[4 * i : 4 * i + 4], "big")) % 2**32 for i, w in enumerate(wide)]
+            lanes[digest[0] % fingerprint.LANES] += 1 if digest[0] >= 128 else -1
+        return wide, lanes
+
+    rnd = random.Random(1)
+    texts = ["".join(rnd.choice(["One. ", "Two! ", "é\n", "x", "same line\n"]) for _ in range(rnd.choice([0, 3, 40, 4000]))) for _ in range(60)] + [None, "same line\n" * 30_000]
+    ids = [f"d{i:03}" for i in range(len(texts))]
+    out = {r.doc_id: r for r in fingerprint.fingerprints(spark.createDataFrame(list(zip(ids, texts)), "doc_id string, text string")).collect()}
+    for k, i in enumerate(ids):
+        own, after = texts[k] or "", texts[(k + 1) % len(ids)] or ""
+        half = len(own) // 2
+        a, e, n = (vector(t) for t in (own, own[: len(own) - half] + after[:half], after))
+        form = lambda v: "".join(f"{x:08x}" for x in v[0]) + "".join(f"{x % 65536:04x}" for x in v[1])
+        assert (out[i].fingerprint, out[i].edited_fingerprint) == (form(a), form(e))
+        for got, v in ((out[i].near_edited, e), (out[i].near_next, n)):
+            dot = lambda x, y: sum(p * q for p, q in zip(x[1], y[1]))
+            norm = dot(a, a) * dot(v, v)
+            assert abs(got - (1.0 if a == v else 0.0 if not norm else min(1.0, max(0.0, dot(a, v) / norm**0.5)))) < 1e-9
