@@ -5,8 +5,9 @@ bytes (their first layer is a one-hot embedding, so a filter is a table of weigh
 maximum over places and a softmax. A document's languages are scored by the sum of its windows' log-probabilities,
 weighted by their length; the score is the softmax of the mean.
 
-The network is fitted on the driver on a sample of labelled rows: about ``per_language`` documents (in SHARES equal
-parts) of each of at most ``languages`` languages, those with the smallest hashes of their key, and ``windows_each`` windows of each. Prediction is one narrow pass over whole texts.
+The network is fitted on the driver on a sample of labelled rows: about ``per_language`` distinct rows (in SHARES equal
+parts) of each language, those with the smallest hashes of key and text, and ``windows_each`` windows of each. Every label is learned; where
+there are so many that these were more than ``most`` rows, fewer of each are drawn, but one at least. Prediction is one narrow pass over whole texts.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0; rows with a null label are not learned
 from; with no labelled row everything is ``und``; columns with the outputs' names give way to them.
@@ -114,23 +115,24 @@ def train(x: np.ndarray, y: np.ndarray, languages: list[str], epochs: int = 4, b
     return net
 
 
-def fit(labelled: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", per_language: int = 300, languages: int = 64, windows_each: int = 8) -> Network | None:
-    """Fit on labelled rows (see above for the bounds). Only keys and labels are ranked; only the sample's texts are read whole."""
+def fit(labelled: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", per_language: int = 300, most: int = 30_000, windows_each: int = 8) -> Network | None:
+    """Fit on labelled rows (see above for the bounds). Only hashes and labels are ranked; only the sample's texts come to the driver."""
     from pyspark.sql import Window
 
-    named = labelled.select(key, lang, text).where(F.col(lang).isNotNull() & F.col(text).isNotNull())
-    most = [r[0] for r in named.groupBy(lang).count().orderBy(F.desc("count"), lang).limit(languages).collect()]
-    if not most:
+    named = labelled.select(F.col(lang).alias("_l"), F.xxhash64(key, text).alias("_h"), F.col(text).alias("_t")).where(F.col(lang).isNotNull() & F.col(text).isNotNull())
+    known = sorted(r[0] for r in named.select("_l").distinct().collect())
+    if not known:
         return None
-    # a language is ranked in SHARES parts by hash, so that a common one does not meet in one task
-    ids = named.where(F.col(lang).isin(most)).select(F.col(key).alias("_k"), F.col(lang).alias("_l"), F.pmod(F.xxhash64(F.lit(1), key), F.lit(SHARES)).alias("_s"))
-    place = F.row_number().over(Window.partitionBy("_l", "_s").orderBy(F.xxhash64("_k"), "_k"))
-    chosen = ids.withColumn("_n", place).where(F.col("_n") <= -(-per_language // SHARES)).select("_k").distinct()
+    each = max(1, min(per_language, most // len(known)))
+    # a language is ranked in parts by hash, so that a common one does not meet in one task; copies of a row count once
+    parts = min(SHARES, each)
+    place = F.row_number().over(Window.partitionBy("_l", "_s").orderBy("_h"))
+    ids = named.select("_l", "_h").distinct().withColumn("_s", F.pmod(F.xxhash64(F.lit(1), "_h"), F.lit(parts)))
+    chosen = ids.withColumn("_n", place).where(F.col("_n") <= -(-each // parts)).select("_l", "_h")
     size = WINDOW * 4  # characters of a slice, so that each holds some windows
-    spread = F.transform(F.sequence(F.lit(0), F.lit(windows_each - 1)), lambda i: F.substring(text, (F.greatest(F.length(text) - size, F.lit(0)) * i / windows_each).cast("int") + 1, F.lit(WINDOW)))
-    rows = named.join(F.broadcast(chosen), F.col(key) == F.col("_k")).select(lang, F.array_distinct(spread).alias("slices"), F.xxhash64(key).alias("_h")).collect()
-    known = sorted(most)
-    pairs = sorted((r["_h"], known.index(r[lang]), s) for r in rows for s in r["slices"] if s)
+    spread = F.transform(F.sequence(F.lit(0), F.lit(windows_each - 1)), lambda i: F.substring("_t", (F.greatest(F.length("_t") - size, F.lit(0)) * i / windows_each).cast("int") + 1, F.lit(WINDOW)))
+    rows = named.join(F.broadcast(chosen), ["_l", "_h"]).select("_l", "_h", F.array_distinct(spread).alias("slices")).dropDuplicates(["_l", "_h"]).collect()
+    pairs = sorted((r["_h"], known.index(r["_l"]), s) for r in rows for s in r["slices"] if s)
     raw = [s.encode()[:WINDOW] for _, _, s in pairs]
     if not raw:
         return None
