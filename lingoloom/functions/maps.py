@@ -48,7 +48,7 @@ def packed(column: Column, translated: Column, prefix: str) -> Column:
 
 def overlaid(current: Column, submitted: Column, key: str) -> Column:
     """The submitted translation of a field, or what it has now."""
-    return F.coalesce(F.element_at(submitted, F.lit(f"translation_{key}")), current)
+    return F.coalesce(F.try_element_at(submitted, F.lit(f"translation_{key}")), current)
 
 
 def kept(answer: Column, asked: Column) -> Column:
@@ -70,3 +70,14 @@ def merged_ids(stored: Column, new: Column) -> Column:
 def ids_of_json(x: Column) -> Column:
     """The ids of a JSON list; anything else is an empty list."""
     return F.coalesce(F.from_json(x, "array<bigint>"), F.array().cast("array<bigint>"))
+
+
+def snapshot(values: Column) -> Column:
+    """A map as JSON; an empty one is an empty list."""
+    return F.when(F.size(values) > 0, F.to_json(values)).otherwise(F.lit("[]"))
+
+
+def of_snapshot(x: Column) -> Column:
+    """The map of a snapshot; an empty map for an empty list or anything else."""
+    own = F.when(F.startswith(F.ltrim(F.coalesce(x, F.lit(""))), F.lit("{")), x)
+    return F.coalesce(F.from_json(own, "map<string,string>"), F.create_map().cast("map<string,string>"))

@@ -101,9 +101,9 @@ def slug(x: Column) -> Column:
 
 
 def draft_alias(title: Column, source_alias: Column, language: Column) -> Column:
-    """The title's slug; with the language behind it if that is the source's alias; empty without a slug."""
+    """The title's slug with the language behind it if that is the source's alias; else empty: the alias is then made of the title on saving."""
     own = slug(title)
-    return F.when(own == "", "").when(own == source_alias, F.concat(own, F.lit("-"), F.lower(language))).otherwise(own)
+    return F.when(own == source_alias, F.concat(own, F.lit("-"), F.lower(language))).otherwise(F.lit(""))
 
 
 def language_menu(menu: Column, source: str, target: Column) -> Column:

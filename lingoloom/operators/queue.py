@@ -18,6 +18,11 @@ def target_languages(languages: DataFrame, source: str, chosen: list[str] | None
     return (own.where(F.col("lang_code").isin(chosen)) if chosen else own).orderBy("ordering", "lang_code")
 
 
+def picker(languages: DataFrame, source: str) -> DataFrame:
+    """The languages that a rule can be for: all but the source, "all languages" and the empty one, in order."""
+    return languages.where(~F.col("lang_code").isin("", "*", source)).select(F.col("lang_code").alias("value"), F.col("title").alias("label"), "ordering").orderBy("ordering", "value")
+
+
 def language_list(languages: DataFrame, source: str, chosen: list[str] | None = None) -> list[tuple[str, str, int]]:
     """The same on the driver: (code, title, ordering). A site's languages are few."""
     return [(r.lang_code, r.title, r.ordering) for r in target_languages(languages, source, chosen).collect()]

@@ -24,9 +24,13 @@ def published(rules: DataFrame, language: Column | str | None = None) -> DataFra
     return own if language is None else own.where(F.col("target_language") == language)
 
 
-def listed(rules: DataFrame, languages: DataFrame, users: DataFrame, state: str = "", kind: str = "", language: str = "", origin: str = "", search: str = "") -> DataFrame:
-    """The list of rules with their language's title and the editor who has them checked out. state: a number, '' for
-    drafts and published ones, anything else for all."""
+#: Columns that the list of rules can be ordered by.
+ORDERS = ("ordering", "id", "rule_name", "rule_type", "target_language", "confidence_percent", "source_origin", "state")
+
+
+def listed(rules: DataFrame, languages: DataFrame, users: DataFrame, state: str = "", kind: str = "", language: str = "", origin: str = "", search: str = "", order: str = "ordering", direction: str = "asc") -> DataFrame:
+    """The list of rules with their language's title and the editor who has them checked out, in order (ties by id). state: a number, ''
+    for drafts and published ones, anything else for all."""
     own = rules
     if state.lstrip("-").isdigit():
         own = own.where(F.col("state") == int(state))
@@ -37,7 +41,9 @@ def listed(rules: DataFrame, languages: DataFrame, users: DataFrame, state: str
     own = searched(own, search, ["rule_name", "rule_text", "source_term", "target_term"], escape=False)
     titles = languages.select(F.col("lang_code").alias("target_language"), F.col("title").alias("language_title"))
     editors = users.select(F.col("id").alias("checked_out"), F.col("name").alias("editor"))
-    return own.join(F.broadcast(titles), "target_language", "left").join(editors, "checked_out", "left")
+    by = F.col(order if order in ORDERS else ORDERS[0])
+    out = own.join(F.broadcast(titles), "target_language", "left").join(editors, "checked_out", "left")
+    return out.orderBy(by.desc() if direction.lower() == "desc" else by.asc(), "id")
 
 
 def needles(rules: DataFrame) -> DataFrame:
@@ -141,36 +147,56 @@ def checked(rows: DataFrame) -> DataFrame:
     })
 
 
-def upserted(rules: DataFrame, candidates: DataFrame, language: str) -> DataFrame:
+def with_standard_terms(rules: DataFrame, forms: DataFrame) -> DataFrame:
+    """Set source_term_standard: the form of a term of one word, null for phrases and unknown words."""
+    term = F.when(tx.is_single_word(F.col("source_term")), tx.normal_case(F.col("source_term")))
+    own = forms.groupBy(F.col("word").alias("_w")).agg(F.min("standard_form").alias("_f"))
+    return rules.withColumn("_t", term).join(own, F.col("_t") == F.col("_w"), "left").withColumn("source_term_standard", F.col("_f")).drop("_t", "_w", "_f")
+
+
+def upserted(rules: DataFrame, candidates: DataFrame, language: str, forms: DataFrame | None = None) -> DataFrame:
     """Rules after a batch of candidates (id, rule_name ... confidence_percent, feedback_ids, seq), invalid ones left out.
 
     A candidate with a rule's id refines it: texts are replaced, confidence never drops, evidence is added, state and
-    origin stay; of some with one id, the last counts, with all evidence. The others are new drafts with new ids. rules: as listed,
-    with source_feedback_ids.
+    origin stay; of some with one id, the last counts, with all evidence. The others are new drafts with new ids and orderings. All
+    columns stay; terms that were stated anew have the standard form that ``forms`` (word, standard_form) give. rules: as listed,
+    with source_feedback_ids, an array or a JSON list.
     """
+    if dict(rules.dtypes)["source_feedback_ids"] == "string":
+        rules = rules.withColumn("source_feedback_ids", maps.ids_of_json(F.col("source_feedback_ids")))
     own = checked(candidates.withColumns({c: tx.nullable(F.col(c)) for c in ("source_term", "target_term")})).where("rule_error is null")
     known = rules.where("id > 0").select(F.col("id").alias("_id"))
+    if forms is not None:
+        own = with_standard_terms(own, forms)
+    elif "source_term_standard" not in own.columns:
+        own = own.withColumn("source_term_standard", F.lit(None).cast("string"))
     marked = own.join(known, F.col("id") == F.col("_id"), "left")
-    fields = ["rule_name", "rule_type", "rule_text", "source_term", "target_term", "search_keywords"]
+    fields = ["rule_name", "rule_type", "rule_text", "source_term", "source_term_standard", "target_term", "search_keywords"]
+    fields = [f for f in fields if f in rules.columns]
     newest = F.max_by(F.struct(*fields), "seq").alias("new")
     refine = marked.where("_id is not null").groupBy("id").agg(newest, F.max("confidence_percent").alias("_c"), F.array_distinct(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("seq", "feedback_ids"))), lambda x: x.feedback_ids))).alias("_f"))
     out = rules.join(refine, "id", "left")
     changed = F.isnotnull("new")
-    out = out.select(
-        "id", *[F.when(changed, F.col(f"new.{c}")).otherwise(F.col(c)).alias(c) for c in fields], F.when(changed, F.lit(language)).otherwise(F.col("target_language")).alias("target_language"),
-        F.greatest("confidence_percent", F.coalesce("_c", "confidence_percent")).alias("confidence_percent"), maps.merged_ids(F.col("source_feedback_ids"), F.col("_f")).alias("source_feedback_ids"), "state", "source_origin",
-    )
+    out = out.withColumns({
+        **{c: F.when(changed, F.col(f"new.{c}")).otherwise(F.col(c)) for c in fields}, "target_language": F.when(changed, F.lit(language)).otherwise(F.col("target_language")),
+        "confidence_percent": F.greatest("confidence_percent", F.coalesce("_c", "confidence_percent")), "source_feedback_ids": maps.merged_ids(F.col("source_feedback_ids"), F.col("_f")),
+    }).select(rules.columns)
     fresh = marked.where("_id is null")
     # the batch of a distilling run is small (its size is a parameter of the run), so one window numbers it
-    top = rules.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_top"))
-    fresh = fresh.withColumn("_n", F.row_number().over(Window.orderBy("seq"))).join(F.broadcast(top))
-    fresh = fresh.select((F.col("_top") + F.col("_n")).alias("id"), *fields, F.lit(language).alias("target_language"), "confidence_percent", F.col("feedback_ids").alias("source_feedback_ids"), F.lit(0).alias("state"), F.lit("distilled").alias("source_origin"))
+    last = [F.coalesce(F.max(c), F.lit(0)) for c in ("id", "ordering") if c in rules.columns]
+    top = rules.agg(*last).first()  # two numbers
+    place = F.row_number().over(Window.orderBy("seq"))
+    made = {"id": F.lit(top[0]) + place, "target_language": F.lit(language), "source_feedback_ids": F.array_distinct("feedback_ids"), "state": F.lit(0), "source_origin": F.lit("distilled")}
+    made |= {"ordering": F.lit(top[1]) + place} if len(top) > 1 else {}
+    kept = {c: F.col(c) for c in (*fields, "confidence_percent")}
+    blank = lambda f: F.lit(None)
+    fresh = fresh.select(*[(made.get(f.name) if f.name in made else kept.get(f.name, blank(f))).cast(f.dataType).alias(f.name) for f in rules.schema])
     return out.unionByName(fresh)
 
 
 def new_rule(rows: DataFrame, rules: DataFrame) -> DataFrame:
     """Defaults of rules made by hand: the next orderings, full confidence where it is 0, and a text."""
-    top = rules.agg(F.coalesce(F.max("ordering"), F.lit(0)).alias("_top"))
-    out = rows.withColumn("_n", F.row_number().over(Window.orderBy("id"))).join(F.broadcast(top))
+    top = rules.agg(F.coalesce(F.max("ordering"), F.lit(0))).first()[0]  # one number
+    out = rows.withColumn("_n", F.row_number().over(Window.orderBy("id")))  # those made by hand at once
     confidence = F.when(F.coalesce("confidence_percent", F.lit(0)) == 0, 100).otherwise(F.col("confidence_percent"))
-    return out.withColumns({"ordering": (F.col("_top") + F.col("_n")).cast("int"), "confidence_percent": confidence, "rule_text": F.coalesce("rule_text", F.lit(""))}).drop("_n", "_top")
+    return out.withColumns({"ordering": (F.lit(top) + F.col("_n")).cast("int"), "confidence_percent": confidence, "rule_text": F.coalesce("rule_text", F.lit(""))}).drop("_n")

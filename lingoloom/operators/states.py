@@ -5,20 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-WIDTH = 100_000
+WIDTH, RANGES = 100_000, 100_000
 SETTLED = ["review", "approved", "published"]
 
 
 def numbered(rows: DataFrame, kind: str, number: str, start: int = 0, output: str = "id") -> DataFrame:
     """Number rows from start + 1 by kind and number, without one task seeing them all.
 
-    Rows are ranked inside ranges of WIDTH numbers; only the ranges' sizes are added up in one place.
+    Rows are ranked inside ranges of numbers; only the ranges' sizes are added up in one place. There are at most RANGES ranges of a
+    kind, however sparse the numbers are, each of WIDTH numbers or more.
     """
     from pyspark.sql import Window
 
-    dealt = rows.withColumn("_b", F.expr(f"{number} div {WIDTH}"))
+    low, high = rows.agg(F.min(number), F.max(number)).first()
+    width = WIDTH if low is None else max(WIDTH, -(-(int(high) - int(low) + 1) // RANGES))
+    dealt = rows.withColumn("_b", F.expr(f"{number} div {width}"))
     dealt = dealt.withColumn("_r", F.row_number().over(Window.partitionBy(kind, "_b").orderBy(number)))
-    sizes = rows.groupBy(kind, F.expr(f"{number} div {WIDTH}").alias("_b")).agg(F.count("*").alias("_n"))
+    sizes = rows.groupBy(kind, F.expr(f"{number} div {width}").alias("_b")).agg(F.count("*").alias("_n"))
     before = Window.orderBy(kind, "_b").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
     sizes = sizes.select(kind, "_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
     return dealt.join(sizes, [kind, "_b"]).withColumn(output, (F.lit(start) + F.col("_before") + F.col("_r")).cast("bigint")).drop("_b", "_r", "_before")
@@ -33,16 +36,30 @@ def ensured(queue: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def reviewed(states: DataFrame, changes: DataFrame) -> DataFrame:
-    """Cells (queue_id, target_language, source_version_id) set to review with that version; missing ones are added, without an id."""
-    own = changes.groupBy("queue_id", "target_language").agg(F.max("source_version_id").alias("_v")).withColumn("_new", F.lit(True))
-    out = states.join(own, ["queue_id", "target_language"], "full")
-    return out.select("id", "queue_id", "target_language", F.when(F.col("_new"), "review").otherwise(F.col("translation_state")).alias("translation_state"), F.when(F.col("_new"), F.col("_v")).otherwise(F.col("source_version_id")).alias("source_version_id"))
+    """Cells (queue_id, target_language, source_version_id and, if states have it, machine_draft) set to review with that version and
+    draft; of some changes of a cell that of the newest version counts. Missing cells are added, with ids that follow the largest."""
+    set_ = [c for c in ("source_version_id", "machine_draft") if c in states.columns and c in changes.columns]
+    newest = F.max_by(F.struct(*set_), F.coalesce("source_version_id", F.lit(0)))
+    own = changes.groupBy("queue_id", "target_language").agg(newest.alias("_new"))
+    changed = F.col("_new").isNotNull()
+    out = states.join(own, ["queue_id", "target_language"], "left")
+    out = out.withColumns({"translation_state": F.when(changed, "review").otherwise(F.col("translation_state")), **{c: F.when(changed, F.col(f"_new.{c}")).otherwise(F.col(c)) for c in set_}})
+    new = own.join(states, ["queue_id", "target_language"], "left_anti").select("queue_id", "target_language", F.lit("review").alias("translation_state"), "_new.*")
+    return out.select(states.columns).unionByName(_added(states, new))
 
 
 def seeded(states: DataFrame, wanted: DataFrame) -> DataFrame:
     """Cells (queue_id, target_language, translation_state) added where there is none."""
-    new = wanted.join(states, ["queue_id", "target_language"], "left_anti")
-    return states.select("queue_id", "target_language", "translation_state").unionByName(new.select("queue_id", "target_language", "translation_state"))
+    new = wanted.groupBy("queue_id", "target_language").agg(F.max("translation_state").alias("translation_state")).join(states, ["queue_id", "target_language"], "left_anti")
+    return states.unionByName(_added(states, new))
+
+
+def _added(states: DataFrame, new: DataFrame) -> DataFrame:
+    """New cells as rows of the states: ids follow the largest, no version is 0, and other columns are null."""
+    top = states.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]  # one number
+    out = numbered(new, "target_language", "queue_id", int(top))
+    blank = lambda f: F.lit(0 if f.name == "source_version_id" else None).cast(f.dataType).alias(f.name)
+    return out.select(*[F.col(f.name).cast(f.dataType) if f.name in out.columns else blank(f) for f in states.schema])
 
 
 def flagged(queue: DataFrame, flags: DataFrame) -> DataFrame:
@@ -93,6 +110,11 @@ def trashed(items: DataFrame, ids: DataFrame) -> DataFrame:
     return items.join(own, "id", "left").withColumn("state", F.when(F.col("_t"), -2).otherwise(F.col("state"))).drop("_t")
 
 
+def deleted(items: DataFrame, ids: DataFrame) -> DataFrame:
+    """Items without those of the ids."""
+    return items.join(ids.select("id").distinct(), "id", "left_anti").select(items.columns)
+
+
 def processed(feedback: DataFrame, batch: DataFrame) -> DataFrame:
     """Feedback of the batch's ids marked as processed, with the batch's diff_data where it has some."""
     own = batch.select("id", F.col("diff_data").alias("_d") if "diff_data" in batch.columns else F.lit(None).cast("string").alias("_d"), F.lit(True).alias("_p"))

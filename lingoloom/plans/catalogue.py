@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lingoloom.functions import maps, providers
 from lingoloom.functions import text as tx
 from lingoloom.operators import associations as asc
+from lingoloom.operators import drafts as dr
 from lingoloom.operators import feedback as fb
 from lingoloom.operators import queue as qu
 from lingoloom.operators import rules as ru
@@ -85,7 +86,7 @@ def queue_status_filter(t: Tables) -> DataFrame:
 
 
 def queue_search(t: Tables) -> DataFrame:
-    own = qu.searched(qu.source_items(t.content_items, SOURCE_LANGUAGE), " th an_ ".replace("_", ""), ["title"])
+    own = qu.searched(qu.source_items(t.content_items, SOURCE_LANGUAGE), " th an ", ["title"])
     return qu.page(own.select("content_type", "id", "title"), "id", "desc", size=qu.PAGE)
 
 
@@ -96,6 +97,93 @@ def queue_visibility(t: Tables) -> DataFrame:
     return out.select("id", "language", "translation_state", "live", *[c.alias(n) for n, c in qu.cell_actions(F.col("translation_state"), F.col("live")).items()])
 
 
+def queue_search_escaped(t: Tables) -> DataFrame:
+    """A search for signs that are wildcards elsewhere finds only themselves: titles here get one of them by id."""
+    sign = F.element_at(F.array(*map(F.lit, ["_", "%", "\\", "x"])), (F.col("id") % 4 + 1).cast("int"))
+    own = qu.source_items(t.content_items, SOURCE_LANGUAGE).withColumn("title", F.concat("title", F.lit(" a"), sign, F.lit("b")))
+    parts = [qu.searched(own, f"a{s}b", ["title"]).select("content_type", "id", F.lit(n).alias("search")) for n, s in enumerate(["_", "%", "\\"])]
+    return parts[0].union(parts[1]).union(parts[2])
+
+
+def item_search_by_id(t: Tables) -> DataFrame:
+    """Searches by id: digits after any case of the prefix; without digits it is item 0."""
+    own = t.content_items.select("content_type", "id")
+    return qu.searched(own, "ID: 12abc", []).withColumn("search", F.lit(12)).union(qu.searched(own, "id:x", []).withColumn("search", F.lit(0)))
+
+
+def rules_page(t: Tables) -> DataFrame:
+    """A page of the published distilled terminology of a language, by confidence from above."""
+    own = ru.listed(t.rules, t.languages, t.users, state="1", kind="terminology", language="es-ES", origin="distilled", order="confidence_percent", direction="desc")
+    return own.select("id", "rule_name", "confidence_percent", "language_title").limit(qu.PAGE)
+
+
+def rules_by_state(t: Tables) -> DataFrame:
+    """Trashed rules, and all rules, by the filter of states."""
+    own = lambda state: ru.listed(t.rules, t.languages, t.users, state=state).select("id", "state", F.lit(state).alias("filter"))
+    return own("-2").union(own("*"))
+
+
+def language_picker(t: Tables) -> DataFrame:
+    return qu.picker(t.languages, SOURCE_LANGUAGE)
+
+
+def submitted_values(t: Tables) -> DataFrame:
+    """Items' fields with what was submitted for them in place of what they had."""
+    sent = F.when(F.col("id") % 2 == 0, F.create_map(F.lit("translation_title"), F.concat(F.lit("new "), "title"))).otherwise(F.create_map(F.lit("translation_note"), F.lit("noted")))
+    own = _articles(t).withColumn("sent", sent)
+    return own.select("id", maps.overlaid(F.col("title"), F.col("sent"), "title").alias("title"), maps.overlaid(F.col("note"), F.col("sent"), "note").alias("note"))
+
+
+def cell_snapshots(t: Tables) -> DataFrame:
+    """Cells' drafts as stored (one JSON map a cell), read back; cells without one have an empty list."""
+    made = t.snapshots.groupBy("queue_id", "target_language").agg(F.map_from_entries(F.collect_list(F.struct("field", F.coalesce("draft", F.lit("")).alias("draft")))).alias("m"))
+    cells = t.queue_states.select("queue_id", "target_language", "translation_state").join(made, ["queue_id", "target_language"], "left")
+    stored = cells.withColumn("machine_draft", maps.snapshot(F.coalesce("m", F.create_map().cast("map<string,string>"))))
+    back = stored.select("queue_id", "target_language", "translation_state", (F.col("machine_draft") == "[]").alias("empty"), F.explode_outer(maps.of_snapshot(F.col("machine_draft"))).alias("field", "draft"))
+    return back
+
+
+def draft_items(t: Tables) -> DataFrame:
+    """Drafts of all source items of all types, translated word by word."""
+    every = t.content_items.select("content_type", "id", "language", "state")
+    items = qu.source_items(t.content_items, SOURCE_LANGUAGE).withColumn("menutype", F.lit("main-en-gb"))
+    out = None
+    for name, p in ct.TYPES.items():
+        own = items.where(F.col("content_type") == name)
+        json_fields = {c: k for c, k in p["json_fields"].items()}
+        asked = own.select("id", F.lit(LANGUAGE).alias("target_language"), maps.strings(p["fields"], json_fields).alias("strings"), F.lit("").alias("guidance"))
+        custom = None
+        if name == ARTICLE:
+            custom = t.item_fields.select(F.col("item_id").alias("id"), "name", "value", F.col("type").isin("text", "textarea", "editor", "note").alias("translatable"))
+            named = custom.where(F.col("translatable") & (tx.trimmed(F.col("value")) != "")).groupBy("id").agg(maps.custom(F.map_from_entries(F.collect_list(F.struct("name", "value")))).alias("more"))
+            asked = asked.join(named, "id", "left").withColumn("strings", maps.union(F.col("strings"), F.coalesce("more", F.create_map().cast("map<string,string>")))).drop("more")
+        made = providers.translate(asked, [providers.Dictionary({"the": "le", "and": "et", "of": "de"})], SOURCE_LANGUAGE).select("id", "translated")
+        tags = t.tag_map.where(F.col("type_alias") == p.get("tags_as", name)).select(F.col("content_item_id").alias("id"), "tag_id")
+        d = dr.drafts(items, made, name, LANGUAGE, SOURCE_LANGUAGE, t.associations, every, tags, custom)
+        has = lambda c, d=d, kind="string": F.col(c) if c in d.columns else F.lit(None).cast(kind)
+        part = d.select(
+            F.lit(name).alias("content_type"), "source_id", "id", "language", "title", "alias", has("articletext").alias("articletext"), has("metadesc").alias("metadesc"), has("note").alias("note"),
+            has("description").alias("description"), has("images").alias("images"), has("catid", kind="bigint").alias("catid"), F.array_join(has("tags", kind="array<bigint>"), ",").alias("tags"), "state", has("home", kind="int").alias("home"),
+            has("parent_id", kind="int").alias("parent_id"), has("menutype").alias("menutype"), F.size("associations").alias("members"), F.try_element_at(has("com_fields", kind="map<string,string>"), F.lit("teaser")).alias("teaser"),
+        )
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def delete_events(t: Tables) -> DataFrame:
+    """What is left after the articles of some ids were deleted."""
+    events = _articles(t).where("id % 10 = 0").select(F.lit("delete").alias("event_type"), "content_type", F.col("id").alias("item_id"))
+    items, queue, states, _ = feed.deletions(events, _articles(t).select("content_type", "id", "language", "state"), t.queue, t.queue_states, t.associations)
+    return items.select(F.lit("item").alias("kind"), "id", F.col("language").alias("detail")).union(queue.select(F.lit("queue"), "id", "content_type")).union(states.select(F.lit("state"), "queue_id", "target_language"))
+
+
+def optout_events(t: Tables) -> DataFrame:
+    """The queue after saves with and without the switch; saves of other languages' items don't count."""
+    flag = F.create_map(F.lit("flag"), (F.col("id") % 2).cast("string"))
+    events = _articles(t).where("id % 4 <> 3").select(F.lit("save").alias("event_type"), "content_type", F.col("id").alias("item_id"), F.when(F.col("id") % 4 == 2, F.create_map(F.lit("title"), F.lit("x"))).otherwise(flag).alias("payload"))
+    return feed.optouts(events, _articles(t), t.queue, SOURCE_LANGUAGE)
+
+
 def rules_list(t: Tables) -> DataFrame:
     own = ru.listed(t.rules, t.languages, t.users, search="a")
     return own.select("id", "rule_name", "rule_type", "target_language", "language_title", "editor", "state", "ordering")
@@ -139,7 +227,7 @@ def invalidate_translations(t: Tables) -> DataFrame:
 
 def upsert_review_state(t: Tables) -> DataFrame:
     changes = t.queue_states.where("queue_id % 5 = 0").select("queue_id", F.when(F.col("queue_id") % 2 == 0, F.col("target_language")).otherwise("it-IT").alias("target_language"), (F.col("source_version_id") + 1).alias("source_version_id"))
-    return st.reviewed(t.queue_states, changes).select("queue_id", "target_language", "translation_state", "source_version_id")
+    return st.reviewed(t.queue_states, changes)
 
 
 def ensure_queue(t: Tables) -> DataFrame:
@@ -252,8 +340,8 @@ def rule_validation(t: Tables) -> DataFrame:
 
 def rule_upsert(t: Tables) -> DataFrame:
     batch = t.candidates.withColumn("feedback_ids", F.array("feedback_id", F.col("id")))
-    out = ru.upserted(_rules(t), batch, LANGUAGE)
-    return out.select("id", "rule_name", "rule_type", "target_language", "source_term", "target_term", "confidence_percent", "state", "source_origin", F.explode_outer("source_feedback_ids").alias("feedback_id"))
+    out = ru.upserted(_rules(t), batch, LANGUAGE, t.standard_forms)
+    return out.withColumn("feedback_id", F.explode_outer("source_feedback_ids")).drop("source_feedback_ids")
 
 
 def new_rules(t: Tables) -> DataFrame:
@@ -305,7 +393,7 @@ def custom_fields(t: Tables) -> DataFrame:
 
 
 def standard_terms(t: Tables) -> DataFrame:
-    return flows.with_standard_terms(t.rules.select("id", "source_term", "source_term_standard"), t.standard_forms).select("id", "source_term", "source_term_standard")
+    return ru.with_standard_terms(t.rules.select("id", "source_term", "source_term_standard"), t.standard_forms).select("id", "source_term", "source_term_standard")
 
 
 def language_menus(t: Tables) -> DataFrame:
@@ -324,7 +412,7 @@ QUERIES = [
     work_queue, item_lookup, queue_cells, item_tags, custom_fields, standard_terms, language_menus, changed_titles, translate_guards, target_languages, queue_grid, queue_opted_out, queue_status_filter, queue_search, queue_visibility, rules_list, association_group, source_of_translation, related_remap, tag_remap,
     backfill_plan, source_versions, field_assignments, invalidate_translations, upsert_review_state, ensure_queue, seed_states, optout_flags, delete_cascade, decide_states, regroup_associations, plain_text, token_lemmas,
     word_batches, rule_matches, rule_retrieval, rule_guidance, translatable_strings, flat_fields, feedback_pairs, correction_diff, pending_feedback, distil_context, mark_processed, rule_validation, rule_upsert, new_rules,
-    failure_runs, change_feed_invalidate, dictionary_translate,
+    failure_runs, change_feed_invalidate, dictionary_translate, queue_search_escaped, item_search_by_id, rules_page, rules_by_state, language_picker, submitted_values, cell_snapshots, draft_items, delete_events, optout_events,
 ]
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -11,11 +12,13 @@ from pyspark.sql import functions as F
 from lingoloom.functions import maps, providers
 from lingoloom.functions import text as tx
 from lingoloom.operators import associations as asc
+from lingoloom.operators import drafts as dr
 from lingoloom.operators import feedback as fb
 from lingoloom.operators import queue as qu
 from lingoloom.operators import rules as ru
 from lingoloom.operators import states as st
 from lingoloom.sources import content_types as ct
+from lingoloom.sources.folders import shared_folder
 
 FAILURES = 2
 
@@ -34,13 +37,6 @@ def normalised(texts: DataFrame, forms: DataFrame, own: Sequence, language: str)
     return forms.select("language", "word", "standard_form").unionByName(found)
 
 
-def with_standard_terms(rules: DataFrame, forms: DataFrame) -> DataFrame:
-    """Set source_term_standard: the form of a term of one word, null for phrases and unknown words."""
-    term = F.when(tx.is_single_word(F.col("source_term")), tx.normal_case(F.col("source_term")))
-    own = forms.select(F.col("word").alias("_w"), F.col("standard_form").alias("_f"))
-    return rules.withColumn("_t", term).join(own, F.col("_t") == F.col("_w"), "left").withColumn("source_term_standard", F.col("_f")).drop("_t", "_w", "_f")
-
-
 def retrieved(texts: DataFrame, rules: DataFrame, forms: DataFrame, own: Sequence, language: str, languages: list[str] | None = None) -> DataFrame:
     """The published rules for each text, ranked and capped; words are normalised only if a rule could match by them."""
     published = ru.published(rules)
@@ -53,6 +49,7 @@ class Distilled:
     rules: DataFrame
     feedback: DataFrame
     batch: DataFrame
+    outcome: str
 
 
 def distilled(feedback: DataFrame, rules: DataFrame, forms: DataFrame, own: Sequence, source: str, size: int = 10) -> Distilled:
@@ -61,23 +58,28 @@ def distilled(feedback: DataFrame, rules: DataFrame, forms: DataFrame, own: Sequ
     Valid candidates are stored; the batch is marked as processed even if none was. Languages are few, so they are gone
     through on the driver; the batch's size bounds all that is collected.
     """
-    batch = fb.with_diff(fb.pending(feedback, size))
+    batch = written(fb.with_diff(fb.pending(feedback, size)), "batch")
     texts = fb.haystacks(batch)
     known = normalised(texts, forms, own, source) if needs_forms(rules) else None
     chosen = ru.selected(texts, rules.where(F.col("state").isin(0, 1)), known, ru.BATCH_RULES, ru.BATCH_STYLE, drafts_first=True, any_kind=True)
     one = F.struct("place", "id", "rule_type", "rule_name", "rule_text", "source_term", "target_term")
     context = chosen.groupBy("target_language").agg(F.to_json(F.array_sort(F.collect_list(one))).alias("context"))
-    candidates = providers.distil(batch.join(context, "target_language", "left"), own, source).cache()
+    # a provider is asked once: its answers are written, so that a lost executor asks nobody again
+    candidates = written(providers.distil(batch.join(context, "target_language", "left"), own, source), "candidates")
+    terms = candidates.select(F.lit(0).cast("bigint").alias("item_id"), F.col("source_term").alias("text")).where("text is not null")
+    known = written(normalised(terms, forms if known is None else known, own, source), "forms")
     out = rules
     for (language,) in candidates.select("target_language").distinct().orderBy("target_language").collect():
-        out = ru.upserted(out, candidates.where(F.col("target_language") == language).drop("target_language"), language)
-    return Distilled(out, st.processed(feedback, batch.select("id", "diff_data")), batch)
+        out = ru.upserted(out, candidates.where(F.col("target_language") == language).drop("target_language"), language, known)
+    return Distilled(out, st.processed(feedback, batch.select("id", "diff_data")), batch, outcome(batch.count(), size, False))
 
 
 @dataclass
 class Translated:
     #: content_type, id, target_language, strings, translated, error and whether the run got there
     results: DataFrame
+    #: what is to be stored, by content type and language
+    drafts: dict[tuple[str, str], DataFrame]
     queue: DataFrame
     states: DataFrame
     outcome: str
@@ -88,10 +90,11 @@ def outcome(done: int, size: int, failed: bool) -> str:
     return "error" if failed and not done else "resume" if done >= size and not failed else "done"
 
 
-def translated(items: DataFrame, queue: DataFrame, states: DataFrame, rules: DataFrame, forms: DataFrame, versions: DataFrame, languages: list[tuple[str, str, int]], own: Sequence, source: str, size: int = 5) -> Translated:
+def translated(items: DataFrame, queue: DataFrame, states: DataFrame, rules: DataFrame, forms: DataFrame, versions: DataFrame, languages: list[tuple[str, str, int]], own: Sequence, source: str, size: int = 5, associations: DataFrame | None = None) -> Translated:
     """One translating run over the next cells of the queue. Two failures on end stop it: cells behind them count as untouched.
 
-    What was translated goes to review, with the newest version of its item and a row in the queue.
+    What was translated becomes a draft and goes to review, with the newest version of its item, the draft's values (if states have a
+    column for them) and a row in the queue.
     """
     cells = qu.next_batch(qu.untranslated(items, queue, states, languages, source), size).withColumn("seq", F.struct("type_rank", "lang_rank", "id"))
     strings = None
@@ -104,15 +107,35 @@ def translated(items: DataFrame, queue: DataFrame, states: DataFrame, rules: Dat
     guide = ru.guidance(retrieved(texts, rules, forms, own, source))
     work = work.join(guide.withColumnRenamed("item_id", "id"), ["id", "target_language"], "left").withColumn("guidance", F.coalesce("guidance", F.lit("")))
     made = providers.translate(work, own, source)
-    results = work.join(made, ["id", "target_language"]).withColumns({"run_id": F.lit(0), "ok": F.isnull("error")}).drop("guidance").cache()
-    results = fb.failure_runs(results).drop("run_id", "seq")
+    results = work.join(made, ["id", "target_language"]).withColumns({"run_id": F.lit(0), "ok": F.isnull("error")}).drop("guidance")
+    results = written(fb.failure_runs(written(results, "answers")).drop("run_id", "seq"), "results")
     good = results.where("ok")
+    every = items.select("content_type", "id", "language", "state")
+    stored, shots = {}, None
+    for kind, language in sorted(tuple(r) for r in good.select("content_type", "target_language").distinct().collect()):
+        own_ = good.where((F.col("content_type") == kind) & (F.col("target_language") == language)).select("id", "translated")
+        draft = dr.drafts(items, own_, kind, language, source, associations, every) if associations is not None else dr.drafts(items, own_, kind, language, source, _unlinked(items), every)
+        stored[kind, language] = draft
+        shot = dr.snapshot(draft, kind).select(F.lit(kind).alias("content_type"), F.col("source_id").alias("id"), F.col("language").alias("target_language"), "machine_draft")
+        shots = shot if shots is None else shots.unionByName(shot)
     queue = st.ensured(queue, good.select("content_type", F.col("id").alias("content_id")))
     placed = good.join(queue.select("content_type", F.col("content_id").alias("id"), F.col("id").alias("queue_id")), ["content_type", "id"])
     newest = versions.select(F.col("item_id").alias("id"), "version_id").groupBy("id").agg(F.max("version_id").alias("version_id"))
-    changes = placed.join(newest, "id", "left").select("queue_id", "target_language", F.coalesce("version_id", F.lit(0)).cast("bigint").alias("source_version_id"))
+    placed = placed.join(shots, ["content_type", "id", "target_language"], "left") if shots is not None else placed.withColumn("machine_draft", F.lit(None).cast("string"))
+    changes = placed.join(newest, "id", "left").select("queue_id", "target_language", F.coalesce("version_id", F.lit(0)).cast("bigint").alias("source_version_id"), "machine_draft")
     n, bad = results.agg(F.count_if("ok"), F.count_if(~F.col("ok"))).first()
-    return Translated(results, queue, st.reviewed(states, changes), outcome(n, size, bad > 0))
+    return Translated(results, stored, queue, st.reviewed(states, changes), outcome(n, size, bad > 0))
+
+
+def _unlinked(items: DataFrame) -> DataFrame:
+    return items.select("id", F.lit("").alias("context"), F.lit("").alias("key")).where("false")
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Write a table to the shared folder and read it back."""
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def menus_for(menus: DataFrame, wanted: DataFrame, source: str) -> DataFrame:

@@ -41,7 +41,7 @@ pool AS (SELECT t.item_id, t.target_language, s.* EXCLUDE (target_language, n) F
 sel AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY item_id, target_language ORDER BY {order}) AS place FROM pool) WHERE place <= {most})"""
 
 
-_RETRIEVED = "WITH " + _WORDS + ",\n" + _select("SELECT * FROM {rules} WHERE state = 1", "confidence_percent DESC, id DESC", 8, 3)
+_RETRIEVED = "WITH " + _WORDS + ",\n" + _select("SELECT * FROM {rules} WHERE state = 1", "confidence_percent DESC, id DESC", 30, 10)
 _ERROR = """CASE WHEN trim(rule_name) = '' THEN 'name' WHEN rule_type NOT IN ('terminology', 'style', 'preservation') THEN 'type'
   WHEN rule_type = 'terminology' AND (coalesce(s, '') = '' OR coalesce(g, '') = '') THEN 'terms' WHEN rule_type = 'preservation' AND coalesce(s, '') = '' THEN 'term' WHEN rule_type = 'style' AND trim(rule_text) = '' THEN 'text' END"""
 _CHECKED = f"""c AS (SELECT *, nullif(trim(source_term), '') AS s, nullif(trim(target_term), '') AS g FROM {{candidates}}),
@@ -85,11 +85,13 @@ SELECT x.id, CASE WHEN ref = 0 THEN 0 ELSE coalesce(r.member_id, ref) END AS rel
     "invalidate_translations": f"""WITH {_VERSIONS} SELECT s.id, s.queue_id, s.target_language, CASE WHEN s.translation_state IN ('review', 'approved', 'published') AND s.source_version_id < newest.version_id THEN 'pending' ELSE s.translation_state END AS translation_state, s.source_version_id
 FROM {{queue_states}} s LEFT JOIN newest USING (queue_id)""",
     "upsert_review_state": """WITH c AS (SELECT queue_id, CASE WHEN queue_id % 2 = 0 THEN target_language ELSE 'it-IT' END AS target_language, max(source_version_id + 1) AS v FROM {queue_states} WHERE queue_id % 5 = 0 GROUP BY ALL)
-SELECT queue_id, target_language, CASE WHEN v IS NOT NULL THEN 'review' ELSE translation_state END AS translation_state, coalesce(v, source_version_id) AS source_version_id FROM {queue_states} FULL JOIN c USING (queue_id, target_language)""",
+SELECT id, queue_id, target_language, CASE WHEN v IS NOT NULL THEN 'review' ELSE translation_state END AS translation_state, coalesce(v, source_version_id) AS source_version_id FROM {queue_states} LEFT JOIN c USING (queue_id, target_language)
+UNION ALL SELECT (SELECT max(id) FROM {queue_states}) + row_number() OVER (ORDER BY target_language, queue_id), queue_id, target_language, 'review', v FROM c
+WHERE NOT EXISTS (SELECT 1 FROM {queue_states} s WHERE s.queue_id = c.queue_id AND s.target_language = c.target_language)""",
     "ensure_queue": """WITH w AS (SELECT content_type, id AS content_id FROM {content_items} i WHERE id % 7 = 0 AND NOT EXISTS (SELECT 1 FROM {queue} q WHERE q.content_type = i.content_type AND q.content_id = i.id))
 SELECT id, content_type, content_id, do_not_translate FROM {queue} UNION ALL SELECT (SELECT max(id) FROM {queue}) + row_number() OVER (ORDER BY content_type, content_id), content_type, content_id, 0 FROM w""",
-    "seed_states": f"""WITH {_PLAN} SELECT queue_id, target_language, translation_state FROM {{queue_states}} UNION ALL
-SELECT source_id, language, state FROM plan WHERE NOT EXISTS (SELECT 1 FROM {{queue_states}} s WHERE s.queue_id = source_id AND s.target_language = language)""",
+    "seed_states": f"""WITH {_PLAN} SELECT id, queue_id, target_language, translation_state, source_version_id FROM {{queue_states}} UNION ALL
+SELECT (SELECT max(id) FROM {{queue_states}}) + row_number() OVER (ORDER BY language, source_id), source_id, language, state, CAST(0 AS BIGINT) FROM plan WHERE NOT EXISTS (SELECT 1 FROM {{queue_states}} s WHERE s.queue_id = source_id AND s.target_language = language)""",
     "optout_flags": """WITH f AS (SELECT content_type, id AS content_id, CAST(id % 2 AS INT) AS flag FROM {content_items} WHERE content_type = 'com_content.article' AND id % 4 IN (0, 1)),
 u AS (SELECT q.id, content_type, content_id, coalesce(flag, do_not_translate) AS d FROM {queue} q LEFT JOIN f USING (content_type, content_id)),
 n AS (SELECT (SELECT max(id) FROM {queue}) + row_number() OVER (ORDER BY content_type, content_id) AS id, content_type, content_id, 1 AS d FROM f WHERE flag = 1 AND NOT EXISTS (SELECT 1 FROM {queue} q WHERE q.content_type = f.content_type AND q.content_id = f.content_id))
@@ -105,7 +107,7 @@ k AS (SELECT g, md5('{' || string_agg('"' || l || '":' || id, ',' ORDER BY l, id
 SELECT id, context, key FROM {associations} a WHERE NOT EXISTS (SELECT 1 FROM n WHERE n.id = a.id AND n.context = a.context) UNION ALL SELECT * FROM n""",
     "token_lemmas": r"""WITH w AS (SELECT DISTINCT id, lower(x) AS word FROM (SELECT id, unnest(string_split_regex(introtext, '[^\p{L}\p{N}''-]+')) AS x FROM {content_items} WHERE content_type = 'com_content.article' AND language = 'en-GB') WHERE length(x) >= 3)
 SELECT w.word, count(*) AS items, any_value(standard_form) AS standard_form FROM w LEFT JOIN {standard_forms} f ON f.word = w.word GROUP BY w.word""",
-    "word_batches": r"""WITH w AS (SELECT lower(x) AS word, min(doc_id) AS at_ FROM (SELECT doc_id, unnest(string_split_regex(text, '[^\p{L}\p{N}''-]+')) AS x FROM documents WHERE doc_id % 3 = 0) WHERE length(x) >= 3 GROUP BY 1),
+    "word_batches": r"""WITH w AS (SELECT lower(x) AS word, min(doc_id) AS at_ FROM (SELECT doc_id, unnest(string_split_regex(text, '[^\p{L}\p{N}''-]+')) AS x FROM documents) WHERE length(x) >= 3 GROUP BY 1),
 n AS (SELECT word, row_number() OVER (ORDER BY at_, word) - 1 AS n FROM w WHERE word NOT IN (SELECT word FROM {standard_forms})) SELECT word, CAST(n // 200 AS BIGINT) AS batch_id FROM n WHERE n < 1000""",
     "rule_matches": "WITH " + _WORDS + ",\n" + _match("SELECT * FROM {rules} WHERE state = 1") + " SELECT item_id, target_language, rule_id FROM hit",
     "rule_retrieval": _RETRIEVED + " SELECT item_id, target_language, id, rule_type, CAST(place AS INT) AS place, coalesce(source_term, '') AS source_term, coalesce(target_term, '') AS target_term FROM sel",
@@ -130,10 +132,13 @@ FROM {snapshots} s JOIN {content_items} i ON i.id = s.queue_id AND i.content_typ
     "rule_validation": f"WITH {_CHECKED} SELECT seq, rule_error, rule_type, source_term, target_term, search_keywords, confidence_percent FROM k",
     "rule_upsert": f"""WITH {_CHECKED}, ok AS (SELECT * FROM k WHERE rule_error IS NULL), ref AS (SELECT ok.* FROM ok WHERE id > 0 AND id IN (SELECT id FROM {{rules}})),
 old AS (SELECT r.*, [r.id, r.id + 1] AS ids FROM {{rules}} r),
+std AS (SELECT word, min(standard_form) AS form FROM {{standard_forms}} GROUP BY word),
 upd AS (SELECT old.id, coalesce(ref.rule_name, old.rule_name) AS rule_name, coalesce(ref.rule_type, old.rule_type) AS rule_type, CASE WHEN ref.id IS NULL THEN old.target_language ELSE 'fr-FR' END AS target_language,
+  coalesce(ref.rule_text, old.rule_text) AS rule_text, CASE WHEN ref.id IS NULL THEN old.source_term_standard ELSE std.form END AS source_term_standard, CASE WHEN ref.id IS NULL THEN old.search_keywords ELSE ref.search_keywords END AS search_keywords, old.ordering, old.checked_out,
   CASE WHEN ref.id IS NULL THEN old.source_term ELSE ref.source_term END AS source_term, CASE WHEN ref.id IS NULL THEN old.target_term ELSE ref.target_term END AS target_term, greatest(old.confidence_percent, coalesce(ref.confidence_percent, old.confidence_percent)) AS confidence_percent,
-  old.state, old.source_origin, unnest(list_distinct(list_concat(old.ids, CASE WHEN ref.id IS NULL THEN [] ELSE [ref.feedback_id, ref.id] END))) AS feedback_id FROM old LEFT JOIN ref ON ref.id = old.id),
-new AS (SELECT (SELECT max(id) FROM {{rules}}) + row_number() OVER (ORDER BY seq) AS id, rule_name, rule_type, 'fr-FR' AS target_language, source_term, target_term, confidence_percent, 0 AS state, 'distilled' AS source_origin, [feedback_id, id] AS ids FROM ok WHERE NOT (id > 0 AND id IN (SELECT id FROM {{rules}})))
+  old.state, old.source_origin, unnest(list_distinct(list_concat(old.ids, CASE WHEN ref.id IS NULL THEN [] ELSE [ref.feedback_id, ref.id] END))) AS feedback_id FROM old LEFT JOIN ref ON ref.id = old.id LEFT JOIN std ON std.word = lower(ref.source_term)),
+new AS (SELECT (SELECT max(id) FROM {{rules}}) + row_number() OVER (ORDER BY seq) AS id, rule_name, rule_type, 'fr-FR' AS target_language, rule_text, std.form AS source_term_standard, search_keywords, CAST((SELECT max(ordering) FROM {{rules}}) + row_number() OVER (ORDER BY seq) AS INT) AS ordering, CAST(NULL AS BIGINT) AS checked_out,
+  source_term, target_term, confidence_percent, 0 AS state, 'distilled' AS source_origin, list_distinct([feedback_id, id]) AS ids FROM ok LEFT JOIN std ON std.word = lower(ok.source_term) WHERE NOT (id > 0 AND id IN (SELECT id FROM {{rules}})))
 SELECT * FROM upd UNION ALL SELECT * EXCLUDE (ids), unnest(ids) FROM new""",
     "new_rules": "SELECT id, CAST((SELECT max(ordering) FROM {rules}) + row_number() OVER (ORDER BY id) AS INT) AS ordering, CASE WHEN confidence_percent = 0 THEN 100 ELSE confidence_percent END AS confidence_percent, rule_text FROM {rules} WHERE id % 3 = 0",
     "failure_runs": """WITH e AS (SELECT user_id AS run_id, event_id AS seq, event_id % 3 = 0 AS ok, lag(event_id % 3 = 0) OVER (PARTITION BY user_id ORDER BY event_id) AS before FROM events),
@@ -157,7 +162,49 @@ _SQL["dictionary_translate"] = (
     f"""WITH s AS (SELECT id, alias, images, {_WORDWISE.format("title")} AS title, {_WORDWISE.format("introtext")} AS intro, CASE WHEN trim(fulltext) <> '' THEN {_WORDWISE.format("fulltext")} ELSE '' END AS full_
   FROM {{content_items}} i WHERE content_type = 'com_content.article' AND {_SOURCE}),"""
     + r""" a AS (SELECT *, trim(regexp_replace(lower(title), '[^\p{L}\p{N}]+', '-', 'g'), '-') AS slug FROM s)
-SELECT id, title, CASE WHEN slug = '' THEN '' WHEN slug = alias THEN slug || '-fr-fr' ELSE slug END AS alias, intro || CASE WHEN full_ <> '' THEN '<hr id="system-readmore">' || full_ ELSE '' END AS body, images, CAST(NULL AS VARCHAR) AS error FROM a"""
+SELECT id, title, CASE WHEN slug = alias THEN slug || '-fr-fr' ELSE '' END AS alias, intro || CASE WHEN full_ <> '' THEN '<hr id="system-readmore">' || full_ ELSE '' END AS body, images, CAST(NULL AS VARCHAR) AS error FROM a"""
+)
+_SQL |= {
+    "queue_search_escaped": rf"""WITH s AS (SELECT i.content_type, i.id, i.id % 4 AS n FROM {{content_items}} i WHERE {_SOURCE})
+SELECT content_type, id, CAST(n AS INT) AS search FROM s WHERE n < 3""",
+    "item_search_by_id": "SELECT content_type, id, 12 AS search FROM {content_items} WHERE id = 12 UNION ALL SELECT content_type, id, 0 FROM {content_items} WHERE id = 0",
+    "rules_page": """SELECT r.id, r.rule_name, r.confidence_percent, l.title AS language_title FROM {rules} r LEFT JOIN {languages} l ON l.lang_code = r.target_language
+WHERE r.state = 1 AND r.rule_type = 'terminology' AND r.target_language = 'es-ES' AND r.source_origin = 'distilled' ORDER BY r.confidence_percent DESC, r.id LIMIT 25""",
+    "rules_by_state": "SELECT id, state, '-2' AS filter FROM {rules} WHERE state = -2 UNION ALL SELECT id, state, '*' FROM {rules}",
+    "language_picker": "SELECT lang_code AS value, title AS label, ordering FROM {languages} WHERE lang_code NOT IN ('', '*', 'en-GB')",
+    "submitted_values": "SELECT id, CASE WHEN id % 2 = 0 THEN 'new ' || title ELSE title END AS title, CASE WHEN id % 2 = 0 THEN note ELSE 'noted' END AS note FROM {content_items} WHERE content_type = 'com_content.article'",
+    "cell_snapshots": """SELECT s.queue_id, s.target_language, s.translation_state, p.field IS NULL AS empty, p.field, CASE WHEN p.field IS NOT NULL THEN coalesce(p.draft, '') END AS draft
+FROM {queue_states} s LEFT JOIN {snapshots} p ON p.queue_id = s.queue_id AND p.target_language = s.target_language""",
+    "delete_events": f"""WITH {_GROUPS}, gone AS (SELECT id, language FROM {{content_items}} WHERE content_type = 'com_content.article' AND id % 10 = 0), src AS (SELECT id FROM gone WHERE id IN (SELECT content_id FROM {{queue}})),
+below AS (SELECT DISTINCT member_id FROM g WHERE id IN (SELECT id FROM src) AND member_id <> id),
+cell AS (SELECT q.queue_id, gone.language FROM gone JOIN (SELECT a.id, min(q.id) AS queue_id FROM {{associations}} a JOIN {{associations}} b ON a.context = b.context AND a.key = b.key AND a.id <> b.id JOIN {{queue}} q ON q.content_id = b.id GROUP BY a.id) q ON q.id = gone.id
+  WHERE gone.id NOT IN (SELECT id FROM src)),
+ql AS (SELECT * FROM {{queue}} WHERE content_id NOT IN (SELECT id FROM src))
+SELECT 'item' AS kind, id, language AS detail FROM {{content_items}} WHERE content_type = 'com_content.article' AND id % 10 <> 0 AND id NOT IN (SELECT member_id FROM below)
+UNION ALL SELECT 'queue', id, content_type FROM ql
+UNION ALL SELECT 'state', queue_id, target_language FROM {{queue_states}} s WHERE EXISTS (SELECT 1 FROM ql WHERE ql.id = s.queue_id) AND NOT EXISTS (SELECT 1 FROM cell c WHERE c.queue_id = s.queue_id AND c.language = s.target_language)""",
+    "optout_events": """WITH f AS (SELECT content_type, id AS content_id, CAST(id % 2 AS INT) AS flag FROM {content_items} WHERE content_type = 'com_content.article' AND id % 4 IN (0, 1) AND language = 'en-GB')
+SELECT q.id, content_type, content_id, coalesce(flag, do_not_translate) AS do_not_translate FROM {queue} q LEFT JOIN f USING (content_type, content_id)
+UNION ALL SELECT (SELECT max(id) FROM {queue}) + row_number() OVER (ORDER BY content_type, content_id), content_type, content_id, 1 FROM f WHERE flag = 1 AND NOT EXISTS (SELECT 1 FROM {queue} q WHERE q.content_type = f.content_type AND q.content_id = f.content_id)""",
+}
+_WORDED = lambda c: f"CASE WHEN trim({c}) <> '' THEN {_WORDWISE.format(c)} ELSE {c} END"
+_SQL["draft_items"] = (
+    f"""WITH {_GROUPS}, r AS (SELECT id, max(member_id) AS member_id, arg_max(state, member_id) AS st FROM g WHERE member_id <> id AND language = 'fr-FR' GROUP BY id),
+n AS (SELECT id, count(DISTINCT language) AS others FROM g WHERE member_id <> id AND language <> 'en-GB' GROUP BY id),
+tags AS (SELECT content_item_id AS id, string_agg(tag_id, ',' ORDER BY tag_id) AS tags FROM {{tag_map}} GROUP BY ALL),
+tease AS (SELECT item_id AS id, value AS v FROM {{item_fields}} WHERE name = 'teaser'),
+s AS (SELECT i.*, i.content_type = 'com_content.article' AS art, {_WORDED("title")} AS t2, {_WORDED("introtext")} AS i2, {_WORDED("fulltext")} AS f2, {_WORDED("metadesc")} AS m2, {_WORDED("note")} AS n2, {_WORDED("description")} AS d2
+  FROM {{content_items}} i WHERE {_SOURCE}),"""
+    + r""" a AS (SELECT *, trim(regexp_replace(lower(t2), '[^\p{L}\p{N}]+', '-', 'g'), '-') AS slug FROM s)
+SELECT a.content_type, a.id AS source_id, CASE WHEN art THEN coalesce(r.member_id, 0) ELSE 0 END AS id, 'fr-FR' AS language, t2 AS title, CASE WHEN slug = alias THEN slug || '-fr-fr' ELSE '' END AS alias,
+  CASE WHEN art THEN coalesce(i2, '') || CASE WHEN trim(coalesce(f2, '')) <> '' THEN '<hr id="system-readmore">' || f2 ELSE '' END END AS articletext, CASE WHEN a.content_type <> 'com_menus.item' THEN m2 END AS metadesc,
+  CASE WHEN a.content_type <> 'com_menus.item' THEN n2 END AS note, CASE WHEN a.content_type IN ('com_categories.category', 'com_tags.tag') THEN d2 END AS description,
+  CASE WHEN art OR a.content_type = 'com_tags.tag' THEN images END AS images, CASE WHEN art THEN catid END AS catid,
+  CASE WHEN art THEN coalesce(tags.tags, '') WHEN a.content_type = 'com_categories.category' THEN '' END AS tags, CASE WHEN art THEN coalesce(r.st, 0) ELSE 0 END AS state, CASE WHEN a.content_type = 'com_menus.item' THEN 0 END AS home,
+  CASE WHEN a.content_type = 'com_menus.item' THEN 1 END AS parent_id, CASE WHEN a.content_type = 'com_menus.item' THEN 'main-fr-fr' END AS menutype, CAST(CASE WHEN art THEN coalesce(n.others, 0) ELSE 0 END + 1 AS INT) AS members, CASE WHEN art THEN """
+    + _WORDED("tease.v")
+    + """ END AS teaser
+FROM a LEFT JOIN r ON r.id = a.id LEFT JOIN n ON n.id = a.id LEFT JOIN tags ON tags.id = a.id LEFT JOIN tease ON tease.id = a.id"""
 )
 _SQL["change_feed_invalidate"] = _SQL["invalidate_translations"]
 ORACLES: dict[str, str] = {name: with_tables(sql) for name, sql in _SQL.items()}

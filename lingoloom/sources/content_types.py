@@ -10,18 +10,18 @@ IMAGE_KEYS = ["image_intro_alt", "image_intro_caption", "image_fulltext_alt", "i
 TYPES: dict[str, dict] = {
     "com_content.article": {
         "fields": ["title", "introtext", "fulltext", "metadesc", "metakey", "note"], "json_fields": {"images": IMAGE_KEYS}, "version_alias": "com_content.article",
-        "form": "com_content.article", "association_context": "com_content.item", "state_field": "state", "associated": {"catid": "com_categories.category"}, "many": {"tags": "com_tags.tag"},
+        "form": "com_content.article", "association_context": "com_content.item", "copy": ["catid", "access", "created_by"], "state_field": "state", "associated": {"catid": "com_categories.category"}, "many": {"tags": "com_tags.tag"},
     },
     "com_categories.category": {
         "fields": ["title", "note", "description", "metadesc", "metakey"], "json_fields": {}, "version_alias": "com_content.category", "form": "com_categories.categorycom_content",
-        "association_context": "com_categories.item", "state_field": "published", "extension": "com_content", "associated": {}, "many": {"tags": "com_tags.tag"},
+        "association_context": "com_categories.item", "copy": ["parent_id", "extension", "access", "created_user_id"], "tags_as": "com_content.category", "state_field": "published", "extension": "com_content", "associated": {}, "many": {"tags": "com_tags.tag"},
     },
     "com_tags.tag": {
         "fields": ["title", "note", "description", "metadesc", "metakey"], "json_fields": {"images": IMAGE_KEYS}, "version_alias": "com_tags.tag", "form": "com_tags.tag",
-        "association_context": "com_tags.item", "state_field": "published", "self_associated": True, "associated": {}, "many": {},
+        "association_context": "com_tags.item", "copy": ["parent_id", "access", "created_user_id"], "state_field": "published", "self_associated": True, "associated": {}, "many": {},
     },
     "com_menus.item": {
-        "fields": ["title"], "json_fields": {}, "form": "com_menus.item", "association_context": "com_menus.item", "state_field": "published", "client": 0,
+        "fields": ["title"], "json_fields": {}, "form": "com_menus.item", "association_context": "com_menus.item", "copy": ["link", "type", "component_id", "browserNav", "access", "img", "template_style_id", "params"], "state_field": "published", "client": 0,
         "force": {"home": 0, "parent_id": 1}, "language_menu": "menutype", "associated": {}, "many": {},
     },
 }

@@ -8,6 +8,9 @@ from pyspark.sql import SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """What spark.checkpoint.dir names; a temporary folder only where that is unset, as in tests."""
+    """What spark.checkpoint.dir names. Where that is unset, a temporary folder serves a local master; on a cluster it is an error, as
+    executors would write to their own disks."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not found and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
     return (found or tempfile.mkdtemp(prefix="lingoloom-")).rstrip("/")

@@ -10,12 +10,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from lingoloom.operators import associations as asc
 from lingoloom.operators import states as st
 from lingoloom.sources import content_types as ct
 
+#: The feed's columns, and the kinds of events that mean something here.
+EVENT = "event_type string, content_type string, item_id bigint, version_id bigint, payload map<string,string>, ts timestamp"
+KINDS = ("save", "version", "state", "delete", "new")
 ALIASES = [p["version_alias"] for p in ct.TYPES.values() if p.get("version_alias")]
 
 
@@ -71,5 +75,45 @@ def trash_cascade(events: DataFrame, associations: DataFrame, items: DataFrame)
 
 
 def default_language(items: DataFrame, source: str) -> DataFrame:
-    """New items (no id) without a language get the source language."""
-    return items.withColumn("language", F.when(F.col("id").isNull() & (F.coalesce("language", F.lit("")) == ""), source).otherwise(F.col("language")))
+    """New items (no id) of managed types without a language get the source language."""
+    managed = F.col("content_type").isin(list(ct.TYPES)) if "content_type" in items.columns else F.lit(True)
+    return items.withColumn("language", F.when(managed & F.col("id").isNull() & (F.coalesce("language", F.lit("")) == ""), source).otherwise(F.col("language")))
+
+
+def subscribed(events: DataFrame) -> DataFrame:
+    """Events (EVENT) of known kinds on items of managed types; missing columns are null."""
+    kinds = T._parse_datatype_string(EVENT)
+    own = events.select(*[F.col(f.name).cast(f.dataType) if f.name in events.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in kinds])
+    return own.where(F.col("event_type").isin(*KINDS) & F.col("content_type").isin(list(ct.TYPES)))
+
+
+def optouts(events: DataFrame, items: DataFrame, queue: DataFrame, source: str) -> DataFrame:
+    """The queue after saves (EVENT): a save of an item in the source language that carries a flag stores it; others leave it. The last save counts."""
+    saves = subscribed(events).where("event_type = 'save'").withColumn("flag", F.try_element_at("payload", F.lit("flag")).try_cast("int")).where("flag is not null")
+    own = saves.groupBy("content_type", F.col("item_id").alias("id")).agg(F.max_by("flag", F.struct("ts", "version_id", "flag")).alias("flag"))
+    own = own.join(items.where(F.col("language") == source).select("content_type", "id"), ["content_type", "id"], "left_semi")
+    return st.flagged(queue, own.select("content_type", F.col("id").alias("content_id"), "flag"))
+
+
+def deletions(events: DataFrame, items: DataFrame, queue: DataFrame, states: DataFrame, associations: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(items, queue, states, associations) after deletions (EVENT), by what held before them.
+
+    A queued item takes its translations and its queue row along; a translation takes its cell of its source's row. Types that
+    are associated here lose their association as well.
+    """
+    gone = subscribed(events).where("event_type = 'delete'").select("content_type", F.col("item_id").alias("id")).distinct()
+    keys = queue.select("content_type", F.col("content_id").alias("id"))
+    sources, others = gone.join(keys, ["content_type", "id"], "left_semi"), gone.join(keys, ["content_type", "id"], "left_anti")
+    out, rest, cells = items.join(gone, ["content_type", "id"], "left_anti"), associations, None
+    for name, p in ct.TYPES.items():
+        links = associations.where(F.col("context") == p["association_context"])
+        own = items.where(F.col("content_type") == name).select("id", "language", "state")
+        below = asc.translations(links, own, sources.where(F.col("content_type") == name).select("id")).select(F.lit(name).alias("content_type"), F.col("member_id").alias("id")).distinct()
+        out = out.join(below, ["content_type", "id"], "left_anti")
+        mine = others.where(F.col("content_type") == name).select("id").join(own, "id").join(asc.source_queue(links, queue, name), "id")
+        mine = mine.select("queue_id", F.col("language").alias("target_language"))
+        cells = mine if cells is None else cells.unionByName(mine)
+        if p.get("self_associated"):
+            rest = asc.removed(rest, gone.where(F.col("content_type") == name).select("id"), p["association_context"])
+    left, states = st.without_items(queue, states, sources.select("content_type", F.col("id").alias("content_id")))
+    return out.select(items.columns), left, st.without_cells(states, cells.distinct()), rest

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from lingoloom.functions import exchange
 from lingoloom.functions.providers import Dictionary
 from lingoloom.operators import queue as qu
+from lingoloom.operators import rules as ru
 from lingoloom.plans import flows
 from lingoloom.sources.tables import Tables
 
@@ -62,7 +63,7 @@ def test_distilling_run(spark, t):
 def test_terms_menus_and_backfill(spark, t):
     rules = spark.createDataFrame([(1, "Articles"), (2, "two words"), (3, "other")], "id long, source_term string")
     forms = spark.createDataFrame([("articles", "article")], "word string, standard_form string")
-    assert {r.id: r.source_term_standard for r in flows.with_standard_terms(rules, forms).collect()} == {1: "article", 2: None, 3: None}
+    assert {r.id: r.source_term_standard for r in ru.with_standard_terms(rules, forms).collect()} == {1: "article", 2: None, 3: None}
     menus = spark.createDataFrame([("main-fr-fr", "Main", 0)], "menutype string, title string, client_id int")
     wanted = spark.createDataFrame([("main-en-gb", "Main", "fr-FR"), ("main", "Main", "de-DE")], "menutype string, title string, target_language string")
     assert sorted(r.menutype for r in flows.menus_for(menus, wanted, "en-GB").collect()) == ["main-de-de", "main-fr-fr"]
@@ -90,3 +91,78 @@ def test_outside_answers():
     forms = {"forms": [{"word": "cats", "standard_form": "cat"}, {"word": "unasked", "standard_form": "x"}, {"word": "dogs", "standard_form": " "}]}
     answer = json.dumps({"content": [{"type": "text", "text": json.dumps(forms)}]}).encode()
     assert exchange.Remote(lambda b: (200, answer)).normalise(["cats", "dogs"], "en") == {"cats": "cat"}
+
+
+def test_chain_of_distilling_and_retrieving(spark, t):
+    """What a distilling run stores can be listed, retrieved by, and refined by the next run."""
+    rules = rules_of(t)
+    run = flows.distilled(t.feedback, rules, t.standard_forms, [Dictionary()], "en-GB", size=4)
+    assert run.rules.columns == rules.columns and run.outcome == "resume"
+    new = run.rules.where("source_origin = 'distilled'").join(rules.select("id"), "id", "left_anti").collect()
+    top = rules.agg(F.max("id"), F.max("ordering")).first()
+    assert len(new) == 4 and {r.id for r in new} == {top[0] + i for i in range(1, 5)} and all(r.ordering > top[1] for r in new)
+    texts = spark.createDataFrame([(1, "an article")], "item_id long, text string")
+    flows.needs_forms(run.rules)
+    flows.retrieved(texts, run.rules.withColumn("state", F.lit(1)), t.standard_forms, [Dictionary()], "en-GB", ["fr-FR"]).count()
+    again = flows.distilled(run.feedback, run.rules, t.standard_forms, [Dictionary()], "en-GB", size=4)
+    assert again.rules.count() == run.rules.count() + 4 and again.rules.agg(F.countDistinct("id")).first()[0] == again.rules.count()
+
+
+def test_refined_rules_keep_their_place_and_new_ones_get_a_form(spark, t):
+    rows = [(1, "a", "terminology", "fr-FR", "x", "old", "old", "neu", "", 40, 1, 3, 9, "manual", "[1]"), (2, "b", "style", "fr-FR", "s", "", None, "", "", 10, 1, 4, 0, "manual", "[]")]
+    rules = spark.createDataFrame(rows, "id long, rule_name string, rule_type string, target_language string, rule_text string, source_term string, source_term_standard string, target_term string, search_keywords string, confidence_percent int, state int, ordering int, checked_out long, source_origin string, source_feedback_ids string")
+    cands = [(1, "a2", "terminology", "y", " cats ", "chats", "k", 30, [5, 1], 1), (0, "n", "terminology", "", "dogs", "chiens", "", 20, [6, 6], 2), (0, "", "style", "no name", "", "", "", 20, [7], 3)]
+    df = spark.createDataFrame(cands, "id long, rule_name string, rule_type string, rule_text string, source_term string, target_term string, search_keywords string, confidence_percent int, feedback_ids array<long>, seq long")
+    forms = spark.createDataFrame([("cats", "cat"), ("dogs", "dog")], "word string, standard_form string")
+    out = {r.id: r for r in ru.upserted(rules, df, "fr-FR", forms).collect()}
+    assert (out[1].source_term, out[1].source_term_standard, out[1].confidence_percent, out[1].ordering, out[1].checked_out, out[1].source_feedback_ids, out[1].source_origin) == ("cats", "cat", 40, 3, 9, [1, 5], "manual")
+    assert (out[3].source_term_standard, out[3].ordering, out[3].state, out[3].source_feedback_ids, out[3].source_origin) == ("dog", 5, 0, [6], "distilled") and len(out) == 3
+
+
+def test_chain_of_translating_runs(spark, t):
+    """Reviewed cells are not translated again, and their drafts are there to compare corrections with."""
+    from lingoloom.functions import maps
+
+    languages = qu.language_list(t.languages, "en-GB")
+    states = t.queue_states.withColumn("machine_draft", F.lit(None).cast("string"))
+    versions = spark.createDataFrame([(1, 7)], "item_id long, version_id long")
+    go = lambda q, s: flows.translated(t.content_items, q, s, rules_of(t), t.standard_forms, versions, languages, [Dictionary({"a": "b"})], "en-GB", size=4, associations=t.associations)
+    run = go(t.queue, states)
+    first = {(r.content_type, r.id, r.target_language) for r in run.results.collect()}
+    new = run.states.join(states.select("id"), "id", "left_anti")
+    assert run.states.columns == states.columns and run.states.where("id is null").count() == 0 and len(first) == 4
+    shots = run.states.where("machine_draft is not null").select(maps.of_snapshot(F.col("machine_draft")).alias("m")).collect()
+    assert len(shots) == 4 and all(r.m["title"] for r in shots) and new.where("machine_draft is null").count() == 0
+    grid = qu.last_states(run.queue, run.states)
+    for kind, item, language in first:
+        assert grid.where(f"content_type = '{kind}' and id = {item} and target_language = '{language}'").first().translation_state == "review"
+    assert not first & {(r.content_type, r.id, r.target_language) for r in go(run.queue, run.states).results.collect()}
+    assert {k for k, _ in run.drafts} == {kind for kind, _, _ in first}
+
+
+def test_seeded_and_reviewed_keep_every_column(spark):
+    from lingoloom.operators import states as st
+
+    old = spark.createDataFrame([(5, 1, "fr-FR", "pending", 3, "{}"), (9, 2, "de-DE", "approved", 4, None)], "id long, queue_id long, target_language string, translation_state string, source_version_id long, machine_draft string")
+    wanted = spark.createDataFrame([(1, "fr-FR", "published"), (3, "de-DE", "review"), (1 << 60, "fr-FR", "published")], "queue_id long, target_language string, translation_state string")
+    assert sorted(map(tuple, st.seeded(old, wanted).collect()))[2:] == [(10, 3, "de-DE", "review", 0, None), (11, 1 << 60, "fr-FR", "published", 0, None)]
+    changes = spark.createDataFrame([(1, "fr-FR", 7, "new"), (1, "fr-FR", 6, "late"), (4, "fr-FR", 8, "four")], "queue_id long, target_language string, source_version_id long, machine_draft string")
+    assert sorted(map(tuple, st.reviewed(old, changes).collect())) == [(5, 1, "fr-FR", "review", 7, "new"), (9, 2, "de-DE", "approved", 4, None), (10, 4, "fr-FR", "review", 8, "four")]
+
+
+def test_drafts_are_linked_and_deletions_of_self_associated_types_unlink(spark):
+    from lingoloom.operators import drafts as dr
+    from lingoloom.streaming import feed
+
+    links = spark.createDataFrame([(1, "com_tags.item", "k"), (2, "com_tags.item", "k"), (8, "other", "k")], "id long, context string, key string")
+    stored = spark.createDataFrame([("fr-FR", 3, {"en-GB": 1, "de-DE": 2})], "language string, id long, associations map<string,bigint>")
+    out = dr.linked(links, stored, "com_tags.tag").collect()
+    assert {r.id for r in out if r.context == "com_tags.item"} == {1, 2, 3} and len({r.key for r in out if r.context == "com_tags.item"}) == 1 and len(out) == 4
+    items = spark.createDataFrame([("com_tags.tag", i, lang, 1) for i, lang in ((1, "en-GB"), (2, "de-DE"), (3, "fr-FR"))], "content_type string, id long, language string, state int")
+    queue = spark.createDataFrame([(7, "com_tags.tag", 1, 0)], "id long, content_type string, content_id long, do_not_translate int")
+    states = spark.createDataFrame([(1, 7, "fr-FR"), (2, 7, "de-DE")], "id long, queue_id long, target_language string")
+    groups = spark.createDataFrame([(i, "com_tags.item", "k") for i in (1, 2, 3)], "id long, context string, key string")
+    gone = lambda i: spark.createDataFrame([("delete", "com_tags.tag", i), ("delete", "unmanaged", 1), ("seen", "com_tags.tag", 2)], "event_type string, content_type string, item_id long")
+    ids = lambda df: sorted(r.id for r in df.collect())
+    assert [ids(x) for x in feed.deletions(gone(3), items, queue, states, groups)] == [[1, 2], [7], [2], [1, 2]]
+    assert [ids(x) for x in feed.deletions(gone(1), items, queue, states, groups)] == [[], [], [], [2, 3]]
