@@ -21,11 +21,14 @@ BATCH_ROWS, BATCH_BYTES = 2000, 16 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder (spark.checkpoint.dir); a temporary one only where it is unset, as in tests."""
+    """The cluster's shared folder (spark.checkpoint.dir). Where it is unset, a temporary one serves a local master, as in tests; on a
+    cluster that is an error, as executors would write to their own disks."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
         found = spark.sparkContext._jsc.sc().getCheckpointDir()
         found = found.get() if found.isDefined() else None
+    if not found and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
     if not found:
         found = tempfile.mkdtemp(prefix="lingoloom-")
         spark.sparkContext.setCheckpointDir(found)
@@ -60,6 +63,16 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, name: str, column: str, n: int) -> tuple[DataFrame, Callable[[], None]]:
+    """Write df to the shared folder in n buckets of a column, and read it back as a table: joins by that column need not move it. The
+    second result takes the table's name out of the catalogue again, once what reads it is written; files stay as those of ``staged``."""
+    spark, title = df.sparkSession, f"{name}_{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{title}"
+    STAGED.append(path)
+    df.write.format("parquet").bucketBy(n, column).option("path", path).saveAsTable(title)
+    return spark.table(title), lambda: spark.sql(f"DROP TABLE {title}") and None
+
+
 def tidied(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
     """A task's function that gives freed memory back to the system when it ends; workers are used again and again."""
 

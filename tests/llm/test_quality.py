@@ -69,7 +69,9 @@ def sample(seed):
 
 @pytest.mark.parametrize("block", [1 << 20, 700])
 def test_equals_brute_force_row_by_row(spark, monkeypatch, block):
-    monkeypatch.setattr(quality, "BLOCK", block)  # texts of more bytes are cut into pieces
+    monkeypatch.setattr(quality, "BLOCK", block)
+    monkeypatch.setattr(quality, "PIECE", block)  # texts of more bytes are cut
+    monkeypatch.setattr(quality, "LANE", 2)
     monkeypatch.setattr(quality, "ENOUGH", 20)
     rows = sample(block)
     trusted = list(range(240))
