@@ -105,11 +105,12 @@ def basis(items: DataFrame, idf: np.ndarray, text: str, rank: int = RANK, seed:
                     for c, part in zip(own.tolist(), w, strict=True):
                         total[c] = total.get(c, 0) + part * y
             if total:
-                yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array(list(map(list, total.values())), pa.list_(pa.float64()))], names=["cell", "v"])
+                rows = pa.ListArray.from_arrays(np.arange(len(total) + 1, dtype=np.int32) * width, np.concatenate(list(total.values())))
+                yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), rows], names=["cell", "v"])
 
         parts = items.select(text).mapInArrow(run, "cell int, v array<double>")
         sums = parts.groupBy("cell").agg(F.array(*[F.sum(F.get("v", F.lit(i))) for i in range(width)]).alias("v")).orderBy("cell").toArrow()
-        return sums["cell"].to_numpy(), np.array(sums["v"].to_pylist(), np.float64).reshape(-1, width)
+        return sums["cell"].to_numpy(), np.concatenate([np.zeros(0), *(x.flatten().to_numpy() for x in sums["v"].chunks)]).reshape(-1, width)
 
     cells, y = product(None, None)
     if not len(cells):

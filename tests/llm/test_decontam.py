@@ -80,3 +80,59 @@ def test_short_items_in_long_foreign_text(spark):
     assert {(d, d) for d in range(200)} <= found
     clean = spark.createDataFrame([(1, " ".join(f"x{i}" for i in range(400)))], "doc_id long, text string")
     assert [r.leaks for r in decontam.leaks(clean, bench).collect()] == [[]]
+
+
+def test_items_of_thousands_of_words_in_several_blocks(spark, monkeypatch):
+    monkeypatch.setattr(decontam, "BLOCK", 4)
+    rnd = random.Random(21)
+    items = [make(rnd, n) for n in (60, 300, 600, 1000, 1000, 2000, 2000, 5000, 30, 12)]
+    rows = []
+    for d in range(30):
+        words = make(rnd, rnd.randint(20, 200))
+        at = rnd.randrange(len(words) + 1)
+        words[at:at] = items[d % 10]
+        rows.append((d, " ".join(words)))
+    rows += [(100 + d, " ".join(make(rnd, 300))) for d in range(20)]
+    df = spark.createDataFrame(rows * 2, "doc_id long, text string").repartition(3)
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)] + [(3, " ".join(items[0]))], "item_id long, text string")
+    found = [(r.doc_id, x.item) for r in decontam.leaks(df, bench).collect() for x in r.leaks]
+    want = {(d, d % 10) for d in range(30)} | {(d, 3) for d in range(30) if d % 10 == 0}
+    assert set(found) == want and len(found) == 2 * len(want)  # repeated rows and ids are reported each
+
+
+def test_equals_brute_force_over_all_pairs(spark):
+    """Every document and item, by plain subsequences of neighbourhoods: what passes the checks anywhere is found, and nothing else."""
+    import re
+
+    rnd = random.Random(31)
+    items = [make(rnd, rnd.randint(8, 40), 300) for _ in range(25)]
+    rows = []
+    for d in range(80):
+        words = make(rnd, rnd.randint(5, 60), 300)
+        if d % 2:
+            own = [f"z{rnd.randrange(99)}" if rnd.random() < rnd.choice([0, 0.1, 0.2, 0.5]) else w for w in rnd.choice(items)]
+            words[len(words) // 2 : len(words) // 2] = own
+        rows.append((d, " ".join(words)))
+
+    def lcs(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            new = [0]
+            for j, y in enumerate(b):
+                new.append(row[j] + 1 if x == y else max(row[j + 1], new[j]))
+            row = new
+        return row[-1]
+
+    def holds(text, own):
+        words = re.findall(r"[a-z0-9]+", text)
+        for f in range(0, max(1, len(words) - decontam.WINDOW + decontam.STEP), decontam.STEP):
+            near = words[max(0, f - len(own)) : f + decontam.WINDOW + len(own)]
+            cover, n = lcs(own, near) / len(own), max(1, round(decontam.ANSWER * len(own)))
+            if cover >= decontam.COVER and (cover >= decontam.NEARLY_ALL or lcs(own[-n:], near) >= decontam.ANSWER_COVER * n):
+                return True
+        return False
+
+    want = {(d, i) for d, t in rows for i, w in enumerate(items) if holds(t, w)}
+    df, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string")
+    found = {(r.doc_id, x.item) for r in decontam.leaks(df, bench).collect() for x in r.leaks}
+    assert found <= want and len(found) >= 0.9 * len(want) > 10  # retrieval by cosine is no proof for changed items
