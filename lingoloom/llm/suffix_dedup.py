@@ -15,8 +15,13 @@ ranks of a cover sample that are computed before. The sample is a difference cov
   compared on the V bytes that the rank doesn't hold.
 
 A positional cover would sample more than a tenth of all positions and give each pair of suffixes another distance;
-anchors sample one in about 65 and give all equal ones the same. A bucket of more than ``most`` distinct runs is not
-sorted in one task: its windows are grouped by 128-bit digests instead.
+anchors sample one in about 65 and give all equal ones the same.
+
+* *Large buckets.* A bucket of more than ``most`` distinct runs would make one task long. Its windows are dealt into bands
+  of WIDTHS[0] neighbouring distances to the anchor. All windows of a band hold the same LENGTH - WIDTHS[0] + 1 bytes
+  around the anchor, so equal windows agree in the hash of these, and the parts of runs in a band with one such hash are a
+  bucket of their own, pruned and sorted like any other. What is still too large is divided again into narrower bands.
+  The narrowest has one distance: there the shared bytes are the window, and a bucket is one distinct window.
 
 Texts are moved twice, compressed, and copies of a text never: everything is computed for distinct texts.
 
@@ -42,6 +47,10 @@ SPAN = LENGTH - K + 1
 BLOCK = 1 << 20
 #: Bytes of one long text that are worked on at once.
 SEGMENT = 2 << 20
+#: Distinct runs of a bucket that one task sorts (about 300 bytes each, so a quarter of a block).
+MOST = 1024
+#: Distances in the bands of a larger bucket, from the first division to the last.
+WIDTHS = (56, 14, 1)
 _C = np.uint64(0x9E3779B97F4A7C15)
 _LOW = np.uint64((1 << 24) - 1)
 
@@ -204,21 +213,45 @@ def _sorted_blocks(pieces: DataFrame) -> DataFrame:
     return pieces.select("h", "digest", "anchor", "count", "text").mapInArrow(run, _FOUND)
 
 
-def _digested(pieces: DataFrame) -> DataFrame:
-    """The same for buckets of any size: windows are grouped by 128-bit digests."""
+def _divided(pieces: DataFrame, width: int) -> DataFrame:
+    """(parent, whole, base, h, digest, anchor, count, text): the runs (parent, whole) of large buckets in parts, one for each
+    band of so many distances. base is the part's first window in its run; h hashes the band and the bytes its windows share."""
 
     @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for h, digest, count, text in zip(*(batch.column(c).to_pylist() for c in ("h", "digest", "count", "text")), strict=True):
-                code = b"".join(hashlib.blake2b(text[i : i + LENGTH], digest_size=16).digest() for i in range(count))
-                w = np.frombuffer(code, np.int64).reshape(-1, 2)
-                n = np.arange(count, dtype=np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(count, h)), pa.array(np.full(count, digest)), pa.array(n), pa.array(n), pa.array(w[:, 0]), pa.array(w[:, 1])], names=["h", "digest", "low", "high", "w1", "w2"])
-
-    windows = pieces.mapInArrow(run, _FOUND + ", w1 long, w2 long")
-    twice = windows.groupBy("w1", "w2").agg(F.count("*").alias("n")).where("n > 1").select("w1", "w2")
-    return windows.join(twice, ["w1", "w2"]).select("h", "digest", "low", "high")
+            rows = []
+            for h, digest, anchor, count, text in zip(*(batch.column(c).to_pylist() for c in ("h", "digest", "anchor", "count", "text")), strict=True):
+                for band in range((anchor - count + 1) // width, anchor // width + 1):
+                    nearest = anchor - band * width
+                    a, b = max(0, nearest - width + 1), min(count - 1, nearest)
+                    part, shared = text[a : b + LENGTH], text[nearest : nearest - width + 1 + LENGTH]
+                    own = hashlib.blake2b(shared, digest_size=8, salt=h.to_bytes(8, "little", signed=True), person=band.to_bytes(8, "little"))
+                    rows.append((h, digest, a, int.from_bytes(own.digest(), "little", signed=True), int.from_bytes(hashlib.blake2b(part, digest_size=8).digest(), "little", signed=True), anchor - a, b - a + 1, part))
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
+            columns = zip(*rows, strict=True) if rows else [[]] * len(kinds)
+            yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(columns, kinds, strict=True)], names=["parent", "whole", "base", "h", "digest", "anchor", "count", "text"])
+
+    return pieces.select("h", "digest", "anchor", "count", "text").mapInArrow(run, "parent long, whole long, base int, h long, digest long, anchor int, count int, text binary")
+
+
+def _settled(pieces: DataFrame, large: DataFrame, most: int, widths: tuple[int, ...]) -> DataFrame:
+    """(h, digest, low, high): stretches of windows of the distinct runs (h, digest, anchor, count, text) that another run of their bucket
+    holds too. large: the buckets of more than ``most`` runs, staged."""
+    ordered = lambda df: df.repartition("h").sortWithinPartitions("h")
+    if large.isEmpty():
+        return _sorted_blocks(ordered(pieces))
+    pieces = staged(pieces, "pieces")
+    found = _sorted_blocks(ordered(pieces.join(large, "h", "left_anti")))
+    parts = staged(_divided(pieces.join(large, "h", "left_semi"), widths[0]), "parts")
+    # equal parts of a bucket are one kind, merged before the shuffle as well
+    kinds = staged(parts.groupBy("h", "digest").agg(F.count("*").alias("n"), F.first(F.struct("anchor", "count", "text")).alias("one")), "part_kinds")
+    sizes = staged(kinds.groupBy("h").agg(F.count("*").alias("kinds")).where("kinds > 1"), "part_sizes")
+    several = kinds.join(sizes, "h", "left_semi").select("h", "digest", "one.*")
+    inner = _settled(several, sizes.where(F.col("kinds") > most).select("h"), most, widths[1:])
+    inner = inner.union(kinds.where("n > 1").select("h", "digest", F.lit(0), F.col("one.count") - 1)).distinct()
+    back = parts.join(inner, ["h", "digest"]).select(F.col("parent").alias("h"), F.col("whole").alias("digest"), (F.col("base") + F.col("low")).alias("low"), (F.col("base") + F.col("high")).alias("high"))
+    return found.union(back)
 
 
 def _packed(docs: DataFrame) -> DataFrame:
@@ -258,7 +291,7 @@ def _pieces(packed: DataFrame, wanted: DataFrame) -> DataFrame:
 
 def spans(docs: DataFrame, packed: DataFrame, most: int) -> DataFrame:
     """(k, first, n): stretches of n windows of the text of hash k that also start elsewhere. docs: k, text, with copies."""
-    every = _runs(docs)
+    every = staged(_runs(docs), "described")
     buckets = every.groupBy("h").agg(F.count("*").alias("n"), F.min("digest").alias("low"), F.max("digest").alias("high")).where("n > 1")
     # written first, so that the join is free to split a common bucket
     buckets = staged(buckets.select("h", (F.col("low") != F.col("high")).alias("mixed")), "buckets")
@@ -268,12 +301,7 @@ def spans(docs: DataFrame, packed: DataFrame, most: int) -> DataFrame:
     pieces = _pieces(packed, kinds.select("one.k", "h", "digest", "one.at"))
     sizes = kinds.groupBy("h").agg(F.count("*").alias("kinds")).where(F.col("kinds") > most).select("h")
     large = staged(sizes, "large")
-    if large.isEmpty():
-        found = _sorted_blocks(pieces.repartition("h").sortWithinPartitions("h"))
-    else:
-        pieces = staged(pieces, "pieces")
-        small = pieces.join(large, "h", "left_anti").repartition("h").sortWithinPartitions("h")
-        found = _sorted_blocks(small).union(_digested(pieces.join(large, "h", "left_semi")))
+    found = _settled(pieces, large, most, WIDTHS)
     # a run that occurs twice as a whole is repeated as a whole
     found = found.union(kinds.where("n > 1").select("h", "digest", F.lit(0), (one_at(F.col("one.at")) - 1).cast("int"))).distinct()
     mixed = shared.where("mixed").select("k", "h", "digest", F.shiftright("at", 16).alias("at"))
@@ -286,7 +314,7 @@ def one_at(at: Column) -> Column:
     return at.bitwiseAND(F.lit(255)) + 1
 
 
-def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", most: int = 20_000, kept: bool = False) -> DataFrame:
+def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", most: int = MOST, kept: bool = False) -> DataFrame:
     """Per row: key, n_bytes, n_removed, n_spans, kept_sha256 and, if asked for, kept (the bytes that stay)."""
     lean(docs.sparkSession)
     body = F.coalesce(F.col(text), F.lit(""))

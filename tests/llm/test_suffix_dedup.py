@@ -42,7 +42,7 @@ def corpus(seed):
     return texts
 
 
-@pytest.mark.parametrize(("seed", "most", "segment"), [(1, 20_000, 4 << 20), (2, 2, 4 << 20), (3, 20_000, 1000)])
+@pytest.mark.parametrize(("seed", "most", "segment"), [(1, 1024, 4 << 20), (2, 2, 4 << 20), (3, 1024, 1000), (4, 1, 1000)])
 def test_equals_brute_force(spark, monkeypatch, seed, most, segment):
     monkeypatch.setattr(suffix_dedup, "SEGMENT", segment)
     monkeypatch.setattr(suffix_dedup, "BLOCK", 3000)
@@ -57,3 +57,18 @@ def test_null_ids_repeated_rows_and_empty_table(spark):
     got = sorted((r.n_bytes, r.n_removed) for r in suffix_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect())
     assert got == [(0, 0), (250, 250), (250, 250)]
     assert suffix_dedup.dedup(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+@pytest.mark.parametrize("widths", [(56, 14, 1), (1,)])
+def test_buckets_are_divided_down_to_single_distances(spark, monkeypatch, widths):
+    """Many different surroundings of one short line, some of which repeat in part, so that every division still leaves large buckets."""
+    monkeypatch.setattr(suffix_dedup, "WIDTHS", widths)
+    rnd = random.Random(9)
+    make = lambda n: "".join(rnd.choice("abcdefgh ") for _ in range(n))
+    line = make(190)
+    ends = [make(3) for _ in range(6)]
+    texts = [make(rnd.randint(0, 200)) + rnd.choice(ends) + line + rnd.choice(ends) + make(rnd.randint(0, 200)) for _ in range(120)]
+    texts += texts[:10] + [make(50) + texts[20], texts[21] + "."]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    rows = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.dedup(df, most=1).collect()}
+    assert [rows[i] for i in range(len(texts))] == brute(texts)
