@@ -60,7 +60,7 @@ def matches(texts: DataFrame, rules: DataFrame, forms: DataFrame | None = None)
 
     A needle can only match where its first run of letters and digits is a run of the text, so texts' runs meet the needles in an
     equi-join. A needle that is one run matches by that; for others the pairs that met are tested by pattern, and needles
-    without a run are tested against all texts. Texts are only carried along where they are to be tested.
+    without a run are tested against all texts. Ids meet first, and only the texts of pairs that met are fetched.
     """
     own = needles(rules).withColumn("run", tx.first_run(F.col("needle"))).withColumn("whole", F.lower("needle") == F.col("run"))
     on = ["target_language"] if "target_language" in texts.columns else []
@@ -70,8 +70,8 @@ def matches(texts: DataFrame, rules: DataFrame, forms: DataFrame | None = None)
     ran = texts.select("item_id", *on, F.explode(tx.runs(F.col("text"))).alias("run"))
     hit = ran.join(small(own.where("whole").drop("needle", "whole")), ["run", *on]).select(*found)
     if longer:
-        ran = texts.select("item_id", *on, "text", F.explode(tx.runs(F.col("text"))).alias("run"))
-        hit = hit.union(ran.join(small(own.where("not whole and run <> ''")), ["run", *on]).where(tx.contains_word(F.col("text"), F.col("needle"))).select(*found))
+        met = ran.join(small(own.where("not whole and run <> ''").drop("whole")), ["run", *on]).select(*found, "needle").distinct()
+        hit = hit.union(met.join(texts, ["item_id", *on]).where(tx.contains_word(F.col("text"), F.col("needle"))).select(*found))
     if odd:
         word = tx.contains_word(F.col("text"), F.col("needle"))
         others = F.broadcast(own.where("run = ''").drop("run", "whole"))
