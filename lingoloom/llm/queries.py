@@ -56,7 +56,7 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = warc.archived(table(spark, sf_dir, "pages"))
-    return records.select(F.col("record_key").alias("page_id"), F.octet_length("payload").cast("long").alias("payload_bytes"), "payload_digest", "record_type", "refers_to")
+    return records.select(F.col("record_key").alias("page_id"), F.octet_length("payload").cast("long").alias("payload_bytes"), "payload_digest", "record_type", "refers_to", F.sha2("record", 256).alias("record_sha256"))
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,13 +79,19 @@ hit AS (SELECT host AS h, path AS p, rh || rp AS rule, rv, row_number() OVER (PA
 SELECT page_id, host, path, rule, coalesce(rv, 'allow') AS verdict FROM u LEFT JOIN hit ON h = host AND p = path AND k = 1
 """
 
-OP8_SQL = """
-WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
-x AS (SELECT page_id, strlen(body) AS payload_bytes, sha1(body) AS code, max(page_id) OVER (PARTITION BY body) AS top FROM p)
-SELECT page_id, payload_bytes::BIGINT AS payload_bytes,
-  list_aggregate(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (('0x' || substr(code, (i // 4 * 5 + 1)::INT, 5))::BIGINT >> (15 - i % 4 * 5)::INT & 31)::INT + 1, 1)), 'string_agg', '') AS payload_digest,
-  CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> top THEN top END AS refers_to
-FROM x
+_HTTP = warc.HTTP.replace("\r\n", "\\r\\n")
+#: record_sha256 is of the whole record: header lines, HTTP head, payload (of a response) and the closing line ends.
+OP8_SQL = f"""
+WITH p AS (SELECT page_id, url, coalesce(html, '') AS body FROM pages),
+x AS (SELECT page_id, url, body, strlen(body) AS payload_bytes, sha1(body) AS code, max(page_id) OVER (PARTITION BY body) AS top FROM p),
+y AS (SELECT *, CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> top THEN top END AS refers_to,
+  list_aggregate(list_transform(range(32), lambda i: substr('{warc.BASE32}', (('0x' || substr(code, (i // 4 * 5 + 1)::INT, 5))::BIGINT >> (15 - i % 4 * 5)::INT & 31)::INT + 1, 1)), 'string_agg', '') AS payload_digest FROM x)
+SELECT page_id, payload_bytes::BIGINT AS payload_bytes, payload_digest, record_type, refers_to,
+  sha256(E'WARC/1.1\\r\\nWARC-Type: ' || record_type || E'\\r\\nWARC-Record-ID: <urn:page:' || page_id || E'>\\r\\n' || coalesce('WARC-Refers-To: <urn:page:' || refers_to || E'>\\r\\n', '')
+    || coalesce('WARC-Target-URI: ' || replace(replace(url, E'\\r', '%0D'), E'\\n', '%0A') || E'\\r\\n', '') || E'WARC-Date: {warc.DATE}\\r\\nWARC-Payload-Digest: sha1:' || payload_digest
+    || E'\\r\\nContent-Type: application/http; msgtype=response\\r\\nContent-Length: ' || (CASE WHEN record_type = 'response' THEN payload_bytes ELSE 0 END + {len(warc.HTTP)}) || E'\\r\\n\\r\\n{_HTTP}'
+    || CASE WHEN record_type = 'response' THEN body ELSE '' END || E'\\r\\n\\r\\n') AS record_sha256
+FROM y
 """
 
 

@@ -23,6 +23,7 @@ from .common import STAGED, shared_dir
 
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
+DATE = "2026-01-01T00:00:00Z"
 
 
 def base32_sha1(payload: Column) -> Column:
@@ -38,7 +39,7 @@ def _letter(code: Column, letters: Column, i: Column) -> Column:
     return F.substring(letters, (F.floor(group / shift) % 32).cast("int") + 1, F.lit(1))
 
 
-def write(records: DataFrame, path: str, key: str = "page_id", url: str = "url", payload: str = "html", least: int = 0, date: str = "2026-01-01T00:00:00Z") -> None:
+def write(records: DataFrame, path: str, key: str = "page_id", url: str = "url", payload: str = "html", least: int = 0, date: str = DATE) -> None:
     """Archive one record per row under ``path``."""
     body = F.encode(F.coalesce(F.col(payload), F.lit("")), "UTF-8")
     own = records.select(F.col(key).alias("record_key"), F.col(url).alias("record_url"), body.alias("payload")).withColumn("address", F.sha2("payload", 256))
