@@ -129,7 +129,8 @@ def _op10_sql() -> str:
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t, coalesce(lead(text) OVER w, first_value(text) OVER w, '') AS nx FROM documents WINDOW w AS (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
 e AS (SELECT doc_id, t, nx, length(t) AS n, substr(t, 1, length(t) - length(t) // 2) || substr(nx, 1, length(t) // 2) AS ed FROM d),
 k AS (SELECT doc_id, 0 AS kind, t AS x FROM e UNION ALL SELECT doc_id, 1, ed FROM e UNION ALL SELECT doc_id, 2, nx FROM e),
-u AS (SELECT doc_id, kind, sha256(g) AS digest FROM (SELECT doc_id, kind, unnest(string_split(regexp_replace(x, '([.!?]) ', '\\1\n', 'g'), '\n')) AS g FROM k) WHERE g <> ''),
+i AS (SELECT doc_id, kind, unnest(string_split(regexp_replace(x, '([.!?]) ', '\\1\n', 'g'), '\n')) AS g FROM k),
+u AS (SELECT doc_id, kind, sha256(g) AS digest FROM (SELECT doc_id, kind, unnest(string_split(CASE WHEN length(g) > {fingerprint.LONG} THEN regexp_replace(g, '{fingerprint.CUTS}', '\\1\\2\n', 'g') ELSE g END, '\n')) AS g FROM i) WHERE g <> ''),
 s AS (SELECT *, (('0x' || substr(digest, 1, 2))::INT % {fingerprint.LANES}) AS lane, CASE WHEN ('0x' || substr(digest, 1, 2))::INT >= 128 THEN 1 ELSE -1 END AS sign FROM u),
 v AS (SELECT doc_id, kind, [{wide}] AS wide, [{lanes}] AS lanes FROM s GROUP BY doc_id, kind),
 z AS (SELECT doc_id, kind, coalesce(wide, list_transform(range({fingerprint.WIDE}), lambda i: 0::BIGINT)) AS wide, coalesce(lanes, list_transform(range({fingerprint.LANES}), lambda i: 0::BIGINT)) AS lanes FROM (SELECT doc_id, kind FROM k) LEFT JOIN v USING (doc_id, kind))

@@ -124,7 +124,8 @@ def test_next_rows_whatever_the_ids(spark, monkeypatch):
 def test_fingerprints_equal_plain_python(spark):
     def vector(text):
         wide, lanes = [0] * fingerprint.WIDE, [0] * fingerprint.LANES
-        for unit in filter(None, re.sub(r"([.!?]) ", "\\1\n", text or "").split("\n")):
+        lines = re.sub(r"([.!?]) ", "\\1\n", text or "").split("\n")
+        for unit in filter(None, (u for x in lines for u in (re.sub(fingerprint.CUTS, "\\1\\2\n", x).split("\n") if len(x) > fingerprint.LONG else [x]))):
             digest = hashlib.sha256(unit.encode()).digest()
             wide = [(w + int.from_bytes(digest[4 * i : 4 * i + 4], "big")) % 2**32 for i, w in enumerate(wide)]
             lanes[digest[0] % fingerprint.LANES] += 1 if digest[0] >= 128 else -1
@@ -132,6 +133,7 @@ def test_fingerprints_equal_plain_python(spark):
 
     rnd = random.Random(1)
     texts = ["".join(rnd.choice(["One. ", "Two! ", "é\n", "x", "same line\n"]) for _ in range(rnd.choice([0, 3, 40, 4000]))) for _ in range(60)] + [None, "same line\n" * 30_000]
+    texts += ["".join(rnd.choice(["water ", "one ", "слово ", "et, ", "字，", "字"]) for _ in range(rnd.choice([20, 60, 5000]))) for _ in range(40)]
     ids = [f"d{i:03}" for i in range(len(texts))]
     out = {r.doc_id: r for r in fingerprint.fingerprints(spark.createDataFrame(list(zip(ids, texts)), "doc_id string, text string")).collect()}
     for k, i in enumerate(ids):
@@ -144,3 +146,16 @@ def test_fingerprints_equal_plain_python(spark):
             dot = lambda x, y: sum(p * q for p, q in zip(x[1], y[1]))
             norm = dot(a, a) * dot(v, v)
             assert abs(got - (1.0 if a == v else 0.0 if not norm else min(1.0, max(0.0, dot(a, v) / norm**0.5)))) < 1e-9
+
+
+def test_one_line_keeps_its_likeness(spark):
+    """A long text without line or sentence ends stays like itself when half of it, or one word at its beginning, changes."""
+    rnd = random.Random(4)
+    words = ["water", "light", "stone", "great", "bread", "under", "about", "night"]
+    line = lambda n: " ".join(rnd.choice(words) + str(rnd.randrange(9)) + rnd.choice(["t", "r", "n", "s", "e"]) for _ in range(n))
+    rows = [(i, line(400)) for i in range(12)]
+    out = fingerprint.fingerprints(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert all(0.3 < r.near_edited < 0.8 and r.near_next < 0.3 for r in out)
+    text = rows[0][1]
+    made = fingerprint.fingerprints(spark.createDataFrame([(1, text), (2, "first " + text)], "doc_id long, text string")).orderBy("doc_id").first()
+    assert 0.9 < made.near_next < 1
