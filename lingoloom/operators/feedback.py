@@ -38,9 +38,12 @@ def haystacks(batch: DataFrame) -> DataFrame:
 
 
 def batches(words: DataFrame, size: int = 200, most: int = 5) -> DataFrame:
-    """Number each language's words (language, word, in order of ``at``) into batches of a size, at most so many."""
+    """Number each language's words (language, word, in order of ``at``) into batches of a size, at most so many.
+
+    The limit on places comes first, so that each task sends no more words of a language than are wanted.
+    """
     n = F.row_number().over(Window.partitionBy("language").orderBy("at", "word"))
-    return words.withColumn("batch_id", F.floor((n - 1) / size)).where(F.col("batch_id") < most)
+    return words.withColumn("_n", n).where(F.col("_n") <= size * most).withColumn("batch_id", F.floor((F.col("_n") - 1) / size)).drop("_n")
 
 
 def unknown_words(words: DataFrame, forms: DataFrame) -> DataFrame:

@@ -148,3 +148,10 @@ def test_marks_of_processed_feedback(spark):
     out = {r.id: (r.status, r.diff_data) for r in st.processed(feedback, spark.createDataFrame([(1, "d")], "id long, diff_data string")).collect()}
     assert out == {1: ("processed", "d"), 2: ("pending", None)}
     assert {"modified", "created_by"} <= set(st.stamped(feedback, 5).columns) and st.stamped(feedback).select(F.max("modified_by")).first()[0] == 0
+
+
+def test_word_batches_are_cut_before_they_meet(spark):
+    rows = [(lang, f"{lang}{i:05}", i) for lang in ("a", "b") for i in range(1500)]
+    out = fb.batches(spark.createDataFrame(rows, "language string, word string, at long").repartition(4))
+    assert sorted((r.language, r.batch_id, r.word) for r in out.collect()) == sorted((lang, i // 200, word) for lang, word, i in rows if i < 1000)
+    assert "WindowGroupLimit" in out._jdf.queryExecution().executedPlan().toString()
