@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, fingerprint, jaccard, langid, pii, quality, suffix_dedup, urlfilter, warc
+from . import bpe, decontam, fingerprint, hard_negatives, jaccard, langid, pii, quality, simhash, suffix_dedup, urlfilter, vector_codes, warc
 
 #: Fixed values of the URL query: host, path, verdict.
 RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
@@ -69,6 +69,19 @@ def op10_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    noted = F.when(F.col("vec_id") % 7 == 0, (F.col("label").cast("long") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings").withColumn("label", noted), F.col("vec_id") % 100 == 0)
+
+
+def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.join(table(spark, sf_dir, "documents"))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(table(spark, sf_dir, "embeddings"))
+
+
 OP2_SQL = """
 WITH raws AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
 cut AS (SELECT page_id, rest, regexp_extract(rest, '^[^/?#]*') AS raw FROM raws),
@@ -139,9 +152,41 @@ FROM e JOIN z a ON a.doc_id = e.doc_id AND a.kind = 0 JOIN z b ON b.doc_id = e.d
 """
 
 
+OP11_SQL = """
+WITH e AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label::BIGINT + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS q
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS a, a.label = b.label AS same, b.vec_id AS id, list_sum(list_transform(list_zip(a.q, b.q), lambda z: z[1] * z[2]))::BIGINT AS score FROM e a JOIN e b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0),
+p AS (SELECT a, id, score FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY score DESC, id) AS k FROM s WHERE same) WHERE k <= 5),
+n AS (SELECT p.a, p.id AS pid, p.score AS pscore, s.id, s.score, row_number() OVER (PARTITION BY p.a, p.id ORDER BY s.score DESC, s.id) AS k FROM p JOIN s ON s.a = p.a AND NOT s.same AND 80 * p.score <= 100 * s.score AND s.score <= p.score)
+SELECT a AS anchor_id, pid AS positive_id, k::INT AS rank, id AS negative_id, pscore AS positive_score, score AS negative_score FROM n WHERE k <= 5
+"""
+
+
+def _op13_sql() -> str:
+    """Rounds written out: b0 .. b4 are the codebooks, n1 .. n5 the nearest entries."""
+    steps = []
+    for r in range(1, 6):
+        steps.append(f"""d{r} AS (SELECT id, part, entry, list_sum(list_transform(list_zip(x, y), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d FROM v JOIN b{r - 1} USING (part)),
+n{r} AS (SELECT id, part, entry, d FROM (SELECT *, row_number() OVER (PARTITION BY id, part ORDER BY d, entry) AS k FROM d{r}) WHERE k = 1)""")
+        if r < 5:
+            steps.append(f"""s{r} AS (SELECT part, entry, i, sum(x[i])::BIGINT AS s, count(*) AS c FROM n{r} JOIN v USING (id, part), range(1, 17) t(i) GROUP BY part, entry, i),
+u{r} AS (SELECT part, entry, list((s - ((s % c) + c) % c) // c ORDER BY i) AS y FROM s{r} GROUP BY part, entry),
+b{r} AS (SELECT part, entry, coalesce(u{r}.y, b{r - 1}.y) AS y FROM b{r - 1} LEFT JOIN u{r} USING (part, entry))""")
+    return f"""
+WITH w AS (SELECT vec_id AS id, label, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS q FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+v AS MATERIALIZED (SELECT id, part, q[16 * part + 1:16 * part + 16] AS x FROM w, range(4) t(part)),
+b0 AS (SELECT part, entry, x AS y FROM v JOIN (SELECT id, row_number() OVER (ORDER BY id) - 1 AS entry FROM w) USING (id) WHERE entry < 256),
+{", ".join(steps).replace(" AS (SELECT", " AS MATERIALIZED (SELECT")},
+c AS (SELECT id, string_agg(lpad(printf('%x', entry), 2, '0'), '' ORDER BY part) AS code, sum(d)::BIGINT AS error FROM n5 GROUP BY id),
+h AS (SELECT sha256(string_agg(array_to_string(y, ','), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM b4)
+SELECT id AS vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256 FROM w JOIN c USING (id), h
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_byte_bpe, op2_url_filter, op3_quality, op4_suffix_dedup, op5_ngram_jaccard, op6_pii, op7_language_id, op8_warc, op9_decontamination, op10_fingerprint)}
+    return {f.__name__: f for f in (op1_byte_bpe, op2_url_filter, op3_quality, op4_suffix_dedup, op5_ngram_jaccard, op6_pii, op7_language_id, op8_warc, op9_decontamination, op10_fingerprint, op11_hard_negatives, op12_simhash, op13_vector_codes)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_url_filter": OP2_SQL, "op4_suffix_dedup": OP4_SQL, "op5_ngram_jaccard": OP5_SQL, "op8_warc": OP8_SQL, "op10_fingerprint": _op10_sql()}
+    return {"op2_url_filter": OP2_SQL, "op4_suffix_dedup": OP4_SQL, "op5_ngram_jaccard": OP5_SQL, "op8_warc": OP8_SQL, "op10_fingerprint": _op10_sql(), "op11_hard_negatives": OP11_SQL, "op13_vector_codes": _op13_sql()}
