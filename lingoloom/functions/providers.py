@@ -13,6 +13,7 @@ from typing import Protocol
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 class TranslationProvider(Protocol):
@@ -52,8 +53,10 @@ def first_answer(providers: Sequence, method: str, *args: object, empty: bool =
     raise RuntimeError(f"no provider answered: {method}")
 
 
-def translate(items: DataFrame, providers: Sequence[TranslationProvider], source: str) -> DataFrame:
-    """items: id, target_language, strings (map), guidance. Adds translated (map of the asked keys) and error. A failed item has an error and no map."""
+def translate(items: DataFrame, providers: Sequence[TranslationProvider], source: str, keys: Sequence[str] = ("id",)) -> DataFrame:
+    """items: keys, target_language, strings (map), guidance. Gives keys, target_language, translated (map of the asked keys) and error. A
+    failed item has an error and no map. Keys must tell items apart: ids alone do so only within a type."""
+    names = [*keys, "target_language"]
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
@@ -70,41 +73,60 @@ def translate(items: DataFrame, providers: Sequence[TranslationProvider], source
                 except Exception as e:  # noqa: BLE001  one item's failure is its own
                     out.append(None)
                     errors.append(str(e))
-            yield pd.DataFrame({"id": part["id"], "target_language": part["target_language"], "translated": out, "error": errors})
+            yield part[names].assign(translated=out, error=errors)
 
-    return items.select("id", "target_language", "strings", "guidance").mapInPandas(run, "id bigint, target_language string, translated map<string,string>, error string")
+    kinds = ", ".join(f"{n} {items.schema[n].dataType.simpleString()}" for n in names)
+    return items.select(*names, "strings", "guidance").mapInPandas(run, f"{kinds}, translated map<string,string>, error string")
 
 
-_CANDIDATE = "target_language string, id bigint, rule_name string, rule_type string, rule_text string, source_term string, target_term string, search_keywords string, confidence_percent int, feedback_ids array<bigint>, seq bigint"
+_CANDIDATE = "target_language string, id bigint, rule_name string, rule_type string, rule_text string, source_term string, target_term string, search_keywords string, confidence_percent int, feedback_ids array<bigint>, seq bigint, error string"
 
 
 def distil(batch: DataFrame, providers: Sequence[DistillingProvider], source: str) -> DataFrame:
     """Rule candidates of a batch (id, target_language, source_text, machine_draft, human_correction, context: JSON list of rules),
-    language by language. A run's batch size bounds each group."""
+    language by language. A run's batch size bounds each group. A language whose providers fail gives one row with the error alone."""
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
         target = part["target_language"].iloc[0]
         part = part.sort_values("id")
         rules = json.loads(part["context"].iloc[0] or "[]")
         rows = part[["id", "source_text", "machine_draft", "human_correction"]].to_dict("records")
-        made = first_answer(providers, "distil", rows, rules, source, target, empty=True)
         names = [x.split(" ")[0] for x in _CANDIDATE.split(", ")]
-        blank = {"id": 0, "rule_name": "", "rule_type": "", "rule_text": "", "source_term": None, "target_term": None, "search_keywords": "", "confidence_percent": 0, "feedback_ids": []}
+        blank = {"id": 0, "rule_name": "", "rule_type": "", "rule_text": "", "source_term": None, "target_term": None, "search_keywords": "", "confidence_percent": 0, "feedback_ids": [], "error": None}
+        try:
+            made = first_answer(providers, "distil", rows, rules, source, target, empty=True)
+        except Exception as e:  # noqa: BLE001  raised here, it would have the task repeated and the provider asked again
+            return pd.DataFrame([blank | {"target_language": target, "seq": 0, "error": str(e)}], columns=names)
         return pd.DataFrame([blank | m | {"target_language": target, "seq": i} for i, m in enumerate(made) if isinstance(m, dict)], columns=names)
 
     return batch.groupBy("target_language").applyInPandas(run, _CANDIDATE)
 
 
+#: Empty answers on end after which a text's further words are not asked about.
+EMPTY = 2
+
+
 def normalise(words: DataFrame, providers: Sequence[NormalisingProvider], language: str) -> DataFrame:
-    """(language, word, standard_form) of the words of batches (batch_id, word) that a provider reduces; failures give nothing."""
+    """(language, word, standard_form) of the words of texts' batches (item_id, batch_id, word) that a provider reduces.
+
+    A text's batches are asked one after another, as each decides whether the next one is asked: a failure or an answer with none of the words
+    is empty, and EMPTY of these on end are the last. Texts are asked side by side.
+    """
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
-        asked = part["word"].tolist()
-        try:
-            answer = first_answer(providers, "normalise", asked, language, empty=True)
-        except Exception:  # noqa: BLE001
-            answer = {}
-        kept = [(language, w, answer[w]) for w in asked if isinstance(answer.get(w), str) and answer[w]]
+        kept, empty = [], 0
+        for _, batch in sorted(part.groupby("batch_id")):
+            asked = sorted(batch["word"])
+            try:
+                answer = first_answer(providers, "normalise", asked, language, empty=True)
+            except Exception:  # noqa: BLE001
+                answer = {}
+            found = [(language, w, answer[w]) for w in asked if isinstance(answer.get(w), str) and answer[w]]
+            kept += found
+            empty = 0 if found else empty + 1
+            if empty >= EMPTY:
+                break
         return pd.DataFrame(kept, columns=["language", "word", "standard_form"])
 
-    return words.groupBy("batch_id").applyInPandas(run, "language string, word string, standard_form string")
+    item = F.col("item_id") if "item_id" in words.columns else F.lit(0).alias("item_id")
+    return words.select(item, "batch_id", "word").groupBy("item_id").applyInPandas(run, "language string, word string, standard_form string")

@@ -37,12 +37,12 @@ def haystacks(batch: DataFrame) -> DataFrame:
     return batch.groupBy("target_language").agg(F.array_join(parts, " ").alias("text")).select(F.lit(0).cast("bigint").alias("item_id"), "target_language", "text")
 
 
-def batches(words: DataFrame, size: int = 200, most: int = 5) -> DataFrame:
-    """Number each language's words (language, word, in order of ``at``) into batches of a size, at most so many.
+def batches(words: DataFrame, size: int = 200, most: int = 5, by: str = "language") -> DataFrame:
+    """Number each language's (or text's) words (word, in order of ``at``) into batches of a size, at most so many.
 
     The limit on places comes first, so that each task sends no more words of a language than are wanted.
     """
-    n = F.row_number().over(Window.partitionBy("language").orderBy("at", "word"))
+    n = F.row_number().over(Window.partitionBy(by).orderBy("at", "word"))
     return words.withColumn("_n", n).where(F.col("_n") <= size * most).withColumn("batch_id", F.floor((F.col("_n") - 1) / size)).drop("_n")
 
 

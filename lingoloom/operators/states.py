@@ -37,9 +37,9 @@ def ensured(queue: DataFrame, wanted: DataFrame) -> DataFrame:
 
 def reviewed(states: DataFrame, changes: DataFrame) -> DataFrame:
     """Cells (queue_id, target_language, source_version_id and, if states have it, machine_draft) set to review with that version and
-    draft; of some changes of a cell that of the newest version counts. Missing cells are added, with ids that follow the largest."""
+    draft; of some changes of a cell that of the newest version counts (of one version the last draft in order). Missing cells are added, with ids that follow the largest."""
     set_ = [c for c in ("source_version_id", "machine_draft") if c in states.columns and c in changes.columns]
-    newest = F.max_by(F.struct(*set_), F.coalesce("source_version_id", F.lit(0)))
+    newest = F.max_by(F.struct(*set_), F.struct(F.coalesce("source_version_id", F.lit(0)), *(F.col(c) for c in set_[1:])))
     own = changes.groupBy("queue_id", "target_language").agg(newest.alias("_new"))
     changed = F.col("_new").isNotNull()
     out = states.join(own, ["queue_id", "target_language"], "left")

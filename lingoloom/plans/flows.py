@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import functools
 import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lingoloom.functions import maps, providers
@@ -20,7 +21,8 @@ from lingoloom.operators import states as st
 from lingoloom.sources import content_types as ct
 from lingoloom.sources.folders import shared_folder
 
-FAILURES = 2
+#: Failures on end that stop a translating run, and the most items that are asked for at once.
+FAILURES, WAVE = 2, 64
 
 
 def needs_forms(rules: DataFrame) -> bool:
@@ -29,11 +31,13 @@ def needs_forms(rules: DataFrame) -> bool:
 
 
 def normalised(texts: DataFrame, forms: DataFrame, own: Sequence, language: str) -> DataFrame:
-    """The forms, with those added that providers give for the texts' unknown words: in batches of 200, five at most."""
+    """The forms, with those added that providers give for the texts' (item_id, text) unknown words: in batches of 200, five at most for a
+    text, and none after two empty answers on end. A word of some texts is asked for with the first. Answers are written before they are
+    used, so that nobody is asked twice."""
     words = texts.select("item_id", F.posexplode(tx.tokens(F.col("text"))).alias("at", "word"))
-    wanted = words.groupBy("word").agg(F.min("at").alias("at")).withColumn("language", F.lit(language))
-    asked = fb.batches(fb.unknown_words(wanted, forms)).select("batch_id", "word")
-    found = providers.normalise(asked, own, language).join(forms, ["language", "word"], "left_anti")
+    wanted = words.groupBy("word").agg(F.min(F.struct("item_id", "at")).alias("one")).select("word", "one.*", F.lit(language).alias("language"))
+    asked = fb.batches(fb.unknown_words(wanted, forms), by="item_id")
+    found = written(providers.normalise(asked, own, language), "forms").join(forms, ["language", "word"], "left_anti")
     return forms.select("language", "word", "standard_form").unionByName(found)
 
 
@@ -48,83 +52,121 @@ def retrieved(texts: DataFrame, rules: DataFrame, forms: DataFrame, own: Sequenc
 class Distilled:
     rules: DataFrame
     feedback: DataFrame
+    #: the feedback that was gone through, with its diffs
     batch: DataFrame
+    #: the standard forms with those that were learned
+    forms: DataFrame
     outcome: str
 
 
 def distilled(feedback: DataFrame, rules: DataFrame, forms: DataFrame, own: Sequence, source: str, size: int = 10) -> Distilled:
     """One distilling run: the oldest pending feedback is diffed and, language by language, turned into rule candidates.
 
-    Valid candidates are stored; the batch is marked as processed even if none was. Languages are few, so they are gone
-    through on the driver; the batch's size bounds all that is collected.
+    Valid candidates are stored; feedback is marked as processed even if none was. Languages are asked in the order in which they come in the
+    batch; one that fails ends the run, and what the languages before it gave stays. The batch's size bounds all that is collected.
     """
     batch = written(fb.with_diff(fb.pending(feedback, size)), "batch")
-    texts = fb.haystacks(batch)
-    known = normalised(texts, forms, own, source) if needs_forms(rules) else None
-    chosen = ru.selected(texts, rules.where(F.col("state").isin(0, 1)), known, ru.BATCH_RULES, ru.BATCH_STYLE, drafts_first=True, any_kind=True)
-    one = F.struct("place", "id", "rule_type", "rule_name", "rule_text", "source_term", "target_term")
-    context = chosen.groupBy("target_language").agg(F.to_json(F.array_sort(F.collect_list(one))).alias("context"))
-    # a provider is asked once: its answers are written, so that a lost executor asks nobody again
-    candidates = written(providers.distil(batch.join(context, "target_language", "left"), own, source), "candidates")
-    terms = candidates.select(F.lit(0).cast("bigint").alias("item_id"), F.col("source_term").alias("text")).where("text is not null")
-    known = written(normalised(terms, forms if known is None else known, own, source), "forms")
-    out = rules
-    for (language,) in candidates.select("target_language").distinct().orderBy("target_language").collect():
-        out = ru.upserted(out, candidates.where(F.col("target_language") == language).drop("target_language"), language, known)
-    return Distilled(out, st.processed(feedback, batch.select("id", "diff_data")), batch, outcome(batch.count(), size, False))
+    order = batch.groupBy("target_language").agg(F.min(F.struct("created_day", "id")).alias("first")).orderBy("first").collect()
+    known = normalised(fb.haystacks(batch), forms, own, source) if order and needs_forms(rules) else forms
+    gone, failed = [], False
+    for (language, _) in order:
+        part = batch.where(F.col("target_language") == language)
+        chosen = ru.selected(fb.haystacks(part), rules.where(F.col("state").isin(0, 1)), known, ru.BATCH_RULES, ru.BATCH_STYLE, drafts_first=True, any_kind=True)
+        one = F.struct("place", "id", "rule_type", "rule_name", "rule_text", "source_term", "target_term")
+        context = chosen.groupBy("target_language").agg(F.to_json(F.array_sort(F.collect_list(one))).alias("context"))
+        # a provider is asked once: its answers are written, so that a lost executor asks nobody again
+        candidates = written(providers.distil(part.join(context, "target_language", "left"), own, source), "candidates")
+        if failed := not candidates.where("error is not null").isEmpty():
+            break
+        terms = candidates.select(F.lit(0).cast("bigint").alias("item_id"), F.col("source_term").alias("text")).where("text is not null")
+        known = normalised(terms, known, own, source)
+        rules = ru.upserted(rules, candidates.drop("target_language", "error"), language, known)
+        gone.append(language)
+    batch = batch.where(F.col("target_language").isin(gone))
+    return Distilled(rules, st.processed(feedback, batch.select("id", "diff_data")), batch, known, outcome(batch.count(), size, failed))
 
 
 @dataclass
 class Translated:
-    #: content_type, id, target_language, strings, translated, error and whether the run got there
+    #: content_type, id, target_language, strings, translated, error and whether it succeeded, of the cells that the run got to
     results: DataFrame
     #: what is to be stored, by content type and language
     drafts: dict[tuple[str, str], DataFrame]
     queue: DataFrame
     states: DataFrame
+    #: the standard forms with those that were learned
+    forms: DataFrame
     outcome: str
 
 
-def outcome(done: int, size: int, failed: bool) -> str:
-    """What a scheduled run reports: again at once after a full batch, an error if it failed and did nothing, else done."""
-    return "error" if failed and not done else "resume" if done >= size and not failed else "done"
+def outcome(done: int, size: int, stopped: bool) -> str:
+    """What a scheduled run reports: an error if it was stopped, again at once after a full batch, else done."""
+    return "error" if stopped else "resume" if done == size else "done"
 
 
-def translated(items: DataFrame, queue: DataFrame, states: DataFrame, rules: DataFrame, forms: DataFrame, versions: DataFrame, languages: list[tuple[str, str, int]], own: Sequence, source: str, size: int = 5, associations: DataFrame | None = None) -> Translated:
-    """One translating run over the next cells of the queue. Two failures on end stop it: cells behind them count as untouched.
+def answered(work: DataFrame, rules: DataFrame, forms: DataFrame, own: Sequence, source: str, limit: int = FAILURES, most: int = WAVE) -> tuple[list[DataFrame], DataFrame, int, bool]:
+    """Ask providers for cells (seq from 1 without gaps, content_type, id, target_language, strings) until so many failures on end.
 
-    What was translated becomes a draft and goes to review, with the newest version of its item, the draft's values (if states have a
-    column for them) and a row in the queue.
+    Cells are asked in waves, each written before the next one begins. A wave is as wide as failures may still come before the end is certain;
+    waves without a failure double, up to ``most`` cells that are asked side by side. Answers behind the cell that ends the run are left out, so
+    the result is that of asking one after another. Gives answers by wave, the forms known then, the number of successes, and whether it ended early.
+    """
+    waves: list[DataFrame] = []
+    n = work.agg(F.coalesce(F.max("seq"), F.lit(0))).first()[0]
+    at, streak, width, good = 0, 0, limit, 0
+    published = ru.published(rules)
+    stems = needs_forms(published)
+    while at < n and streak < limit:
+        wave = work.where(F.col("seq").between(at + 1, at + width))
+        texts = wave.select(F.col("seq").alias("item_id"), "target_language", tx.plain_text(F.array_join(F.map_values("strings"), " ")).alias("text"))
+        forms = normalised(texts, forms, own, source) if stems else forms
+        guide = ru.guidance(ru.selected(texts, published, forms if stems else None)).withColumnRenamed("item_id", "seq")
+        asked = wave.join(guide, ["seq", "target_language"], "left").withColumn("guidance", F.coalesce("guidance", F.lit("")))
+        answers = written(providers.translate(asked.repartition(min(width, n - at), "seq"), own, source, ["seq"]), "answers")
+        last = at + width
+        for seq, error in answers.select("seq", "error").orderBy("seq").collect():  # a wave's numbers
+            streak = streak + 1 if error is not None else 0
+            good += error is None
+            if streak == limit:
+                last = seq
+                break
+        waves.append(answers.where(F.col("seq") <= last))
+        at, width = last, limit - streak if streak else min(most, 2 * width)
+    return waves, forms, good, streak >= limit
+
+
+def translated(items: DataFrame, queue: DataFrame, states: DataFrame, rules: DataFrame, forms: DataFrame, history: DataFrame, languages: list[tuple[str, str, int]], own: Sequence, source: str, size: int = 5, associations: DataFrame | None = None) -> Translated:
+    """One translating run over the next cells of the queue. Two failures on end stop it: cells behind them stay untouched.
+
+    What was translated becomes a draft and goes to review, with the newest version of its item (history: item_id as alias and id,
+    version_id; 0 without one), the draft's values (if states have a column for them) and a row in the queue.
     """
-    cells = qu.next_batch(qu.untranslated(items, queue, states, languages, source), size).withColumn("seq", F.struct("type_rank", "lang_rank", "id"))
     strings = None
     for name in ct.TYPES:
         p = ct.properties(name)
         part = items.where(F.col("content_type") == name).select("content_type", "id", maps.strings(p["fields"], p["json_fields"]).alias("strings"))
         strings = part if strings is None else strings.unionByName(part)
-    work = cells.join(strings, ["content_type", "id"])
-    texts = work.select(F.col("id").alias("item_id"), "target_language", tx.plain_text(F.array_join(F.map_values("strings"), " ")).alias("text"))
-    guide = ru.guidance(retrieved(texts, rules, forms, own, source))
-    work = work.join(guide.withColumnRenamed("item_id", "id"), ["id", "target_language"], "left").withColumn("guidance", F.coalesce("guidance", F.lit("")))
-    made = providers.translate(work, own, source)
-    results = work.join(made, ["id", "target_language"]).withColumns({"run_id": F.lit(0), "ok": F.isnull("error")}).drop("guidance")
-    results = written(fb.failure_runs(written(results, "answers")).drop("run_id", "seq"), "results")
+    cells = qu.next_batch(qu.untranslated(items, queue, states, languages, source), size)
+    place = F.row_number().over(Window.orderBy("type_rank", "lang_rank", "id")).cast("bigint")  # of a batch's cells
+    work = written(cells.withColumn("seq", place).join(strings, ["content_type", "id"]), "work")
+    waves, known, n, stopped = answered(work, rules, forms, own, source)
+    made = functools.reduce(DataFrame.unionByName, waves) if waves else None
+    made = made.drop("target_language") if made is not None else work.select("seq", F.lit(None).cast("map<string,string>").alias("translated"), F.lit("").alias("error")).where("false")
+    results = work.join(made, "seq").withColumn("ok", F.isnull("error"))
     good = results.where("ok")
     every = items.select("content_type", "id", "language", "state")
+    linked = associations if associations is not None else _unlinked(items)
     stored, shots = {}, None
     for kind, language in sorted(tuple(r) for r in good.select("content_type", "target_language").distinct().collect()):
         own_ = good.where((F.col("content_type") == kind) & (F.col("target_language") == language)).select("id", "translated")
-        draft = dr.drafts(items, own_, kind, language, source, associations, every) if associations is not None else dr.drafts(items, own_, kind, language, source, _unlinked(items), every)
-        stored[kind, language] = draft
+        stored[kind, language] = draft = dr.drafts(items, own_, kind, language, source, linked, every)
         shot = dr.snapshot(draft, kind).select(F.lit(kind).alias("content_type"), F.col("source_id").alias("id"), F.col("language").alias("target_language"), "machine_draft")
         shots = shot if shots is None else shots.unionByName(shot)
     queue = st.ensured(queue, good.select("content_type", F.col("id").alias("content_id")))
     placed = good.join(queue.select("content_type", F.col("content_id").alias("id"), F.col("id").alias("queue_id")), ["content_type", "id"])
-    newest = versions.select(F.col("item_id").alias("id"), "version_id").groupBy("id").agg(F.max("version_id").alias("version_id"))
     placed = placed.join(shots, ["content_type", "id", "target_language"], "left") if shots is not None else placed.withColumn("machine_draft", F.lit(None).cast("string"))
-    changes = placed.join(newest, "id", "left").select("queue_id", "target_language", F.coalesce("version_id", F.lit(0)).cast("bigint").alias("source_version_id"), "machine_draft")
-    n, bad = results.agg(F.count_if("ok"), F.count_if(~F.col("ok"))).first()
-    return Translated(results, stored, queue, st.reviewed(states, changes), outcome(n, size, bad > 0))
+    changes = placed.join(asc.item_versions(history), ["content_type", "id"], "left").select("queue_id", "target_language", F.coalesce("version_id", F.lit(0)).cast("bigint").alias("source_version_id"), "machine_draft")
+    return Translated(results, stored, queue, st.reviewed(states, changes), known, outcome(n, size, stopped))
 
 
 def _unlinked(items: DataFrame) -> DataFrame:

@@ -20,14 +20,12 @@ from lingoloom.sources import content_types as ct
 #: The feed's columns, and the kinds of events that mean something here.
 EVENT = "event_type string, content_type string, item_id bigint, version_id bigint, payload map<string,string>, ts timestamp"
 KINDS = ("save", "version", "state", "delete", "new")
-ALIASES = [p["version_alias"] for p in ct.TYPES.values() if p.get("version_alias")]
+ALIASES = asc.ALIASES
 
 
 def changes(versions: DataFrame, queue: DataFrame) -> DataFrame:
     """(queue_id, version_id) of the newest versions of queued items; unknown aliases and ids of 0 are ignored."""
-    top = asc.latest_versions(versions, ALIASES)
-    kinds = F.create_map(*[F.lit(x) for n, p in ct.TYPES.items() if p.get("version_alias") for x in (p["version_alias"], n)])
-    own = top.select(F.element_at(kinds, F.col("alias")).alias("content_type"), F.col("item_id").alias("content_id"), "version_id")
+    own = asc.item_versions(versions).withColumnRenamed("id", "content_id")
     return own.join(queue.select("content_type", "content_id", F.col("id").alias("queue_id")), ["content_type", "content_id"]).select("queue_id", "version_id")
 
 

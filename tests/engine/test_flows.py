@@ -31,7 +31,7 @@ def rules_of(t):
 
 def test_translating_run_marks_cells_for_review(spark, t):
     languages = qu.language_list(t.languages, "en-GB")
-    versions = spark.createDataFrame([(1, 7), (1, 9)], "item_id long, version_id long")
+    versions = spark.createDataFrame([("com_tags.tag.1", 7), ("com_tags.tag.1", 9), ("com_content.article.1", 30), ("other.1", 40)], "item_id string, version_id long")
     run = flows.translated(t.content_items, t.queue, t.queue_states, rules_of(t), t.standard_forms, versions, languages, [Dictionary({"a": "b"})], "en-GB", size=6)
     rows = run.results.collect()
     assert len(rows) == 6 and run.outcome == "resume" and all(r.error is None and r.translated for r in rows)
@@ -44,10 +44,12 @@ def test_two_failures_stop_a_run(spark, t):
     items = spark.createDataFrame([("com_tags.tag", i, f"t{8 if i in (2, 3) else 1}", "en-GB", 1, "", 0) for i in range(1, 6)], "content_type string, id long, title string, language string, state int, extension string, client_id int")
     for c in ("introtext", "fulltext", "metadesc", "metakey", "note", "description", "images"):
         items = items.withColumn(c, F.lit(""))
-    empty = spark.createDataFrame([], "item_id long, version_id long")
+    empty = spark.createDataFrame([], "item_id string, version_id long")
     run = flows.translated(items, t.queue, t.queue_states, rules_of(t), t.standard_forms, empty, [("fr-FR", "French", 2)], [Failing()], "en-GB", size=5)
     assert sorted((r.id, r.ok) for r in run.results.collect()) == [(1, True), (2, False), (3, False)]
-    assert run.outcome == "done" and [flows.outcome(*x) for x in ((0, 5, True), (5, 5, False), (0, 5, False))] == ["error", "resume", "done"]
+    # two failures on end are an error whatever was translated before; a lone one is none
+    assert run.outcome == "error" and [flows.outcome(*x) for x in ((0, 5, True), (4, 5, True), (5, 5, False), (4, 5, False), (0, 5, False))] == ["error", "error", "resume", "done", "done"]
+    assert run.states.where("translation_state = 'review'").count() == t.queue_states.where("translation_state = 'review'").count() + 1
 
 
 def test_distilling_run(spark, t):
@@ -125,7 +127,7 @@ def test_chain_of_translating_runs(spark, t):
 
     languages = qu.language_list(t.languages, "en-GB")
     states = t.queue_states.withColumn("machine_draft", F.lit(None).cast("string"))
-    versions = spark.createDataFrame([(1, 7)], "item_id long, version_id long")
+    versions = spark.createDataFrame([("com_content.article.1", 7)], "item_id string, version_id long")
     go = lambda q, s: flows.translated(t.content_items, q, s, rules_of(t), t.standard_forms, versions, languages, [Dictionary({"a": "b"})], "en-GB", size=4, associations=t.associations)
     run = go(t.queue, states)
     first = {(r.content_type, r.id, r.target_language) for r in run.results.collect()}
@@ -166,3 +168,95 @@ def test_drafts_are_linked_and_deletions_of_self_associated_types_unlink(spark):
     ids = lambda df: sorted(r.id for r in df.collect())
     assert [ids(x) for x in feed.deletions(gone(3), items, queue, states, groups)] == [[1, 2], [7], [2], [1, 2]]
     assert [ids(x) for x in feed.deletions(gone(1), items, queue, states, groups)] == [[], [], [], [2, 3]]
+
+
+ITEM = "content_type string, id long, title string, language string, state int, extension string, client_id int"
+
+
+def items_of(spark, rows):
+    items = spark.createDataFrame([(kind, i, title, "en-GB", 1, "com_content" if "categor" in kind else "", 0) for kind, i, title in rows], ITEM)
+    return items.withColumns({c: F.lit("") for c in ("introtext", "fulltext", "metadesc", "metakey", "note", "description", "images")})
+
+
+def test_equal_ids_of_all_types_keep_their_own_texts_and_versions(spark, t):
+    """One id in every type: each cell has its own strings, guidance, answer, draft and version."""
+    kinds = ["com_tags.tag", "com_categories.category", "com_content.article", "com_menus.item"]
+    items = items_of(spark, [(k, i, f"{k[4:6]} {i}") for k in kinds for i in (1, 2)]).withColumn("menutype", F.lit("main-en-gb"))
+    history = spark.createDataFrame([("com_tags.tag.1", 77), ("com_content.article.1", 5), ("com_content.category.2", 6), ("com_menus.item.1", 99), ("unknown.1", 100)], "item_id string, version_id long")
+    none = t.queue.where("false"), t.queue_states.withColumn("machine_draft", F.lit(None).cast("string")).where("false")
+    run = flows.translated(items, *none, rules_of(t), t.standard_forms, history, [("fr-FR", "French", 2), ("de-DE", "German", 3)], [Dictionary()], "en-GB", size=16, associations=t.associations.where("false"))
+    rows = run.results.collect()
+    assert len(rows) == 16 == len({(r.content_type, r.id, r.target_language) for r in rows}) and run.outcome == "resume"
+    assert all(r.translated == {"title": f"{r.content_type[4:6]} {r.id}"} == r.strings for r in rows)
+    assert sorted(run.drafts) == sorted((k, c) for k in kinds for c in ("fr-FR", "de-DE")) and all(d.count() == 2 for d in run.drafts.values())
+    cells = run.states.join(run.queue.withColumnRenamed("id", "queue_id"), "queue_id").collect()
+    assert {(r.content_type, r.content_id): r.source_version_id for r in cells if r.source_version_id} == {("com_tags.tag", 1): 77, ("com_content.article", 1): 5, ("com_categories.category", 2): 6}
+    assert len(cells) == 16 and all(json.loads(r.machine_draft)["title"] == f"{r.content_type[4:6]} {r.content_id}" for r in cells)
+
+
+class Counted(Dictionary):
+    """Notes each call in a folder, and fails where the title says so."""
+
+    def translate(self, strings, source, target, rules):
+        import pathlib
+        import uuid
+
+        pathlib.Path(self.words["folder"], uuid.uuid4().hex).touch()
+        if "bad" in strings["title"]:
+            raise RuntimeError("no")
+        return strings
+
+    def normalise(self, words, language):
+        self.translate({"title": ""}, "", "", {})
+        return {}
+
+
+def walk(bad, size, limit=2):
+    """The sequential walk: ids that it gets to, and whether it was stopped."""
+    seen, streak = [], 0
+    for i, b in enumerate(bad[:size], 1):
+        seen.append((i, not b))
+        streak = streak + 1 if b else 0
+        if streak == limit:
+            return seen, True
+    return seen, False
+
+
+@pytest.mark.parametrize("seed", [None, 0, 1, 2, 3])
+def test_a_run_stops_by_itself(spark, t, tmp_path, seed):
+    import random
+
+    rnd = random.Random(seed)
+    bad = [True] * 30 if seed is None else [rnd.random() < (0.1, 0.25, 0.3, 0.0)[seed] for _ in range(30)]
+    items = items_of(spark, [("com_tags.tag", i, "bad" if b else "good") for i, b in enumerate(bad, 1)])
+    none = t.queue.where("false"), t.queue_states.where("false")
+    run = flows.translated(items, *none, rules_of(t).where("false"), t.standard_forms, t.history, [("fr-FR", "French", 2)], [Counted({"folder": str(tmp_path)})], "en-GB", size=30)
+    seen, stopped = walk(bad, 30)
+    assert sorted((r.id, r.ok) for r in run.results.collect()) == seen
+    assert run.outcome == ("error" if stopped else "resume" if all(ok for _, ok in seen) else "done")
+    calls = len(list(tmp_path.iterdir()))
+    assert calls == len(seen) if seed in (None, 3) else len(seen) <= calls <= 30
+    assert run.states.count() == sum(ok for _, ok in seen)
+
+
+def test_empty_answers_end_a_texts_words(spark, t, tmp_path):
+    texts = spark.createDataFrame([(1, " ".join(f"worda{i}" for i in range(900))), (2, " ".join(f"wordb{i}" for i in range(150)))], "item_id long, text string")
+    flows.normalised(texts, t.standard_forms, [Counted({"folder": str(tmp_path)})], "en-GB").count()
+    assert len(list(tmp_path.iterdir())) == 3  # two batches of the first text and the only one of the second
+
+
+class Stuck(Dictionary):
+    def distil(self, corrections, rules, source, target):
+        if target == self.words["bad"]:
+            raise RuntimeError("no")
+        return super().distil(corrections, rules, source, target)
+
+
+def test_a_failing_language_ends_a_distilling_run(spark, t):
+    rows = [(i, lang, f"text {i}", f"draft {i}", f"correction {i}", "pending", day) for i, lang, day in ((1, "de-DE", 1), (2, "fr-FR", 2), (3, "de-DE", 3), (4, "es-ES", 4))]
+    feedback = spark.createDataFrame(rows, "id long, target_language string, source_text string, machine_draft string, human_correction string, status string, created_day int")
+    run = flows.distilled(feedback, rules_of(t), t.standard_forms, [Stuck({"bad": "fr-FR"})], "en-GB", size=4)
+    assert run.outcome == "error" and {r.id for r in run.feedback.where("status = 'processed'").collect()} == {1, 3}
+    assert run.rules.count() == t.rules.count() + 2
+    run = flows.distilled(feedback, rules_of(t), t.standard_forms, [Dictionary()], "en-GB", size=4)
+    assert run.outcome == "resume" and run.feedback.where("status = 'processed'").count() == 4
