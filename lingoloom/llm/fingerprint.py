@@ -1,7 +1,7 @@
 """Document fingerprints: a homomorphic multiset hash over paragraphs.
 
-A paragraph here is a line, or a sentence of it, and those longer than LONG are cut further at places that the text around them
-decides, so that an edit changes some of them only. Its SHA-256 gives a wide vector: eight 32-bit numbers, and a +1 or -1 in
+A paragraph here is a line, or a sentence of it, and those longer than LONG are cut further after words, or pairs of code points, that
+their own hash picks, whatever the script, so that an edit changes some of them only. Its SHA-256 gives a wide vector: eight 32-bit numbers, and a +1 or -1 in
 one of 128 lanes. A document's fingerprint is the sum of its paragraphs' vectors, modulo 2 ** 32 and 2 ** 16. So it
 does not depend on their order, equal documents have equal fingerprints, and a paragraph is inserted or deleted by
 adding or subtracting its vector (``combine``). The lanes are a random projection of the multiset, so the cosine of
@@ -26,15 +26,32 @@ BUCKET, BUCKETS = 1024, 1 << 14
 CUT = 64
 #: Lanes added up in one number, and the bits of each; a text would need 128 million paragraphs to fill them.
 PACKED, BITS = 3, 21
-#: Paragraphs of over LONG characters are cut after words that end in some common letters or stops, and after wide stops. A text with none of
-#: these for long is one paragraph there. Every match is two characters at most, so that cutting is linear.
-LONG, CUTS = 120, "([rtтяνς,;:]) |([，。、；：！？])"
+#: Paragraphs of over LONG characters are cut after words whose MD5 starts so (a quarter of all), and words of over WORD characters (of scripts
+#: without spaces, say) after pairs of code points whose MD5 starts so (a sixteenth). What is cut depends on no script or language.
+LONG, ENDS = 120, "0123"
+WORD, PAIR = 40, "0"
+
+
+def _starts(x: Column, digits: str) -> Column:
+    return F.substring(F.md5(x), 1, 1).isin(*digits)
+
+
+def _cut_word(word: Column) -> Column:
+    """A long word with line ends where its own pairs of code points say so."""
+    chars = F.split(word, "")
+    cut = F.zip_with(chars, F.concat(F.array(F.lit("")), chars), lambda c, before: F.concat(F.coalesce(c, F.lit("")), F.when((before != "") & c.isNotNull() & _starts(F.concat(before, c), PAIR), "\n").otherwise("")))
+    return F.when(F.length(word) > WORD, F.array_join(cut, "")).otherwise(word)
+
+
+def _cut(line: Column) -> Column:
+    words = F.transform(F.split(line, " "), lambda w: F.concat(_cut_word(w), F.when(_starts(w, ENDS), "\n").otherwise(" ")))
+    return F.split(F.array_join(words, ""), "\n")
 
 
 def paragraphs(text: Column) -> Column:
-    """Lines, cut after sentence ends, and long ones at CUTS; empty ones don't count."""
+    """Lines, cut after sentence ends, and long ones further; empty ones don't count."""
     lines = F.split(F.regexp_replace(text, "([.!?]) ", "$1\n"), "\n")
-    parts = F.transform(lines, lambda x: F.when(F.length(x) > LONG, F.split(F.regexp_replace(x, CUTS, "$1$2\n"), "\n")).otherwise(F.array(x)))
+    parts = F.transform(lines, lambda x: F.when(F.length(x) > LONG, _cut(x)).otherwise(F.array(x)))
     return F.filter(F.flatten(parts), lambda x: x != "")
 
 

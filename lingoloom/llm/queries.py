@@ -133,6 +133,9 @@ SELECT doc_id, len(sh)::BIGINT AS n_shingles, coalesce(component, doc_id) AS com
 
 
 def _op10_sql() -> str:
+    picked = lambda x, digits: f"CASE WHEN substr(md5({x}), 1, 1) IN ({', '.join(repr(d) for d in digits)}) THEN chr(10) ELSE '{{}}' END"
+    inside = f"array_to_string(list_transform(range(1, length(w) + 1), lambda i: substr(w, i::INT, 1) || CASE WHEN i > 1 THEN {picked('substr(w, (i - 1)::INT, 2)', fingerprint.PAIR).format('')} ELSE '' END), '')"
+    cut = f"array_to_string(list_transform(string_split(g, ' '), lambda w: CASE WHEN length(w) > {fingerprint.WORD} THEN {inside} ELSE w END || {picked('w', fingerprint.ENDS).format(' ')}), '')"
     wide = ", ".join(f"sum(('0x' || substr(digest, {8 * i + 1}, 8))::BIGINT)::BIGINT & 4294967295" for i in range(fingerprint.WIDE))
     lanes = ", ".join(f"coalesce(sum(CASE WHEN lane = {i} THEN sign END), 0)::BIGINT" for i in range(fingerprint.LANES))
     form = lambda n: f"array_to_string(list_transform({n}.wide, lambda x: lpad(printf('%x', x), 8, '0')), '') || array_to_string(list_transform({n}.lanes, lambda x: lpad(printf('%x', x & 65535), 4, '0')), '')"
@@ -143,7 +146,7 @@ WITH d AS (SELECT doc_id, coalesce(text, '') AS t, coalesce(lead(text) OVER w, f
 e AS (SELECT doc_id, t, nx, length(t) AS n, substr(t, 1, length(t) - length(t) // 2) || substr(nx, 1, length(t) // 2) AS ed FROM d),
 k AS (SELECT doc_id, 0 AS kind, t AS x FROM e UNION ALL SELECT doc_id, 1, ed FROM e UNION ALL SELECT doc_id, 2, nx FROM e),
 i AS (SELECT doc_id, kind, unnest(string_split(regexp_replace(x, '([.!?]) ', '\\1\n', 'g'), '\n')) AS g FROM k),
-u AS (SELECT doc_id, kind, sha256(g) AS digest FROM (SELECT doc_id, kind, unnest(string_split(CASE WHEN length(g) > {fingerprint.LONG} THEN regexp_replace(g, '{fingerprint.CUTS}', '\\1\\2\n', 'g') ELSE g END, '\n')) AS g FROM i) WHERE g <> ''),
+u AS (SELECT doc_id, kind, sha256(g) AS digest FROM (SELECT doc_id, kind, unnest(string_split(CASE WHEN length(g) > {fingerprint.LONG} THEN {cut} ELSE g END, '\n')) AS g FROM i) WHERE g <> ''),
 s AS (SELECT *, (('0x' || substr(digest, 1, 2))::INT % {fingerprint.LANES}) AS lane, CASE WHEN ('0x' || substr(digest, 1, 2))::INT >= 128 THEN 1 ELSE -1 END AS sign FROM u),
 v AS (SELECT doc_id, kind, [{wide}] AS wide, [{lanes}] AS lanes FROM s GROUP BY doc_id, kind),
 z AS (SELECT doc_id, kind, coalesce(wide, list_transform(range({fingerprint.WIDE}), lambda i: 0::BIGINT)) AS wide, coalesce(lanes, list_transform(range({fingerprint.LANES}), lambda i: 0::BIGINT)) AS lanes FROM (SELECT doc_id, kind FROM k) LEFT JOIN v USING (doc_id, kind))

@@ -15,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Between host and path in what is hashed; neither can hold it, so a rule that does fits nothing.
+BORDER = "#"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 #: Rules up to this number are broadcast (about 200 bytes each); more are shuffled.
@@ -31,13 +33,13 @@ def host_path(url: Column) -> tuple[Column, Column]:
 
 
 def expressions(host: Column, path: Column, host_lengths: list[int], path_lengths: list[int]) -> Column:
-    """Array of host suffix + path prefix, for the given lengths; suffixes start at a label."""
+    """Array of host suffix + BORDER + path prefix, for the given lengths; suffixes start at a label."""
     n = F.length(host)
     ints = lambda xs: F.array(*map(F.lit, xs)).cast("array<int>")
     fits = F.filter(ints(host_lengths), lambda k: (n > 0) & ((k == n) | ((k < n) & (F.substring(host, n - k, F.lit(1)) == "."))))
     suffixes = F.transform(fits, lambda k: F.substring(host, n - k + 1, k))
     prefixes = F.transform(F.filter(ints(path_lengths), lambda k: k <= F.length(path)), lambda k: F.substring(path, F.lit(1), k))
-    return F.flatten(F.transform(suffixes, lambda s: F.transform(prefixes, lambda p: F.concat(s, p))))
+    return F.flatten(F.transform(suffixes, lambda s: F.transform(prefixes, lambda p: F.concat(s, F.lit(BORDER), p))))
 
 
 def judge(urls: DataFrame, rules: DataFrame, url: str = "url", default: str = "allow") -> DataFrame:
@@ -53,12 +55,12 @@ def judge(urls: DataFrame, rules: DataFrame, url: str = "url", default: str = "a
     if not n:
         return out.withColumns({"rule": F.lit(None).cast("string"), "verdict": F.lit(default)})
     digest = F.sha2("rule_key", 256)
-    own = own.withColumn("rule_key", F.concat("rule_host", "rule_path")).withColumn("digest", digest).withColumn("short", F.substring("digest", 1, 8))
+    own = own.withColumn("rule_key", F.concat("rule_host", F.lit(BORDER), "rule_path")).withColumn("digest", digest).withColumn("short", F.substring("digest", 1, 8))
     if n <= BROADCAST_RULES:
         own = F.broadcast(own)
     keys = out.select("host", "path").distinct()
     tried = keys.select("host", "path", F.explode(expressions(F.col("host"), F.col("path"), sorted(hosts), sorted(paths))).alias("tried"))
     tried = tried.withColumn("full", F.sha2("tried", 256)).withColumn("head", F.substring("full", 1, 8))
     hits = tried.join(own, (F.col("head") == F.col("short")) & (F.col("full") == F.col("digest")))
-    best = hits.groupBy("host", "path").agg(F.max(F.struct(F.length("rule_key").alias("n"), F.length("rule_host").alias("h"), F.col("rule_verdict").alias("verdict"), F.col("rule_key").alias("rule"))).alias("__best"))
+    best = hits.groupBy("host", "path").agg(F.max(F.struct(F.length("rule_key").alias("n"), F.length("rule_host").alias("h"), F.col("rule_verdict").alias("verdict"), F.concat("rule_host", "rule_path").alias("rule"))).alias("__best"))
     return out.join(best, ["host", "path"], "left").select(*out.columns, F.col("__best.rule").alias("rule"), F.coalesce("__best.verdict", F.lit(default)).alias("verdict"))
