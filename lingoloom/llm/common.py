@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Text handled at once inside a Python worker; bounds its memory.
 BLOCK_BYTES = 1 << 20
@@ -73,6 +74,18 @@ def bucketed(df: DataFrame, name: str, column: str, n: int) -> tuple[DataFrame,
     return spark.table(title), lambda: spark.sql(f"DROP TABLE {title}") and None
 
 
+def unclashed(rows: DataFrame, half: str, other: str) -> DataFrame:
+    """Rows whose column ``half`` tells 128-bit digests apart by itself: where digests share that half, all but the one with the smallest other half
+    get a hash of both. Such rows are a handful at any size, and usually none, which one aggregate tells."""
+    while True:
+        ends = rows.where(F.col(half).isNotNull()).groupBy(half).agg(F.min(other).alias("_low"), F.max(other).alias("_high"))
+        shared = staged(ends.where("_low <> _high").select(F.col(half).alias("_half"), "_low"), "clashes")
+        if shared.isEmpty():
+            return rows
+        marked = rows.join(shared, F.col(half) == F.col("_half"), "left")
+        rows = marked.withColumn(half, F.when(F.col(other) != F.col("_low"), F.xxhash64(half, other)).otherwise(F.col(half))).drop("_half", "_low")
+
+
 def tidied(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
     """A task's function that gives freed memory back to the system when it ends; workers are used again and again."""
 

@@ -37,7 +37,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import blocks, buffers, filled, lean, mix, staged, tidied, word_hashes
+from .common import blocks, buffers, filled, lean, mix, staged, tidied, unclashed, word_hashes
 from .components import components
 
 SHINGLE, GROUPS, LEAF = 5, 128, 16
@@ -371,10 +371,9 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", hashed: str |
     lean(docs.sparkSession)
     docs = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
     named, key, text = key, "key", "text"
-    own = staged(described(docs, key, text, crowding(docs, text)), "sets")
-    classes = own.where("n > 0").groupBy("c1").agg(F.min(F.struct(F.isnull("key").alias("none"), "key", "h")).alias("one"), F.min("n").alias("n"), F.first("counts", True).alias("counts"), F.min("c2").alias("low"), F.max("c2").alias("high"))
-    same = F.when(F.col("low") == F.col("high"), F.col("one.key")).otherwise(F.raise_error(F.lit("two sets share half a digest")))
-    classes = staged(classes.select("c1", same.alias("key"), F.col("one.h").alias("h"), "n", "counts"), "classes")
+    own = unclashed(staged(described(docs, key, text, crowding(docs, text)), "sets"), "c1", "c2")
+    classes = own.where("n > 0").groupBy("c1").agg(F.min(F.struct(F.isnull("key").alias("none"), "key", "h")).alias("one"), F.min("n").alias("n"), F.first("counts", True).alias("counts"))
+    classes = staged(classes.select("c1", F.col("one.key").alias("key"), F.col("one.h").alias("h"), "n", "counts"), "classes")
 
     ends = lambda by: own.select(F.explode(by).alias("token"), F.col("c1").alias("cls"))
     cold = gathered(ends("cold").repartition("token").sortWithinPartitions("token"))

@@ -40,7 +40,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, buffers, filled, lean, mix, staged, tidied
+from .common import blocks, buffers, filled, lean, mix, staged, tidied, unclashed
 
 LENGTH, K, V = 200, 32, 40
 SPAN = LENGTH - K + 1
@@ -254,6 +254,11 @@ def _settled(pieces: DataFrame, large: DataFrame, most: int, widths: tuple[int,
     return found.union(back)
 
 
+def halves(text: Column) -> tuple[Column, Column]:
+    """A text's name in 128 bits."""
+    return F.xxhash64(text), F.xxhash64(F.lit(1), text)
+
+
 def _packed(docs: DataFrame) -> DataFrame:
     """(k, z): each distinct text, compressed; copies are merged before and after the shuffle."""
 
@@ -267,8 +272,7 @@ def _packed(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(z, pa.binary())], names=["k", "k2", "z"])
 
     packed = docs.select("k", "k2", "text").mapInArrow(run, "k long, k2 long, z binary")
-    one = packed.groupBy("k").agg(F.first("z").alias("z"), F.min("k2").alias("low"), F.max("k2").alias("high"))
-    return one.select("k", F.when(F.col("low") == F.col("high"), F.col("z")).otherwise(F.raise_error(F.lit("two texts share a 64-bit hash")).cast("binary")).alias("z"))
+    return packed.groupBy("k").agg(F.first("z").alias("z"))
 
 
 def _pieces(packed: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -318,7 +322,8 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", most: int =
     """Per row: key, n_bytes, n_removed, n_spans, kept_sha256 and, if asked for, kept (the bytes that stay)."""
     lean(docs.sparkSession)
     body = F.coalesce(F.col(text), F.lit(""))
-    own = docs.select(F.col(key).alias("key"), body.alias("text"), F.xxhash64(body).alias("k"), F.xxhash64(F.lit(1), body).alias("k2"))
+    own = docs.select(F.col(key).alias("key"), body.alias("text"), *(x.alias(n) for x, n in zip(halves(body), ("k", "k2"), strict=True)))
+    own = unclashed(own, "k", "k2")
     packed = _packed(own)
     lists = spans(own, packed, most).groupBy("k").agg(F.collect_set(F.shiftleft("first", 24).bitwiseOR(F.col("n").cast("long"))).alias("spans"))
     more = ", kept binary" if kept else ""

@@ -100,3 +100,21 @@ def test_large_buckets_are_cut_by_size(spark, monkeypatch):
         rows.append((i, " ".join(shared + own)))
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == brute(rows)
+
+
+def test_sets_whose_first_halves_are_equal(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    real = jaccard.described
+    monkeypatch.setattr(jaccard, "described", lambda *a: real(*a).withColumn("c1", F.when(F.col("n") % 2 == 0, F.lit(7)).otherwise(F.col("c1")).cast("long")))
+    rnd = random.Random(8)
+    rows = []
+    for _ in range(8):
+        words = [f"w{rnd.randrange(300)}" for _ in range(rnd.choice([30, 60]))]
+        for _ in range(4):
+            own = list(words)
+            for _ in range(rnd.randint(0, 2)):
+                own[rnd.randrange(len(own))] = f"x{rnd.randrange(9)}"
+            rows.append((len(rows), " ".join(own)))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.join(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    assert got == brute(rows)

@@ -72,3 +72,14 @@ def test_buckets_are_divided_down_to_single_distances(spark, monkeypatch, widths
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
     rows = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.dedup(df, most=1).collect()}
     assert [rows[i] for i in range(len(texts))] == brute(texts)
+
+
+def test_texts_whose_first_halves_are_equal(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    real = suffix_dedup.halves
+    monkeypatch.setattr(suffix_dedup, "halves", lambda text: (F.when(F.length(text) % 2 == 0, F.lit(5)).otherwise(real(text)[0]).cast("long"), real(text)[1]))
+    texts = corpus(1)[:40]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    rows = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.dedup(df).collect()}
+    assert [rows[i] for i in range(len(texts))] == brute(texts)
