@@ -38,12 +38,13 @@ def union(left: Column, right: Column) -> Column:
 
 
 def packed(column: Column, translated: Column, prefix: str) -> Column:
-    """A JSON column with its translated sub-keys (keys of ``translated`` that start with the prefix) set; others survive, and
-    without a translated one the column stays as it is."""
-    old = F.coalesce(F.from_json(F.nullif(column, F.lit("")), "map<string,string>"), F.create_map().cast("map<string,string>"))
+    """A JSON column with its translated sub-keys (keys of ``translated`` that start with the prefix) set; others survive with their
+    types (numbers, booleans, null, lists, objects), and without a translated one the column stays as it is."""
+    values = "map<string,variant>"
+    old = F.coalesce(F.from_json(F.when(F.startswith(F.ltrim(column), F.lit("{")), column), values), F.create_map().cast(values))
     own = F.map_filter(translated, lambda k, _: k.startswith(prefix))
-    new = F.transform_keys(own, lambda k, _: F.substring(k, F.lit(len(prefix) + 1), F.length(k)))
-    return F.when(F.size(own) > 0, F.to_json(union(new, old))).otherwise(column)
+    new = F.transform_values(F.transform_keys(own, lambda k, _: F.substring(k, F.lit(len(prefix) + 1), F.length(k))), lambda _, v: v.cast("variant"))
+    return F.when(F.size(own) > 0, F.to_json(union(new, old), {"ignoreNullFields": "false"})).otherwise(column)
 
 
 def overlaid(current: Column, submitted: Column, key: str) -> Column:

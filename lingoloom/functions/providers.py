@@ -30,11 +30,14 @@ class NormalisingProvider(Protocol):
 
 @dataclass
 class Dictionary:
-    """Translates word by word, takes each correction as a rule, and cuts plural endings."""
+    """Translates word by word, takes each correction as a rule, and cuts plural endings. Strings with the refused word are an error."""
 
     words: dict[str, str] = field(default_factory=dict)
+    refused: str = ""
 
     def translate(self, strings: dict[str, str], source: str, target: str, rules: dict) -> dict[str, str]:
+        if self.refused and any(self.refused in v.split(" ") for v in strings.values()):
+            raise RuntimeError(f"refused: {self.refused}")
         return {k: " ".join(self.words.get(w, w) for w in v.split(" ")) for k, v in strings.items()}
 
     def distil(self, corrections: list[dict], rules: list[dict], source: str, target: str) -> list[dict]:

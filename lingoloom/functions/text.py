@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import re
+import unicodedata
 
 import pandas as pd
 from pyspark.sql import Column
@@ -58,14 +59,16 @@ def keywords(x: Column) -> Column:
     return F.filter(F.split(x, r"(?U)[\s,;]+"), lambda k: F.length(k) >= LEAST)
 
 
-def first_run(needle: Column) -> Column:
-    """The needle's first run of letters and digits, lowered: a whole word of any text that contains the needle whole."""
-    return F.lower(F.regexp_extract(needle, rf"[{INSIDE}]+", 0))
+def _accents() -> tuple[str, str]:
+    """Lower-case letters that are a plain letter with marks, and those letters; then the marks alone, which go."""
+    letters = [(chr(i), unicodedata.normalize("NFD", chr(i))) for i in (*range(0xC0, 0x250), *range(0x370, 0x530), *range(0x1E00, 0x2000))]
+    letters = [(c, d[0]) for c, d in letters if c == c.lower() and len(d) > 1 and all(unicodedata.combining(x) for x in d[1:])]
+    return "".join(c for c, _ in letters) + "".join(map(chr, range(0x300, 0x370))), "".join(d for _, d in letters)
 
 
-def runs(text: Column) -> Column:
-    """The distinct runs of letters and digits of a text, lowered."""
-    return F.array_distinct(F.filter(F.split(F.lower(text), rf"[^{INSIDE}]+"), lambda x: x != ""))
+def folded(x: Column) -> Column:
+    """Text as the tables compare it: without regard to case and accents."""
+    return F.translate(F.replace(F.lower(x), F.lit("ß"), F.lit("ss")), *_accents())
 
 
 def tokens(text: Column) -> Column:

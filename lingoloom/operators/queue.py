@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lingoloom.functions import text as tx
 from lingoloom.sources import content_types as ct
 
 TRASHED, PUBLISHED = -2, 1
@@ -119,14 +120,14 @@ def search_id(search: str) -> int | None:
 
 
 def searched(items: DataFrame, search: str, columns: list[str], escape: bool = True) -> DataFrame:
-    """By id, or by a pattern in any of the columns; nothing to look for filters nothing."""
+    """By id, or by a pattern in any of the columns, without regard to case and accents; nothing to look for filters nothing."""
     if not search or search == "0":
         return items
     if (n := search_id(search)) is not None:
         return items.where(F.col("id") == n)
     hit = F.lit(False)
     for c in columns:
-        hit = hit | F.coalesce(F.lower(c).like(like_pattern(search, escape)), F.lit(False))
+        hit = hit | F.coalesce(F.call_function("like", tx.folded(F.col(c)), tx.folded(F.lit(like_pattern(search, escape)))), F.lit(False))
     return items.where(hit)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lingoloom.functions import maps
+from lingoloom.functions import maps, scan
 from lingoloom.functions import text as tx
 
 from .queue import searched
@@ -14,8 +14,6 @@ from .queue import searched
 ITEM_RULES, ITEM_STYLE = 30, 10
 BATCH_RULES, BATCH_STYLE = 50, 15
 KINDS = ["terminology", "style", "preservation"]
-#: Needles up to this number (about 200 bytes each) are broadcast to the texts; more are shuffled by their first run.
-BROADCAST_NEEDLES = 100_000
 
 
 def published(rules: DataFrame, language: Column | str | None = None) -> DataFrame:
@@ -58,30 +56,18 @@ def matches(texts: DataFrame, rules: DataFrame, forms: DataFrame | None = None)
     """Distinct (item_id, target_language, rule_id): rules whose term or keyword stands in the item's text as a whole, or
     shares a standard form with one of its words. texts: item_id, text and, if a text is for one language only, target_language.
 
-    A needle can only match where its first run of letters and digits is a run of the text, so texts' runs meet the needles in an
-    equi-join. A needle that is one run matches by that; for others the pairs that met are tested by pattern, and needles
-    without a run are tested against all texts. Ids meet first, and only the texts of pairs that met are fetched.
+    Needles, and the words that have a rule's standard form, are found by automata in one pass over each text (functions/scan.py); what was
+    found meets the rules in an equi-join.
     """
-    own = needles(rules).withColumn("run", tx.first_run(F.col("needle"))).withColumn("whole", F.lower("needle") == F.col("run"))
-    on = ["target_language"] if "target_language" in texts.columns else []
-    found = ["item_id", "target_language", "rule_id"]
-    n, longer, odd = own.agg(F.count("*"), F.count_if(~F.col("whole") & (F.col("run") != "")), F.count_if(F.col("run") == "")).first()
-    small = F.broadcast if n <= BROADCAST_NEEDLES else lambda df: df
-    ran = texts.select("item_id", *on, F.explode(tx.runs(F.col("text"))).alias("run"))
-    hit = ran.join(small(own.where("whole").drop("needle", "whole")), ["run", *on]).select(*found)
-    if longer:
-        met = ran.join(small(own.where("not whole and run <> ''").drop("whole")), ["run", *on]).select(*found, "needle").distinct()
-        hit = hit.union(met.join(texts, ["item_id", *on]).where(tx.contains_word(F.col("text"), F.col("needle"))).select(*found))
-    if odd:
-        word = tx.contains_word(F.col("text"), F.col("needle"))
-        others = F.broadcast(own.where("run = ''").drop("run", "whole"))
-        hit = hit.union((texts.join(others, on) if on else texts.join(others, word)).where(word).select(*found))
+    own = needles(rules).select("rule_id", "target_language", F.lower("needle").alias("needle"), F.lit(scan.PHRASE).alias("kind"))
     if forms is not None:
         stems = rules.where(F.col("rule_type").isin("terminology", "preservation") & (F.coalesce("source_term_standard", F.lit("")) != ""))
         stems = stems.select(F.col("id").alias("rule_id"), "target_language", F.col("source_term_standard").alias("standard_form"))
-        words = texts.select("item_id", *on, F.explode(tx.tokens(F.col("text"))).alias("word"))
-        hit = hit.union(words.join(small(stems.join(forms.select("word", "standard_form"), "standard_form")), ["word", *on]).select(*found))
-    return hit.distinct()
+        words = stems.join(forms.select("word", "standard_form"), "standard_form").where((F.length("word") >= tx.LEAST) & F.col("word").rlike(rf"^[{tx.INSIDE}'-]+$"))
+        own = own.union(words.select("rule_id", "target_language", "word", F.lit(scan.TOKEN)))
+    on = ["target_language"] if "target_language" in texts.columns else []
+    hit = scan.found(texts.select("item_id", *on, "text"), own)
+    return hit.join(own, ["needle", "kind", *on]).select("item_id", "target_language", "rule_id").distinct()
 
 
 def _items(texts: DataFrame, languages: list[str] | None) -> DataFrame:
@@ -148,9 +134,10 @@ def checked(rows: DataFrame) -> DataFrame:
 
 
 def with_standard_terms(rules: DataFrame, forms: DataFrame) -> DataFrame:
-    """Set source_term_standard: the form of a term of one word, null for phrases and unknown words."""
-    term = F.when(tx.is_single_word(F.col("source_term")), tx.normal_case(F.col("source_term")))
-    own = forms.groupBy(F.col("word").alias("_w")).agg(F.min("standard_form").alias("_f"))
+    """Set source_term_standard: the form of a term of one word, null for phrases and unknown words. Words are looked up as the tables compare
+    them, without regard to case and accents."""
+    term = F.when(tx.is_single_word(F.col("source_term")), tx.folded(tx.one_line(F.col("source_term"))))
+    own = forms.groupBy(tx.folded(F.col("word")).alias("_w")).agg(F.min("standard_form").alias("_f"))
     return rules.withColumn("_t", term).join(own, F.col("_t") == F.col("_w"), "left").withColumn("source_term_standard", F.col("_f")).drop("_t", "_w", "_f")
 
 

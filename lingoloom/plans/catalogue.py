@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from lingoloom.functions import maps, providers
 from lingoloom.functions import text as tx
+from lingoloom.functions.diff import pieces
 from lingoloom.operators import associations as asc
 from lingoloom.operators import drafts as dr
 from lingoloom.operators import feedback as fb
@@ -16,9 +18,10 @@ from lingoloom.operators import queue as qu
 from lingoloom.operators import rules as ru
 from lingoloom.operators import states as st
 from lingoloom.sources import content_types as ct
+from lingoloom.sources.deltas import Store
 from lingoloom.sources.folders import shared_folder
 from lingoloom.sources.tables import SOURCE_LANGUAGE, Tables
-from lingoloom.streaming import feed
+from lingoloom.streaming import events, feed, titles
 
 from . import flows
 from .oracle import ORACLES
@@ -58,6 +61,11 @@ def _corrections(t: Tables) -> DataFrame:
     return t.snapshots.select("queue_id", "target_language", "field", F.when(F.col("queue_id") % 4 == 0, F.concat("draft", F.lit(" edited"))).otherwise(F.concat("draft", F.lit(" \n"))).alias("correction"))
 
 
+def _fresh(t: Tables) -> str:
+    """A folder for a stream's progress; a query is a run of its own."""
+    return f"{shared_folder(t.spark)}/{uuid.uuid4().hex}"
+
+
 def work_queue(t: Tables) -> DataFrame:
     return qu.next_batch(qu.untranslated(t.content_items, t.queue, t.queue_states, _languages(t), SOURCE_LANGUAGE), WORK)
 
@@ -355,7 +363,7 @@ def failure_runs(t: Tables) -> DataFrame:
 
 def change_feed_invalidate(t: Tables) -> DataFrame:
     key = lambda e: e.select(F.concat(F.lit("com_content.article."), F.col("user_id").cast("string")).alias("item_id"), F.col("event_id").cast("bigint").alias("version_id"))
-    return feed.run_invalidation(t.spark, f"{t.sf_dir}/events.parquet", key, t.queue, t.queue_states, shared_folder(t.spark))
+    return feed.run_invalidation(t.spark, f"{t.sf_dir}/events.parquet", key, t.queue, t.queue_states, _fresh(t))
 
 
 def dictionary_translate(t: Tables) -> DataFrame:
@@ -404,11 +412,75 @@ def language_menus(t: Tables) -> DataFrame:
 
 def changed_titles(t: Tables) -> DataFrame:
     """Saves whose title differs from the save before (events as saves)."""
-    saves = t.events.select(F.col("user_id").alias("item_id"), F.col("event_id").alias("seq"), F.col("event_type").alias("title"))
-    return feed.title_changes(saves).select("item_id", "seq", "title", "before")
+    folder = _fresh(t)
+    saves = feed.streamed(t.spark, f"{t.sf_dir}/events.parquet").select(F.col("user_id").alias("item_id"), F.col("event_id").alias("seq"), F.col("event_type").alias("title"))
+    titles.write_changes(titles.title_stream(saves), folder).awaitTermination()
+    return t.spark.read.schema(f"item_id {saves.schema['item_id'].dataType.simpleString()}, seq bigint, title string, before string").parquet(f"{folder}/changes/*")
+
+
+def correction_rebuilt(t: Tables) -> DataFrame:
+    """Corrections put together again from the words that stay of the draft and their own: the diff has left nothing out."""
+    edited = F.regexp_replace(F.regexp_replace("text", "\\bthe\\b", "that"), "^\\S+ ", "")
+    own = t.documents.select("doc_id", F.coalesce("text", F.lit("")).alias("draft"), F.coalesce(edited, F.lit("")).alias("correction"))
+    own = own.select("doc_id", tx.diff_tokens(F.col("draft")).alias("old"), tx.diff_tokens(F.col("correction")).alias("new"), pieces("draft", "correction").alias("p"))
+    words = F.transform("p", lambda x: F.array_join(F.when(x.kept, F.slice("old", x["first"], x["n"])).otherwise(F.slice("new", x["first"], x["n"])), ""))
+    return own.select("doc_id", F.sha2(F.array_join(words, ""), 256).alias("rebuilt_sha256"))
+
+
+def packed_images(t: Tables) -> DataFrame:
+    """JSON columns with one key translated: numbers, booleans, nulls and nested values survive as what they are."""
+    one = F.concat(F.lit('{"n":'), F.col("id").cast("string"), F.lit(',"flag":'), F.when(F.col("id") % 2 == 0, "true").otherwise("false"), F.lit(',"nested":{"a":[1,2,{"b":"x"}]},"none":null,"image_intro_alt":"old","text":"1"}'))
+    made = F.create_map(F.lit("images.image_intro_alt"), F.concat(F.lit('new "'), F.col("id").cast("string"), F.lit('"')), F.lit("title"), F.lit("t"))
+    own = _articles(t).select("id", maps.packed(one, made, "images.").alias("j"))
+    said = lambda k: F.get_json_object("j", f"$.{k}").alias(k)
+    return own.select("id", *map(said, ("n", "flag", "nested", "image_intro_alt", "text")), F.array_join(F.array_sort(F.json_object_keys("j")), ",").alias("keys"), F.instr("j", '"text":"1"').cast("boolean").alias("text_is_text"))
+
+
+def queue_search_accents(t: Tables) -> DataFrame:
+    """A search finds titles whatever their case and accents: titles here have accents by id."""
+    marked = F.when(F.col("id") % 3 == 0, F.translate("title", "eao", "ÉÄÔ")).when(F.col("id") % 3 == 1, F.translate("title", "eao", "èáö")).otherwise(F.upper("title"))
+    own = qu.source_items(t.content_items, SOURCE_LANGUAGE).withColumn("title", marked)
+    parts = [qu.searched(own, s, ["title"]).select("content_type", "id", F.lit(s).alias("search")) for s in ("the", "ÉA", "rò ç")]
+    return parts[0].union(parts[1]).union(parts[2])
+
+
+def standard_terms_accents(t: Tables) -> DataFrame:
+    """Terms with other case and accents than the stored words have the same standard forms."""
+    own = t.rules.select("id", F.translate("source_term", "eaou", "ÉäÔù").alias("source_term"))
+    return ru.with_standard_terms(own, t.standard_forms).select("id", "source_term", "source_term_standard")
+
+
+def translation_run(t: Tables) -> DataFrame:
+    """A translating run over the next cells, by a provider that refuses some words: the cells that it got to before two refusals on end, with their
+    translated titles and what became of the cells."""
+    rules = _rules(t).withColumn("source_term_standard", F.lit(None).cast("string"))  # words need no forms then
+    run = flows.translated(t.content_items, t.queue, t.queue_states, rules, t.standard_forms, t.history, qu.language_list(t.languages, SOURCE_LANGUAGE), [providers.Dictionary({"almond": "amande", "red": "rouge"}, refused="lavender")], SOURCE_LANGUAGE, WORK, t.associations)
+    own = run.states.select("queue_id", "target_language", "translation_state", "source_version_id")
+    cells = own.join(run.queue.select(F.col("id").alias("queue_id"), "content_type", F.col("content_id").alias("id")), "queue_id").drop("queue_id")
+    out = run.results.join(cells, ["content_type", "id", "target_language"], "left")
+    return out.select("seq", "content_type", "id", "target_language", "ok", F.try_element_at("translated", F.lit("title")).alias("title"), "translation_state", "source_version_id", F.lit(run.outcome).alias("outcome"))
+
+
+def feed_events(t: Tables) -> DataFrame:
+    """The driver's events as the feed's: saves with titles and flags, versions, states and deletions of articles."""
+    n = F.col("event_id")
+    payload = F.when(F.col("event_type") == "click", F.create_map(F.lit("title"), F.concat(F.lit("title "), (n % 5).cast("string")))).when(F.col("event_type") == "view", F.create_map(F.lit("flag"), (n % 2).cast("string"))).when(F.col("event_type") == "error", F.create_map(F.lit("value"), F.when(n % 4 == 0, "-2").otherwise("1")))
+    kind = F.element_at(F.create_map(*[F.lit(x) for p in (("click", "save"), ("view", "save"), ("error", "state"), ("purchase", "version"), ("signup", "delete")) for x in p]), F.col("event_type"))
+    kind = F.when((kind == "delete") & (n % 20 != 0), "version").otherwise(kind)
+    return t.events.select(kind.alias("event_type"), F.lit(ARTICLE).alias("content_type"), F.col("user_id").cast("bigint").alias("item_id"), (n % 100).cast("bigint").alias("version_id"), payload.alias("payload"), F.col("ts").cast("timestamp").alias("ts"), n.cast("bigint").alias("seq"))
+
+
+def event_feed(t: Tables) -> DataFrame:
+    """Items, queue, cells and associations of articles after all events, in their order."""
+    store = Store(t.spark, _fresh(t), events.kept(_articles(t).select("content_type", "id", "language", "state", "title"), t.queue, t.queue_states, t.associations))
+    events.at_once(feed_events(t), store, SOURCE_LANGUAGE)
+    said = lambda name, number, *parts: store.read(name).select(F.lit(name).alias("kind"), F.col(number).alias("number"), F.concat_ws("|", *parts).alias("detail"))
+    out = said("items", "id", "language", "state", "title").union(said("states", "queue_id", "target_language", "translation_state"))
+    return out.union(said("queue", "content_id", "do_not_translate")).union(said("associations", "id", "context", "key"))
 
 
 QUERIES = [
+    correction_rebuilt, packed_images, queue_search_accents, standard_terms_accents, translation_run, event_feed,
     work_queue, item_lookup, queue_cells, item_tags, custom_fields, standard_terms, language_menus, changed_titles, translate_guards, target_languages, queue_grid, queue_opted_out, queue_status_filter, queue_search, queue_visibility, rules_list, association_group, source_of_translation, related_remap, tag_remap,
     backfill_plan, source_versions, field_assignments, invalidate_translations, upsert_review_state, ensure_queue, seed_states, optout_flags, delete_cascade, decide_states, regroup_associations, plain_text, token_lemmas,
     word_batches, rule_matches, rule_retrieval, rule_guidance, translatable_strings, flat_fields, feedback_pairs, correction_diff, pending_feedback, distil_context, mark_processed, rule_validation, rule_upsert, new_rules,

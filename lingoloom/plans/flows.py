@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import functools
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from lingoloom.functions import maps, providers
@@ -19,6 +19,7 @@ from lingoloom.operators import queue as qu
 from lingoloom.operators import rules as ru
 from lingoloom.operators import states as st
 from lingoloom.sources import content_types as ct
+from lingoloom.sources.deltas import Store
 from lingoloom.sources.folders import shared_folder
 
 #: Failures on end that stop a translating run, and the most items that are asked for at once.
@@ -65,8 +66,9 @@ def distilled(feedback: DataFrame, rules: DataFrame, forms: DataFrame, own: Sequ
     Valid candidates are stored; feedback is marked as processed even if none was. Languages are asked in the order in which they come in the
     batch; one that fails ends the run, and what the languages before it gave stays. The batch's size bounds all that is collected.
     """
-    batch = written(fb.with_diff(fb.pending(feedback, size)), "batch")
-    order = batch.groupBy("target_language").agg(F.min(F.struct("created_day", "id")).alias("first")).orderBy("first").collect()
+    seen = Observation()
+    batch = written(fb.with_diff(fb.pending(feedback, size)).observe(seen, F.count("*").alias("n")), "batch")
+    order = [] if not seen.get["n"] else batch.groupBy("target_language").agg(F.min(F.struct("created_day", "id")).alias("first")).orderBy("first").collect()
     known = normalised(fb.haystacks(batch), forms, own, source) if order and needs_forms(rules) else forms
     gone, failed = [], False
     for (language, _) in order:
@@ -82,8 +84,9 @@ def distilled(feedback: DataFrame, rules: DataFrame, forms: DataFrame, own: Sequ
         known = normalised(terms, known, own, source)
         rules = ru.upserted(rules, candidates.drop("target_language", "error"), language, known)
         gone.append(language)
-    batch = batch.where(F.col("target_language").isin(gone))
-    return Distilled(rules, st.processed(feedback, batch.select("id", "diff_data")), batch, known, outcome(batch.count(), size, failed))
+    if failed:
+        batch = batch.where(F.col("target_language").isin(gone))
+    return Distilled(rules, st.processed(feedback, batch.select("id", "diff_data")), batch, known, outcome(seen.get["n"], size, failed))
 
 
 @dataclass
@@ -94,6 +97,8 @@ class Translated:
     drafts: dict[tuple[str, str], DataFrame]
     queue: DataFrame
     states: DataFrame
+    #: queue_id and target_language of the cells that went to review
+    cells: DataFrame
     #: the standard forms with those that were learned
     forms: DataFrame
     outcome: str
@@ -107,9 +112,9 @@ def outcome(done: int, size: int, stopped: bool) -> str:
 def answered(work: DataFrame, rules: DataFrame, forms: DataFrame, own: Sequence, source: str, limit: int = FAILURES, most: int = WAVE) -> tuple[list[DataFrame], DataFrame, int, bool]:
     """Ask providers for cells (seq from 1 without gaps, content_type, id, target_language, strings) until so many failures on end.
 
-    Cells are asked in waves, each written before the next one begins. A wave is as wide as failures may still come before the end is certain;
-    waves without a failure double, up to ``most`` cells that are asked side by side. Answers behind the cell that ends the run are left out, so
-    the result is that of asking one after another. Gives answers by wave, the forms known then, the number of successes, and whether it ended early.
+    Cells are asked in waves, each written before the next one begins. The first wave, and one behind a wave that ended in failures, is as wide as
+    further failures would end the run; others are twice as wide as the one before, up to ``most`` cells that are asked side by side. Answers behind
+    the cell that ends the run are left out, so the result is that of asking one after another. Gives answers by wave, the forms known then, the number of successes, and whether it ended early.
     """
     waves: list[DataFrame] = []
     n = work.agg(F.coalesce(F.max("seq"), F.lit(0))).first()[0]
@@ -131,7 +136,7 @@ def answered(work: DataFrame, rules: DataFrame, forms: DataFrame, own: Sequence,
                 last = seq
                 break
         waves.append(answers.where(F.col("seq") <= last))
-        at, width = last, limit - streak if streak else min(most, 2 * width)
+        at, width = last, (limit - streak if streak else min(most, 2 * max(width, limit)))
     return waves, forms, good, streak >= limit
 
 
@@ -166,7 +171,52 @@ def translated(items: DataFrame, queue: DataFrame, states: DataFrame, rules: Dat
     placed = good.join(queue.select("content_type", F.col("content_id").alias("id"), F.col("id").alias("queue_id")), ["content_type", "id"])
     placed = placed.join(shots, ["content_type", "id", "target_language"], "left") if shots is not None else placed.withColumn("machine_draft", F.lit(None).cast("string"))
     changes = placed.join(asc.item_versions(history), ["content_type", "id"], "left").select("queue_id", "target_language", F.coalesce("version_id", F.lit(0)).cast("bigint").alias("source_version_id"), "machine_draft")
-    return Translated(results, stored, queue, st.reviewed(states, changes), known, outcome(n, size, stopped))
+    return Translated(results, stored, queue, st.reviewed(states, changes), changes.select("queue_id", "target_language"), known, outcome(n, size, stopped))
+
+
+def scheduled_translation(store: Store, items: DataFrame, rules: DataFrame, history: DataFrame, languages: list[tuple[str, str, int]], own: Sequence, source: str, size: int = 5, associations: DataFrame | None = None, keep: Callable[[int, Translated], None] = lambda number, run: None) -> list[str]:
+    """Translating runs until one ends short of a full batch; their outcomes. store: keeps queue, states and forms (see ``kept``).
+
+    A run's changes are one commit under its number, so a schedule that was killed goes on behind its last complete run. keep: gets each run's number and
+    results, to store the drafts, before the commit; a run that is repeated comes with the same number.
+    """
+    outcomes: list[str] = []
+    while not outcomes or outcomes[-1] == "resume":
+        last = store.last("translating")
+        number = 0 if last is None else last + 1
+        queue, states, forms = (store.read(t) for t in ("queue", "states", "forms"))
+        run = translated(items, queue, states, rules, forms, history, languages, own, source, size, associations)
+        keep(number, run)
+        new = run.queue.join(queue.select("id"), "id", "left_anti")
+        cells = written(run.states.join(run.cells, ["queue_id", "target_language"], "left_semi"), "cells")
+        store.commit("translating", number, {"queue": (new, None), "states": (cells, None), "forms": (_learned(run.forms, forms), None)})
+        outcomes.append(run.outcome)
+    return outcomes
+
+
+def scheduled_distilling(store: Store, own: Sequence, source: str, size: int = 20) -> list[str]:
+    """Distilling runs until one ends short of a full batch; their outcomes. store: keeps feedback, rules and forms."""
+    outcomes: list[str] = []
+    while not outcomes or outcomes[-1] == "resume":
+        last = store.last("distilling")
+        feedback, rules, forms = (store.read(t) for t in ("feedback", "rules", "forms"))
+        run = distilled(feedback, rules, forms, own, source, size)
+        done = written(run.feedback.join(run.batch.select("id"), "id", "left_semi"), "processed")
+        cells = written(run.rules.exceptAll(rules), "changed_rules")
+        store.commit("distilling", 0 if last is None else last + 1, {"feedback": (done, None), "rules": (cells, None), "forms": (_learned(run.forms, forms), None)})
+        outcomes.append(run.outcome)
+    return outcomes
+
+
+def kept(**tables: DataFrame) -> dict[str, tuple[DataFrame, list[str], list[str]]]:
+    """Tables for a store by name: queue, states, forms, feedback, rules."""
+    keys = {"queue": ["content_type", "content_id"], "states": ["queue_id", "target_language"], "forms": ["language", "word"], "feedback": ["id"], "rules": ["id"]}
+    return {n: (df.select("language", "word", "standard_form") if n == "forms" else df, keys[n], keys[n][:1] if n == "states" else keys[n]) for n, df in tables.items()}
+
+
+def _learned(forms: DataFrame, before: DataFrame) -> DataFrame:
+    """Forms that weren't there, one a word."""
+    return forms.join(before.select("language", "word"), ["language", "word"], "left_anti").dropDuplicates(["language", "word"])
 
 
 def _unlinked(items: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from .oracle_tables import with_tables
 
 _RANK = "CASE i.content_type WHEN 'com_tags.tag' THEN 0 WHEN 'com_categories.category' THEN 1 WHEN 'com_content.article' THEN 2 ELSE 3 END"
@@ -206,5 +208,28 @@ SELECT a.content_type, a.id AS source_id, CASE WHEN art THEN coalesce(r.member_i
     + """ END AS teaser
 FROM a LEFT JOIN r ON r.id = a.id LEFT JOIN n ON n.id = a.id LEFT JOIN tags ON tags.id = a.id LEFT JOIN tease ON tease.id = a.id"""
 )
+_FOLDED = "replace(strip_accents(lower({0})), 'ß', 'ss')"
+_EDITED = r"regexp_replace(regexp_replace(text, '\bthe\b', 'that', 'g'), '^\S+ ', '')"
+_MARKED = "CASE id % 3 WHEN 0 THEN translate(title, 'eao', 'ÉÄÔ') WHEN 1 THEN translate(title, 'eao', 'èáö') ELSE upper(title) END"
+_SQL |= {
+    "correction_rebuilt": f"SELECT doc_id, sha256(regexp_replace(coalesce({_EDITED}, ''), '^\\s+', '')) AS rebuilt_sha256 FROM documents",
+    "packed_images": """SELECT id, id::VARCHAR AS n, CASE WHEN id % 2 = 0 THEN 'true' ELSE 'false' END AS flag, '{"a":[1,2,{"b":"x"}]}' AS nested, 'new "' || id || '"' AS image_intro_alt, '1' AS text,
+'flag,image_intro_alt,n,nested,none,text' AS keys, true AS text_is_text FROM {content_items} WHERE content_type = 'com_content.article'""",
+    "queue_search_accents": f"""WITH s AS (SELECT i.content_type, i.id, {_FOLDED.format(_MARKED.replace("id %", "i.id %"))} AS title FROM {{content_items}} i WHERE {_SOURCE})
+SELECT content_type, id, search FROM s JOIN (VALUES ('the', '%the%'), ('ÉA', '%ea%'), ('rò ç', '%ro%c%')) AS v(search, p) ON title LIKE p""",
+    "standard_terms": f"""WITH f AS (SELECT {_FOLDED.format("word")} AS w, min(standard_form) AS standard_form FROM {{standard_forms}} GROUP BY 1)
+SELECT r.id, r.source_term, f.standard_form AS source_term_standard FROM {{rules}} r LEFT JOIN f ON f.w = {_FOLDED.format("r.source_term")} AND r.source_term <> ''""",
+    "standard_terms_accents": f"""WITH f AS (SELECT {_FOLDED.format("word")} AS w, min(standard_form) AS standard_form FROM {{standard_forms}} GROUP BY 1), r AS (SELECT id, translate(source_term, 'eaou', 'ÉäÔù') AS source_term FROM {{rules}})
+SELECT r.id, r.source_term, f.standard_form AS source_term_standard FROM r LEFT JOIN f ON f.w = {_FOLDED.format("r.source_term")} AND r.source_term <> ''""",
+    "translation_run": f"""WITH w AS ({{work}}),
+s AS (SELECT w.*, i.title, contains(' ' || concat_ws(' ', i.title, i.introtext, i.fulltext, i.metadesc, i.note, i.description) || ' ', ' lavender ') AS bad, row_number() OVER (ORDER BY w.type_rank, w.lang_rank, w.id) AS seq
+  FROM w JOIN {{content_items}} i ON i.content_type = w.content_type AND i.id = w.id),
+l AS (SELECT *, bad AND coalesce(lag(bad) OVER (ORDER BY seq), false) AS two FROM s),
+e AS (SELECT coalesce(min(seq) FILTER (WHERE two), 1000000) AS stop, count(*) AS n, count(*) FILTER (WHERE bad) AS bads FROM l)
+SELECT seq, content_type, id, target_language, NOT bad AS ok, CASE WHEN NOT bad THEN array_to_string(list_transform(string_split(title, ' '), lambda x: CASE x WHEN 'almond' THEN 'amande' WHEN 'red' THEN 'rouge' ELSE x END), ' ') END AS title,
+  CASE WHEN NOT bad THEN 'review' END AS translation_state, CASE WHEN NOT bad THEN 0::BIGINT END AS source_version_id, CASE WHEN stop < 1000000 THEN 'error' WHEN n - bads = 50 THEN 'resume' ELSE 'done' END AS outcome FROM l, e WHERE seq <= stop""".replace("{work}", _SQL["work_queue"]),
+}
+for _name in ("queue_search", "rules_list"):  # strings are compared without regard to case and accents
+    _SQL[_name] = re.sub(r"lower\(([a-z_.]+)\) LIKE", lambda m: f"{_FOLDED.format(m[1])} LIKE", _SQL[_name])
 _SQL["change_feed_invalidate"] = _SQL["invalidate_translations"]
 ORACLES: dict[str, str] = {name: with_tables(sql) for name, sql in _SQL.items()}

@@ -1,11 +1,12 @@
 """The change feed as a stream: versions, saves, switches and deletions of source items.
 
-Invalidation compares versions with ``<``, so it can be repeated and reordered; it needs no watermark and keeps no state.
+Invalidation compares versions with ``<``, so it can be repeated and reordered; it needs no watermark and keeps no state. What the feed
+changes is kept as bases and deltas (sources/deltas.py): a micro-batch writes what it changes, and a feed that is started again in the
+same folder goes on behind its last committed batch. All events as one feed are in streaming/events.py.
 """
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,9 +17,10 @@ from pyspark.sql.streaming import StreamingQuery
 from lingoloom.operators import associations as asc
 from lingoloom.operators import states as st
 from lingoloom.sources import content_types as ct
+from lingoloom.sources.deltas import Store
 
 #: The feed's columns, and the kinds of events that mean something here.
-EVENT = "event_type string, content_type string, item_id bigint, version_id bigint, payload map<string,string>, ts timestamp"
+EVENT = "event_type string, content_type string, item_id bigint, version_id bigint, payload map<string,string>, ts timestamp, seq bigint"
 KINDS = ("save", "version", "state", "delete", "new")
 ALIASES = asc.ALIASES
 
@@ -29,33 +31,41 @@ def changes(versions: DataFrame, queue: DataFrame) -> DataFrame:
     return own.join(queue.select("content_type", "content_id", F.col("id").alias("queue_id")), ["content_type", "content_id"]).select("queue_id", "version_id")
 
 
-def invalidating(versions: DataFrame, queue: DataFrame, states: DataFrame, folder: str) -> StreamingQuery:
-    """Run a stream of versions (item_id, version_id) to its end; each batch writes the next version of the states under ``folder``.
+def cells(states: DataFrame) -> tuple[DataFrame, list[str], list[str]]:
+    """How states are kept in a store: by cell, dealt out by their queue rows."""
+    return states, ["queue_id", "target_language"], ["queue_id"]
 
-    A batch reads the last version that was completed before it, so a batch that is repeated after a failure gives the same.
-    """
+
+def invalidating(versions: DataFrame, queue: DataFrame, store: Store, folder: str) -> StreamingQuery:
+    """Run a stream of versions (item_id, version_id) to its end; a batch commits the cells that it sets back, and reads only buckets that hold
+    cells of its items."""
 
     def step(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        old = states if number == 0 else spark.read.parquet(f"{folder}/states/{number - 1}")
-        st.invalidated(old, changes(batch, queue)).write.mode("overwrite").parquet(f"{folder}/states/{number}")
+        own = changes(batch, queue).persist()
+        old = store.read("states", own).join(own.select("queue_id"), "queue_id", "left_semi")
+        new = st.invalidated(old.withColumn("_was", F.col("translation_state")), own).where("translation_state <> _was")
+        store.commit("versions", number, {"states": (new, None)})
+        own.unpersist()
 
     return versions.writeStream.foreachBatch(step).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
 
 
-def run_invalidation(spark: SparkSession, path: str, prepare: Callable[[DataFrame], DataFrame], queue: DataFrame, states: DataFrame, folder: str) -> DataFrame:
-    """The states after all versions in a file or folder of events have streamed through; progress and results go under ``folder``."""
+def streamed(spark: SparkSession, path: str, files: int | None = None) -> DataFrame:
+    """A file or folder of Parquet files as a stream, so many files to a micro-batch."""
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     reader = spark.readStream.schema(spark.read.parquet(path).schema)
+    reader = reader.option("maxFilesPerTrigger", files) if files else reader
     if place.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(place).isDirectory():
-        events = reader.parquet(path)
-    else:  # a stream reads folders
-        events = reader.option("pathGlobFilter", place.getName()).parquet(place.getParent().toString())
-    own = f"{folder}/feed-{uuid.uuid4().hex}"
-    query = invalidating(prepare(events), queue, states, own)
-    query.awaitTermination()
-    done = query.lastProgress
-    return states if done is None else spark.read.parquet(f"{own}/states/{done['batchId']}")
+        return reader.parquet(path)
+    return reader.option("pathGlobFilter", place.getName()).parquet(place.getParent().toString())  # a stream reads folders
+
+
+def run_invalidation(spark: SparkSession, path: str, prepare: Callable[[DataFrame], DataFrame], queue: DataFrame, states: DataFrame, folder: str, files: int | None = None) -> DataFrame:
+    """The states after all versions in a file or folder of events have streamed through. Progress and states are kept under ``folder``: run
+    again there, it goes on with what is new."""
+    store = Store(spark, f"{folder}/store", {"states": cells(states)})
+    invalidating(prepare(streamed(spark, path, files)), queue, store, folder).awaitTermination()
+    return store.read("states")
 
 
 def title_changes(saves: DataFrame) -> DataFrame:

@@ -260,3 +260,36 @@ def test_a_failing_language_ends_a_distilling_run(spark, t):
     assert run.rules.count() == t.rules.count() + 2
     run = flows.distilled(feedback, rules_of(t), t.standard_forms, [Dictionary()], "en-GB", size=4)
     assert run.outcome == "resume" and run.feedback.where("status = 'processed'").count() == 4
+
+
+def test_scheduled_runs_resume_until_a_short_batch(spark, t, tmp_path):
+    from lingoloom.sources.deltas import Store
+
+    items = items_of(spark, [("com_tags.tag", i, f"tag {i}") for i in range(1, 9)])
+    start = flows.kept(queue=t.queue.where("false"), states=t.queue_states.where("false"), forms=t.standard_forms)
+    store = Store(spark, str(tmp_path), start, buckets=2)
+    numbers = []
+
+    def keep(number, run):
+        numbers.append((number, run.outcome))
+        if numbers == [(0, "resume"), (1, "resume")]:
+            raise KeyboardInterrupt
+
+    go = lambda: flows.scheduled_translation(store, items, rules_of(t).where("false"), t.history, [("fr-FR", "French", 2)], [Dictionary()], "en-GB", size=3, keep=keep)
+    with pytest.raises(KeyboardInterrupt):  # killed before its second run is committed
+        go()
+    assert store.last("translating") == 0 and store.read("states").count() == 3
+    assert go() == ["resume", "done"] and numbers == [(0, "resume"), (1, "resume"), (1, "resume"), (2, "done")]
+    assert store.read("states").where("translation_state = 'review'").count() == 8 == store.read("queue").count()
+    assert go() == ["done"]
+
+
+def test_scheduled_distilling(spark, t, tmp_path):
+    from lingoloom.sources.deltas import Store
+
+    rows = [(i, "de-DE", f"text {i}", f"draft {i}", f"correction {i}", "pending", i, None) for i in range(1, 4)]
+    feedback = spark.createDataFrame(rows, "id long, target_language string, source_text string, machine_draft string, human_correction string, status string, created_day int, diff_data string")
+    store = Store(spark, str(tmp_path), flows.kept(feedback=feedback, rules=rules_of(t), forms=t.standard_forms), buckets=2)
+    assert flows.scheduled_distilling(store, [Dictionary()], "en-GB", size=2) == ["resume", "done"]
+    assert store.read("feedback").where("status = 'processed' and diff_data is not null").count() == 3
+    assert store.read("rules").count() == t.rules.count() + 3
