@@ -46,4 +46,11 @@ def write_changes(changes: DataFrame, folder: str) -> StreamingQuery:
     def step(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{folder}/changes/batch={number}")
 
-    return changes.writeStream.outputMode("append").foreachBatch(step).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
+    # a time-out would ask for batches without data for ever; those forgotten go with the next data
+    name, conf = "spark.sql.streaming.noDataMicroBatches.enabled", changes.sparkSession.conf
+    before = conf.get(name)
+    conf.set(name, "false")
+    try:
+        return changes.writeStream.outputMode("append").foreachBatch(step).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
+    finally:
+        conf.set(name, before)
