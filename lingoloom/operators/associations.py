@@ -9,8 +9,6 @@ from lingoloom.sources import content_types as ct
 
 from .queue import PUBLISHED, TRASHED
 
-ALIASES = [p["version_alias"] for p in ct.TYPES.values() if p.get("version_alias")]
-
 
 def members(associations: DataFrame, items: DataFrame, ids: DataFrame | None = None) -> DataFrame:
     """(id, member_id, language, state) of the groups of each id (of ``ids``, or all); items: id, language and state."""
@@ -88,7 +86,7 @@ def latest_versions(history: DataFrame, aliases: list[str]) -> DataFrame:
 
 def item_versions(history: DataFrame) -> DataFrame:
     """(content_type, id, version_id): the newest version of each item of a managed type, by its type's alias; unknown ones are left out."""
-    top = latest_versions(history, ALIASES)
+    top = latest_versions(history, ct.version_aliases())
     kinds = F.create_map(*[F.lit(x) for name, p in ct.TYPES.items() if p.get("version_alias") for x in (p["version_alias"], name)])
     return top.select(F.element_at(kinds, F.col("alias")).alias("content_type"), F.col("item_id").alias("id"), "version_id")
 

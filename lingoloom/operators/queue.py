@@ -47,6 +47,26 @@ def in_scope(extension: Column, client: Column) -> Column:
     return ~bad
 
 
+def source_item(items: DataFrame, id_: int) -> DataFrame:
+    """The whole row of one item; an item that isn't there is an error when the result is used."""
+    own = items.where(F.col("id") == id_)
+    # the condition is a filter's, which no pruning of columns takes away
+    none = own.agg(F.count("*").alias("_n")).where((F.col("_n") == 0) & F.isnotnull(F.raise_error(F.lit(f"source item {int(id_)} not found"))))
+    return own.unionByName(none.select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in items.schema]))
+
+
+def item_or_none(items: DataFrame | None, id_: int) -> DataFrame | None:
+    """The row of one item, or no row; none without a table or for an id that can't be."""
+    return None if items is None or id_ <= 0 else items.where(F.col("id") == id_).limit(1)
+
+
+def present(wanted: DataFrame, items: DataFrame) -> DataFrame:
+    """The items (content_type, id) that are wanted, with all their columns; a wanted one that isn't there is an error that names it."""
+    found = wanted.select("content_type", "id").distinct().join(items.withColumn("_there", F.lit(True)), ["content_type", "id"], "left")
+    name = F.concat(F.lit("source item "), "content_type", F.lit(" "), F.col("id").cast("string"), F.lit(" not found"))
+    return found.where(F.when(F.isnull("_there"), F.raise_error(name).cast("boolean")).otherwise(True)).drop("_there").select(items.columns)
+
+
 def source_items(items: DataFrame, source: str) -> DataFrame:
     """Items in the source language that are not trashed and are in scope."""
     return items.where((F.col("language") == source) & (F.col("state") != TRASHED) & in_scope(F.col("extension"), F.col("client_id")))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lingoloom.functions import maps, scan
 from lingoloom.functions import text as tx
 
+from . import states as st
 from .queue import searched
 
 #: Limits of what a translated item gets, and of what a distilling batch gets: of all kinds, and of style rules.
@@ -141,12 +142,12 @@ def with_standard_terms(rules: DataFrame, forms: DataFrame) -> DataFrame:
     return rules.withColumn("_t", term).join(own, F.col("_t") == F.col("_w"), "left").withColumn("source_term_standard", F.col("_f")).drop("_t", "_w", "_f")
 
 
-def upserted(rules: DataFrame, candidates: DataFrame, language: str, forms: DataFrame | None = None) -> DataFrame:
+def upserted(rules: DataFrame, candidates: DataFrame, language: str, forms: DataFrame | None = None, user: int | None = None) -> DataFrame:
     """Rules after a batch of candidates (id, rule_name ... confidence_percent, feedback_ids, seq), invalid ones left out.
 
     A candidate with a rule's id refines it: texts are replaced, confidence never drops, evidence is added, state and
     origin stay; of some with one id, the last counts, with all evidence. The others are new drafts with new ids and orderings. All
-    columns stay; terms that were stated anew have the standard form that ``forms`` (word, standard_form) give. rules: as listed,
+    columns stay, but those of the audit (if rules have them) are stamped with the time and the user; terms that were stated anew have the standard form that ``forms`` (word, standard_form) give. rules: as listed,
     with source_feedback_ids, an array or a JSON list.
     """
     if dict(rules.dtypes)["source_feedback_ids"] == "string":
@@ -167,7 +168,9 @@ def upserted(rules: DataFrame, candidates: DataFrame, language: str, forms: Data
     out = out.withColumns({
         **{c: F.when(changed, F.col(f"new.{c}")).otherwise(F.col(c)) for c in fields}, "target_language": F.when(changed, F.lit(language)).otherwise(F.col("target_language")),
         "confidence_percent": F.greatest("confidence_percent", F.coalesce("_c", "confidence_percent")), "source_feedback_ids": maps.merged_ids(F.col("source_feedback_ids"), F.col("_f")),
-    }).select(rules.columns)
+    })
+    audited = "modified" in rules.columns
+    out = (st.stamped(out, user, new=False, changed=changed) if audited else out).select(rules.columns)
     fresh = marked.where("_id is null")
     # the batch of a distilling run is small (its size is a parameter of the run), so one window numbers it
     last = [F.coalesce(F.max(c), F.lit(0)) for c in ("id", "ordering") if c in rules.columns]
@@ -178,12 +181,13 @@ def upserted(rules: DataFrame, candidates: DataFrame, language: str, forms: Data
     kept = {c: F.col(c) for c in (*fields, "confidence_percent")}
     blank = lambda f: F.lit(None)
     fresh = fresh.select(*[(made.get(f.name) if f.name in made else kept.get(f.name, blank(f))).cast(f.dataType).alias(f.name) for f in rules.schema])
-    return out.unionByName(fresh)
+    return out.unionByName(st.stamped(fresh, user).select(rules.columns) if audited else fresh)
 
 
-def new_rule(rows: DataFrame, rules: DataFrame) -> DataFrame:
-    """Defaults of rules made by hand: the next orderings, full confidence where it is 0, and a text."""
+def new_rule(rows: DataFrame, rules: DataFrame, user: int | None = None) -> DataFrame:
+    """Defaults of rules made by hand: the next orderings, full confidence where it is 0, a text, and (if rules have them) who made them when."""
     top = rules.agg(F.coalesce(F.max("ordering"), F.lit(0))).first()[0]  # one number
     out = rows.withColumn("_n", F.row_number().over(Window.orderBy("id")))  # those made by hand at once
     confidence = F.when(F.coalesce("confidence_percent", F.lit(0)) == 0, 100).otherwise(F.col("confidence_percent"))
-    return out.withColumns({"ordering": (F.lit(top) + F.col("_n")).cast("int"), "confidence_percent": confidence, "rule_text": F.coalesce("rule_text", F.lit(""))}).drop("_n")
+    out = out.withColumns({"ordering": (F.lit(top) + F.col("_n")).cast("int"), "confidence_percent": confidence, "rule_text": F.coalesce("rule_text", F.lit(""))}).drop("_n")
+    return st.stamped(out, user) if "modified" in rules.columns else out

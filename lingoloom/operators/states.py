@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 WIDTH, RANGES = 100_000, 100_000
@@ -121,8 +121,13 @@ def processed(feedback: DataFrame, batch: DataFrame) -> DataFrame:
     return feedback.join(own, "id", "left").withColumns({"status": F.when(F.col("_p"), "processed").otherwise(F.col("status")), "diff_data": F.coalesce("_d", F.col("diff_data") if "diff_data" in feedback.columns else F.lit(None))}).drop("_d", "_p")
 
 
-def stamped(rows: DataFrame, user: int | None = None) -> DataFrame:
-    """Audit columns: now, and the user (0 without one); created ones only where missing."""
+def stamped(rows: DataFrame, user: int | None = None, new: Column | bool = True, changed: Column | bool = True) -> DataFrame:
+    """Audit columns: of changed rows the time and the user (0 without one) as modified ones, and of new rows as created ones where these are
+    missing. new, changed: conditions on rows; other rows keep what they have."""
     now, who = F.current_timestamp(), F.lit(user or 0).cast("bigint")
-    old = lambda c, v: F.coalesce(F.col(c), v) if c in rows.columns else v
-    return rows.withColumns({"modified": now, "modified_by": who, "created": old("created", now), "created_by": old("created_by", who)})
+    is_ = lambda c: F.lit(c) if isinstance(c, bool) else c
+    blank = lambda c, kind: F.col(c) if c in rows.columns else F.lit(None).cast(kind)
+    modified = {c: F.when(is_(changed), v).otherwise(blank(c, k)) for c, v, k in (("modified", now, "timestamp"), ("modified_by", who, "bigint"))}
+    at, by = blank("created", "timestamp"), blank("created_by", "bigint")
+    created = {"created": F.when(is_(new), F.coalesce(at, now)).otherwise(at), "created_by": F.when(is_(new) & (F.coalesce(by, F.lit(0)) == 0), who).otherwise(by)}
+    return rows.withColumns(modified | created)

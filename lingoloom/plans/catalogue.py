@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lingoloom.functions import maps, providers
@@ -151,6 +151,11 @@ def cell_snapshots(t: Tables) -> DataFrame:
     return back
 
 
+def _pairs(of: Column, between: str) -> Column:
+    """A map as text: its pairs in order, one a line."""
+    return F.array_join(F.array_sort(F.transform(F.map_entries(of), lambda e: F.concat(e.key, F.lit(between), F.coalesce(e.value.cast("string"), F.lit(""))))), "\n")
+
+
 def draft_items(t: Tables) -> DataFrame:
     """Drafts of all source items of all types, translated word by word."""
     every = t.content_items.select("content_type", "id", "language", "state")
@@ -172,7 +177,7 @@ def draft_items(t: Tables) -> DataFrame:
         part = d.select(
             F.lit(name).alias("content_type"), "source_id", "id", "language", "title", "alias", has("articletext").alias("articletext"), has("metadesc").alias("metadesc"), has("note").alias("note"),
             has("description").alias("description"), has("images").alias("images"), has("catid", kind="bigint").alias("catid"), F.array_join(has("tags", kind="array<bigint>"), ",").alias("tags"), "state", has("home", kind="int").alias("home"),
-            has("parent_id", kind="int").alias("parent_id"), has("menutype").alias("menutype"), F.size("associations").alias("members"), F.try_element_at(has("com_fields", kind="map<string,string>"), F.lit("teaser")).alias("teaser"),
+            has("parent_id", kind="int").alias("parent_id"), has("menutype").alias("menutype"), _pairs(F.col("associations"), ":").alias("members"), _pairs(has("com_fields", kind="map<string,string>"), "=").alias("custom"),
         )
         out = part if out is None else out.unionByName(part)
     return out
@@ -222,7 +227,7 @@ def backfill_plan(t: Tables) -> DataFrame:
 
 
 def source_versions(t: Tables) -> DataFrame:
-    return asc.latest_versions(t.history, feed.ALIASES)
+    return asc.latest_versions(t.history, ct.version_aliases())
 
 
 def field_assignments(t: Tables) -> DataFrame:
@@ -378,8 +383,8 @@ def dictionary_translate(t: Tables) -> DataFrame:
 
 
 def item_lookup(t: Tables) -> DataFrame:
-    """One item by id; the condition reaches the scan."""
-    return _articles(t).where(F.col("id") == 7).select("id", "title", "language", "state", "alias")
+    """One item by id; the condition reaches the scan, and an item that isn't there is an error."""
+    return qu.source_item(_articles(t), 7).select("id", "title", "language", "state", "alias")
 
 
 def queue_cells(t: Tables) -> DataFrame:

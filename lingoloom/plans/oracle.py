@@ -192,9 +192,10 @@ UNION ALL SELECT (SELECT max(id) FROM {queue}) + row_number() OVER (ORDER BY con
 _WORDED = lambda c: f"CASE WHEN trim({c}) <> '' THEN {_WORDWISE.format(c)} ELSE {c} END"
 _SQL["draft_items"] = (
     f"""WITH {_GROUPS}, r AS (SELECT id, max(member_id) AS member_id, arg_max(state, member_id) AS st FROM g WHERE member_id <> id AND language = 'fr-FR' GROUP BY id),
-n AS (SELECT id, count(DISTINCT language) AS others FROM g WHERE member_id <> id AND language <> 'en-GB' GROUP BY id),
+n AS (SELECT id, string_agg(language || ':' || member_id, chr(10) ORDER BY language) AS members FROM (SELECT id, language, max(member_id) AS member_id FROM g WHERE member_id <> id AND language <> 'en-GB' GROUP BY ALL
+  UNION ALL SELECT id, 'en-GB', id FROM {{content_items}} WHERE content_type = 'com_content.article') GROUP BY id),
 tags AS (SELECT content_item_id AS id, string_agg(tag_id, ',' ORDER BY tag_id) AS tags FROM {{tag_map}} GROUP BY ALL),
-tease AS (SELECT item_id AS id, value AS v FROM {{item_fields}} WHERE name = 'teaser'),
+custom AS (SELECT item_id AS id, string_agg(name || '=' || CASE WHEN type IN ('text', 'textarea', 'editor', 'note') THEN {_WORDED("value")} ELSE value END, chr(10) ORDER BY name) AS v FROM {{item_fields}} GROUP BY item_id),
 s AS (SELECT i.*, i.content_type = 'com_content.article' AS art, {_WORDED("title")} AS t2, {_WORDED("introtext")} AS i2, {_WORDED("fulltext")} AS f2, {_WORDED("metadesc")} AS m2, {_WORDED("note")} AS n2, {_WORDED("description")} AS d2
   FROM {{content_items}} i WHERE {_SOURCE}),"""
     + r""" a AS (SELECT *, trim(regexp_replace(lower(t2), '[^\p{L}\p{N}]+', '-', 'g'), '-') AS slug FROM s)
@@ -203,10 +204,8 @@ SELECT a.content_type, a.id AS source_id, CASE WHEN art THEN coalesce(r.member_i
   CASE WHEN a.content_type <> 'com_menus.item' THEN n2 END AS note, CASE WHEN a.content_type IN ('com_categories.category', 'com_tags.tag') THEN d2 END AS description,
   CASE WHEN art OR a.content_type = 'com_tags.tag' THEN images END AS images, CASE WHEN art THEN catid END AS catid,
   CASE WHEN art THEN coalesce(tags.tags, '') WHEN a.content_type = 'com_categories.category' THEN '' END AS tags, CASE WHEN art THEN coalesce(r.st, 0) ELSE 0 END AS state, CASE WHEN a.content_type = 'com_menus.item' THEN 0 END AS home,
-  CASE WHEN a.content_type = 'com_menus.item' THEN 1 END AS parent_id, CASE WHEN a.content_type = 'com_menus.item' THEN 'main-fr-fr' END AS menutype, CAST(CASE WHEN art THEN coalesce(n.others, 0) ELSE 0 END + 1 AS INT) AS members, CASE WHEN art THEN """
-    + _WORDED("tease.v")
-    + """ END AS teaser
-FROM a LEFT JOIN r ON r.id = a.id LEFT JOIN n ON n.id = a.id LEFT JOIN tags ON tags.id = a.id LEFT JOIN tease ON tease.id = a.id"""
+  CASE WHEN a.content_type = 'com_menus.item' THEN 1 END AS parent_id, CASE WHEN a.content_type = 'com_menus.item' THEN 'main-fr-fr' END AS menutype, CASE WHEN art THEN n.members ELSE 'en-GB:' || a.id END AS members, CASE WHEN art THEN coalesce(custom.v, '') END AS custom
+FROM a LEFT JOIN r ON r.id = a.id LEFT JOIN n ON n.id = a.id LEFT JOIN tags ON tags.id = a.id LEFT JOIN custom ON custom.id = a.id"""
 )
 _FOLDED = "replace(strip_accents(lower({0})), 'ß', 'ss')"
 _EDITED = r"regexp_replace(regexp_replace(text, '\bthe\b', 'that', 'g'), '^\S+ ', '')"

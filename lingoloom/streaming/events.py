@@ -32,8 +32,6 @@ from lingoloom.sources.deltas import Store
 from .feed import cells, subscribed
 
 ITEM = ["content_type", "id"]
-VERSIONED = [n for n, p in ct.TYPES.items() if p.get("version_alias")]
-SELF_ASSOCIATED = [n for n, p in ct.TYPES.items() if p.get("self_associated")]
 
 
 def kept(items: DataFrame, queue: DataFrame, states: DataFrame, associations: DataFrame) -> dict[str, tuple[DataFrame, list[str], list[str]]]:
@@ -86,8 +84,8 @@ def folded(events: DataFrame, items: DataFrame, queue: DataFrame, associations:
     trash = (F.col("event_type") == "state") & (F.col("value") == qu.TRASHED) & (F.isnotnull("queue_id") | (F.col("row_at") < F.col("at")))
     did = own.where("event_type <> 'delete'").groupBy(*ITEM, "group").agg(
         noted("flag", save & is_source).alias("flag"), F.coalesce(F.max(save & is_source & (F.col("flag") == 1)), F.lit(False)).alias("made"),
-        F.max(F.when((F.col("event_type") == "version") & F.col("content_type").isin(VERSIONED), F.col("version_id"))).alias("version"),
-        F.coalesce(F.max(save & F.col("title").isNotNull() & ~F.col("title").eqNullSafe(F.col("old")) & ~F.col("content_type").isin(VERSIONED)), F.lit(False)).alias("renamed"), noted("title", save).alias("new_title"),
+        F.max(F.when((F.col("event_type") == "version") & F.col("content_type").isin(ct.versioned()), F.col("version_id"))).alias("version"),
+        F.coalesce(F.max(save & F.col("title").isNotNull() & ~F.col("title").eqNullSafe(F.col("old")) & ~F.col("content_type").isin(ct.versioned())), F.lit(False)).alias("renamed"), noted("title", save).alias("new_title"),
         F.max(F.when((F.col("event_type") == "state") & F.col("value").isNotNull(), F.struct("at", "value"))).alias("own_state"), F.max(F.when(trash, F.col("at"))).alias("trashes"),
     )
 
@@ -132,8 +130,8 @@ def changed(events: DataFrame, store: Store, source: str) -> dict[str, tuple[Dat
     back = st.invalidated(states.join(stale.select("queue_id"), "queue_id", "left_semi").withColumn("_was", F.col("translation_state")), stale)
     back = back.where("translation_state <> _was").drop("_was").join(out, ["queue_id", "target_language"], "left_anti")
 
-    typed = _typed(associations).where(F.col("content_type").isin(SELF_ASSOCIATED))
-    links = typed.join(gone.where(F.col("content_type").isin(SELF_ASSOCIATED)).select("content_type", F.expr("substr(`group`, 2)").alias("key")).distinct(), ["content_type", "key"])
+    typed = _typed(associations).where(F.col("content_type").isin(ct.self_associated()))
+    links = typed.join(gone.where(F.col("content_type").isin(ct.self_associated())).select("content_type", F.expr("substr(`group`, 2)").alias("key")).distinct(), ["content_type", "key"])
     sizes = links.groupBy("content_type", "key").agg(F.count("*").alias("n")).join(groups.select("content_type", F.expr("substr(`group`, 2)").alias("key"), "n_gone", "group").where("`group` like 'g%'"), ["content_type", "key"])
     marked = links.join(sizes.select("content_type", "key", (F.col("n") - F.col("n_gone") <= 1).alias("whole")), ["content_type", "key"]).join(gone.select(*ITEM, F.lit(True).alias("went")), ITEM, "left")
     unlinked = marked.where("whole or went").select("context", "id")

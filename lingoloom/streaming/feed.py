@@ -22,7 +22,6 @@ from lingoloom.sources.deltas import Store
 #: The feed's columns, and the kinds of events that mean something here.
 EVENT = "event_type string, content_type string, item_id bigint, version_id bigint, payload map<string,string>, ts timestamp, seq bigint"
 KINDS = ("save", "version", "state", "delete", "new")
-ALIASES = asc.ALIASES
 
 
 def changes(versions: DataFrame, queue: DataFrame) -> DataFrame:

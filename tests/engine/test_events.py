@@ -79,7 +79,7 @@ def walk(items, queue, states, links, events):
             if sources := [queue[kind, j][0] for j in others if (kind, j) in queue]:
                 states.pop((min(sources), items[kind, i][0]), None)
         del items[kind, i]
-        if kind in ev.SELF_ASSOCIATED and (key := links.get((CONTEXT[kind], i))) is not None:
+        if kind in ct.self_associated() and (key := links.get((CONTEXT[kind], i))) is not None:
             mine = [x for x, k in links.items() if x[0] == CONTEXT[kind] and k == key]
             for x in mine if len(mine) <= 2 else [(CONTEXT[kind], i)]:
                 del links[x]
@@ -96,7 +96,7 @@ def walk(items, queue, states, links, events):
         payload = payload or {}
         if what == "save":
             if "title" in payload:
-                if items[kind, i][2] != payload["title"] and kind not in ev.VERSIONED:
+                if items[kind, i][2] != payload["title"] and kind not in ct.versioned():
                     stale(kind, i, None)
                 items[kind, i][2] = payload["title"]
             if (flag := number(payload.get("flag"))) is not None and items[kind, i][0] == SOURCE:
@@ -105,7 +105,7 @@ def walk(items, queue, states, links, events):
                 elif flag == 1:
                     fresh += 1
                     queue[kind, i] = [fresh, 1]
-        elif what == "version" and kind in ev.VERSIONED:
+        elif what == "version" and kind in ct.versioned():
             stale(kind, i, version)
         elif what == "state" and (value := number(payload.get("value"))) is not None:
             items[kind, i][1] = value

@@ -150,6 +150,19 @@ def test_marks_of_processed_feedback(spark):
     assert {"modified", "created_by"} <= set(st.stamped(feedback, 5).columns) and st.stamped(feedback).select(F.max("modified_by")).first()[0] == 0
 
 
+def test_audit_of_rules(spark):
+    """Refined rules are stamped as modified, new ones as created too; the others stay."""
+    schema = RULE + ", source_feedback_ids array<long>, source_origin string, modified timestamp, modified_by long, created timestamp, created_by long"
+    row = lambda i: (i, "style", "fr-FR", f"t{i}", None, None, None, "", 50, 1, f"r{i}", [1], "manual", None, 3, None, 4)
+    stored = spark.createDataFrame([row(1), row(2)], schema)
+    found = spark.createDataFrame([(2, "n", "style", "new", "", "", "", 60, [5], 1), (0, "m", "style", "made", "", "", "", 60, [6], 2)], "id long, rule_name string, rule_type string, rule_text string, source_term string, target_term string, search_keywords string, confidence_percent int, feedback_ids array<long>, seq int")
+    out = {r.id: r for r in ru.upserted(stored, found, "fr-FR", user=8).collect()}
+    assert {i: (r.modified is not None, r.modified_by, r.created is not None, r.created_by) for i, r in out.items()} == {1: (False, 3, False, 4), 2: (True, 8, False, 4), 3: (True, 8, True, 8)}
+    assert ru.upserted(stored, found, "fr-FR").where("id = 3").first().created_by == 0  # a scheduled run has no user
+    made = ru.new_rule(spark.createDataFrame([(9, 0, None, 2)], "id long, confidence_percent int, rule_text string, created_by long"), stored.withColumn("ordering", F.lit(4)), 8).first()
+    assert (made.ordering, made.confidence_percent, made.rule_text, made.created_by, made.modified_by, made.created is not None) == (5, 100, "", 2, 8, True)
+
+
 def test_word_batches_are_cut_before_they_meet(spark):
     rows = [(lang, f"{lang}{i:05}", i) for lang in ("a", "b") for i in range(1500)]
     out = fb.batches(spark.createDataFrame(rows, "language string, word string, at long").repartition(4))

@@ -1,11 +1,15 @@
 """Hand-derived vectors of the text, map and diff functions."""
 
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
 from lingoloom.functions import maps
 from lingoloom.functions import text as tx
 from lingoloom.functions.diff import spans
+from lingoloom.operators import associations as asc
+from lingoloom.operators import queue as qu
 from lingoloom.sources import content_types as ct
 
 
@@ -73,3 +77,46 @@ def test_content_types():
     assert ct.by_form("com_menus.item") == "com_menus.item" and ct.related("com_content.article") == ["com_categories.category", "com_tags.tag"]
     with pytest.raises(ValueError, match="unknown"):
         ct.properties("none")
+
+
+def test_a_map_of_types_in_json(spark, tmp_path):
+    given = {"x.note": {"translatableFields": ["title", {"media": ["alt"]}], "table": "#__notes", "versionTypeAlias": "x.n", "optOutForm": "x.form", "context_associations": "x.note", "stateField": "published",
+                        "associatedFields": {"boxid": "x.box"}, "limitToClient": 0, "draftForceFields": {"home": 0}},
+             "x.box": {"translatableFields": ["title"], "table": "#__boxes", "context_associations": "x.box", "stateField": "state", "associationsByModel": False}}
+    path = tmp_path / "types.json"
+    path.write_text(json.dumps({"contentTypes": given}, indent=1))
+    shipped = dict(ct.TYPES)
+    try:
+        with pytest.raises(Exception):
+            ct.load(spark, str(tmp_path / "missing.json"))
+        assert ct.TYPES == shipped
+        ct.load(spark, f"file://{path}")
+        assert ct.properties("x.note")["json_fields"] == {"media": ["alt"]} and ct.properties("x.note")["client"] == 0 and ct.properties("x.note")["force"] == {"home": 0}
+        assert ct.dependency_order() == ["x.box", "x.note"] and ct.versioned() == ["x.note"] and ct.version_aliases() == ["x.n"] and ct.self_associated() == ["x.box"]
+        assert ct.by_form("x.form") == "x.note" and ct.properties("x.box")["form"] is None and ct.related("x.note") == ["x.box"]
+        tables = {"#__notes": spark.createDataFrame([(1, "a", 1, 7)], "id long, title string, published int, state int"), "#__boxes": spark.createDataFrame([(1, "b", -2)], "id long, title string, state int")}
+        rows = ct.items(tables | {"#__other": tables["#__notes"]})
+        assert sorted((r.content_type, r.id, r.title, r.state) for r in rows.collect()) == [("x.box", 1, "b", -2), ("x.note", 1, "a", 1)]  # a type's own state column counts
+        assert ct.host_rows(rows, "x.note").columns == ["content_type", "published", "id", "title"] and "state" in ct.host_rows(rows, "x.box").columns
+        with pytest.raises(ValueError):
+            ct.items({})
+        history = spark.createDataFrame([("x.n.5", 3), ("x.n.5", 9), ("com_content.article.5", 4), ("x.box.1", 2)], "item_id string, version_id long")
+        assert [tuple(r) for r in asc.item_versions(history).collect()] == [("x.note", 5, 9)]
+    finally:
+        ct.TYPES.clear()
+        ct.TYPES.update(shipped)
+    for text in ("", "[]", "{", '{"contentTypes": 3}'):
+        assert ct.of_json(text) == {}
+
+
+def test_lookups_of_items(spark):
+    items = spark.createDataFrame([("a", 1, "x"), ("a", 2, None), ("b", 1, "y")], "content_type string, id long, title string")
+    own = items.where("content_type = 'a'")
+    assert [tuple(r) for r in qu.source_item(own, 2).collect()] == [("a", 2, None)] and qu.source_item(own, 2).select("title").count() == 1
+    for broken in (qu.source_item(own, 3), qu.source_item(own, 3).select("title"), qu.present(items.where("false").unionByName(spark.createDataFrame([("b", 2, "")], items.schema)), items)):
+        with pytest.raises(Exception, match="not found"):
+            broken.collect()
+    with pytest.raises(Exception, match="not found"):
+        qu.source_item(own, 3).count()  # no column of it is asked for
+    assert sorted(tuple(r) for r in qu.present(items.select("id", "content_type").union(items.select("id", "content_type")), items).collect() if r.title) == [("a", 1, "x"), ("b", 1, "y")]
+    assert qu.item_or_none(None, 1) is None and qu.item_or_none(own, 0) is None and qu.item_or_none(own, 9).count() == 0 and qu.item_or_none(own, 1).count() == 1
