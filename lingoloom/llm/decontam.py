@@ -7,14 +7,15 @@
 3. *Search.* Every document is cut into passages of WINDOW words, STEP apart, that cover it whole. A passage is folded
    into the latent space; its cosine with each item (whose part in the space is scaled to 1) makes candidates. Passages whose
    part in the space is too short to reach COSINE with any item are left out before. As RANK dimensions hold less of each item the more there are, and a long item is
-   near no single passage, the exact cosine with each piece (WINDOW words, STEP apart) of each item makes candidates too. A short item is a
+   near no single passage, the exact cosine with each piece (WINDOW words, STEP apart) of each item makes candidates too: lists of
+   the pieces with a cell are gone through for the rarer cells of a passage only, as the others can't reach the cosine together. A short item is a
    small part of a passage of other words, so every passage that holds a piece's rarest run of GRAM words is a candidate as well: no
    verbatim copy depends on a cosine.
 4. *Checks.* A candidate's neighbourhood must hold a common subsequence of at least COVER of the item's words, and the
    item's answer (its last ANSWER of words) must be covered too, unless nearly all of the item is.
 
-The items are a stated query set: they are worked off in blocks of BLOCK, each against all rows. One narrow pass per
-block; a block's data (about 4 kB an item) travel with the function.
+The items are a stated query set: they are worked off in blocks of at most BLOCK items and PIECES pieces (or one longer item), each
+against all rows. One narrow pass per block; a block's data (about 4 kB an item) travel with the function.
 
 Defined results: words are runs of letters and digits, case-folded for Latin letters; a null or wordless text has no
 leak, and a null or wordless item finds none; repeated items are reported each; rows are independent.
@@ -37,11 +38,11 @@ CELL_BITS, RANK, EXTRA = 16, 192, 16
 WINDOW, STEP = 32, 16
 COSINE, GRAM = 0.25, 4
 COVER, ANSWER, ANSWER_COVER, NEARLY_ALL = 0.7, 0.25, 0.5, 0.9
-BLOCK = 5_000
-#: A cell in more than one of so many pieces is worked off by matrix, others by lists.
-COMMON = 16
-#: Passages times pieces worked off at once; bounds a worker's memory.
-PRODUCTS = 1 << 20
+BLOCK, PIECES = 5_000, 1 << 16
+#: Entries of lists worked off at once, and passages whose cells are counted at once; they bound a worker's memory.
+ENTRIES, COUNTED = 1 << 20, 128
+#: The share of the cosine that the cells left out of a search may make up together. Any below 1 gives the same results.
+LEFT_OUT = 0.8
 _SHIFT = np.uint64(64 - CELL_BITS)
 
 
@@ -135,15 +136,17 @@ class Items:
     table: np.ndarray
     latent: np.ndarray
     idf: np.ndarray
-    #: item of each piece
+    #: item of each piece, and each item's first piece
     piece: np.ndarray
-    #: row -> its place in the matrix of common cells (-1: a rare cell), and that matrix (cell x piece)
-    place: np.ndarray
-    common: np.ndarray
-    #: rare cells: row's range in (piece, weight)
+    first: np.ndarray
+    #: row's range in (piece, weight), and its largest weight
     at: np.ndarray
     posted: np.ndarray
     weight: np.ndarray
+    most: np.ndarray
+    #: the rows and weights of each piece, filled up with zeros
+    rows: np.ndarray
+    weights: np.ndarray
     #: the items' words of each length from 1 to GRAM that stand for them: (length, sorted hashes, items)
     grams: list[tuple[int, np.ndarray, np.ndarray]]
 
@@ -175,24 +178,23 @@ def rarest(cut: list[tuple[int, np.ndarray]], idf: np.ndarray) -> list[tuple[int
     return out
 
 
-def inverted(cut: list[tuple[int, np.ndarray]], row: np.ndarray, rows: int, idf: np.ndarray) -> tuple[np.ndarray, ...]:
-    """The fields of Items from piece to weight: each cell's idf times its weight in the pieces, scaled to length 1."""
-    parts = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32))]
+def inverted(cut: list[tuple[int, np.ndarray]], row: np.ndarray, rows: int, idf: np.ndarray, items: int) -> tuple[np.ndarray, ...]:
+    """The fields of Items from piece to weights: each cell's idf times its weight in the pieces, scaled to length 1."""
+    own_rows, own_weights = np.zeros((len(cut), WINDOW), np.int32), np.zeros((len(cut), WINDOW), np.float32)
     for j, (_, w) in enumerate(cut):
         own, n = np.unique((w >> _SHIFT).astype(np.int64), return_counts=True)
         value = n * np.maximum(idf[own], 0)
         if (norm := np.sqrt((value * value).sum())) > 0:
-            used = (value > 0) & (row[own] > 0)
-            parts.append((row[own[used]].astype(np.int64), np.full(int(used.sum()), j), (idf[own[used]] * value[used] / norm).astype(np.float32)))
-    r, j, v = (np.concatenate(x) for x in zip(*parts, strict=True))
-    many = np.bincount(r, minlength=rows) > max(4, len(cut) // COMMON)
-    place = np.where(many, np.cumsum(many) - 1, -1).astype(np.int32)
-    matrix = np.zeros((int(many.sum()), len(cut)), np.float32)
-    dense = many[r]
-    matrix[place[r[dense]], j[dense]] = v[dense]
-    order = np.flatnonzero(~dense)[np.argsort(r[~dense], kind="stable")]
-    at = np.concatenate([[0], np.cumsum(np.bincount(r[order], minlength=rows))])
-    return np.array([i for i, _ in cut], np.int64), place, matrix, at, j[order].astype(np.int32), v[order]
+            used = np.flatnonzero((value > 0) & (row[own] > 0))
+            own_rows[j, : len(used)], own_weights[j, : len(used)] = row[own[used]], idf[own[used]] * value[used] / norm
+    j, column = np.nonzero(own_rows)
+    r, v = own_rows[j, column], own_weights[j, column]
+    order = np.argsort(r, kind="stable")
+    most = np.zeros(rows, np.float32)
+    np.maximum.at(most, r, v)
+    at = np.concatenate([[0], np.cumsum(np.bincount(r, minlength=rows))])
+    piece = np.array([i for i, _ in cut], np.int64)
+    return piece, np.searchsorted(piece, np.arange(items + 1)), at, j[order].astype(np.int32), v[order], most, own_rows, own_weights
 
 
 def indexed(rows: list[tuple], cells: np.ndarray, q: np.ndarray, idf: np.ndarray) -> Items:
@@ -205,7 +207,7 @@ def indexed(rows: list[tuple], cells: np.ndarray, q: np.ndarray, idf: np.ndarray
     norm = np.linalg.norm(latent, axis=1, keepdims=True)
     cut = pieces(words)
     latent = np.divide(latent, norm, out=np.zeros_like(latent), where=norm > 0)
-    return Items([i for i, _ in rows], [w.tolist() for w in words], row, table, latent, idf, *inverted(cut, row, len(table), idf), rarest(cut, idf))
+    return Items([i for i, _ in rows], [w.tolist() for w in words], row, table, latent, idf, *inverted(cut, row, len(table), idf, len(words)), rarest(cut, idf))
 
 
 def common(item: list[int], text: list[int]) -> list[int]:
@@ -228,21 +230,54 @@ def _lcs(a: list[int], b: list[int]) -> int:
     return len(a) - v.bit_count()
 
 
-def products(used: np.ndarray, items: Items) -> np.ndarray:
-    """Dot products of passages (rows of cells, 0: none) with all pieces."""
-    n, width = len(used), len(items.piece)
-    place = np.where(used > 0, items.place[used], -1)
-    some, column = np.nonzero(place >= 0)
-    size = len(items.common)
-    counts = np.bincount(some * size + place[some, column], minlength=n * size).reshape(n, size).astype(np.float32)
-    out = counts @ items.common
-    some, column = np.nonzero((used > 0) & (place < 0))
-    own = used[some, column]
-    many = items.at[own + 1] - items.at[own]
-    each = np.repeat(items.at[own] - (np.cumsum(many) - many), many) + np.arange(many.sum())
-    if len(each):
-        out += np.bincount(np.repeat(some * width, many) + items.posted[each], items.weight[each], n * width).reshape(n, width)
-    return out
+def reaching(used: np.ndarray, total: np.ndarray, items: Items) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(passage, piece, cosine) of the passages (rows of cells, 0: none; their squared norms) and all pieces that reach COSINE.
+
+    Of a passage's cells the most common ones, whose largest weights add up to less than LEFT_OUT of what is needed, are left out of the
+    search. A piece that what it shares of the others and that sum can't bring there is dropped; the rest are computed whole.
+    """
+    norm = np.sqrt(total + 1e-9)
+    need = 0.9999 * COSINE * norm  # a little less, for sums of rounded numbers
+    many = items.at[used + 1] - items.at[used]
+    many[used == 0] = 0
+    order = np.argsort(-many, axis=1, kind="stable")
+    cells, many = np.take_along_axis(used, order, 1), np.take_along_axis(many, order, 1)
+    sums = np.cumsum(items.most[cells], axis=1, dtype=np.float64)
+    out = sums < LEFT_OUT * need[:, None]
+    left = np.where(out, sums, 0).max(1)
+    many[out] = 0
+    last = np.cumsum(many.sum(1))
+    a, width = 0, max(1, len(items.piece))
+    while a < len(used):
+        before = last[a - 1] if a else 0
+        b = max(a + 1, int(np.searchsorted(last, before + ENTRIES, "right")))
+        p, column = np.nonzero(many[a:b])
+        n = many[a:b][p, column]
+        each = np.repeat(items.at[cells[a:b][p, column]] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        key = np.repeat(p.astype(np.int64) * width, n) + items.posted[each]
+        order = np.argsort(key)
+        key = key[order]
+        new = np.flatnonzero(np.diff(key, prepend=-1))
+        if len(new):
+            part = np.add.reduceat(items.weight[each[order]], new, dtype=np.float64)
+            p, j = np.divmod(key[new], width)
+            some = part + left[a + p] >= need[a + p]
+            yield from _whole(used, norm, items, a + p[some], j[some])
+        a = b
+
+
+def _whole(used: np.ndarray, norm: np.ndarray, items: Items, p: np.ndarray, j: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """The pairs (passage, piece; sorted by passage) that reach COSINE, with their cosines."""
+    x = 0
+    while x < len(p):
+        y = min(int(np.searchsorted(p, p[x] + COUNTED)), x + ENTRIES // WINDOW)
+        own = used[p[x] : p[y - 1] + 1]
+        counts = np.zeros((len(own), len(items.most)), np.uint8)
+        np.add.at(counts, (np.arange(len(own))[:, None], own), 1)
+        cosine = (counts[p[x:y, None] - p[x], items.rows[j[x:y]]] * items.weights[j[x:y]]).sum(1, dtype=np.float64) / norm[p[x:y]]
+        near = cosine >= COSINE
+        yield p[x:y][near], j[x:y][near], cosine[near].astype(np.float32)
+        x = y
 
 
 def candidates(h: np.ndarray, at: np.ndarray, items: Items) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -276,11 +311,7 @@ def candidates(h: np.ndarray, at: np.ndarray, items: Items) -> tuple[np.ndarray,
         cosine /= np.sqrt(total[own[long], None] + 1e-9).astype(np.float32)
         p, i = np.nonzero(cosine >= COSINE)
         found.append((own[long[p]], i, cosine[p, i]))
-        most = max(1, PRODUCTS // max(1, len(items.piece)))
-        for y in range(0, len(own), most):
-            cosine = products(used[y : y + most], items) / np.sqrt(total[own[y : y + most], None] + 1e-9)
-            p, i = np.nonzero(cosine >= COSINE)
-            found.append((own[y + p], items.piece[i], cosine[p, i].astype(np.float32)))
+        found += [(own[p], items.piece[j], c) for p, j, c in reaching(used, total[own], items)]
     start = np.cumsum(count) - count
     for n, grams, whose in items.grams:
         g = runs(h, n)
@@ -304,7 +335,9 @@ def near_cosine(passage: np.ndarray, item: int, items: Items) -> float:
     """The best exact cosine of a passage with the item's pieces."""
     cell = (passage >> _SHIFT).astype(np.int64)
     weight = np.maximum(items.idf[cell], 0).astype(np.float64)
-    dot = products(items.row[cell][None, :], items)[0, items.piece == item]
+    counts = np.bincount(items.row[cell], minlength=len(items.most))
+    own = slice(items.first[item], items.first[item + 1])
+    dot = (counts[items.rows[own]] * items.weights[own]).sum(1)
     return float(dot.max(initial=0) / np.sqrt((weight * weight).sum() + 1e-9))
 
 
@@ -332,19 +365,24 @@ def leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str =
                     if not len(h) or not len(items.latent) or not items.latent.shape[1]:
                         continue
                     seen: dict[tuple[int, int], tuple[float, float]] = {}
-                    for f, i, c in zip(*(x.tolist() for x in candidates(h, at, items)), strict=True):
-                        d = int(np.searchsorted(at, f, "right")) - 1
+                    first, item_, cosine = candidates(h, at, items)
+                    row = np.searchsorted(at, first, "right") - 1
+                    order = np.lexsort((first, -cosine, item_, row))  # an item's passages of a row from the nearest on
+                    for d, f, i, c in zip(*(x[order].tolist() for x in (row, first, item_, cosine)), strict=True):
+                        best = seen.get((a + d, i), (0.0, 0.0))
+                        if best[0] == 1 and best[1] >= COSINE:
+                            continue  # found whole, and no further passage is nearer
                         own = items.listed[i]
                         lo, hi = max(int(at[d]), f - len(own)), min(int(at[d + 1]), f + WINDOW + len(own))
                         near = h[lo:hi].tolist()
                         some = set(near)
-                        if sum(w in some for w in own) < COVER * len(own):
+                        if sum(w in some for w in own) < max(COVER, best[0]) * len(own):
                             continue  # a bound on any common subsequence
                         whole, tail = common(own, near)
                         cover = whole / len(own)
                         if cover >= COVER and (cover >= NEARLY_ALL or tail >= ANSWER_COVER * max(1, round(ANSWER * len(own)))):
                             c = c or near_cosine(h[f : min(f + WINDOW, int(at[d + 1]))], i, items)
-                            seen[a + d, i] = max(seen.get((a + d, i), (0.0, 0.0)), (cover, c))
+                            seen[a + d, i] = max(best, (cover, c))
                     for (d, i), (cover, c) in seen.items():
                         found[d].append({"item": items.ids[i], "cover": cover, "cosine": float(c)})
                 rows = pa.array([sorted(x, key=lambda y: (y["item"] is None, y["item"])) for x in found], arrow)
@@ -353,12 +391,14 @@ def leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str =
         return df.mapInArrow(run, schema)
 
     out, carry = source, False
-    rows = benchmark.select(item, item_text).orderBy(item, item_text).toLocalIterator()
     block: list[tuple] = []
-    for r in rows:
+    size = 0
+    for r in benchmark.select(item, item_text).orderBy(item, item_text).toLocalIterator():
+        n = sum(len(pieces([h])) for _, _, h, _ in words_of(pa.array([r[1] or ""], pa.large_string())))
+        if block and (len(block) == BLOCK or size + n > PIECES):
+            out, carry, block, size = pass_over(out, indexed(block, cells, q, idf), carry), True, [], 0
         block.append((r[0], r[1]))
-        if len(block) == BLOCK:
-            out, carry, block = pass_over(out, indexed(block, cells, q, idf), carry), True, []
+        size += n
     if block or not carry:
         out = pass_over(out, indexed(block, cells, q, idf), carry)
     return out

@@ -1,5 +1,8 @@
 import random
 
+import numpy as np
+import pyarrow as pa
+
 from lingoloom.llm import decontam
 
 
@@ -136,3 +139,51 @@ def test_equals_brute_force_over_all_pairs(spark):
     df, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string")
     found = {(r.doc_id, x.item) for r in decontam.leaks(df, bench).collect() for x in r.leaks}
     assert found <= want and len(found) >= 0.9 * len(want) > 10  # retrieval by cosine is no proof for changed items
+
+
+def test_search_by_lists_finds_every_pair_that_reaches_the_cosine(monkeypatch):
+    """Against dense products, whatever share is left out, in chunks of any size; with repeated words and words of no item."""
+    rnd = np.random.default_rng(7)
+    idf = rnd.uniform(-0.1, 9, 1 << decontam.CELL_BITS).astype(np.float32)
+    word = lambda n, top: " ".join(f"w{int(top * x ** 3)}" for x in rnd.random(n))
+    items = [(i, word(int(rnd.integers(1, 200)), 300)) for i in range(60)] + [(60, ""), (61, None)]
+    hashes = [h[x:y] for _, _, h, at in decontam.words_of(pa.array([t or "" for _, t in items], pa.large_string())) for x, y in zip(at[:-1], at[1:], strict=True)]
+    cells = np.unique((np.concatenate(hashes) >> decontam._SHIFT).astype(np.int64))
+    own = decontam.indexed(items, cells, np.eye(len(cells), 4, dtype=np.float32), idf)
+    cut = decontam.pieces(hashes)
+    assert own.first.tolist() == [sum(i < k for i, _ in cut) for k in range(len(items) + 1)]
+    texts = [h for _, _, h, _ in decontam.words_of(pa.array([word(32, 400) for _ in range(200)], pa.large_string()))]
+    h = np.concatenate(texts).reshape(-1, 32)
+    cell = (h >> decontam._SHIFT).astype(np.int64)
+    weight = np.maximum(idf[cell], 0).astype(np.float64)
+    total = (weight * weight).sum(1)
+    dense = np.zeros((len(cut), 1 << decontam.CELL_BITS))
+    for j, (_, w) in enumerate(cut):
+        c, n = np.unique((w >> decontam._SHIFT).astype(np.int64), return_counts=True)
+        v = n * np.maximum(idf[c], 0)
+        dense[j, c] = idf[c] * v / max(np.sqrt((v * v).sum()), 1e-9) * (v > 0)
+    want = dense[:, cell].sum(2).T / np.sqrt(total + 1e-9)[:, None]
+    close = np.abs(want - decontam.COSINE) < 1e-5  # rounding may put these on either side
+    sure = set(zip(*(x.tolist() for x in np.nonzero((want >= decontam.COSINE) & ~close)), strict=True))
+    assert close.sum() < 20 and len(sure) > 100
+    for share, entries, counted in ((0.0, 1 << 20, 128), (0.8, 1 << 20, 128), (0.8, 64, 3), (0.99, 1000, 1)):
+        monkeypatch.setattr(decontam, "LEFT_OUT", share)
+        monkeypatch.setattr(decontam, "ENTRIES", entries)
+        monkeypatch.setattr(decontam, "COUNTED", counted)
+        found = {(p, j): c for x in decontam.reaching(own.row[cell], total, own) for p, j, c in zip(*(y.tolist() for y in x), strict=True)}
+        assert sure == {(p, j) for p, j in found if not close[p, j]}
+        assert all(abs(c - want[k]) < 1e-4 for k, c in found.items())
+
+
+def test_blocks_by_pieces_and_repeated_copies(spark, monkeypatch):
+    """Blocks of few pieces give the same rows; an item that a text holds often is checked once where it is found whole."""
+    rnd = random.Random(21)
+    items = [make(rnd, n) for n in (20, 400, 33, 64, 15, 200)]
+    rows = [(d, " ".join([*make(rnd, 50), *items[d % 6], *make(rnd, 30), *items[(d + 1) % 6], *items[d % 6]])) for d in range(12)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string")
+    result = lambda: {(r.doc_id, x.item): (x.cover, round(x.cosine, 4)) for r in decontam.leaks(df, bench).collect() for x in r.leaks}
+    whole = result()
+    assert set(whole) == {(d, (d + k) % 6) for d in range(12) for k in (0, 1)} and all(c == 1 and x > 0.5 for c, x in whole.values())
+    monkeypatch.setattr(decontam, "PIECES", 10)
+    assert result() == whole
