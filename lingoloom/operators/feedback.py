@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lingoloom.functions import text as tx
-from lingoloom.functions.diff import diff
+from lingoloom.functions.diff import diff, lean
 
 
 def pairs(snapshots: DataFrame, corrections: DataFrame, sources: DataFrame) -> DataFrame:
@@ -28,6 +28,7 @@ def pending(feedback: DataFrame, size: int | None = None) -> DataFrame:
 
 def with_diff(feedback: DataFrame) -> DataFrame:
     """Add diff_data: the labelled spans, one a line."""
+    lean(feedback.sparkSession)
     return feedback.withColumn("diff_data", F.array_join(diff("machine_draft", "human_correction"), "\n"))
 
 

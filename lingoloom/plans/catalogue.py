@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from lingoloom.functions import maps, providers
 from lingoloom.functions import text as tx
-from lingoloom.functions.diff import pieces
+from lingoloom.functions.diff import lean, pieces
 from lingoloom.operators import associations as asc
 from lingoloom.operators import drafts as dr
 from lingoloom.operators import feedback as fb
@@ -425,11 +425,13 @@ def changed_titles(t: Tables) -> DataFrame:
 
 def correction_rebuilt(t: Tables) -> DataFrame:
     """Corrections put together again from the words that stay of the draft and their own: the diff has left nothing out."""
+    lean(t.spark)
     edited = F.regexp_replace(F.regexp_replace("text", "\\bthe\\b", "that"), "^\\S+ ", "")
     own = t.documents.select("doc_id", F.coalesce("text", F.lit("")).alias("draft"), F.coalesce(edited, F.lit("")).alias("correction"))
-    own = own.select("doc_id", tx.diff_tokens(F.col("draft")).alias("old"), tx.diff_tokens(F.col("correction")).alias("new"), pieces("draft", "correction").alias("p"))
-    words = F.transform("p", lambda x: F.array_join(F.when(x.kept, F.slice("old", x["first"], x["n"])).otherwise(F.slice("new", x["first"], x["n"])), ""))
-    return own.select("doc_id", F.sha2(F.array_join(words, ""), 256).alias("rebuilt_sha256"))
+    made = F.struct(tx.diff_tokens(F.col("draft")).alias("old"), tx.diff_tokens(F.col("correction")).alias("new"), pieces("draft", "correction").alias("p"))
+    text = lambda s: F.array_join(F.transform(s["p"], lambda x: F.array_join(F.when(x["kept"], F.slice(s["old"], x["first"], x["n"])).otherwise(F.slice(s["new"], x["first"], x["n"])), "")), "")
+    # a lambda's variable holds the words: as columns they would be taken apart again for each piece
+    return own.select("doc_id", F.sha2(F.element_at(F.transform(F.array(made), text), 1), 256).alias("rebuilt_sha256"))
 
 
 def packed_images(t: Tables) -> DataFrame:

@@ -1,13 +1,16 @@
 """Phrases in one pass, the diff, JSON columns, the tables' comparison, and sinks."""
 
+import hashlib
 import http.server
 import json
 import os
 import random
 import threading
 import time
+import tracemalloc
 from difflib import SequenceMatcher
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
@@ -16,6 +19,7 @@ from lingoloom.functions import diff, maps, scan
 from lingoloom.functions import text as tx
 from lingoloom.operators import queue as qu
 from lingoloom.operators import rules as ru
+from lingoloom.plans import catalogue
 from lingoloom.sources import sinks
 
 
@@ -80,6 +84,50 @@ def test_long_pairs_take_seconds():
         assert all(a[i : i + n] == b[j : j + n] for i, j, n in got)
 
 
+def test_a_batch_of_pairs_needs_little_more_than_its_texts(monkeypatch):
+    """What a worker allocates for a batch, besides the batch itself."""
+    monkeypatch.setattr(diff, "AT_ONCE", 1 << 14)
+    rnd = random.Random(5)
+    old = [" ".join(rnd.choices(["the", "a", "thing", "word"], k=400)) for _ in range(250)]
+    before, after = pa.array([*old, None, ""]), pa.array([*(t.replace("the", "that") for t in old), "x", None])
+    for udf in (diff.pieces, diff.diff):
+        held = pa.total_allocated_bytes()
+        tracemalloc.start()
+        got = udf.func(before, after)
+        peak = tracemalloc.get_traced_memory()[1] + pa.total_allocated_bytes() - held
+        tracemalloc.stop()
+        assert len(got) == len(before)
+        assert peak < 2 * (before.nbytes + after.nbytes)
+    assert diff.pieces.func(before[-2:], after[-2:]).to_pylist() == [[{"kept": False, "first": 1, "n": 1}], []]
+
+
+@pytest.mark.parametrize("at_once", [1, 7, 1 << 20])
+def test_what_is_compared_at_once_changes_nothing(monkeypatch, at_once):
+    rnd = random.Random(6)
+    pairs = [[" ".join(rnd.choices("abc", k=n)) for n in (rnd.randrange(90), rnd.randrange(90))] for _ in range(60)]
+    before, after = (pa.array(x) for x in zip(*pairs, strict=True))
+    want = [diff.spans(*p) for p in pairs]
+    monkeypatch.setattr(diff, "AT_ONCE", at_once)
+    assert diff.diff.func(before, after).to_pylist() == want
+    for was, now in pairs:
+        assert diff.blocks(diff.tokens(was), diff.tokens(now)) == [tuple(m) for m in SequenceMatcher(None, diff.tokens(was), diff.tokens(now), autojunk=False).get_matching_blocks()]
+
+
+def test_corrections_are_rebuilt_from_words_taken_apart_once(spark, tmp_path):
+    """Words are taken apart once for a text, not inside the lambda for each piece; batches stay small; nulls and blanks count."""
+    rows = [(1, "first " + "the word\n" * 300), (2, None), (3, ""), (4, "  a the"), (5, "the the")]
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    limits = {f"spark.sql.execution.arrow.{k}": most for k, most in (("maxRecordsPerBatch", 10_000), ("maxBytesPerBatch", 64 << 20))}
+    for key, most in limits.items():
+        spark.conf.set(key, most)
+    df = catalogue.queries()["correction_rebuilt"](spark, str(tmp_path))
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") == plan[: plan.index("lambdafunction(")].count("regexp_extract_all") == 2
+    want = {1: "that word\n" * 300, 2: "", 3: "", 4: "a that", 5: "that"}
+    assert dict(map(tuple, df.collect())) == {k: hashlib.sha256(v.encode()).hexdigest() for k, v in want.items()}
+    assert all(int(spark.conf.get(key).rstrip("b")) < most for key, most in limits.items())
+
+
 def test_json_columns_keep_types(spark):
     column = '{"a": 1, "b": true, "c": {"x": [1, 2.5, null]}, "d": null, "e": "1", "image_alt": "old"}'
     df = spark.createDataFrame([(column, {"images.image_alt": 'new "x"', "title": "t"}), ("", {"images.image_alt": "n"}), (column, {"title": "t"}), ("[]", {"images.image_alt": "n"}), (None, {"images.image_alt": "n"}), ("no json", {"images.image_alt": "n"})], "images string, translated map<string,string>")
